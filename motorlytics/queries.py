@@ -244,6 +244,503 @@ def c13_rule(spark, sf_dir):
     return SC.department_risk_summary(latest(spark, sf_dir), "health_score", "risk_category")
 
 
+# ---------------------------------------------------------------------------
+# P — profiling
+# ---------------------------------------------------------------------------
+from motorlytics.operators import dashboards as DB  # noqa: E402
+from motorlytics.operators import profile as PR  # noqa: E402
+
+
+@register("p01_dataset_summary", O.with_ctes(
+    "SELECT count(*) AS total_records, count(DISTINCT equipment_serial_no) AS unique_motors, "
+    "strftime(min(received_date), '%Y-%m-%d') AS first_received, strftime(max(received_date), '%Y-%m-%d') AS last_received, "
+    "count(DISTINCT installed_location) AS departments, count(DISTINCT equipment_type_text) AS equipment_types, "
+    "count(DISTINCT make) AS makers FROM requisition", "requisition"))
+def p01(spark, sf_dir):
+    return PR.dataset_summary(requisition(spark, sf_dir))
+
+
+def _dist_sql(col: str) -> str:
+    return O.with_ctes(
+        f"SELECT {col}, count(*) AS count, count(*) / (SELECT count(*) FROM requisition) * 100e0 AS pct "
+        f"FROM requisition WHERE {col} IS NOT NULL GROUP BY {col}", "requisition")
+
+
+for _name, _col in [("p02_failure_reason_distribution", "reason_of_failure_text"),
+                    ("p03_department_distribution", "installed_location"),
+                    ("p04_status_distribution", "status")]:
+    register(_name, _dist_sql(_col))(
+        (lambda c: (lambda spark, sf_dir: PR.distribution(requisition(spark, sf_dir), c)))(_col))
+
+
+def _feature_summary_sql(digits: int) -> str:
+    parts = []
+    for i, c in enumerate(S.FEATURE_COLUMNS):
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT {i} AS feature_order, '{c}' AS feature, {O.np_round_sql(f'avg({x})', digits)} AS mean, "
+            f"{O.np_round_sql(f'stddev_samp({x})', digits)} AS std, {O.np_round_sql(f'min({x})', digits)} AS min, "
+            f"{O.np_round_sql(f'max({x})', digits)} AS max FROM features")
+    return O.with_ctes(" UNION ALL ".join(parts), "features")
+
+
+@register("p05_feature_summary", _feature_summary_sql(4))
+def p05(spark, sf_dir):
+    return PR.feature_summary(engineered(spark, sf_dir), digits=4)
+
+
+def _label_values_sql() -> str:
+    return "(VALUES " + ", ".join(f"({k}, {O._q(v)})" for k, v in sorted(S.RISK_LABELS.items())) + ") d(risk_class, risk_label)"
+
+
+@register("p06_target_distribution", O.with_ctes(
+    "SELECT d.risk_class, d.risk_label, CAST(coalesce(c.n, 0) AS BIGINT) AS count, "
+    "coalesce(c.n, 0) / (SELECT count(*) FROM features) * 100e0 AS pct "
+    f"FROM {_label_values_sql()} LEFT JOIN (SELECT risk_category, count(*) AS n FROM features "
+    "WHERE risk_category IS NOT NULL GROUP BY risk_category) c ON c.risk_category = d.risk_class", "features"))
+def p06(spark, sf_dir):
+    return PR.target_distribution(spark, engineered(spark, sf_dir))
+
+
+@register("p07_health_statistics", O.with_ctes(
+    f"SELECT {O.np_round_sql('avg(health_score)', 4)} AS mean, {O.np_round_sql('median(health_score)', 4)} AS median, "
+    f"{O.np_round_sql('stddev_samp(health_score)', 4)} AS std, {O.np_round_sql('min(health_score)', 4)} AS min, "
+    f"{O.np_round_sql('max(health_score)', 4)} AS max FROM features", "features"))
+def p07(spark, sf_dir):
+    return PR.health_statistics(engineered(spark, sf_dir), digits=4)
+
+
+# ---------------------------------------------------------------------------
+# Scored fleet (fixture probabilities stand in for a fitted model)
+# ---------------------------------------------------------------------------
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest record per motor with class probabilities, label and model health."""
+    return SC.batch_scores(FX.with_fixture_scores(latest(spark, sf_dir)))
+
+
+O.add_cte("scored_w", """
+SELECT l.*, 1e0 + (ck * 31) % 97 AS w0, 1e0 + (ck * 37) % 97 AS w1, 1e0 + (ck * 41) % 97 AS w2, 1e0 + (ck * 43) % 97 AS w3
+FROM (SELECT *, CAST(substring(equipment_serial_no, 3) AS BIGINT) AS ck FROM latest) l
+""")
+_LABEL_CASE = "CASE risk_class " + " ".join(f"WHEN {k} THEN {O._q(v)}" for k, v in sorted(S.RISK_LABELS.items())) + " END"
+_HEALTH_SQL = O.clip_sql(O.np_round_sql(
+    f"(1e0 - p_high * {S.HEALTH_WEIGHT_HIGH}e0 - p_critical * {S.HEALTH_WEIGHT_CRITICAL}e0) * 100e0", 1),
+    f"{S.HEALTH_MIN}e0", f"{S.HEALTH_MAX}e0")
+O.add_cte("scored", f"""
+SELECT * EXCLUDE (w0, w1, w2, w3, ck, health_score), {_LABEL_CASE} AS predicted_risk, {_HEALTH_SQL} AS health_score
+FROM (SELECT *, w0 / (w0 + w1 + w2 + w3) AS p_low, w1 / (w0 + w1 + w2 + w3) AS p_medium,
+        w2 / (w0 + w1 + w2 + w3) AS p_high, w3 / (w0 + w1 + w2 + w3) AS p_critical,
+        CAST(CASE WHEN w0 >= w1 AND w0 >= w2 AND w0 >= w3 THEN 0 WHEN w1 >= w2 AND w1 >= w3 THEN 1
+                  WHEN w2 >= w3 THEN 2 ELSE 3 END AS INTEGER) AS risk_class
+      FROM scored_w)
+""")
+
+
+def _components_select_sql() -> str:
+    ps = ["p_low", "p_medium", "p_high", "p_critical"]
+    raw = []
+    for name, (wm, wh, wc), (lo, hi) in S.COMPONENTS:
+        terms = [f"{ps[k]} * {w!r}e0" if "e" not in repr(w) else f"{ps[k]} * {w!r}"
+                 for k, w in ((1, wm), (2, wh), (3, wc)) if w]
+        mid = (lo + hi) / 2.0
+        raw.append((SC.COMPONENT_COLUMNS[name], O.np_round_sql(f"({terms[0]} + {terms[1]}) * {mid!r}", 3)))
+    total = " + ".join(f"r_{c}" for c, _ in raw)
+    inner = ", ".join(f"{e} AS r_{c}" for c, e in raw)
+    outer = ", ".join(
+        f"CASE WHEN ({total}) > 0 THEN {O.np_round_sql(f'r_{c} / ({total})', 3)} ELSE r_{c} END AS {c}" for c, _ in raw)
+    return f"SELECT * EXCLUDE ({', '.join('r_' + c for c, _ in raw)}), {outer} FROM (SELECT *, {inner} FROM scored)"
+
+
+O.add_cte("scored_components", _components_select_sql())
+COMP_COLS = list(SC.COMPONENT_COLUMNS.values())
+
+# ---------------------------------------------------------------------------
+# C — scoring
+# ---------------------------------------------------------------------------
+
+
+@register("c02_motor_sample")
+def c02(spark, sf_dir):
+    lt = latest(spark, sf_dir)
+    return (lt.orderBy(F.xxhash64(F.col("equipment_serial_no"), F.lit(123))).limit(8)
+            .select("equipment_serial_no", "installed_location", "risk_label"))
+
+
+@register("c03_model_health", O.with_ctes("SELECT equipment_serial_no, health_score FROM scored", "scored"))
+def c03(spark, sf_dir):
+    return scored(spark, sf_dir).select("equipment_serial_no", "health_score")
+
+
+@register("c04_component_probabilities", O.with_ctes(
+    f"SELECT equipment_serial_no, {', '.join(COMP_COLS)} FROM scored_components", "scored_components"))
+def c04(spark, sf_dir):
+    return (scored(spark, sf_dir).transform(SC.add_component_probabilities)
+            .select("equipment_serial_no", *COMP_COLS))
+
+
+_DAYS_CASE = "CASE risk_class " + " ".join(f"WHEN {k} THEN {v}" for k, v in sorted(S.INSPECTION_DAYS.items())) + " END"
+
+
+@register("c05_inspection_date", O.with_ctes(
+    f"SELECT equipment_serial_no, risk_class, strftime(DATE '{AS_OF}' + CAST({_DAYS_CASE} AS INTEGER), '%Y-%m-%d') "
+    "AS suggested_inspection_date FROM scored", "scored"))
+def c05(spark, sf_dir):
+    return (scored(spark, sf_dir).transform(SC.add_inspection_date, AS_OF)
+            .select("equipment_serial_no", "risk_class", "suggested_inspection_date"))
+
+
+_ACTION_CASE = "CASE risk_class " + " ".join(
+    f"WHEN {k} THEN {O._q(v)}" for k, v in sorted(S.RECOMMENDED_ACTIONS.items())) + " END"
+
+
+@register("c06_recommended_action", O.with_ctes(
+    f"SELECT equipment_serial_no, risk_class, {_ACTION_CASE} AS recommended_action FROM scored", "scored"))
+def c06(spark, sf_dir):
+    return (scored(spark, sf_dir).transform(SC.add_recommended_action)
+            .select("equipment_serial_no", "risk_class", "recommended_action"))
+
+
+@register("c07_prediction_record")
+def c07(spark, sf_dir):
+    return SC.prediction_record(scored(spark, sf_dir).drop("health_score"), AS_OF)
+
+
+def _ranking_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT equipment_serial_no, {i} AS pos, {O._q(name)} AS component, {c} AS probability FROM scored_components"
+        for i, (name, c) in enumerate(SC.COMPONENT_COLUMNS.items()))
+    return O.with_ctes(
+        "SELECT equipment_serial_no, CAST(row_number() OVER (PARTITION BY equipment_serial_no ORDER BY probability DESC, pos) "
+        f"AS INTEGER) AS component_rank, component, probability FROM ({parts})", "scored_components")
+
+
+@register("c08_component_ranking", _ranking_sql())
+def c08(spark, sf_dir):
+    return scored(spark, sf_dir).transform(SC.add_component_probabilities).transform(SC.component_ranking)
+
+
+@register("c10_fleet_totals", O.with_ctes(
+    f"SELECT count(*) AS total_motors, {O.np_round_sql('avg(health_score)', 1)} AS avg_health_score, "
+    f"{O.np_round_sql('median(health_score)', 1)} AS median_health_score FROM scored", "scored"))
+def c10(spark, sf_dir):
+    t = SC.fleet_totals(scored(spark, sf_dir))
+    return t.select("total_motors", *[FE.np_round(F.col(c), 1).alias(c) for c in ("avg_health_score", "median_health_score")])
+
+
+@register("c11_risk_distribution", O.with_ctes(
+    "SELECT d.risk_label, d.risk_class, CAST(coalesce(c.n, 0) AS BIGINT) AS motor_count, "
+    "coalesce(c.n, 0) * 100e0 / (SELECT count(*) FROM scored) AS pct "
+    f"FROM {_label_values_sql()} LEFT JOIN (SELECT predicted_risk, count(*) AS n FROM scored "
+    "WHERE predicted_risk IS NOT NULL GROUP BY predicted_risk) c ON c.predicted_risk = d.risk_label", "scored"))
+def c11(spark, sf_dir):
+    return SC.risk_distribution(spark, scored(spark, sf_dir))
+
+
+_TOP_COLS = ["equipment_serial_no", "equipment_type_text", "installed_location", "kw", "motor_age_years",
+             "risk_class", "predicted_risk", "health_score"]
+
+
+@register("c12_top_at_risk", O.with_ctes(
+    f"SELECT {', '.join(_TOP_COLS)} FROM scored ORDER BY risk_class DESC, equipment_serial_no LIMIT 10", "scored"))
+def c12(spark, sf_dir):
+    return SC.top_at_risk(scored(spark, sf_dir), 10).select(*_TOP_COLS)
+
+
+@register("c13_department_risk_summary", O.with_ctes(
+    f"SELECT installed_location, {O.np_round_sql('avg(health_score)', 1)} AS avg_health, "
+    f"{O.np_round_sql('avg(risk_class)', 1)} AS avg_risk, count(equipment_serial_no) AS motor_count "
+    "FROM scored WHERE installed_location IS NOT NULL GROUP BY installed_location", "scored"))
+def c13(spark, sf_dir):
+    return SC.department_risk_summary(scored(spark, sf_dir))
+
+
+@register("c14_motor_report")
+def c14(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return SC.motor_report(s, SC.prediction_record(s.drop("health_score"), AS_OF))
+
+
+# ---------------------------------------------------------------------------
+# D — dashboards and registry
+# ---------------------------------------------------------------------------
+
+
+@register("d01_motor_list", O.with_ctes(
+    "SELECT DISTINCT equipment_serial_no FROM requisition WHERE equipment_serial_no IS NOT NULL", "requisition"))
+def d01(spark, sf_dir):
+    return DB.motor_list(requisition(spark, sf_dir))
+
+
+def lookup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One lookup per customer; every tenth asks for a serial that does not exist."""
+    from motorlytics.sources.tables import read_table
+    ck = F.col("c_custkey")
+    prefix = F.when(ck % 10 == 0, F.lit("ZZ")).otherwise(F.lit("EQ"))
+    return read_table(spark, sf_dir, "customer", ["c_custkey"]).select(
+        F.concat(prefix, F.lpad(ck.cast("string"), 7, "0")).alias("serial_no"))
+
+
+@register("d02_motor_lookup", O.with_ctes(
+    "SELECT r.serial_no, l.equipment_serial_no IS NOT NULL AS found, "
+    "CASE WHEN l.equipment_serial_no IS NULL THEN 'Motor ' || r.serial_no || ' not found' END AS error, "
+    "l.equipment_type_text, l.make, l.installed_location, l.kw FROM "
+    "(SELECT (CASE WHEN c_custkey % 10 = 0 THEN 'ZZ' ELSE 'EQ' END) || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS serial_no "
+    "FROM customer) r LEFT JOIN latest l ON r.serial_no = l.equipment_serial_no", "latest"))
+def d02(spark, sf_dir):
+    return DB.motor_lookup(lookup_requests(spark, sf_dir), latest(spark, sf_dir))
+
+
+O.add_cte("inspection_items", f"""
+SELECT o_orderkey AS item_id, 'EQ' || lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS serial_no,
+       {O.pick_sql(FX.CHECKLIST_CODES, 'o_orderkey')} AS code FROM orders
+""")
+
+
+def _in_sql(codes) -> str:
+    return "(" + ", ".join(O._q(c) for c in codes) + ")"
+
+
+_D3_COLS = ["bearing_failure_count", "winding_failure_count", "rotor_failure_count", "insulation_failure_count",
+            "repair_count", "previous_refurb_count", "days_since_last_repair"]
+
+
+@register("d03_checklist_adjust", O.with_ctes(f"""
+SELECT c.serial_no, l.equipment_serial_no IS NOT NULL AS found,
+  l.bearing_failure_count + c.add_bearing AS bearing_failure_count,
+  l.winding_failure_count + c.add_winding AS winding_failure_count,
+  l.rotor_failure_count + c.add_rotor AS rotor_failure_count,
+  l.insulation_failure_count + c.add_insulation AS insulation_failure_count,
+  CAST(l.repair_count + c.add_general AS INTEGER) AS repair_count,
+  l.previous_refurb_count + c.add_general AS previous_refurb_count,
+  CAST(CASE WHEN c.add_general > 0 THEN least(l.days_since_last_repair, {S.CHECKLIST_GAP_CAP_DAYS})
+       ELSE l.days_since_last_repair END AS INTEGER) AS days_since_last_repair
+FROM (SELECT serial_no,
+        count(*) FILTER (WHERE code IN {_in_sql(S.CHECKLIST_BEARING)}) AS add_bearing,
+        count(*) FILTER (WHERE code IN {_in_sql(S.CHECKLIST_WINDING)}) AS add_winding,
+        count(*) FILTER (WHERE code IN {_in_sql(S.CHECKLIST_ROTOR)}) AS add_rotor,
+        count(*) FILTER (WHERE code IN {_in_sql(S.CHECKLIST_INSULATION)}) AS add_insulation,
+        count(*) FILTER (WHERE code IN {_in_sql(S.CHECKLIST_GENERAL)}) AS add_general
+      FROM inspection_items GROUP BY serial_no) c
+LEFT JOIN latest l ON c.serial_no = l.equipment_serial_no""", "inspection_items", "latest"))
+def d03(spark, sf_dir):
+    counts = DB.checklist_counts(FX.inspection_items(spark, sf_dir))
+    return DB.apply_checklist(latest(spark, sf_dir), counts).select("serial_no", "found", *_D3_COLS)
+
+
+_REGISTRY_COLS = ["equipment_id", "allotment", "main_equipment_name", "equipment_serial_no", "motor_manufacturing_year",
+                  "make", "model", "kw", "frame", "rpm", "voltage", "installed_location", "status", "health_score",
+                  "predicted_risk"]
+O.add_cte("registry", """
+SELECT requisition_id AS equipment_id,
+  CASE WHEN (row_number() OVER (ORDER BY equipment_serial_no) - 1) % 3 = 0 THEN 'dr' ELSE '' END AS allotment,
+  coalesce(equipment_type_text, 'N/A') AS main_equipment_name, equipment_serial_no,
+  coalesce(motor_manufacturing_year, 2020) AS motor_manufacturing_year, coalesce(make, 'N/A') AS make,
+  coalesce(model, 'N/A') AS model, coalesce(kw, 0e0) AS kw, coalesce(frame, 'N/A') AS frame, coalesce(rpm, 0) AS rpm,
+  coalesce(voltage, 0) AS voltage, coalesce(installed_location, 'N/A') AS installed_location,
+  coalesce(status, 'N/A') AS status, health_score, predicted_risk
+FROM scored
+""")
+
+
+@register("d04_equipment_registry", O.with_ctes("SELECT * FROM registry", "registry"))
+def d04(spark, sf_dir):
+    return DB.equipment_registry(scored(spark, sf_dir))
+
+
+@register("d05_allotment_flag", O.with_ctes("SELECT equipment_serial_no, allotment FROM registry", "registry"))
+def d05(spark, sf_dir):
+    return DB.with_allotment(DB.motor_list(requisition(spark, sf_dir)))
+
+
+SEARCH_QUERY = "Nation_1"
+
+
+@register("d06_registry_search", O.with_ctes(
+    "SELECT * FROM registry WHERE " + " OR ".join(
+        f"coalesce(contains(lower({c}), lower('{SEARCH_QUERY}')), false)" for c in DB.SEARCH_COLUMNS), "registry"))
+def d06(spark, sf_dir):
+    return DB.registry_search(DB.equipment_registry(scored(spark, sf_dir)), SEARCH_QUERY)
+
+
+def _cnt(cond: str) -> str:
+    return f"count(*) FILTER (WHERE {cond})"
+
+
+_WORK_UP_SQL = _in_sql(S.STATUS_WORK_UP)
+
+
+@register("d07_queue_status", O.with_ctes(f"""
+SELECT yet + work AS ers_pending, usr AS user_pending, yet AS yet_to_start, work AS work_up, closed AS repaired_closed,
+       yet + work AS lt_received, usr + closed AS lt_repaired
+FROM (SELECT {_cnt("status = 'RECEIVED'")} AS yet, {_cnt(f"status IN {_WORK_UP_SQL}")} AS work,
+             {_cnt("status = 'DISPATCHED'")} AS usr, {_cnt("status = 'CLOSED'")} AS closed FROM requisition)""",
+    "requisition"))
+def d07(spark, sf_dir):
+    return DB.queue_status(requisition(spark, sf_dir))
+
+
+@register("d08_dispatched_breakdown", O.with_ctes(f"""
+SELECT dispatched, bearings_required, spares_required, dispatched - bearings_required - spares_required AS mechanical_jobs
+FROM (SELECT {_cnt("status = 'DISPATCHED'")} AS dispatched,
+        {_cnt("status = 'DISPATCHED' AND coalesce(regexp_matches(service_type_text, 'bearing', 'i'), false)")} AS bearings_required,
+        {_cnt("status = 'DISPATCHED' AND coalesce(regexp_matches(service_type_text, 'rewinding|insulation', 'i'), false)")}
+          AS spares_required FROM requisition)""", "requisition"))
+def d08(spark, sf_dir):
+    return DB.dispatched_breakdown(requisition(spark, sf_dir))
+
+
+def _band_sql() -> str:
+    arms = []
+    for order, _n, lo, hi in S.POWER_BANDS:
+        conds = []
+        if lo is not None:
+            conds.append(f"kw > {lo}e0")
+        if hi is not None:
+            conds.append(f"kw <= {hi}e0")
+        arms.append(f"WHEN {' AND '.join(conds)} THEN {order}")
+    return "CASE " + " ".join(arms) + " END"
+
+
+@register("d09_power_band_stats", O.with_ctes(f"""
+SELECT d.band_order, d.category, CAST(coalesce(c.ro, 0) AS BIGINT) AS received_outstanding,
+       CAST(coalesce(c.rp, 0) AS BIGINT) AS repaired, CAST(coalesce(c.ae, 0) AS BIGINT) AS at_ers
+FROM (VALUES {', '.join(f'({o}, {O._q(n)})' for o, n, _, _ in S.POWER_BANDS)}) d(band_order, category)
+LEFT JOIN (SELECT band_order, {_cnt("status IS DISTINCT FROM 'CLOSED'")} AS ro,
+             {_cnt(f"status IN {_in_sql(S.STATUS_DONE)}")} AS rp, {_cnt(f"status IN {_in_sql(S.STATUS_AT_SHOP)}")} AS ae
+           FROM (SELECT *, {_band_sql()} AS band_order FROM requisition) WHERE band_order IS NOT NULL GROUP BY band_order) c
+ON c.band_order = d.band_order""", "requisition"))
+def d09(spark, sf_dir):
+    return DB.power_band_stats(spark, requisition(spark, sf_dir))
+
+
+def _turnaround_sql(pattern: str, bands, prefix: str) -> str:
+    cols = []
+    for name, lo, hi in bands:
+        conds = ["true"]
+        if lo is not None:
+            conds.append(f"dur > {lo}")
+        if hi is not None:
+            conds.append(f"dur <= {hi}")
+        cols.append(f"{_cnt(' AND '.join(conds))} AS {prefix}_{name}")
+    names = [f"{prefix}_{b[0]}" for b in bands]
+    return O.with_ctes(f"""
+SELECT *, {' + '.join(names)} AS {prefix}_total FROM (
+  SELECT {', '.join(cols)} FROM (
+    SELECT coalesce(datediff('day', received_date, CAST(updated_at AS DATE)), 0) AS dur FROM requisition
+    WHERE status IN {_in_sql(S.STATUS_DONE)} AND coalesce(regexp_matches(service_type_text, '{pattern}', 'i'), false)))""",
+                       "requisition")
+
+
+@register("d10_turnaround_rewinding", _turnaround_sql(S.REWINDING_PATTERN, S.REWINDING_BANDS, "rew"))
+def d10(spark, sf_dir):
+    return DB.turnaround_rewinding(requisition(spark, sf_dir))
+
+
+@register("d11_turnaround_overhauling", _turnaround_sql(S.OVERHAUL_PATTERN, S.OVERHAUL_BANDS, "ovh"))
+def d11(spark, sf_dir):
+    return DB.turnaround_overhauling(requisition(spark, sf_dir))
+
+
+@register("d12_combined_dashboard")
+def d12(spark, sf_dir):
+    return DB.combined_dashboard(spark, requisition(spark, sf_dir))
+
+
+@register("d13_fleet_summary")
+def d13(spark, sf_dir):
+    return fleet_summary_record(spark, scored(spark, sf_dir))
+
+
+def fleet_summary_record(spark: SparkSession, s: DataFrame) -> DataFrame:
+    """Total, mean health (1 dp), zero-filled distribution and top five as one row."""
+    totals = s.agg(F.count(F.lit(1)).alias("total_motors"),
+                   FE.np_round(F.avg("health_score"), 1).alias("avg_health_score"))
+    dist = SC.risk_distribution(spark, s).agg(
+        F.map_from_entries(F.collect_list(F.struct("risk_label", "motor_count"))).alias("risk_distribution"))
+    top = SC.top_at_risk(s, 5).agg(F.collect_list(F.struct(
+        F.col("risk_class"), F.col("equipment_serial_no").alias("serial_no"), F.col("equipment_type_text").alias("type"),
+        F.col("installed_location").alias("location"), "health_score", F.col("predicted_risk").alias("risk"))).alias("_top"))
+    top = top.select(F.transform(F.array_sort("_top", lambda a, b: F.when(a["risk_class"] > b["risk_class"], -1)
+                                              .when(a["risk_class"] < b["risk_class"], 1)
+                                              .when(a["serial_no"] < b["serial_no"], -1)
+                                              .when(a["serial_no"] > b["serial_no"], 1).otherwise(0)),
+                                 lambda x: x.dropFields("risk_class")).alias("top_at_risk"))
+    return totals.crossJoin(dist).crossJoin(top)  # each side is one row
+
+
+def _percent_long_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT equipment_serial_no, {O._q(name)} AS component, {c} AS probability, round({c} * 100e0, 1) AS percent "
+        f"FROM scored_components" for name, c in SC.COMPONENT_COLUMNS.items())
+    return parts
+
+
+O.add_cte("component_percent", _percent_long_sql())
+
+
+def _advisory_values_sql() -> str:
+    return "(VALUES " + ", ".join(f"({O._q(c)}, {lvl}, {O._q(t)})" for c, lvl, t in S.ADVISORIES) + \
+        ") a(component, level, advisory)"
+
+
+@register("d14_component_advisory", O.with_ctes(f"""
+SELECT p.*, a.advisory FROM (
+  SELECT *, CAST(CASE WHEN percent > {S.ADVISORY_HIGH_PCT} THEN 2 WHEN percent > {S.ADVISORY_MODERATE_PCT} THEN 1 ELSE 0 END
+                 AS INTEGER) AS level FROM component_percent) p
+LEFT JOIN {_advisory_values_sql()} ON a.component = p.component AND a.level = p.level""", "component_percent"))
+def d14(spark, sf_dir):
+    s = scored(spark, sf_dir).transform(SC.add_component_probabilities)
+    return DB.component_advisories(spark, s, SC.COMPONENT_COLUMNS)
+
+
+@register("d15_percent_display", O.with_ctes("SELECT * FROM component_percent", "component_percent"))
+def d15(spark, sf_dir):
+    s = scored(spark, sf_dir).transform(SC.add_component_probabilities)
+    return DB.component_percentages(s, SC.COMPONENT_COLUMNS)
+
+
+@register("d16_manufacturing_year_display", O.with_ctes(
+    f"SELECT equipment_serial_no, CASE WHEN motor_age_years IS NOT NULL AND motor_age_years <> 0 "
+    f"THEN CAST({S.DEFAULT_AS_OF_YEAR} - motor_age_years AS VARCHAR) ELSE 'N/A' END AS manufacturing_year FROM latest",
+    "latest"))
+def d16(spark, sf_dir):
+    return DB.manufacturing_year_display(latest(spark, sf_dir))
+
+
+@register("d17_weekly_received_repaired", O.with_ctes("""
+SELECT strftime(g.week_start, '%Y-%m-%d') AS week_start, CAST(coalesce(r.n, 0) AS BIGINT) AS received,
+       CAST(coalesce(p.n, 0) AS BIGINT) AS repaired
+FROM (SELECT CAST(unnest(generate_series(last_w - INTERVAL 49 DAY, last_w, INTERVAL 7 DAY)) AS DATE) AS week_start
+      FROM (SELECT max(w) AS last_w FROM (
+              SELECT CAST(date_trunc('week', received_date) AS DATE) AS w FROM requisition WHERE received_date IS NOT NULL
+              UNION ALL SELECT CAST(date_trunc('week', updated_at) AS DATE) FROM requisition
+              WHERE status IN ('CLOSED', 'DISPATCHED') AND updated_at IS NOT NULL))) g
+LEFT JOIN (SELECT CAST(date_trunc('week', received_date) AS DATE) AS w, count(*) AS n FROM requisition
+           WHERE received_date IS NOT NULL GROUP BY 1) r ON r.w = g.week_start
+LEFT JOIN (SELECT CAST(date_trunc('week', updated_at) AS DATE) AS w, count(*) AS n FROM requisition
+           WHERE status IN ('CLOSED', 'DISPATCHED') AND updated_at IS NOT NULL GROUP BY 1) p ON p.w = g.week_start""",
+    "requisition"))
+def d17(spark, sf_dir):
+    return DB.weekly_received_repaired(spark, requisition(spark, sf_dir))
+
+
+@register("d18_failure_pareto", O.with_ctes("""
+SELECT reason_of_failure_text, failure_count, failure_count / total * 100e0 AS pct,
+       sum(failure_count) OVER (ORDER BY failure_count DESC, reason_of_failure_text
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / total * 100e0 AS cumulative_pct
+FROM (SELECT reason_of_failure_text, count(*) AS failure_count, sum(count(*)) OVER () AS total FROM requisition
+      WHERE reason_of_failure_text IS NOT NULL GROUP BY reason_of_failure_text)""", "requisition"))
+def d18(spark, sf_dir):
+    return DB.failure_pareto(requisition(spark, sf_dir))
+
+
+@register("d19_pending_by_department", O.with_ctes(
+    f"SELECT installed_location, count(*) AS pending_count FROM requisition WHERE status IN {_in_sql(S.STATUS_AT_SHOP)} "
+    "AND installed_location IS NOT NULL GROUP BY installed_location", "requisition"))
+def d19(spark, sf_dir):
+    return DB.pending_by_department(requisition(spark, sf_dir))
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)
 
