@@ -131,14 +131,20 @@ def checklist_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", "serial_no", F.array("code").alias("checklist"))
 
 
-def motor_weights(serial: Column) -> list[Column]:
+# FIXED VALUES — multipliers of the two deterministic stand-in "models"
+PRIMARY_MULTIPLIERS = (31, 37, 41, 43)
+SECONDARY_MULTIPLIERS = (47, 53, 59, 61)
+
+
+def motor_weights(serial: Column, multipliers=PRIMARY_MULTIPLIERS) -> list[Column]:
     ck = custkey_of(serial)
-    return [F.lit(1.0) + (ck * m) % 97 for m in (31, 37, 41, 43)]
+    return [F.lit(1.0) + (ck * m) % 97 for m in multipliers]
 
 
-def with_fixture_scores(df: DataFrame, serial_col: str = "equipment_serial_no") -> DataFrame:
+def with_fixture_scores(df: DataFrame, serial_col: str = "equipment_serial_no",
+                        multipliers=PRIMARY_MULTIPLIERS) -> DataFrame:
     """Deterministic stand-in for model output: p_low..p_critical and argmax class."""
-    w0, w1, w2, w3 = motor_weights(F.col(serial_col))
+    w0, w1, w2, w3 = motor_weights(F.col(serial_col), multipliers)
     total = w0 + w1 + w2 + w3
     risk_class = (F.when((w0 >= w1) & (w0 >= w2) & (w0 >= w3), 0)
                   .when((w1 >= w2) & (w1 >= w3), 1)
@@ -149,11 +155,11 @@ def with_fixture_scores(df: DataFrame, serial_col: str = "equipment_serial_no")
     })
 
 
-def labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_scores(spark: SparkSession, sf_dir: str, multipliers=PRIMARY_MULTIPLIERS) -> DataFrame:
     """Held-out style rows ``(id, label, prediction, prob[4])`` with a known truth."""
     motors = read_table(spark, sf_dir, "orders", ["o_custkey"]).distinct()
     ck = F.col("o_custkey")
-    scored = with_fixture_scores(motors.withColumn("serial", serial_of(ck)), "serial")
+    scored = with_fixture_scores(motors.withColumn("serial", serial_of(ck)), "serial", multipliers)
     return scored.select(
         ck.alias("id"),
         ((ck * 7 + F.expr("o_custkey div 3")) % 4).cast("int").alias("label"),
