@@ -113,11 +113,10 @@ def fit_encoders(df: DataFrame, columns: dict[str, str] | None = None) -> DataFr
     """Encoder dictionary ``(column, value, code)``: distinct values of each
     column sorted by code point, numbered from 0."""
     columns = columns or S.CATEGORICAL_COLUMNS
-    parts = [df.select(F.lit(c).alias("column"), category_text(F.col(c)).alias("value")) for c in columns]
-    distinct = parts[0]
-    for p in parts[1:]:
-        distinct = distinct.unionByName(p)
-    distinct = distinct.distinct()
+    # one scan: each row contributes one (column, value) pair per category;
+    # distinct() de-duplicates map-side before the shuffle
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), category_text(F.col(c)).alias("value")) for c in columns])
+    distinct = df.select(F.inline(pairs)).distinct()
     ranked = global_prefix(distinct, ["value"], "_pos", partition=["column"])
     return ranked.select("column", "value", (F.col("_pos") - 1).cast("int").alias("code"))
 

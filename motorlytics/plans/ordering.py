@@ -90,29 +90,51 @@ def _bounds_literal(rows: list, key_type: T.StructType) -> Column:
     return F.array(*structs).cast(T.ArrayType(key_type))
 
 
+def _null_first_key(row):
+    return tuple((0,) if v is None else (1, v) for v in row)
+
+
+def range_bounds(df: DataFrame, keycols: list[str], n_buckets: int, seed: int = 42) -> list:
+    """Up to ``n_buckets - 1`` split points for the struct of ``keycols``.
+
+    One job: the ``20 * n_buckets`` rows with the smallest hash of the key are
+    a uniform sample without replacement (Spark takes a per-partition top-k
+    and merges, so at most that many rows reach the driver). Any bounds give
+    correct results — bucket offsets come from the real bucket totals — the
+    sample only balances the buckets.
+    """
+    k = 20 * n_buckets
+    okey = F.struct(*[F.col(c) for c in keycols])
+    sample = (df.select(okey.alias("k"), F.xxhash64(*[F.col(c) for c in keycols], F.lit(seed)).alias("h"))
+              .orderBy("h").limit(k).collect())
+    if len(sample) <= n_buckets:
+        return []
+    ks = sorted((tuple(r["k"]) for r in sample), key=_null_first_key)
+    step = len(ks) / n_buckets
+    bounds = []
+    for i in range(1, n_buckets):
+        b = ks[int(i * step)]
+        if not bounds or b != bounds[-1]:
+            bounds.append(b)
+    return bounds
+
+
 def global_prefix(df: DataFrame, order: list[str], out: str, value: Column | None = None,
                   partition: list[str] | None = None, n_buckets: int = 64, seed: int = 42) -> DataFrame:
     """Inclusive running sum of ``value`` (default 1) in ascending ``order``,
     restarting per ``partition`` group. Order keys should be unique within a
     group (ties are then ordered arbitrarily but consistently).
 
-    The range bounds come from a sample whose size is bounded by
-    ``20 * n_buckets`` rows in expectation; that sample is the only data that
-    reaches the driver.
+    Rows are range-bucketed on ``(partition, order)`` by sampled bounds
+    (``range_bounds``), windowed inside their bucket, and offset by the totals
+    of the earlier buckets of their group (a table of at most
+    ``n_buckets + groups`` rows).
     """
     partition = partition or []
     keycols = [*partition, *order]
     okey = F.struct(*[F.col(c) for c in keycols])
     key_type = df.select(okey.alias("k")).schema["k"].dataType
-    n = df.count()
-    bounds: list = []
-    if n > n_buckets:
-        frac = min(1.0, 20.0 * n_buckets / n)
-        sample = (df.select(okey.alias("k")).sample(False, frac, seed)
-                  .orderBy("k").collect())
-        ks = [r["k"] for r in sample]
-        step = max(1, len(ks) // n_buckets)
-        bounds = [ks[i] for i in range(step, len(ks), step)]
+    bounds = range_bounds(df, keycols, n_buckets, seed)
     if bounds:
         bound_col = _bounds_literal(bounds, key_type)
         bucket = F.size(F.filter(bound_col, lambda b: b <= okey))

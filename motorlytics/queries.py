@@ -914,6 +914,139 @@ def m15(spark, sf_dir):
     return EV.select_model(_evals(spark, sf_dir), MODEL_A)
 
 
+# ---------------------------------------------------------------------------
+# M — preparation and training (model-dependent results: rows-only checks)
+# ---------------------------------------------------------------------------
+from motorlytics.operators import training as TR  # noqa: E402
+
+# small fits for the registered queries; the reference-sized defaults live in TR
+RF_QUERY_PARAMS = {"numTrees": 20, "maxDepth": 6}
+GBT_QUERY_PARAMS = {"maxIter": 5, "maxDepth": 3}
+_MODELS: dict = {}
+
+
+def _medians_sql() -> str:
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM features WHERE {c} IS NOT NULL"
+                               for c in S.FEATURE_COLUMNS)
+    return O.with_ctes(f"""
+SELECT feature, (max(value) FILTER (WHERE rk = (n + 1) // 2) + max(value) FILTER (WHERE rk = n // 2 + 1)) / 2e0 AS median
+FROM (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) AS rk,
+             count(*) OVER (PARTITION BY feature) AS n FROM ({parts})) GROUP BY feature""", "features")
+
+
+@register("m01_feature_medians", _medians_sql())
+def m01_medians(spark, sf_dir):
+    return TR.exact_medians(engineered(spark, sf_dir), S.FEATURE_COLUMNS)
+
+
+@register("m01_prepare_imputed", O.with_ctes(
+    "SELECT requisition_id, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in S.FEATURE_COLUMNS) +
+    ", risk_category AS label FROM features", "features"))
+def m01_prepare(spark, sf_dir):
+    return TR.prepare(engineered(spark, sf_dir))
+
+
+@register("m04w_class_weights", O.with_ctes(
+    "SELECT requisition_id, risk_category AS label, count(*) OVER () / "
+    "((SELECT count(DISTINCT risk_category) FROM features) * count(*) OVER (PARTITION BY risk_category)) AS weight "
+    "FROM features", "features"))
+def m04w(spark, sf_dir):
+    prep = engineered(spark, sf_dir).select("requisition_id", F.col("risk_category").alias("label"))
+    return TR.class_weights(prep)
+
+
+def training_sets(spark: SparkSession, sf_dir: str):
+    """(train, test), prepared, split 80/20 stratified, checkpointed once."""
+    key = (id(spark), sf_dir, "split")
+    if key not in _MODELS:
+        eng = TR.materialize(engineered(spark, sf_dir).select("requisition_id", "risk_category", *S.FEATURE_COLUMNS))
+        split = TR.materialize(TR.stratified_split(TR.prepare(eng)))
+        _MODELS[key] = (split.where(~F.col("is_test")).drop("is_test"), split.where(F.col("is_test")).drop("is_test"))
+    return _MODELS[key]
+
+
+def trained(spark: SparkSession, sf_dir: str, kind: str):
+    key = (id(spark), sf_dir, kind)
+    if key not in _MODELS:
+        train, _ = training_sets(spark, sf_dir)
+        if kind == "rf":
+            _MODELS[key] = TR.fit_random_forest(train, RF_QUERY_PARAMS)
+        else:
+            _MODELS[key] = TR.fit_boosted_trees(train, GBT_QUERY_PARAMS)
+    return _MODELS[key]
+
+
+@register("m02_stratified_split")
+def m02(spark, sf_dir):
+    prep = TR.prepare(engineered(spark, sf_dir))
+    return TR.stratified_split(prep).select("requisition_id", "label", "is_test")
+
+
+@register("m03_boosted_trees_test_predictions")
+def m03(spark, sf_dir):
+    _, test = training_sets(spark, sf_dir)
+    return TR.predict(trained(spark, sf_dir, "gbt"), test).select("requisition_id", "label", "prediction", "prob")
+
+
+@register("m04_random_forest_test_predictions")
+def m04(spark, sf_dir):
+    _, test = training_sets(spark, sf_dir)
+    return TR.predict(trained(spark, sf_dir, "rf"), test).select("requisition_id", "label", "prediction", "prob")
+
+
+@register("m05_trained_model_evaluation")
+def m05(spark, sf_dir):
+    _, test = training_sets(spark, sf_dir)
+    evals = {name: EV.evaluate(TR.predict(trained(spark, sf_dir, kind), test))
+             for name, kind in ((MODEL_A, "gbt"), (MODEL_B, "rf"))}
+    return EV.model_comparison(evals)
+
+
+@register("m10_cross_validation")
+def m10(spark, sf_dir):
+    prep = TR.prepare(engineered(spark, sf_dir))
+    return TR.cross_validate(prep, lambda tr: TR.fit_random_forest(tr, {"numTrees": 10, "maxDepth": 5}), k=5)
+
+
+@register("m12_feature_importance")
+def m12(spark, sf_dir):
+    return TR.feature_importance(spark, trained(spark, sf_dir, "rf"))
+
+
+@register("m13_permutation_attribution")
+def m13(spark, sf_dir):
+    _, test = training_sets(spark, sf_dir)
+    return TR.permutation_attribution(trained(spark, sf_dir, "rf"), test)
+
+
+def model_scored(spark: SparkSession, sf_dir: str, kind: str = "rf") -> DataFrame:
+    """Every motor's latest record scored by a fitted model (missing -> 0)."""
+    lt = latest(spark, sf_dir)
+    feats = lt.select("equipment_serial_no", *[F.col(c).cast("double").alias(c) for c in S.FEATURE_COLUMNS]).fillna(0.0)
+    pred = TR.predict(trained(spark, sf_dir, kind), feats)
+    probs = {c: F.col("prob")[i] for i, c in enumerate(SC.PROBS)}
+    pred = pred.withColumns(probs).select("equipment_serial_no", *SC.PROBS, F.col("prediction").alias("risk_class"))
+    return SC.batch_scores(lt.drop("health_score").join(pred, "equipment_serial_no"))
+
+
+@register("c09_batch_scoring")
+def c09(spark, sf_dir):
+    return model_scored(spark, sf_dir).select("equipment_serial_no", "installed_location", "risk_class",
+                                              "predicted_risk", "health_score", *SC.PROBS)
+
+
+@register("d03_checklist_scored")
+def d03_scored(spark, sf_dir):
+    """What-if: checklist-adjusted features re-scored by the fitted forest."""
+    counts = DB.checklist_counts(FX.inspection_items(spark, sf_dir))
+    adj = DB.apply_checklist(latest(spark, sf_dir), counts).where(F.col("found"))
+    feats = adj.select("serial_no", *[F.col(c).cast("double").alias(c) for c in S.FEATURE_COLUMNS])
+    pred = TR.predict(trained(spark, sf_dir, "rf"), feats)
+    p = F.col("prob")
+    return pred.select("serial_no", F.col("prediction").alias("risk_class"),
+                       SC.model_health_expr(p[2], p[3]).alias("health_score"))
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)
 
