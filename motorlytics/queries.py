@@ -1047,6 +1047,115 @@ def d03_scored(spark, sf_dir):
                        SC.model_health_expr(p[2], p[3]).alias("health_score"))
 
 
+# ---------------------------------------------------------------------------
+# S — sources, sinks, persistence (written under the shared checkpoint folder)
+# ---------------------------------------------------------------------------
+from motorlytics.sources import io as IO  # noqa: E402
+from motorlytics.streaming import checklist as ST  # noqa: E402
+
+_S01_COLS = ["requisition_id", "equipment_serial_no", "kw", "current", "voltage", "status",
+             "previous_refurbishment_job_no"]
+
+
+@register("s01_csv_scan", O.with_ctes(
+    "SELECT " + ", ".join(c for c in _S01_COLS if c != "previous_refurbishment_job_no") +
+    ", NULLIF(previous_refurbishment_job_no, '') AS previous_refurbishment_job_no, "
+    f"{ISO_DATE_SQL}, CAST(epoch(updated_at) AS BIGINT) AS updated_epoch FROM requisition", "requisition"))
+def s01(spark, sf_dir):
+    """Requisitions written as CSV in the full 38-column layout, scanned back
+    with the explicit schema. Empty text comes back missing, as CSV has no
+    way to tell the two apart."""
+    req = requisition(spark, sf_dir)
+    full = req.select(*[(F.col(f.name) if f.name in req.columns else F.lit(None)).cast(
+        f.dataType if f.name not in ("received_date", "updated_at") else req.schema[f.name].dataType).alias(f.name)
+        for f in S.REQUISITION_SCHEMA.fields])
+    path = IO.write_csv(full, IO.shared_path(spark, "requisitions-csv"))
+    back = IO.read_requisitions_csv(spark, path)
+    return iso_dates(back.select(*_S01_COLS, "received_date",
+                                 F.unix_timestamp("updated_at").cast("long").alias("updated_epoch")))
+
+
+@register("s02_engineered_table_roundtrip", O.with_ctes(
+    "SELECT * REPLACE (" + ISO_DATE_SQL + ") FROM (SELECT " + ", ".join(ENGINEERED_COLS) + " FROM features)",
+    "features"))
+def s02(spark, sf_dir):
+    path = IO.write_table(engineered(spark, sf_dir).select(*ENGINEERED_COLS), IO.shared_path(spark, "engineered"))
+    return iso_dates(IO.read_table_path(spark, path))
+
+
+@register("s05_encoders_roundtrip", O.with_ctes('SELECT "column", value, code FROM encoders', "encoders"))
+def s05(spark, sf_dir):
+    path = IO.save_encoders(FE.fit_encoders(requisition(spark, sf_dir)), IO.shared_path(spark, "encoders"))
+    return IO.load_encoders(spark, path)
+
+
+@register("s04_batch_predictions_sink")
+def s04(spark, sf_dir):
+    from pyspark.sql import types as T
+    path = IO.write_batch_predictions(model_scored(spark, sf_dir), IO.shared_path(spark, "batch-predictions"))
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in IO.BATCH_PREDICTION_COLUMNS])
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+@register("s06_model_roundtrip")
+def s06(spark, sf_dir):
+    path = IO.save_model(trained(spark, sf_dir, "rf"), IO.shared_path(spark, "rf-model"))
+    _, test = training_sets(spark, sf_dir)
+    return TR.predict(IO.load_model(path, "rf"), test).select("requisition_id", "label", "prediction")
+
+
+@register("s07_model_metadata")
+def s07(spark, sf_dir):
+    _, test = training_sets(spark, sf_dir)
+    metrics = {name: EV.evaluate(TR.predict(trained(spark, sf_dir, kind), test))
+               for name, kind in ((MODEL_A, "gbt"), (MODEL_B, "rf"))}
+    params = {MODEL_A: {**TR.GBT_PARAMS, **GBT_QUERY_PARAMS}, MODEL_B: {**TR.RF_PARAMS, **RF_QUERY_PARAMS}}
+    meta = IO.model_metadata(spark, MODEL_A, params, metrics)
+    path = IO.write_json(meta, IO.shared_path(spark, "model-metadata"))
+    return spark.read.json(path)
+
+
+@register("s08_evaluation_report")
+def s08(spark, sf_dir):
+    _, test = training_sets(spark, sf_dir)
+    scored_a = TR.predict(trained(spark, sf_dir, "gbt"), test)
+    evals = {MODEL_A: EV.evaluate(scored_a), MODEL_B: EV.evaluate(TR.predict(trained(spark, sf_dir, "rf"), test))}
+    path = IO.write_evaluation_report(EV.model_comparison(evals), EV.classification_report(spark, scored_a),
+                                      IO.shared_path(spark, "evaluation-report"))
+    return spark.read.json(path)
+
+
+@register("s09_serving_snapshot")
+def s09(spark, sf_dir):
+    snap = IO.ServingSnapshot(requisition(spark, sf_dir), engineered(spark, sf_dir), latest(spark, sf_dir))
+    return spark.sql(f"SELECT installed_location, count(*) AS motors, avg(health_score) AS avg_health "
+                     f"FROM {snap.views()[2]} GROUP BY installed_location")
+
+
+@register("d03_checklist_stream", O.with_ctes(f"""
+SELECT i.item_id AS request_id, i.serial_no, l.equipment_serial_no IS NOT NULL AS found,
+  l.bearing_failure_count + (CASE WHEN code IN {_in_sql(S.CHECKLIST_BEARING)} THEN 1 ELSE 0 END) AS bearing_failure_count,
+  l.winding_failure_count + (CASE WHEN code IN {_in_sql(S.CHECKLIST_WINDING)} THEN 1 ELSE 0 END) AS winding_failure_count,
+  l.rotor_failure_count + (CASE WHEN code IN {_in_sql(S.CHECKLIST_ROTOR)} THEN 1 ELSE 0 END) AS rotor_failure_count,
+  l.insulation_failure_count + (CASE WHEN code IN {_in_sql(S.CHECKLIST_INSULATION)} THEN 1 ELSE 0 END)
+    AS insulation_failure_count,
+  CAST(l.repair_count + (CASE WHEN code IN {_in_sql(S.CHECKLIST_GENERAL)} THEN 1 ELSE 0 END) AS INTEGER) AS repair_count,
+  l.previous_refurb_count + (CASE WHEN code IN {_in_sql(S.CHECKLIST_GENERAL)} THEN 1 ELSE 0 END) AS previous_refurb_count,
+  CAST(CASE WHEN code IN {_in_sql(S.CHECKLIST_GENERAL)} THEN least(l.days_since_last_repair, {S.CHECKLIST_GAP_CAP_DAYS})
+       ELSE l.days_since_last_repair END AS INTEGER) AS days_since_last_repair
+FROM inspection_items i LEFT JOIN latest l ON i.serial_no = l.equipment_serial_no""", "inspection_items", "latest"))
+def d03_stream(spark, sf_dir):
+    """Checklist requests (one per order, array form) streamed from files and
+    joined to the static latest records; results read back from the sink."""
+    reqs = FX.checklist_requests(spark, sf_dir).withColumnRenamed("item_id", "request_id")
+    src = IO.write_table(reqs, IO.shared_path(spark, "checklist-requests"))
+    sink, ckpt = IO.shared_path(spark, "whatif-out"), IO.shared_path(spark, "whatif-ckpt")
+    cols = ["request_id", "serial_no", "found", *_D3_COLS]
+    q = ST.start_whatif_stream(spark, src, latest(spark, sf_dir), sink, ckpt, cols)
+    q.awaitTermination()
+    return spark.read.parquet(sink)
+
+
 def queries() -> dict[str, Builder]:
     return dict(REGISTRY)
 
