@@ -75,19 +75,21 @@ def apply_checklist(motors: DataFrame, counts: DataFrame, key: str = "serial_no"
 
 
 # D5 ------------------------------------------------------------------------
-def with_allotment(df: DataFrame) -> DataFrame:
+def with_allotment(df: DataFrame, serials: DataFrame | None = None) -> DataFrame:
     """'dr' on every third motor in serial order (0-based position % 3 == 0).
-    The position comes from a range-bucketed prefix count, not a global window."""
-    pos = global_prefix(df.select(SERIAL), [SERIAL], "_pos")
+    The position comes from a range-bucketed prefix count, not a global window.
+    ``serials`` (distinct, same set as ``df``'s) may come from a cheaper plan."""
+    keys = serials if serials is not None else df.select(SERIAL)
+    pos = global_prefix(keys.select(SERIAL), [SERIAL], "_pos")
     flagged = pos.select(SERIAL, F.when((F.col("_pos") - 1) % 3 == 0, F.lit("dr")).otherwise(F.lit("")).alias("allotment"))
     return df.join(flagged, SERIAL, "left")
 
 
 # D4 ------------------------------------------------------------------------
-def equipment_registry(scored: DataFrame) -> DataFrame:
+def equipment_registry(scored: DataFrame, serials: DataFrame | None = None) -> DataFrame:
     """Registry rows from scored motors, with the display defaults."""
     na = F.lit("N/A")
-    reg = scored.transform(with_allotment)
+    reg = with_allotment(scored, serials)
     return reg.select(
         F.col("requisition_id").alias("equipment_id"),
         "allotment",

@@ -22,7 +22,7 @@ METRIC_DIGITS = 4
 
 
 def class_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in sorted(S.RISK_LABELS.items())], "cls int, class_label string")
+    return S.literal_table(spark, [(k, v) for k, v in sorted(S.RISK_LABELS.items())], "cls int, class_label string")
 
 
 def confusion_counts(df: DataFrame) -> DataFrame:

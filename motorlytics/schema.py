@@ -202,15 +202,22 @@ CHECKLIST_REQUEST_SCHEMA = T.StructType([
 # Small dimension tables built from the constants above (bounded by
 # construction, so they are safe to broadcast).
 # ---------------------------------------------------------------------------
+def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small constant table built inside the JVM (no Python serialisation)."""
+    from pyspark.sql import functions as F
+    fields = T._parse_datatype_string(ddl).fields
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def risk_label_dim(spark: SparkSession) -> DataFrame:
     rows = [(k, v, INSPECTION_DAYS[k], RECOMMENDED_ACTIONS[k]) for k, v in sorted(RISK_LABELS.items())]
-    return spark.createDataFrame(
-        rows, "risk_class int, risk_label string, inspection_days int, recommended_action string")
+    return literal_table(spark, rows, "risk_class int, risk_label string, inspection_days int, recommended_action string")
 
 
 def advisory_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ADVISORIES, "component string, level int, advisory string")
+    return literal_table(spark, ADVISORIES, "component string, level int, advisory string")
 
 
 def power_band_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(o, n) for o, n, _, _ in POWER_BANDS], "band_order int, category string")
+    return literal_table(spark, [(o, n) for o, n, _, _ in POWER_BANDS], "band_order int, category string")
