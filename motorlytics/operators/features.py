@@ -122,16 +122,21 @@ def fit_encoders(df: DataFrame, columns: dict[str, str] | None = None) -> DataFr
 
 
 def apply_encoders(df: DataFrame, encoders: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
-    """Look every category up in the dictionary; unseen values get -1."""
+    """Look every category up in the dictionary; unseen values get -1.
+
+    One left join per column against that column's slice of the dictionary
+    (a dimension of distinct categories: AQE broadcasts it when small), then
+    a single projection."""
     columns = columns or S.CATEGORICAL_COLUMNS
     out = df
-    for src, dst in columns.items():
-        lookup = (encoders.where(F.col("column") == src)
-                  .select(F.col("value").alias(f"_enc_value_{src}"), F.col("code").alias(dst)))
-        out = (out.join(lookup, category_text(out[src]) == lookup[f"_enc_value_{src}"], "left")
-               .drop(f"_enc_value_{src}")
-               .withColumn(dst, F.coalesce(F.col(dst), F.lit(S.UNSEEN_CODE)).cast("int")))
-    return out
+    for i, (src, dst) in enumerate(columns.items()):
+        lookup = encoders.where(F.col("column") == src).select(
+            F.col("value").alias(f"_enc_v{i}"), F.col("code").alias(f"_enc_c{i}"))
+        out = out.join(lookup, category_text(out[src]) == lookup[f"_enc_v{i}"], "left")
+    codes = [F.coalesce(F.col(f"_enc_c{i}"), F.lit(S.UNSEEN_CODE)).cast("int").alias(dst)
+             for i, dst in enumerate(columns.values())]
+    keep = [c for c in df.columns if c not in columns.values()]
+    return out.select(*keep, *codes)
 
 
 # F11 / F12 / F13 -----------------------------------------------------------

@@ -119,8 +119,21 @@ def range_bounds(df: DataFrame, keycols: list[str], n_buckets: int, seed: int =
     return bounds
 
 
+SMALL_INPUT_BYTES = 32 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimized plan (an upper bound for
+    aggregates and joins); None when unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def global_prefix(df: DataFrame, order: list[str], out: str, value: Column | None = None,
-                  partition: list[str] | None = None, n_buckets: int = 64, seed: int = 42) -> DataFrame:
+                  partition: list[str] | None = None, n_buckets: int = 64, seed: int = 42,
+                  small_input_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
     """Inclusive running sum of ``value`` (default 1) in ascending ``order``,
     restarting per ``partition`` group. Order keys should be unique within a
     group (ties are then ordered arbitrarily but consistently).
@@ -128,13 +141,17 @@ def global_prefix(df: DataFrame, order: list[str], out: str, value: Column | Non
     Rows are range-bucketed on ``(partition, order)`` by sampled bounds
     (``range_bounds``), windowed inside their bucket, and offset by the totals
     of the earlier buckets of their group (a table of at most
-    ``n_buckets + groups`` rows).
+    ``n_buckets + groups`` rows). Inputs whose estimated plan size is at most
+    ``small_input_bytes`` use a single bucket.
     """
     partition = partition or []
     keycols = [*partition, *order]
     okey = F.struct(*[F.col(c) for c in keycols])
     key_type = df.select(okey.alias("k")).schema["k"].dataType
-    bounds = range_bounds(df, keycols, n_buckets, seed)
+    est = estimated_bytes(df)
+    # an input whose estimated size is small is ordered in one bucket (no
+    # sampling job); anything else is range-bucketed
+    bounds = [] if (est is not None and est <= small_input_bytes) else range_bounds(df, keycols, n_buckets, seed)
     if bounds:
         bound_col = _bounds_literal(bounds, key_type)
         bucket = F.size(F.filter(bound_col, lambda b: b <= okey))

@@ -42,9 +42,22 @@ def requisition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FX.requisitions(spark, sf_dir)
 
 
+_STAGES: dict = {}
+
+
 def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = FE.engineer(requisition(spark, sf_dir))
-    return out
+    """The engineered table as a stage output: computed once per session and
+    data folder, written as Parquet under the shared checkpoint folder, and
+    read back by every downstream query (scoring, dashboards, profiling and
+    training read the stored feature table, as the application does)."""
+    key = (id(spark), sf_dir, "engineered")
+    if key not in _STAGES:
+        from motorlytics.sources.io import shared_path
+        out, _ = FE.engineer(requisition(spark, sf_dir))
+        path = shared_path(spark, "engineered-stage")
+        out.write.mode("overwrite").parquet(path)
+        _STAGES[key] = path
+    return spark.read.parquet(_STAGES[key])
 
 
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,6 +418,13 @@ def c07(spark, sf_dir):
     return SC.prediction_record(scored(spark, sf_dir).drop("health_score"), AS_OF)
 
 
+@register("c04_component_probabilities_seeded")
+def c04_seeded(spark, sf_dir):
+    """Jitter drawn per motor from a hash of its serial (stable across reruns)."""
+    return (scored(spark, sf_dir).transform(SC.add_component_probabilities, "seeded", 123)
+            .select("equipment_serial_no", *COMP_COLS))
+
+
 def _ranking_sql() -> str:
     parts = " UNION ALL ".join(
         f"SELECT equipment_serial_no, {i} AS pos, {O._q(name)} AS component, {c} AS probability FROM scored_components"
@@ -995,14 +1015,32 @@ def m04(spark, sf_dir):
     return TR.predict(trained(spark, sf_dir, "rf"), test).select("requisition_id", "label", "prediction", "prob")
 
 
-@register("m05_trained_model_evaluation")
+@register("m05_predict_probabilities")
 def m05(spark, sf_dir):
+    """Predicted class and the four class probabilities on the held-out rows."""
+    _, test = training_sets(spark, sf_dir)
+    pred = TR.predict(trained(spark, sf_dir, "rf"), test)
+    return pred.select("requisition_id", "label", "prediction",
+                       FE.risk_label_expr(F.col("prediction")).alias("predicted_risk"),
+                       *[F.col("prob")[i].alias(c) for i, c in enumerate(SC.PROBS)])
+
+
+@register("m14_trained_model_comparison")
+def m14_trained(spark, sf_dir):
     _, test = training_sets(spark, sf_dir)
     evals = {name: EV.evaluate(TR.predict(trained(spark, sf_dir, kind), test))
              for name, kind in ((MODEL_A, "gbt"), (MODEL_B, "rf"))}
     return EV.model_comparison(evals)
 
 
+@register("m15_trained_model_selection")
+def m15_trained(spark, sf_dir):
+    _, test = training_sets(spark, sf_dir)
+    evals = {name: EV.evaluate(TR.predict(trained(spark, sf_dir, kind), test))
+             for name, kind in ((MODEL_A, "gbt"), (MODEL_B, "rf"))}
+    return EV.select_model(evals, MODEL_A)
+
+
 @register("m10_cross_validation")
 def m10(spark, sf_dir):
     prep = TR.prepare(engineered(spark, sf_dir))
