@@ -20,6 +20,21 @@ def np_round(c: Column, digits: int) -> Column:
     return F.rint(c * scale) / scale
 
 
+def mean_of_decimals(c: Column, digits: int = 1) -> Column:
+    """Mean of values that carry ``digits`` decimals, rounded to ``digits``
+    (half to even), computed on the exact scaled integers so the result does
+    not depend on the order in which partitions are summed."""
+    scale = float(10 ** digits)
+    return F.rint(F.sum(F.rint(c * scale)) / F.count(c)) / scale
+
+
+def median_of_decimals(c: Column, digits: int = 1) -> Column:
+    """Interpolated median of values with ``digits`` decimals, rounded to
+    ``digits`` (half to even), computed on the scaled integers."""
+    scale = float(10 ** digits)
+    return F.rint(F.median(F.rint(c * scale))) / scale
+
+
 def js_round(c: Column, digits: int) -> Column:
     """Display rounding of the browser code (``toFixed``): half away from zero."""
     return F.round(c, digits)

@@ -80,20 +80,36 @@ def add_repair_history(df: DataFrame, compat_nan: bool = False) -> DataFrame:
 
 
 # F7 / F8 -------------------------------------------------------------------
-def group_rates(df: DataFrame, group_col: str, out_col: str) -> DataFrame:
+def motor_group_counts(df: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Requisitions per (motor, group keys): one fact shuffle, combined
+    map-side, shared by every group rate."""
+    return df.groupBy(SERIAL, *group_cols).agg(F.count("requisition_id").alias("_n_req"))
+
+
+def group_rates(df: DataFrame, group_col: str, out_col: str, counts: DataFrame | None = None) -> DataFrame:
     """requisitions / distinct motors per group. Missing group keys are dropped
-    (as a group-by on them would), so their rows get a null rate."""
-    return (df.where(F.col(group_col).isNotNull())
+    (as a group-by on them would), so their rows get a null rate; a missing
+    serial counts as a requisition but not as a motor."""
+    counts = counts if counts is not None else motor_group_counts(df, [group_col])
+    return (counts.where(F.col(group_col).isNotNull())
             .groupBy(group_col)
-            .agg(F.count("requisition_id").alias("_n_req"), F.countDistinct(SERIAL).alias("_n_motor"))
+            .agg(F.sum("_n_req").alias("_n_req"), F.countDistinct(SERIAL).alias("_n_motor"))
             .select(group_col, F.try_divide(F.col("_n_req").cast("double"), F.col("_n_motor")).alias(out_col)))
 
 
+def add_group_rates(df: DataFrame, rates: dict[str, str]) -> DataFrame:
+    """Map each row to its groups' rates. Each rate table has one row per
+    group; the planner broadcasts it when its measured size is small (AQE)
+    and falls back to a shuffle join otherwise."""
+    counts = motor_group_counts(df, list(rates))
+    out = df
+    for group_col, out_col in rates.items():
+        out = out.join(group_rates(df, group_col, out_col, counts), on=group_col, how="left")
+    return out
+
+
 def add_group_rate(df: DataFrame, group_col: str, out_col: str) -> DataFrame:
-    """Map each row to its group's rate. The rate table has one row per group;
-    the planner broadcasts it when its measured size is small (AQE) and falls
-    back to a shuffle join otherwise."""
-    return df.join(group_rates(df, group_col, out_col), on=group_col, how="left")
+    return add_group_rates(df, {group_col: out_col})
 
 
 def add_department_failure_rate(df: DataFrame) -> DataFrame:
@@ -104,6 +120,11 @@ def add_make_failure_rate(df: DataFrame) -> DataFrame:
     return add_group_rate(df, "make", "make_failure_rate")
 
 
+def add_failure_rates(df: DataFrame) -> DataFrame:
+    """F7 and F8 from one shared (motor, department, maker) pre-aggregate."""
+    return add_group_rates(df, {"installed_location": "dept_failure_rate", "make": "make_failure_rate"})
+
+
 # F9 / F10 ------------------------------------------------------------------
 def category_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(S.NULL_CATEGORY))
@@ -208,8 +229,7 @@ def engineer(df: DataFrame, encoders: DataFrame | None = None, fit: bool = True,
     out = (df.transform(parse_dates)
            .transform(add_motor_age, as_of_year)
            .transform(add_repair_history, compat_nan)
-           .transform(add_department_failure_rate)
-           .transform(add_make_failure_rate)
+           .transform(add_failure_rates)
            .transform(apply_encoders, encoders)
            .transform(add_risk_target, noise_sd, seed))
     return out, encoders

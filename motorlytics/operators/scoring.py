@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorlytics import schema as S
-from motorlytics.functions.expr import clip, hash_uniform, np_round
+from motorlytics.functions.expr import clip, hash_uniform, mean_of_decimals, median_of_decimals, np_round
 from motorlytics.operators.features import risk_label_expr
 
 SERIAL = "equipment_serial_no"
@@ -164,9 +164,11 @@ def batch_scores(df: DataFrame) -> DataFrame:
 
 # C10 -----------------------------------------------------------------------
 def fleet_totals(df: DataFrame) -> DataFrame:
+    """Motors, mean and median health (1 dp). Health scores carry one decimal
+    (at most 1001 distinct values), so the exact median's buffer is bounded."""
     return df.agg(F.count(F.lit(1)).alias("total_motors"),
-                  F.avg("health_score").alias("avg_health_score"),
-                  F.median("health_score").alias("median_health_score"))
+                  mean_of_decimals(F.col("health_score"), 1).alias("avg_health_score"),
+                  median_of_decimals(F.col("health_score"), 1).alias("median_health_score"))
 
 
 # C11 -----------------------------------------------------------------------
@@ -194,7 +196,7 @@ def top_at_risk(df: DataFrame, k: int = 10) -> DataFrame:
 def department_risk_summary(df: DataFrame, health_col: str = "health_score", class_col: str = "risk_class") -> DataFrame:
     return (df.where(F.col("installed_location").isNotNull())
             .groupBy("installed_location")
-            .agg(np_round(F.avg(health_col), 1).alias("avg_health"),
+            .agg(mean_of_decimals(F.col(health_col), 1).alias("avg_health"),
                  np_round(F.avg(class_col), 1).alias("avg_risk"),
                  F.count(SERIAL).alias("motor_count")))
 

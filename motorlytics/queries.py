@@ -64,6 +64,9 @@ def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SC.latest_records(engineered(spark, sf_dir).drop("updated_at"))
 
 
+# exact mean of 1-decimal scores, rounded half-even to 1 decimal
+MEAN_HEALTH_SQL = "round_even(sum(round_even(health_score * 10e0, 0)) / count(health_score), 0) / 10e0"
+
 ENGINEERED_COLS = [  # engineered table minus the timestamp column
     "requisition_id", "equipment_serial_no", "motor_manufacturing_year", "installed_location", "make",
     "equipment_type_text", "main_equipment_name", "kw", "rpm", "voltage", "current", "duty_cycle",
@@ -250,7 +253,7 @@ def c01(spark, sf_dir):
 
 
 @register("c13_department_risk_rule", O.with_ctes(
-    f"SELECT installed_location, {O.np_round_sql('avg(health_score)', 1)} AS avg_health, "
+    f"SELECT installed_location, {MEAN_HEALTH_SQL} AS avg_health, "
     f"{O.np_round_sql('avg(risk_category)', 1)} AS avg_risk, count(equipment_serial_no) AS motor_count "
     "FROM latest WHERE installed_location IS NOT NULL GROUP BY installed_location", "latest"))
 def c13_rule(spark, sf_dir):
@@ -440,11 +443,10 @@ def c08(spark, sf_dir):
 
 
 @register("c10_fleet_totals", O.with_ctes(
-    f"SELECT count(*) AS total_motors, {O.np_round_sql('avg(health_score)', 1)} AS avg_health_score, "
-    f"{O.np_round_sql('median(health_score)', 1)} AS median_health_score FROM scored", "scored"))
+    f"SELECT count(*) AS total_motors, {MEAN_HEALTH_SQL} AS avg_health_score, "
+    "round_even(median(round_even(health_score * 10e0, 0)), 0) / 10e0 AS median_health_score FROM scored", "scored"))
 def c10(spark, sf_dir):
-    t = SC.fleet_totals(scored(spark, sf_dir))
-    return t.select("total_motors", *[FE.np_round(F.col(c), 1).alias(c) for c in ("avg_health_score", "median_health_score")])
+    return SC.fleet_totals(scored(spark, sf_dir))
 
 
 @register("c11_risk_distribution", O.with_ctes(
@@ -467,7 +469,7 @@ def c12(spark, sf_dir):
 
 
 @register("c13_department_risk_summary", O.with_ctes(
-    f"SELECT installed_location, {O.np_round_sql('avg(health_score)', 1)} AS avg_health, "
+    f"SELECT installed_location, {MEAN_HEALTH_SQL} AS avg_health, "
     f"{O.np_round_sql('avg(risk_class)', 1)} AS avg_risk, count(equipment_serial_no) AS motor_count "
     "FROM scored WHERE installed_location IS NOT NULL GROUP BY installed_location", "scored"))
 def c13(spark, sf_dir):
@@ -674,8 +676,9 @@ def d13(spark, sf_dir):
 
 def fleet_summary_record(spark: SparkSession, s: DataFrame) -> DataFrame:
     """Total, mean health (1 dp), zero-filled distribution and top five as one row."""
+    from motorlytics.functions.expr import mean_of_decimals
     totals = s.agg(F.count(F.lit(1)).alias("total_motors"),
-                   FE.np_round(F.avg("health_score"), 1).alias("avg_health_score"))
+                   mean_of_decimals(F.col("health_score"), 1).alias("avg_health_score"))
     dist = SC.risk_distribution(spark, s).agg(
         F.map_from_entries(F.collect_list(F.struct("risk_label", "motor_count"))).alias("risk_distribution"))
     top = SC.top_at_risk(s, 5).agg(F.collect_list(F.struct(
