@@ -181,14 +181,16 @@ def feature_importance(spark: SparkSession, model, features: list[str] | None =
 
 # M13 -----------------------------------------------------------------------
 def permutation_attribution(model, df: DataFrame, features: list[str] | None = None, cls: int = 2,
-                            seed: int = 7, buckets: int = 64, key: str = "requisition_id") -> DataFrame:
+                            seed: int = 7, rows_per_bucket: int = 50_000, key: str = "requisition_id") -> DataFrame:
     """How much each feature moves the probability of class ``cls``.
 
-    For every feature the feature's values are permuted among the rows of a
-    hash bucket (a random derangement-free shuffle; bucket windows are
-    bounded), all permuted copies are scored in one ``transform``, and the
-    mean absolute change of p[cls] is reported, largest first."""
+    For every feature, the feature's values are permuted among the rows of a
+    hash bucket (about ``rows_per_bucket`` rows each, so every permutation
+    window stays bounded as the data grows). All permuted copies are scored in
+    one ``transform``, and the mean absolute change of p[cls] per feature is
+    returned."""
     features = features or S.FEATURE_COLUMNS
+    buckets = max(1, -(-df.count() // rows_per_bucket))
     base = predict(model, df, features).select(key, F.col("prob")[cls].alias("_p0"))
     feats = F.array(*[F.lit(f) for f in features])
     long = df.withColumn("_feature", F.explode(feats)).withColumn(

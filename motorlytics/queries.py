@@ -1193,7 +1193,9 @@ def d03_stream(spark, sf_dir):
     src = IO.write_table(reqs, IO.shared_path(spark, "checklist-requests"))
     sink, ckpt = IO.shared_path(spark, "whatif-out"), IO.shared_path(spark, "whatif-ckpt")
     cols = ["request_id", "serial_no", "found", *_D3_COLS]
-    q = ST.start_whatif_stream(spark, src, latest(spark, sf_dir), sink, ckpt, cols)
+    # the static side is a written table, so micro-batches do not re-run its aggregation
+    static = IO.write_table(latest(spark, sf_dir), IO.shared_path(spark, "latest-static"))
+    q = ST.start_whatif_stream(spark, src, spark.read.parquet(static), sink, ckpt, cols)
     q.awaitTermination()
     return spark.read.parquet(sink)
 
