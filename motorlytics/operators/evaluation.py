@@ -124,18 +124,25 @@ def classification_report(spark: SparkSession, df: DataFrame) -> DataFrame:
            .select(F.col("cls").alias("row_order"), F.col("class_label").alias("row_label"),
                    "precision", "recall", "f1", "support"))
     total = F.sum("support")
-    acc = pc.agg(F.lit(N_CLASSES).alias("row_order"), F.lit("accuracy").alias("row_label"),
-                 F.lit(None).cast("double").alias("precision"), F.lit(None).cast("double").alias("recall"),
-                 (F.sum("tp") / total).alias("f1"), total.cast("long").alias("support"))
-    macro = pc.agg(F.lit(N_CLASSES + 1).alias("row_order"), F.lit("macro avg").alias("row_label"),
-                   F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
-                   total.cast("long").alias("support"))
-    weighted = pc.agg(F.lit(N_CLASSES + 2).alias("row_order"), F.lit("weighted avg").alias("row_label"),
-                      (F.sum(F.col("precision") * F.col("support")) / total).alias("precision"),
-                      (F.sum(F.col("recall") * F.col("support")) / total).alias("recall"),
-                      (F.sum(F.col("f1") * F.col("support")) / total).alias("f1"),
-                      total.cast("long").alias("support"))
-    out = per.unionByName(acc).unionByName(macro).unionByName(weighted)
+    tot = F.col("_total")
+    one = pc.agg(total.cast("long").alias("_total"), F.sum("tp").alias("_tp"),
+                 F.avg("precision").alias("_mp"), F.avg("recall").alias("_mr"), F.avg("f1").alias("_mf"),
+                 F.sum(F.col("precision") * F.col("support")).alias("_wp"),
+                 F.sum(F.col("recall") * F.col("support")).alias("_wr"),
+                 F.sum(F.col("f1") * F.col("support")).alias("_wf"))
+    null = F.lit(None).cast("double")
+    names = ["row_order", "row_label", "precision", "recall", "f1", "support"]
+
+    def row(*vals):
+        return F.struct(*[v.alias(n) for v, n in zip(vals, names)])
+
+    rows = F.array(
+        row(F.lit(N_CLASSES), F.lit("accuracy"), null, null, F.col("_tp") / tot, tot),
+        row(F.lit(N_CLASSES + 1), F.lit("macro avg"), F.col("_mp"), F.col("_mr"), F.col("_mf"), tot),
+        row(F.lit(N_CLASSES + 2), F.lit("weighted avg"), F.col("_wp") / tot, F.col("_wr") / tot,
+            F.col("_wf") / tot, tot))
+    summary = one.select(F.inline(rows))
+    out = per.unionByName(summary)
     return out.withColumns({c: np_round(F.col(c), METRIC_DIGITS) for c in ("precision", "recall", "f1")})
 
 

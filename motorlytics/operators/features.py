@@ -225,7 +225,12 @@ def engineer(df: DataFrame, encoders: DataFrame | None = None, fit: bool = True,
     """The whole feature pipeline. ``fit=True`` fits the encoders on ``df``;
     ``fit=False`` applies the given ``encoders`` (unseen -> -1)."""
     if fit or encoders is None:
-        encoders = fit_encoders(df)
+        # the fitted dictionary is an artifact: write it once to the shared
+        # checkpoint folder so the four lookups read a small stored table
+        # instead of re-planning the fit each time
+        from motorlytics.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        encoders = fit_encoders(df).checkpoint(eager=True)
     out = (df.transform(parse_dates)
            .transform(add_motor_age, as_of_year)
            .transform(add_repair_history, compat_nan)
