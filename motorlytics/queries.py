@@ -93,7 +93,7 @@ def f01(spark, sf_dir):
 
 @register("f02_parse_dates", O.with_ctes(
     "SELECT requisition_id, CAST(received_date - DATE '1970-01-01' AS INTEGER) AS received_day, "
-    "CAST(epoch(updated_at) AS BIGINT) AS updated_epoch FROM requisition",
+    "strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM requisition",
     "requisition"))
 def f02(spark, sf_dir):
     text = requisition(spark, sf_dir).select(
@@ -101,8 +101,9 @@ def f02(spark, sf_dir):
         F.date_format("received_date", "yyyy-MM-dd").alias("received_date"),
         F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
     parsed = FE.parse_dates(text)
+    # parsed values rendered back as text: independent of the session time zone
     return parsed.select("requisition_id", F.unix_date("received_date").alias("received_day"),
-                         F.unix_timestamp("updated_at").cast("long").alias("updated_epoch"))
+                         F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
 
 
 def _history_query(col: str) -> Builder:
@@ -1102,7 +1103,7 @@ _S01_COLS = ["requisition_id", "equipment_serial_no", "kw", "current", "voltage"
 @register("s01_csv_scan", O.with_ctes(
     "SELECT " + ", ".join(c for c in _S01_COLS if c != "previous_refurbishment_job_no") +
     ", NULLIF(previous_refurbishment_job_no, '') AS previous_refurbishment_job_no, "
-    f"{ISO_DATE_SQL}, CAST(epoch(updated_at) AS BIGINT) AS updated_epoch FROM requisition", "requisition"))
+    f"{ISO_DATE_SQL}, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM requisition", "requisition"))
 def s01(spark, sf_dir):
     """Requisitions written as CSV in the full 38-column layout, scanned back
     with the explicit schema. Empty text comes back missing, as CSV has no
@@ -1114,7 +1115,7 @@ def s01(spark, sf_dir):
     path = IO.write_csv(full, IO.shared_path(spark, "requisitions-csv"))
     back = IO.read_requisitions_csv(spark, path)
     return iso_dates(back.select(*_S01_COLS, "received_date",
-                                 F.unix_timestamp("updated_at").cast("long").alias("updated_epoch")))
+                                 F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at")))
 
 
 @register("s02_engineered_table_roundtrip", O.with_ctes(
