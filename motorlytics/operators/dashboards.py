@@ -34,6 +34,13 @@ def motor_lookup(requests: DataFrame, motors: DataFrame, request_col: str = "ser
         *columns)
 
 
+def missing_motors(requests: DataFrame, motors: DataFrame, request_col: str = "serial_no") -> DataFrame:
+    """Requested serials with no motor record (anti join)."""
+    m = motors.select(F.col(SERIAL).alias("_m_serial"))
+    return requests.join(m, requests[request_col] == m["_m_serial"], "left_anti").select(
+        F.col(request_col).alias("serial_no"))
+
+
 # D3 ------------------------------------------------------------------------
 def checklist_counts(items: DataFrame, key: str = "serial_no", code_col: str = "code") -> DataFrame:
     """Per request key, how many listed codes hit each rule (with multiplicity).

@@ -513,6 +513,14 @@ def d02(spark, sf_dir):
     return DB.motor_lookup(lookup_requests(spark, sf_dir), latest(spark, sf_dir))
 
 
+@register("d02_missing_motors", O.with_ctes(
+    "SELECT serial_no FROM (SELECT (CASE WHEN c_custkey % 10 = 0 THEN 'ZZ' ELSE 'EQ' END) || "
+    "lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS serial_no FROM customer) r "
+    "WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.equipment_serial_no = r.serial_no)", "latest"))
+def d02_missing(spark, sf_dir):
+    return DB.missing_motors(lookup_requests(spark, sf_dir), latest(spark, sf_dir))
+
+
 O.add_cte("inspection_items", f"""
 SELECT o_orderkey AS item_id, 'EQ' || lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS serial_no,
        {O.pick_sql(FX.CHECKLIST_CODES, 'o_orderkey')} AS code FROM orders
@@ -1064,12 +1072,8 @@ def m13(spark, sf_dir):
 
 def model_scored(spark: SparkSession, sf_dir: str, kind: str = "rf") -> DataFrame:
     """Every motor's latest record scored by a fitted model (missing -> 0)."""
-    lt = latest(spark, sf_dir)
-    feats = lt.select("equipment_serial_no", *[F.col(c).cast("double").alias(c) for c in S.FEATURE_COLUMNS]).fillna(0.0)
-    pred = TR.predict(trained(spark, sf_dir, kind), feats)
-    probs = {c: F.col("prob")[i] for i, c in enumerate(SC.PROBS)}
-    pred = pred.withColumns(probs).select("equipment_serial_no", *SC.PROBS, F.col("prediction").alias("risk_class"))
-    return SC.batch_scores(lt.drop("health_score").join(pred, "equipment_serial_no"))
+    from motorlytics.plans.pipeline import score_fleet
+    return score_fleet(trained(spark, sf_dir, kind), latest(spark, sf_dir))
 
 
 @register("c09_batch_scoring")

@@ -59,3 +59,18 @@ def test_exact_medians_match_pandas(spark):
     pdf = df.toPandas()
     assert got["a"] == pd.Series(pdf["a"]).median()
     assert got["b"] == pd.Series(pdf["b"]).dropna().median()
+
+
+def test_end_to_end_pipeline(spark):
+    import os
+    from motorlytics.plans.pipeline import run_pipeline
+    from motorlytics.sources import io as IO
+    out = IO.shared_path(spark, "pipeline-test")
+    paths = run_pipeline(spark, requisitions(spark, SF_SMALL), out, rf_params={"numTrees": 5, "maxDepth": 4},
+                         gbt_params={"maxIter": 2, "maxDepth": 2}, cv_folds=2)
+    assert paths["selected_model"] in ("boosted_trees", "random_forest")
+    for k in ("engineered", "encoders", "rf_model", "gbt_model", "metadata", "evaluation", "cv",
+              "batch_predictions", "department_summary"):
+        assert os.path.exists(paths[k].replace("file:", "")), k
+    preds = spark.read.option("header", True).csv(paths["batch_predictions"])
+    assert preds.count() == requisitions(spark, SF_SMALL).select("equipment_serial_no").distinct().count()

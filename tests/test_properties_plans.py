@@ -83,3 +83,18 @@ def test_registry_oracle_keys_subset():
     for name in E.queries():
         assert name.split("_")[0][0] in "fpcdms", name
     assert len(S.FEATURE_COLUMNS) == 18
+
+
+def test_single_partition_only_above_bucket_totals(spark):
+    """global_prefix may gather its bucket-total table (<= buckets + groups
+    rows) into one partition, never the rows being ordered — unless the
+    input's estimated size is under the small-input bound (forced off here)."""
+    from motorlytics.plans.ordering import global_prefix
+    df = spark.range(20000).select((F.col("id") * 7919 % 20000).alias("x"))
+    out = global_prefix(df, ["x"], "pos", n_buckets=16, small_input_bytes=0)
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            child = lines[i + 1]
+            assert "HashAggregate" in child and "_bk" in child, child
+    assert out.agg(F.max("pos")).first()[0] == 20000
