@@ -186,9 +186,9 @@ ISO_DATE_SQL = "strftime(received_date, '%Y-%m-%d') AS received_date"
 
 
 def _engineered_select(cols: list[str]) -> Builder:
+    """Columns of the engineered table (the pipeline's stored stage output)."""
     def build(spark, sf_dir):
-        eng, _ = FE.engineer(requisition(spark, sf_dir))
-        return iso_dates(eng.select(*cols))
+        return iso_dates(engineered(spark, sf_dir).select(*cols))
     return build
 
 
@@ -196,19 +196,14 @@ def _engineered_select(cols: list[str]) -> Builder:
     "SELECT requisition_id, age_score, repair_freq_score, recency_score, kw_score, failure_history_score FROM risk",
     "risk"))
 def f11(spark, sf_dir):
-    eng, _ = FE.engineer(requisition(spark, sf_dir))
-    return eng.transform(FE.add_risk_components).select(
+    return engineered(spark, sf_dir).transform(FE.add_risk_components).select(
         "requisition_id", "age_score", "repair_freq_score", "recency_score", "kw_score", "failure_history_score")
 
 
 @register("f12_risk_score", O.with_ctes("SELECT requisition_id, risk_score FROM risk", "risk"))
 def f12(spark, sf_dir):
-    req = requisition(spark, sf_dir)
-    enc = FE.fit_encoders(req)
-    pre = (req.transform(FE.add_motor_age).transform(FE.add_repair_history)
-           .transform(FE.add_department_failure_rate).transform(FE.add_make_failure_rate)
-           .transform(FE.apply_encoders, enc))
-    return FE.add_risk_target(pre, keep_components=True).select("requisition_id", "risk_score")
+    eng = engineered(spark, sf_dir).drop("health_score", "risk_category", "risk_label")
+    return FE.add_risk_target(eng, keep_components=True).select("requisition_id", "risk_score")
 
 
 @register("f13_score_noise")
