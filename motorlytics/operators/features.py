@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from motorlytics import schema as S
 from motorlytics.functions.expr import clip01, hash_normal, np_round
 from motorlytics.plans.ordering import bucketed_running, global_prefix
+from motorlytics.session import ensure_checkpoint_dir
 
 SERIAL = "equipment_serial_no"
 # history buckets: (date missing, date, id >> CHUNK_BITS). Monotone in the
@@ -137,7 +138,10 @@ def fit_encoders(df: DataFrame, columns: dict[str, str] | None = None) -> DataFr
     # one scan: each row contributes one (column, value) pair per category;
     # distinct() de-duplicates map-side before the shuffle
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), category_text(F.col(c)).alias("value")) for c in columns])
-    distinct = df.select(F.inline(pairs)).distinct()
+    # the distinct categories are stored once (one pass over the fact), so
+    # the range sampling and the numbering read that small table
+    ensure_checkpoint_dir(df.sparkSession)
+    distinct = df.select(F.inline(pairs)).distinct().checkpoint(eager=True)
     ranked = global_prefix(distinct, ["value"], "_pos", partition=["column"])
     return ranked.select("column", "value", (F.col("_pos") - 1).cast("int").alias("code"))
 
@@ -228,8 +232,6 @@ def engineer(df: DataFrame, encoders: DataFrame | None = None, fit: bool = True,
         # the fitted dictionary is an artifact: write it once to the shared
         # checkpoint folder so the four lookups read a small stored table
         # instead of re-planning the fit each time
-        from motorlytics.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
         encoders = fit_encoders(df).checkpoint(eager=True)
     out = (df.transform(parse_dates)
            .transform(add_motor_age, as_of_year)
