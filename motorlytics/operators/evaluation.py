@@ -3,8 +3,8 @@
 Input rows carry ``label`` (int), ``prediction`` (int) and ``prob``
 (array<double>, one entry per class). Metrics come from the confusion counts
 (at most classes^2 rows) and from per-(class, score) pos/neg counts, so nothing
-is collected per row. Ranking statistics (AUC, ROC) use score-bucketed prefix
-sums instead of a window over the whole table.
+is collected per row. Ranking statistics (AUC, ROC) use range-bucketed prefix
+sums (bounds sampled from the scores) instead of a window over the whole table.
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from motorlytics import schema as S
 from motorlytics.functions.expr import np_round
-from motorlytics.plans.ordering import bucketed_running
+from motorlytics.plans.ordering import global_prefix
 
 N_CLASSES = len(S.RISK_LABELS)
-SCORE_BUCKETS = 1024
 METRIC_DIGITS = 4
 
 
@@ -83,16 +82,14 @@ def score_counts(df: DataFrame) -> DataFrame:
         F.count(F.when(F.col("label") != F.col("cls"), 1)).alias("neg"))
 
 
-def _score_bucket(score, descending: bool):
-    b = F.least(F.greatest(F.floor(score * SCORE_BUCKETS), F.lit(0)), F.lit(SCORE_BUCKETS)).cast("int")
-    return (F.lit(SCORE_BUCKETS) - b) if descending else b
-
-
 def auc_per_class(df: DataFrame) -> DataFrame:
-    """One-vs-rest AUC per class (ties count one half), with positives."""
+    """One-vs-rest AUC per class (ties count one half), with positives.
+
+    Scores are pre-aggregated to (class, score) counts, then negatives are
+    prefix-summed in score order with range buckets sampled from the scores
+    themselves, so a crowded score range does not become one task."""
     sc = score_counts(df)
-    run = bucketed_running(sc, "cls", {"_sb": _score_bucket(F.col("score"), False)}, [F.col("score").asc()],
-                           sums={"neg_le": F.col("neg")})
+    run = global_prefix(sc, ["score"], partition=["cls"], sums={"neg_le": F.col("neg")})
     return run.groupBy("cls").agg(
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
         F.sum(F.col("pos") * (F.col("neg_le") - F.lit(0.5) * F.col("neg"))).alias("_area")
@@ -150,9 +147,9 @@ def classification_report(spark: SparkSession, df: DataFrame) -> DataFrame:
 def roc_curve_points(df: DataFrame) -> DataFrame:
     """Per class: (threshold, fpr, tpr) at every distinct score, highest first,
     plus the origin at threshold +inf."""
-    sc = score_counts(df)
-    run = bucketed_running(sc, "cls", {"_sb": _score_bucket(F.col("score"), True)}, [F.col("score").desc()],
-                           sums={"pos_ge": F.col("pos"), "neg_ge": F.col("neg")})
+    sc = score_counts(df).withColumn("_neg_score", -F.col("score"))
+    run = global_prefix(sc, ["_neg_score"], partition=["cls"],
+                        sums={"pos_ge": F.col("pos"), "neg_ge": F.col("neg")}).drop("_neg_score")
     totals = sc.groupBy("cls").agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     pts = run.join(totals, "cls").select(
         "cls", F.col("score").alias("threshold"),

@@ -131,9 +131,9 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def global_prefix(df: DataFrame, order: list[str], out: str, value: Column | None = None,
+def global_prefix(df: DataFrame, order: list[str], out: str | None = None, value: Column | None = None,
                   partition: list[str] | None = None, n_buckets: int = 64, seed: int = 42,
-                  small_input_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
+                  small_input_bytes: int = SMALL_INPUT_BYTES, sums: dict[str, Column] | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` (default 1) in ascending ``order``,
     restarting per ``partition`` group. Order keys should be unique within a
     group (ties are then ordered arbitrarily but consistently).
@@ -157,12 +157,18 @@ def global_prefix(df: DataFrame, order: list[str], out: str, value: Column | Non
         bucket = F.size(F.filter(bound_col, lambda b: b <= okey))
     else:
         bucket = F.lit(0)
-    d1 = df.withColumns({"_bk": bucket, "_val": value if value is not None else F.lit(1)})
+    sums = dict(sums or {})
+    if out is not None:
+        sums[out] = value if value is not None else F.lit(1)
+    names = list(sums)
+    d1 = df.withColumns({"_bk": bucket, **{f"_val{i}": sums[n] for i, n in enumerate(names)}})
     w_in = Window.partitionBy("_bk", *partition).orderBy(*keycols).rowsBetween(UNBOUNDED, Window.currentRow)
-    inner = d1.withColumn("_in", F.sum("_val").over(w_in))
-    totals = d1.groupBy("_bk", *partition).agg(F.sum("_val").alias("_tot"))
+    inner = d1.select("*", *[F.sum(f"_val{i}").over(w_in).alias(f"_in{i}") for i in range(len(names))])
+    totals = d1.groupBy("_bk", *partition).agg(*[F.sum(f"_val{i}").alias(f"_tot{i}") for i in range(len(names))])
     w_tot = (Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0)))
     w_tot = w_tot.orderBy("_bk").rowsBetween(UNBOUNDED, -1)
-    offsets = totals.select("_bk", *partition, F.coalesce(F.sum("_tot").over(w_tot), F.lit(0)).alias("_off"))
+    offsets = totals.select("_bk", *partition, *[F.coalesce(F.sum(f"_tot{i}").over(w_tot), F.lit(0)).alias(f"_off{i}")
+                                                 for i in range(len(names))])
     joined = inner.join(offsets, on=["_bk", *partition], how="left")
-    return joined.withColumn(out, F.col("_in") + F.col("_off")).drop("_bk", "_val", "_in", "_off")
+    helpers = ["_bk"] + [f"{p}{i}" for i in range(len(names)) for p in ("_val", "_in", "_off")]
+    return joined.withColumns({n: F.col(f"_in{i}") + F.col(f"_off{i}") for i, n in enumerate(names)}).drop(*helpers)
