@@ -1167,10 +1167,14 @@ def s08(spark, sf_dir):
     return spark.read.json(path)
 
 
-@register("s09_serving_snapshot")
+@register("s09_serving_snapshot", O.with_ctes(
+    f"SELECT installed_location, count(*) AS motors, {MEAN_HEALTH_SQL} AS avg_health "
+    "FROM latest GROUP BY installed_location", "latest"))
 def s09(spark, sf_dir):
+    """Tables loaded once and shared through temp views; a request is SQL."""
     snap = IO.ServingSnapshot(requisition(spark, sf_dir), engineered(spark, sf_dir), latest(spark, sf_dir))
-    return spark.sql(f"SELECT installed_location, count(*) AS motors, avg(health_score) AS avg_health "
+    return spark.sql(f"SELECT installed_location, count(*) AS motors, "
+                     f"rint(sum(rint(health_score * 10D)) / count(health_score)) / 10D AS avg_health "
                      f"FROM {snap.views()[2]} GROUP BY installed_location")
 
 
