@@ -82,34 +82,27 @@ def bucketed_running(df: DataFrame, key: str, buckets: dict[str, Column], order:
     return joined.withColumns(out).drop(*helper)
 
 
-def _bounds_literal(rows: list, key_type: T.StructType) -> Column:
-    structs = []
-    for r in rows:
-        fields = [F.lit(r[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(key_type.fields)]
-        structs.append(F.struct(*fields))
-    return F.array(*structs).cast(T.ArrayType(key_type))
-
-
-def _null_first_key(row):
-    return tuple((0,) if v is None else (1, v) for v in row)
+def _bound_literals(rows: list, key_type: T.StructType) -> list[Column]:
+    return [F.struct(*[F.lit(r[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(key_type.fields)])
+            for r in rows]
 
 
 def range_bounds(df: DataFrame, keycols: list[str], n_buckets: int, seed: int = 42) -> list:
-    """Up to ``n_buckets - 1`` split points for the struct of ``keycols``.
+    """Up to ``n_buckets - 1`` split points for the struct of ``keycols``,
+    ascending in Spark's own ordering.
 
     One job: the ``20 * n_buckets`` rows with the smallest hash of the key are
     a uniform sample without replacement (Spark takes a per-partition top-k
-    and merges, so at most that many rows reach the driver). Any bounds give
-    correct results — bucket offsets come from the real bucket totals — the
-    sample only balances the buckets.
+    and merges, so at most that many rows reach the driver); Spark then sorts
+    that sample by the key.
     """
     k = 20 * n_buckets
     okey = F.struct(*[F.col(c) for c in keycols])
     sample = (df.select(okey.alias("k"), F.xxhash64(*[F.col(c) for c in keycols], F.lit(seed)).alias("h"))
-              .orderBy("h").limit(k).collect())
+              .orderBy("h").limit(k).orderBy("k").collect())
     if len(sample) <= n_buckets:
         return []
-    ks = sorted((tuple(r["k"]) for r in sample), key=_null_first_key)
+    ks = [tuple(r["k"]) for r in sample]
     step = len(ks) / n_buckets
     bounds = []
     for i in range(1, n_buckets):
@@ -119,6 +112,17 @@ def range_bounds(df: DataFrame, keycols: list[str], n_buckets: int, seed: int =
     return bounds
 
 
+def bucket_expr(okey: Column, bounds: list[Column]) -> Column:
+    """Number of ``bounds`` (ascending) that are <= ``okey``, as a balanced
+    CASE tree: about log2(len(bounds)) code-generated comparisons per row."""
+    def rec(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(bounds[mid] <= okey, rec(mid + 1, hi)).otherwise(rec(lo, mid))
+    return rec(0, len(bounds))
+
+
 SMALL_INPUT_BYTES = 32 << 20
 
 
@@ -153,8 +157,7 @@ def global_prefix(df: DataFrame, order: list[str], out: str | None = None, value
     # sampling job); anything else is range-bucketed
     bounds = [] if (est is not None and est <= small_input_bytes) else range_bounds(df, keycols, n_buckets, seed)
     if bounds:
-        bound_col = _bounds_literal(bounds, key_type)
-        bucket = F.size(F.filter(bound_col, lambda b: b <= okey))
+        bucket = bucket_expr(okey, _bound_literals(bounds, key_type))
     else:
         bucket = F.lit(0)
     sums = dict(sums or {})

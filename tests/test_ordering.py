@@ -26,14 +26,15 @@ def test_bucketed_running_hot_key_matches_window(spark):
 
 def test_global_prefix_matches_row_number(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("x"), (F.col("id") % 3).alias("g"))
-    out = global_prefix(df, ["x"], "pos", partition=["g"], n_buckets=16)
+    out = global_prefix(df, ["x"], "pos", partition=["g"], n_buckets=16, small_input_bytes=0)
     ref = df.select("x", "g", F.row_number().over(Window.partitionBy("g").orderBy("x")).alias("pos"))
     assert sorted(tuple(r) for r in out.select("x", "g", "pos").collect()) == sorted(tuple(r) for r in ref.collect())
 
 
 def test_global_prefix_weighted(spark):
     df = spark.range(1, 301).select(F.col("id").alias("x"), F.col("id").alias("w"))
-    out = {r.x: r.c for r in global_prefix(df, ["x"], "c", value=F.col("w"), n_buckets=8).collect()}
+    out = {r.x: r.c for r in global_prefix(df, ["x"], "c", value=F.col("w"), n_buckets=8,
+                                           small_input_bytes=0).collect()}
     assert out[300] == 300 * 301 // 2 and out[10] == 55
 
 
@@ -45,3 +46,12 @@ def test_repartition_invariance(spark):
     a = add_repair_history(req.repartition(1)).select("requisition_id", "repair_count", "days_since_last_repair")
     b = add_repair_history(req.repartition(64)).select("requisition_id", "repair_count", "days_since_last_repair")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_global_prefix_string_keys_and_two_sums(spark):
+    df = spark.range(4000).select(F.format_string("K%05d", (F.col("id") * 7919) % 4000).alias("s"),
+                                  (F.col("id") % 2).alias("a"), F.lit(1).alias("b"))
+    out = global_prefix(df, ["s"], sums={"ca": F.col("a"), "cb": F.col("b")}, n_buckets=32, small_input_bytes=0)
+    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.select("s", F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"))
+    assert sorted(tuple(r) for r in out.select("s", "ca", "cb").collect()) == sorted(tuple(r) for r in ref.collect())
