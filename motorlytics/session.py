@@ -60,3 +60,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def cluster_settings(input_bytes: int, target_partition_bytes: int = 256 << 20,
+                     broadcast_bytes: int = 64 << 20) -> dict[str, str]:
+    """Settings sized from the input so that each task's partition fits in
+    executor memory. Meant for a cluster's spark-defaults; the library never
+    applies them over existing settings.
+
+    * file splits and shuffle partitions target ``target_partition_bytes``
+      (AQE coalesces small ones and splits skewed ones at run time);
+    * the initial shuffle partition count covers the whole input at that size
+      (e.g. 100 TB / 256 MB = 409,600), so the heaviest stage — the fact
+      shuffle of the motor-history window — does not spill at 1000 executors;
+    * broadcasting is decided by measured runtime size, never by hint, for
+      any data-sized table.
+    """
+    parts = max(200, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(broadcast_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(broadcast_bytes),
+    }
