@@ -201,6 +201,24 @@ def department_risk_summary(df: DataFrame, health_col: str = "health_score", cla
                  F.count(SERIAL).alias("motor_count")))
 
 
+# D13 (fleet summary record over scored motors) -----------------------------
+def fleet_summary_record(spark: SparkSession, s: DataFrame) -> DataFrame:
+    """Total, mean health (1 dp), zero-filled distribution and top five as one row."""
+    totals = s.agg(F.count(F.lit(1)).alias("total_motors"),
+                   mean_of_decimals(F.col("health_score"), 1).alias("avg_health_score"))
+    dist = risk_distribution(spark, s).agg(
+        F.map_from_entries(F.collect_list(F.struct("risk_label", "motor_count"))).alias("risk_distribution"))
+    top = top_at_risk(s, 5).agg(F.collect_list(F.struct(
+        F.col("risk_class"), F.col("equipment_serial_no").alias("serial_no"), F.col("equipment_type_text").alias("type"),
+        F.col("installed_location").alias("location"), "health_score", F.col("predicted_risk").alias("risk"))).alias("_top"))
+    top = top.select(F.transform(F.array_sort("_top", lambda a, b: F.when(a["risk_class"] > b["risk_class"], -1)
+                                              .when(a["risk_class"] < b["risk_class"], 1)
+                                              .when(a["serial_no"] < b["serial_no"], -1)
+                                              .when(a["serial_no"] > b["serial_no"], 1).otherwise(0)),
+                                 lambda x: x.dropFields("risk_class")).alias("top_at_risk"))
+    return totals.crossJoin(dist).crossJoin(top)  # each side is one row
+
+
 # C14 -----------------------------------------------------------------------
 def motor_report(latest: DataFrame, predictions: DataFrame) -> DataFrame:
     """Motor attributes with display defaults, next to the prediction record."""
