@@ -570,7 +570,7 @@ FROM scored
 
 @register("d04_equipment_registry", O.with_ctes("SELECT * FROM registry", "registry"))
 def d04(spark, sf_dir):
-    return DB.equipment_registry(scored(spark, sf_dir), DB.motor_list(requisition(spark, sf_dir)))
+    return DB.equipment_registry(scored(spark, sf_dir), DB.motor_list(engineered(spark, sf_dir)))
 
 
 @register("d05_allotment_flag", O.with_ctes("SELECT equipment_serial_no, allotment FROM registry", "registry"))
@@ -585,7 +585,7 @@ SEARCH_QUERY = "Nation_1"
     "SELECT * FROM registry WHERE " + " OR ".join(
         f"coalesce(contains(lower({c}), lower('{SEARCH_QUERY}')), false)" for c in DB.SEARCH_COLUMNS), "registry"))
 def d06(spark, sf_dir):
-    reg = DB.equipment_registry(scored(spark, sf_dir), DB.motor_list(requisition(spark, sf_dir)))
+    reg = DB.equipment_registry(scored(spark, sf_dir), DB.motor_list(engineered(spark, sf_dir)))
     return DB.registry_search(reg, SEARCH_QUERY)
 
 
