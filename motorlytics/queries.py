@@ -1,1194 +1,3 @@
-"""Registered queries: one per operator ID, each a Spark builder
-``(spark, sf_dir) -> DataFrame`` with (where SQL can say it) an oracle twin.
+"""The query registry (see ``motorlytics.registry``)."""
 
-Builders read the driver tables through ``sources.fixtures`` and run over
-whole tables. Output columns carry explicit names and types so the oracle's
-result schema is the same.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from motorlytics import oracle as O
-from motorlytics import schema as S
-from motorlytics.operators import features as FE
-from motorlytics.operators import scoring as SC
-from motorlytics.sources import fixtures as FX
-
-Builder = Callable[[SparkSession, str], DataFrame]
-REGISTRY: dict[str, Builder] = {}
-ORACLE: dict[str, str] = {}
-
-AS_OF = "2026-06-30"  # scoring date used by the registered queries (replaces now())
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn: Builder) -> Builder:
-        REGISTRY[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
-
-# ---------------------------------------------------------------------------
-# shared Spark inputs
-# ---------------------------------------------------------------------------
-def requisition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FX.requisitions(spark, sf_dir)
-
-
-_STAGES: dict = {}
-
-
-def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The engineered table as a stage output: computed once per session and
-    data folder, written as Parquet under the shared checkpoint folder, and
-    read back by every downstream query (scoring, dashboards, profiling and
-    training read the stored feature table, as the application does)."""
-    key = (id(spark), sf_dir, "engineered")
-    if key not in _STAGES:
-        from motorlytics.sources.io import shared_path
-        out, _ = FE.engineer(requisition(spark, sf_dir))
-        path = shared_path(spark, "engineered-stage")
-        out.write.mode("overwrite").parquet(path)
-        _STAGES[key] = path
-    return spark.read.parquet(_STAGES[key])
-
-
-def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SC.latest_records(engineered(spark, sf_dir).drop("updated_at"))
-
-
-# exact mean of 1-decimal scores, rounded half-even to 1 decimal
-MEAN_HEALTH_SQL = "round_even(sum(round_even(health_score * 10e0, 0)) / count(health_score), 0) / 10e0"
-
-ENGINEERED_COLS = [  # engineered table minus the timestamp column
-    "requisition_id", "equipment_serial_no", "motor_manufacturing_year", "installed_location", "make",
-    "equipment_type_text", "main_equipment_name", "kw", "rpm", "voltage", "current", "duty_cycle",
-    "application_use", "model", "frame", "status", "reason_of_failure_text", "service_type_text",
-    "previous_refurbishment_job_no", "received_date", "motor_age_years", "repair_count",
-    "days_since_last_repair", "previous_refurb_count", *S.TRACKED_FAILURES.values(),
-    "dept_failure_rate", "make_failure_rate", *S.CATEGORICAL_COLUMNS.values(),
-    "health_score", "risk_category", "risk_label",
-]
-
-# ---------------------------------------------------------------------------
-# F — features
-# ---------------------------------------------------------------------------
-
-
-@register("f01_motor_age", O.with_ctes(
-    "SELECT requisition_id, motor_manufacturing_year, "
-    f"CAST({S.DEFAULT_AS_OF_YEAR} - motor_manufacturing_year AS INTEGER) AS motor_age_years FROM requisition",
-    "requisition"))
-def f01(spark, sf_dir):
-    return (requisition(spark, sf_dir).transform(FE.add_motor_age)
-            .select("requisition_id", "motor_manufacturing_year", "motor_age_years"))
-
-
-@register("f02_parse_dates", O.with_ctes(
-    "SELECT requisition_id, CAST(received_date - DATE '1970-01-01' AS INTEGER) AS received_day, "
-    "strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM requisition",
-    "requisition"))
-def f02(spark, sf_dir):
-    text = requisition(spark, sf_dir).select(
-        "requisition_id",
-        F.date_format("received_date", "yyyy-MM-dd").alias("received_date"),
-        F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
-    parsed = FE.parse_dates(text)
-    # parsed values rendered back as text: independent of the session time zone
-    return parsed.select("requisition_id", F.unix_date("received_date").alias("received_day"),
-                         F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
-
-
-def _history_query(col: str) -> Builder:
-    def build(spark, sf_dir):
-        return (requisition(spark, sf_dir).transform(FE.add_repair_history)
-                .select("requisition_id", "equipment_serial_no", col))
-    return build
-
-
-for _name, _col in [("f03_repair_count", "repair_count"),
-                    ("f04_days_since_last_repair", "days_since_last_repair"),
-                    ("f05_previous_refurb_count", "previous_refurb_count"),
-                    ("f06a_bearing_failure_count", "bearing_failure_count"),
-                    ("f06b_winding_failure_count", "winding_failure_count"),
-                    ("f06c_rotor_failure_count", "rotor_failure_count"),
-                    ("f06d_insulation_failure_count", "insulation_failure_count")]:
-    register(_name, O.with_ctes(f"SELECT requisition_id, equipment_serial_no, {_col} FROM history", "history"))(
-        _history_query(_col))
-
-
-@register("f05_previous_refurb_count_compat", O.with_ctes(
-    f"SELECT requisition_id, equipment_serial_no, CAST(row_number() OVER ({O._W}) AS BIGINT) AS previous_refurb_count "
-    "FROM requisition", "requisition"))
-def f05_compat(spark, sf_dir):
-    return (requisition(spark, sf_dir).transform(FE.add_repair_history, True)
-            .select("requisition_id", "equipment_serial_no", "previous_refurb_count"))
-
-
-@register("f07_dept_failure_rate", O.with_ctes(
-    "SELECT r.requisition_id, r.installed_location, d.dept_failure_rate FROM requisition r "
-    "LEFT JOIN dept_rate d ON r.installed_location = d.installed_location", "requisition", "dept_rate"))
-def f07(spark, sf_dir):
-    return (requisition(spark, sf_dir).transform(FE.add_department_failure_rate)
-            .select("requisition_id", "installed_location", "dept_failure_rate"))
-
-
-@register("f08_make_failure_rate", O.with_ctes(
-    "SELECT r.requisition_id, r.make, m.make_failure_rate FROM requisition r "
-    "LEFT JOIN make_rate m ON r.make = m.make", "requisition", "make_rate"))
-def f08(spark, sf_dir):
-    return (requisition(spark, sf_dir).transform(FE.add_make_failure_rate)
-            .select("requisition_id", "make", "make_failure_rate"))
-
-
-@register("f09_encoder_fit", O.with_ctes('SELECT "column", value, code FROM encoders', "encoders"))
-def f09(spark, sf_dir):
-    return FE.fit_encoders(requisition(spark, sf_dir))
-
-
-def _apply_sql() -> str:
-    # encoders fitted on the requisitions received before 1996, applied to all
-    fit = " UNION ".join(
-        f"SELECT {O._q(c)} AS \"column\", coalesce(CAST({c} AS VARCHAR), 'nan') AS value FROM requisition "
-        f"WHERE received_date < DATE '1996-01-01'" for c in S.CATEGORICAL_COLUMNS)
-    enc = (f"SELECT \"column\", value, CAST(dense_rank() OVER (PARTITION BY \"column\" ORDER BY value) - 1 AS INTEGER) "
-           f"AS code FROM ({fit}) d")
-    joins, cols = [], []
-    for i, (src, dst) in enumerate(S.CATEGORICAL_COLUMNS.items()):
-        joins.append(f"LEFT JOIN early_enc e{i} ON e{i}.\"column\" = {O._q(src)} "
-                     f"AND e{i}.value = coalesce(CAST(r.{src} AS VARCHAR), 'nan')")
-        cols.append(f"CAST(coalesce(e{i}.code, -1) AS INTEGER) AS {dst}")
-    body = f"SELECT r.requisition_id, {', '.join(cols)} FROM requisition r " + " ".join(joins)
-    return "WITH requisition AS (" + O.REQUISITION + f"), early_enc AS ({enc})\n" + body
-
-
-@register("f10_encoder_apply", _apply_sql())
-def f10(spark, sf_dir):
-    req = requisition(spark, sf_dir)
-    enc = FE.fit_encoders(req.where(F.col("received_date") < F.lit("1996-01-01").cast("date")))
-    return FE.apply_encoders(req, enc).select("requisition_id", *S.CATEGORICAL_COLUMNS.values())
-
-
-def iso_dates(df: DataFrame) -> DataFrame:
-    """Dates as ``yyyy-MM-dd`` text, the way the application stores them."""
-    return df.withColumns({f.name: F.date_format(f.name, "yyyy-MM-dd")
-                           for f in df.schema.fields if f.dataType.simpleString() == "date"})
-
-
-ISO_DATE_SQL = "strftime(received_date, '%Y-%m-%d') AS received_date"
-
-
-def _engineered_select(cols: list[str]) -> Builder:
-    """Columns of the engineered table (the pipeline's stored stage output)."""
-    def build(spark, sf_dir):
-        return iso_dates(engineered(spark, sf_dir).select(*cols))
-    return build
-
-
-@register("f11_risk_components", O.with_ctes(
-    "SELECT requisition_id, age_score, repair_freq_score, recency_score, kw_score, failure_history_score FROM risk",
-    "risk"))
-def f11(spark, sf_dir):
-    return engineered(spark, sf_dir).transform(FE.add_risk_components).select(
-        "requisition_id", "age_score", "repair_freq_score", "recency_score", "kw_score", "failure_history_score")
-
-
-@register("f12_risk_score", O.with_ctes("SELECT requisition_id, risk_score FROM risk", "risk"))
-def f12(spark, sf_dir):
-    eng = engineered(spark, sf_dir).drop("health_score", "risk_category", "risk_label")
-    return FE.add_risk_target(eng, keep_components=True).select("requisition_id", "risk_score")
-
-
-@register("f13_score_noise")
-def f13(spark, sf_dir):
-    eng, _ = FE.engineer(requisition(spark, sf_dir), noise_sd=0.05, seed=42)
-    return eng.select("requisition_id", "health_score", "risk_category")
-
-
-register("f14_health_score", O.with_ctes("SELECT requisition_id, health_score FROM features", "features"))(
-    _engineered_select(["requisition_id", "health_score"]))
-register("f15_risk_category", O.with_ctes("SELECT requisition_id, risk_category FROM features", "features"))(
-    _engineered_select(["requisition_id", "risk_category"]))
-register("f16_risk_label", O.with_ctes("SELECT requisition_id, risk_label FROM features", "features"))(
-    _engineered_select(["requisition_id", "risk_label"]))
-register("f17_feature_projection", O.with_ctes(
-    "SELECT requisition_id, " + ", ".join(S.FEATURE_COLUMNS) + " FROM features", "features"))(
-    _engineered_select(["requisition_id", *S.FEATURE_COLUMNS]))
-register("f18_feature_pipeline", O.with_ctes(
-    "SELECT * REPLACE (" + ISO_DATE_SQL + ") FROM (SELECT " + ", ".join(ENGINEERED_COLS) + " FROM features)",
-    "features"))(
-    _engineered_select(ENGINEERED_COLS))
-
-
-# ---------------------------------------------------------------------------
-# C1 and the flagship slice
-# ---------------------------------------------------------------------------
-LATEST_COLS = [c for c in ENGINEERED_COLS if c != "equipment_serial_no"]
-
-
-def _latest_sql() -> str:
-    okey = "(CASE WHEN received_date IS NULL THEN 1 ELSE 0 END, received_date, requisition_id)"
-    aggs = ",\n  ".join(f"arg_max({c}, {okey}) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in LATEST_COLS)
-    return (f"SELECT equipment_serial_no,\n  {aggs}\nFROM features WHERE equipment_serial_no IS NOT NULL "
-            f"GROUP BY equipment_serial_no")
-
-
-O.add_cte("latest", _latest_sql())
-
-
-@register("c01_latest_records", O.with_ctes(f"SELECT * REPLACE ({ISO_DATE_SQL}) FROM latest", "latest"))
-def c01(spark, sf_dir):
-    return iso_dates(latest(spark, sf_dir))
-
-
-@register("c13_department_risk_rule", O.with_ctes(
-    f"SELECT installed_location, {MEAN_HEALTH_SQL} AS avg_health, "
-    f"{O.np_round_sql('avg(risk_category)', 1)} AS avg_risk, count(equipment_serial_no) AS motor_count "
-    "FROM latest WHERE installed_location IS NOT NULL GROUP BY installed_location", "latest"))
-def c13_rule(spark, sf_dir):
-    return SC.department_risk_summary(latest(spark, sf_dir), "health_score", "risk_category")
-
-
-# ---------------------------------------------------------------------------
-# P — profiling
-# ---------------------------------------------------------------------------
-from motorlytics.operators import dashboards as DB  # noqa: E402
-from motorlytics.operators import profile as PR  # noqa: E402
-
-
-@register("p01_dataset_summary", O.with_ctes(
-    "SELECT count(*) AS total_records, count(DISTINCT equipment_serial_no) AS unique_motors, "
-    "strftime(min(received_date), '%Y-%m-%d') AS first_received, strftime(max(received_date), '%Y-%m-%d') AS last_received, "
-    "count(DISTINCT installed_location) AS departments, count(DISTINCT equipment_type_text) AS equipment_types, "
-    "count(DISTINCT make) AS makers FROM requisition", "requisition"))
-def p01(spark, sf_dir):
-    return PR.dataset_summary(requisition(spark, sf_dir))
-
-
-def _dist_sql(col: str) -> str:
-    return O.with_ctes(
-        f"SELECT {col}, count(*) AS count, count(*) / (SELECT count(*) FROM requisition) * 100e0 AS pct "
-        f"FROM requisition WHERE {col} IS NOT NULL GROUP BY {col}", "requisition")
-
-
-for _name, _col in [("p02_failure_reason_distribution", "reason_of_failure_text"),
-                    ("p03_department_distribution", "installed_location"),
-                    ("p04_status_distribution", "status")]:
-    register(_name, _dist_sql(_col))(
-        (lambda c: (lambda spark, sf_dir: PR.distribution(requisition(spark, sf_dir), c)))(_col))
-
-
-def _feature_summary_sql(digits: int) -> str:
-    parts = []
-    for i, c in enumerate(S.FEATURE_COLUMNS):
-        x = f"CAST({c} AS DOUBLE)"
-        parts.append(
-            f"SELECT {i} AS feature_order, '{c}' AS feature, {O.np_round_sql(f'avg({x})', digits)} AS mean, "
-            f"{O.np_round_sql(f'stddev_samp({x})', digits)} AS std, {O.np_round_sql(f'min({x})', digits)} AS min, "
-            f"{O.np_round_sql(f'max({x})', digits)} AS max FROM features")
-    return O.with_ctes(" UNION ALL ".join(parts), "features")
-
-
-@register("p05_feature_summary", _feature_summary_sql(4))
-def p05(spark, sf_dir):
-    return PR.feature_summary(engineered(spark, sf_dir), digits=4)
-
-
-def _label_values_sql() -> str:
-    return "(VALUES " + ", ".join(f"({k}, {O._q(v)})" for k, v in sorted(S.RISK_LABELS.items())) + ") d(risk_class, risk_label)"
-
-
-@register("p06_target_distribution", O.with_ctes(
-    "SELECT d.risk_class, d.risk_label, CAST(coalesce(c.n, 0) AS BIGINT) AS count, "
-    "coalesce(c.n, 0) / (SELECT count(*) FROM features) * 100e0 AS pct "
-    f"FROM {_label_values_sql()} LEFT JOIN (SELECT risk_category, count(*) AS n FROM features "
-    "WHERE risk_category IS NOT NULL GROUP BY risk_category) c ON c.risk_category = d.risk_class", "features"))
-def p06(spark, sf_dir):
-    return PR.target_distribution(spark, engineered(spark, sf_dir))
-
-
-@register("p07_health_statistics", O.with_ctes(
-    f"SELECT {O.np_round_sql('avg(health_score)', 4)} AS mean, {O.np_round_sql('median(health_score)', 4)} AS median, "
-    f"{O.np_round_sql('stddev_samp(health_score)', 4)} AS std, {O.np_round_sql('min(health_score)', 4)} AS min, "
-    f"{O.np_round_sql('max(health_score)', 4)} AS max FROM features", "features"))
-def p07(spark, sf_dir):
-    return PR.health_statistics(engineered(spark, sf_dir), digits=4)
-
-
-# ---------------------------------------------------------------------------
-# Scored fleet (fixture probabilities stand in for a fitted model)
-# ---------------------------------------------------------------------------
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest record per motor with class probabilities, label and model health."""
-    return SC.batch_scores(FX.with_fixture_scores(latest(spark, sf_dir)))
-
-
-O.add_cte("scored_w", """
-SELECT l.*, 1e0 + (ck * 31) % 97 AS w0, 1e0 + (ck * 37) % 97 AS w1, 1e0 + (ck * 41) % 97 AS w2, 1e0 + (ck * 43) % 97 AS w3
-FROM (SELECT *, CAST(substring(equipment_serial_no, 3) AS BIGINT) AS ck FROM latest) l
-""")
-_LABEL_CASE = "CASE risk_class " + " ".join(f"WHEN {k} THEN {O._q(v)}" for k, v in sorted(S.RISK_LABELS.items())) + " END"
-_HEALTH_SQL = O.clip_sql(O.np_round_sql(
-    f"(1e0 - p_high * {S.HEALTH_WEIGHT_HIGH}e0 - p_critical * {S.HEALTH_WEIGHT_CRITICAL}e0) * 100e0", 1),
-    f"{S.HEALTH_MIN}e0", f"{S.HEALTH_MAX}e0")
-O.add_cte("scored", f"""
-SELECT * EXCLUDE (w0, w1, w2, w3, ck, health_score), {_LABEL_CASE} AS predicted_risk, {_HEALTH_SQL} AS health_score
-FROM (SELECT *, w0 / (w0 + w1 + w2 + w3) AS p_low, w1 / (w0 + w1 + w2 + w3) AS p_medium,
-        w2 / (w0 + w1 + w2 + w3) AS p_high, w3 / (w0 + w1 + w2 + w3) AS p_critical,
-        CAST(CASE WHEN w0 >= w1 AND w0 >= w2 AND w0 >= w3 THEN 0 WHEN w1 >= w2 AND w1 >= w3 THEN 1
-                  WHEN w2 >= w3 THEN 2 ELSE 3 END AS INTEGER) AS risk_class
-      FROM scored_w)
-""")
-
-
-def _components_select_sql() -> str:
-    ps = ["p_low", "p_medium", "p_high", "p_critical"]
-    raw = []
-    for name, (wm, wh, wc), (lo, hi) in S.COMPONENTS:
-        terms = [f"{ps[k]} * {w!r}e0" if "e" not in repr(w) else f"{ps[k]} * {w!r}"
-                 for k, w in ((1, wm), (2, wh), (3, wc)) if w]
-        mid = (lo + hi) / 2.0
-        raw.append((SC.COMPONENT_COLUMNS[name], O.np_round_sql(f"({terms[0]} + {terms[1]}) * {mid!r}", 3)))
-    total = " + ".join(f"r_{c}" for c, _ in raw)
-    inner = ", ".join(f"{e} AS r_{c}" for c, e in raw)
-    outer = ", ".join(
-        f"CASE WHEN ({total}) > 0 THEN {O.np_round_sql(f'r_{c} / ({total})', 3)} ELSE r_{c} END AS {c}" for c, _ in raw)
-    return f"SELECT * EXCLUDE ({', '.join('r_' + c for c, _ in raw)}), {outer} FROM (SELECT *, {inner} FROM scored)"
-
-
-O.add_cte("scored_components", _components_select_sql())
-COMP_COLS = list(SC.COMPONENT_COLUMNS.values())
-
-# ---------------------------------------------------------------------------
-# C — scoring
-# ---------------------------------------------------------------------------
-
-
-@register("c02_motor_sample")
-def c02(spark, sf_dir):
-    lt = latest(spark, sf_dir)
-    return (lt.orderBy(F.xxhash64(F.col("equipment_serial_no"), F.lit(123))).limit(8)
-            .select("equipment_serial_no", "installed_location", "risk_label"))
-
-
-@register("c03_model_health", O.with_ctes("SELECT equipment_serial_no, health_score FROM scored", "scored"))
-def c03(spark, sf_dir):
-    return scored(spark, sf_dir).select("equipment_serial_no", "health_score")
-
-
-@register("c04_component_probabilities", O.with_ctes(
-    f"SELECT equipment_serial_no, {', '.join(COMP_COLS)} FROM scored_components", "scored_components"))
-def c04(spark, sf_dir):
-    return (scored(spark, sf_dir).transform(SC.add_component_probabilities)
-            .select("equipment_serial_no", *COMP_COLS))
-
-
-_DAYS_CASE = "CASE risk_class " + " ".join(f"WHEN {k} THEN {v}" for k, v in sorted(S.INSPECTION_DAYS.items())) + " END"
-
-
-@register("c05_inspection_date", O.with_ctes(
-    f"SELECT equipment_serial_no, risk_class, strftime(DATE '{AS_OF}' + CAST({_DAYS_CASE} AS INTEGER), '%Y-%m-%d') "
-    "AS suggested_inspection_date FROM scored", "scored"))
-def c05(spark, sf_dir):
-    return (scored(spark, sf_dir).transform(SC.add_inspection_date, AS_OF)
-            .select("equipment_serial_no", "risk_class", "suggested_inspection_date"))
-
-
-_ACTION_CASE = "CASE risk_class " + " ".join(
-    f"WHEN {k} THEN {O._q(v)}" for k, v in sorted(S.RECOMMENDED_ACTIONS.items())) + " END"
-
-
-@register("c06_recommended_action", O.with_ctes(
-    f"SELECT equipment_serial_no, risk_class, {_ACTION_CASE} AS recommended_action FROM scored", "scored"))
-def c06(spark, sf_dir):
-    return (scored(spark, sf_dir).transform(SC.add_recommended_action)
-            .select("equipment_serial_no", "risk_class", "recommended_action"))
-
-
-@register("c07_prediction_record")
-def c07(spark, sf_dir):
-    return SC.prediction_record(scored(spark, sf_dir).drop("health_score"), AS_OF)
-
-
-@register("c04_component_probabilities_seeded")
-def c04_seeded(spark, sf_dir):
-    """Jitter drawn per motor from a hash of its serial (stable across reruns)."""
-    return (scored(spark, sf_dir).transform(SC.add_component_probabilities, "seeded", 123)
-            .select("equipment_serial_no", *COMP_COLS))
-
-
-def _ranking_sql() -> str:
-    parts = " UNION ALL ".join(
-        f"SELECT equipment_serial_no, {i} AS pos, {O._q(name)} AS component, {c} AS probability FROM scored_components"
-        for i, (name, c) in enumerate(SC.COMPONENT_COLUMNS.items()))
-    return O.with_ctes(
-        "SELECT equipment_serial_no, CAST(row_number() OVER (PARTITION BY equipment_serial_no ORDER BY probability DESC, pos) "
-        f"AS INTEGER) AS component_rank, component, probability FROM ({parts})", "scored_components")
-
-
-@register("c08_component_ranking", _ranking_sql())
-def c08(spark, sf_dir):
-    return scored(spark, sf_dir).transform(SC.add_component_probabilities).transform(SC.component_ranking)
-
-
-@register("c10_fleet_totals", O.with_ctes(
-    f"SELECT count(*) AS total_motors, {MEAN_HEALTH_SQL} AS avg_health_score, "
-    "round_even(median(round_even(health_score * 10e0, 0)), 0) / 10e0 AS median_health_score FROM scored", "scored"))
-def c10(spark, sf_dir):
-    return SC.fleet_totals(scored(spark, sf_dir))
-
-
-@register("c11_risk_distribution", O.with_ctes(
-    "SELECT d.risk_label, d.risk_class, CAST(coalesce(c.n, 0) AS BIGINT) AS motor_count, "
-    "coalesce(c.n, 0) * 100e0 / (SELECT count(*) FROM scored) AS pct "
-    f"FROM {_label_values_sql()} LEFT JOIN (SELECT predicted_risk, count(*) AS n FROM scored "
-    "WHERE predicted_risk IS NOT NULL GROUP BY predicted_risk) c ON c.predicted_risk = d.risk_label", "scored"))
-def c11(spark, sf_dir):
-    return SC.risk_distribution(spark, scored(spark, sf_dir))
-
-
-_TOP_COLS = ["equipment_serial_no", "equipment_type_text", "installed_location", "kw", "motor_age_years",
-             "risk_class", "predicted_risk", "health_score"]
-
-
-@register("c12_top_at_risk", O.with_ctes(
-    f"SELECT {', '.join(_TOP_COLS)} FROM scored ORDER BY risk_class DESC, equipment_serial_no LIMIT 10", "scored"))
-def c12(spark, sf_dir):
-    return SC.top_at_risk(scored(spark, sf_dir), 10).select(*_TOP_COLS)
-
-
-@register("c13_department_risk_summary", O.with_ctes(
-    f"SELECT installed_location, {MEAN_HEALTH_SQL} AS avg_health, "
-    f"{O.np_round_sql('avg(risk_class)', 1)} AS avg_risk, count(equipment_serial_no) AS motor_count "
-    "FROM scored WHERE installed_location IS NOT NULL GROUP BY installed_location", "scored"))
-def c13(spark, sf_dir):
-    return SC.department_risk_summary(scored(spark, sf_dir))
-
-
-@register("c14_motor_report")
-def c14(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    return SC.motor_report(s, SC.prediction_record(s.drop("health_score"), AS_OF))
-
-
-# ---------------------------------------------------------------------------
-# D — dashboards and registry
-# ---------------------------------------------------------------------------
-
-
-@register("d01_motor_list", O.with_ctes(
-    "SELECT DISTINCT equipment_serial_no FROM requisition WHERE equipment_serial_no IS NOT NULL", "requisition"))
-def d01(spark, sf_dir):
-    return DB.motor_list(requisition(spark, sf_dir))
-
-
-def lookup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One lookup per customer; every tenth asks for a serial that does not exist."""
-    from motorlytics.sources.tables import read_table
-    ck = F.col("c_custkey")
-    prefix = F.when(ck % 10 == 0, F.lit("ZZ")).otherwise(F.lit("EQ"))
-    return read_table(spark, sf_dir, "customer", ["c_custkey"]).select(
-        F.concat(prefix, F.lpad(ck.cast("string"), 7, "0")).alias("serial_no"))
-
-
-@register("d02_motor_lookup", O.with_ctes(
-    "SELECT r.serial_no, l.equipment_serial_no IS NOT NULL AS found, "
-    "CASE WHEN l.equipment_serial_no IS NULL THEN 'Motor ' || r.serial_no || ' not found' END AS error, "
-    "l.equipment_type_text, l.make, l.installed_location, l.kw FROM "
-    "(SELECT (CASE WHEN c_custkey % 10 = 0 THEN 'ZZ' ELSE 'EQ' END) || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS serial_no "
-    "FROM customer) r LEFT JOIN latest l ON r.serial_no = l.equipment_serial_no", "latest"))
-def d02(spark, sf_dir):
-    return DB.motor_lookup(lookup_requests(spark, sf_dir), latest(spark, sf_dir))
-
-
-@register("d02_missing_motors", O.with_ctes(
-    "SELECT serial_no FROM (SELECT (CASE WHEN c_custkey % 10 = 0 THEN 'ZZ' ELSE 'EQ' END) || "
-    "lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS serial_no FROM customer) r "
-    "WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.equipment_serial_no = r.serial_no)", "latest"))
-def d02_missing(spark, sf_dir):
-    return DB.missing_motors(lookup_requests(spark, sf_dir), latest(spark, sf_dir))
-
-
-O.add_cte("inspection_items", f"""
-SELECT o_orderkey AS item_id, 'EQ' || lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS serial_no,
-       {O.pick_sql(FX.CHECKLIST_CODES, 'o_orderkey')} AS code FROM orders
-""")
-
-
-def _in_sql(codes) -> str:
-    return "(" + ", ".join(O._q(c) for c in codes) + ")"
-
-
-_D3_COLS = ["bearing_failure_count", "winding_failure_count", "rotor_failure_count", "insulation_failure_count",
-            "repair_count", "previous_refurb_count", "days_since_last_repair"]
-
-
-@register("d03_checklist_adjust", O.with_ctes(f"""
-SELECT c.serial_no, l.equipment_serial_no IS NOT NULL AS found,
-  l.bearing_failure_count + c.add_bearing AS bearing_failure_count,
-  l.winding_failure_count + c.add_winding AS winding_failure_count,
-  l.rotor_failure_count + c.add_rotor AS rotor_failure_count,
-  l.insulation_failure_count + c.add_insulation AS insulation_failure_count,
-  CAST(l.repair_count + c.add_general AS INTEGER) AS repair_count,
-  l.previous_refurb_count + c.add_general AS previous_refurb_count,
-  CAST(CASE WHEN c.add_general > 0 THEN least(l.days_since_last_repair, {S.CHECKLIST_GAP_CAP_DAYS})
-       ELSE l.days_since_last_repair END AS INTEGER) AS days_since_last_repair
-FROM (SELECT serial_no,
-        count(*) FILTER (WHERE code IN {_in_sql(S.CHECKLIST_BEARING)}) AS add_bearing,
-        count(*) FILTER (WHERE code IN {_in_sql(S.CHECKLIST_WINDING)}) AS add_winding,
-        count(*) FILTER (WHERE code IN {_in_sql(S.CHECKLIST_ROTOR)}) AS add_rotor,
-        count(*) FILTER (WHERE code IN {_in_sql(S.CHECKLIST_INSULATION)}) AS add_insulation,
-        count(*) FILTER (WHERE code IN {_in_sql(S.CHECKLIST_GENERAL)}) AS add_general
-      FROM inspection_items GROUP BY serial_no) c
-LEFT JOIN latest l ON c.serial_no = l.equipment_serial_no""", "inspection_items", "latest"))
-def d03(spark, sf_dir):
-    counts = DB.checklist_counts(FX.inspection_items(spark, sf_dir))
-    return DB.apply_checklist(latest(spark, sf_dir), counts).select("serial_no", "found", *_D3_COLS)
-
-
-_REGISTRY_COLS = ["equipment_id", "allotment", "main_equipment_name", "equipment_serial_no", "motor_manufacturing_year",
-                  "make", "model", "kw", "frame", "rpm", "voltage", "installed_location", "status", "health_score",
-                  "predicted_risk"]
-O.add_cte("registry", """
-SELECT requisition_id AS equipment_id,
-  CASE WHEN (row_number() OVER (ORDER BY equipment_serial_no) - 1) % 3 = 0 THEN 'dr' ELSE '' END AS allotment,
-  coalesce(equipment_type_text, 'N/A') AS main_equipment_name, equipment_serial_no,
-  coalesce(motor_manufacturing_year, 2020) AS motor_manufacturing_year, coalesce(make, 'N/A') AS make,
-  coalesce(model, 'N/A') AS model, coalesce(kw, 0e0) AS kw, coalesce(frame, 'N/A') AS frame, coalesce(rpm, 0) AS rpm,
-  coalesce(voltage, 0) AS voltage, coalesce(installed_location, 'N/A') AS installed_location,
-  coalesce(status, 'N/A') AS status, health_score, predicted_risk
-FROM scored
-""")
-
-
-@register("d04_equipment_registry", O.with_ctes("SELECT * FROM registry", "registry"))
-def d04(spark, sf_dir):
-    return DB.equipment_registry(scored(spark, sf_dir), DB.motor_list(engineered(spark, sf_dir)))
-
-
-@register("d05_allotment_flag", O.with_ctes("SELECT equipment_serial_no, allotment FROM registry", "registry"))
-def d05(spark, sf_dir):
-    return DB.with_allotment(DB.motor_list(requisition(spark, sf_dir)))
-
-
-SEARCH_QUERY = "Nation_1"
-
-
-@register("d06_registry_search", O.with_ctes(
-    "SELECT * FROM registry WHERE " + " OR ".join(
-        f"coalesce(contains(lower({c}), lower('{SEARCH_QUERY}')), false)" for c in DB.SEARCH_COLUMNS), "registry"))
-def d06(spark, sf_dir):
-    reg = DB.equipment_registry(scored(spark, sf_dir), DB.motor_list(engineered(spark, sf_dir)))
-    return DB.registry_search(reg, SEARCH_QUERY)
-
-
-def _cnt(cond: str) -> str:
-    return f"count(*) FILTER (WHERE {cond})"
-
-
-_WORK_UP_SQL = _in_sql(S.STATUS_WORK_UP)
-
-
-@register("d07_queue_status", O.with_ctes(f"""
-SELECT yet + work AS ers_pending, usr AS user_pending, yet AS yet_to_start, work AS work_up, closed AS repaired_closed,
-       yet + work AS lt_received, usr + closed AS lt_repaired
-FROM (SELECT {_cnt("status = 'RECEIVED'")} AS yet, {_cnt(f"status IN {_WORK_UP_SQL}")} AS work,
-             {_cnt("status = 'DISPATCHED'")} AS usr, {_cnt("status = 'CLOSED'")} AS closed FROM requisition)""",
-    "requisition"))
-def d07(spark, sf_dir):
-    return DB.queue_status(requisition(spark, sf_dir))
-
-
-@register("d08_dispatched_breakdown", O.with_ctes(f"""
-SELECT dispatched, bearings_required, spares_required, dispatched - bearings_required - spares_required AS mechanical_jobs
-FROM (SELECT {_cnt("status = 'DISPATCHED'")} AS dispatched,
-        {_cnt("status = 'DISPATCHED' AND coalesce(regexp_matches(service_type_text, 'bearing', 'i'), false)")} AS bearings_required,
-        {_cnt("status = 'DISPATCHED' AND coalesce(regexp_matches(service_type_text, 'rewinding|insulation', 'i'), false)")}
-          AS spares_required FROM requisition)""", "requisition"))
-def d08(spark, sf_dir):
-    return DB.dispatched_breakdown(requisition(spark, sf_dir))
-
-
-def _band_sql() -> str:
-    arms = []
-    for order, _n, lo, hi in S.POWER_BANDS:
-        conds = []
-        if lo is not None:
-            conds.append(f"kw > {lo}e0")
-        if hi is not None:
-            conds.append(f"kw <= {hi}e0")
-        arms.append(f"WHEN {' AND '.join(conds)} THEN {order}")
-    return "CASE " + " ".join(arms) + " END"
-
-
-@register("d09_power_band_stats", O.with_ctes(f"""
-SELECT d.band_order, d.category, CAST(coalesce(c.ro, 0) AS BIGINT) AS received_outstanding,
-       CAST(coalesce(c.rp, 0) AS BIGINT) AS repaired, CAST(coalesce(c.ae, 0) AS BIGINT) AS at_ers
-FROM (VALUES {', '.join(f'({o}, {O._q(n)})' for o, n, _, _ in S.POWER_BANDS)}) d(band_order, category)
-LEFT JOIN (SELECT band_order, {_cnt("status IS DISTINCT FROM 'CLOSED'")} AS ro,
-             {_cnt(f"status IN {_in_sql(S.STATUS_DONE)}")} AS rp, {_cnt(f"status IN {_in_sql(S.STATUS_AT_SHOP)}")} AS ae
-           FROM (SELECT *, {_band_sql()} AS band_order FROM requisition) WHERE band_order IS NOT NULL GROUP BY band_order) c
-ON c.band_order = d.band_order""", "requisition"))
-def d09(spark, sf_dir):
-    return DB.power_band_stats(spark, requisition(spark, sf_dir))
-
-
-def _turnaround_sql(pattern: str, bands, prefix: str) -> str:
-    cols = []
-    for name, lo, hi in bands:
-        conds = ["true"]
-        if lo is not None:
-            conds.append(f"dur > {lo}")
-        if hi is not None:
-            conds.append(f"dur <= {hi}")
-        cols.append(f"{_cnt(' AND '.join(conds))} AS {prefix}_{name}")
-    names = [f"{prefix}_{b[0]}" for b in bands]
-    return O.with_ctes(f"""
-SELECT *, {' + '.join(names)} AS {prefix}_total FROM (
-  SELECT {', '.join(cols)} FROM (
-    SELECT coalesce(datediff('day', received_date, CAST(updated_at AS DATE)), 0) AS dur FROM requisition
-    WHERE status IN {_in_sql(S.STATUS_DONE)} AND coalesce(regexp_matches(service_type_text, '{pattern}', 'i'), false)))""",
-                       "requisition")
-
-
-@register("d10_turnaround_rewinding", _turnaround_sql(S.REWINDING_PATTERN, S.REWINDING_BANDS, "rew"))
-def d10(spark, sf_dir):
-    return DB.turnaround_rewinding(requisition(spark, sf_dir))
-
-
-@register("d11_turnaround_overhauling", _turnaround_sql(S.OVERHAUL_PATTERN, S.OVERHAUL_BANDS, "ovh"))
-def d11(spark, sf_dir):
-    return DB.turnaround_overhauling(requisition(spark, sf_dir))
-
-
-@register("d12_combined_dashboard")
-def d12(spark, sf_dir):
-    return DB.combined_dashboard(spark, requisition(spark, sf_dir))
-
-
-@register("d13_fleet_summary")
-def d13(spark, sf_dir):
-    return SC.fleet_summary_record(spark, scored(spark, sf_dir))
-
-
-def _percent_long_sql() -> str:
-    parts = " UNION ALL ".join(
-        f"SELECT equipment_serial_no, {O._q(name)} AS component, {c} AS probability, round({c} * 100e0, 1) AS percent "
-        f"FROM scored_components" for name, c in SC.COMPONENT_COLUMNS.items())
-    return parts
-
-
-O.add_cte("component_percent", _percent_long_sql())
-
-
-def _advisory_values_sql() -> str:
-    return "(VALUES " + ", ".join(f"({O._q(c)}, {lvl}, {O._q(t)})" for c, lvl, t in S.ADVISORIES) + \
-        ") a(component, level, advisory)"
-
-
-@register("d14_component_advisory", O.with_ctes(f"""
-SELECT p.*, a.advisory FROM (
-  SELECT *, CAST(CASE WHEN percent > {S.ADVISORY_HIGH_PCT} THEN 2 WHEN percent > {S.ADVISORY_MODERATE_PCT} THEN 1 ELSE 0 END
-                 AS INTEGER) AS level FROM component_percent) p
-LEFT JOIN {_advisory_values_sql()} ON a.component = p.component AND a.level = p.level""", "component_percent"))
-def d14(spark, sf_dir):
-    s = scored(spark, sf_dir).transform(SC.add_component_probabilities)
-    return DB.component_advisories(spark, s, SC.COMPONENT_COLUMNS)
-
-
-@register("d15_percent_display", O.with_ctes("SELECT * FROM component_percent", "component_percent"))
-def d15(spark, sf_dir):
-    s = scored(spark, sf_dir).transform(SC.add_component_probabilities)
-    return DB.component_percentages(s, SC.COMPONENT_COLUMNS)
-
-
-@register("d16_manufacturing_year_display", O.with_ctes(
-    f"SELECT equipment_serial_no, CASE WHEN motor_age_years IS NOT NULL AND motor_age_years <> 0 "
-    f"THEN CAST({S.DEFAULT_AS_OF_YEAR} - motor_age_years AS VARCHAR) ELSE 'N/A' END AS manufacturing_year FROM latest",
-    "latest"))
-def d16(spark, sf_dir):
-    return DB.manufacturing_year_display(latest(spark, sf_dir))
-
-
-@register("d17_weekly_received_repaired", O.with_ctes("""
-SELECT strftime(g.week_start, '%Y-%m-%d') AS week_start, CAST(coalesce(r.n, 0) AS BIGINT) AS received,
-       CAST(coalesce(p.n, 0) AS BIGINT) AS repaired
-FROM (SELECT CAST(unnest(generate_series(last_w - INTERVAL 49 DAY, last_w, INTERVAL 7 DAY)) AS DATE) AS week_start
-      FROM (SELECT max(w) AS last_w FROM (
-              SELECT CAST(date_trunc('week', received_date) AS DATE) AS w FROM requisition WHERE received_date IS NOT NULL
-              UNION ALL SELECT CAST(date_trunc('week', updated_at) AS DATE) FROM requisition
-              WHERE status IN ('CLOSED', 'DISPATCHED') AND updated_at IS NOT NULL))) g
-LEFT JOIN (SELECT CAST(date_trunc('week', received_date) AS DATE) AS w, count(*) AS n FROM requisition
-           WHERE received_date IS NOT NULL GROUP BY 1) r ON r.w = g.week_start
-LEFT JOIN (SELECT CAST(date_trunc('week', updated_at) AS DATE) AS w, count(*) AS n FROM requisition
-           WHERE status IN ('CLOSED', 'DISPATCHED') AND updated_at IS NOT NULL GROUP BY 1) p ON p.w = g.week_start""",
-    "requisition"))
-def d17(spark, sf_dir):
-    return DB.weekly_received_repaired(spark, requisition(spark, sf_dir))
-
-
-@register("d18_failure_pareto", O.with_ctes("""
-SELECT reason_of_failure_text, failure_count, failure_count / total * 100e0 AS pct,
-       sum(failure_count) OVER (ORDER BY failure_count DESC, reason_of_failure_text
-                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / total * 100e0 AS cumulative_pct
-FROM (SELECT reason_of_failure_text, count(*) AS failure_count, sum(count(*)) OVER () AS total FROM requisition
-      WHERE reason_of_failure_text IS NOT NULL GROUP BY reason_of_failure_text)""", "requisition"))
-def d18(spark, sf_dir):
-    return DB.failure_pareto(requisition(spark, sf_dir))
-
-
-@register("d19_pending_by_department", O.with_ctes(
-    f"SELECT installed_location, count(*) AS pending_count FROM requisition WHERE status IN {_in_sql(S.STATUS_AT_SHOP)} "
-    "AND installed_location IS NOT NULL GROUP BY installed_location", "requisition"))
-def d19(spark, sf_dir):
-    return DB.pending_by_department(requisition(spark, sf_dir))
-
-
-# ---------------------------------------------------------------------------
-# M — evaluation over deterministic labelled scores
-# ---------------------------------------------------------------------------
-from motorlytics.operators import evaluation as EV  # noqa: E402
-
-MODEL_A, MODEL_B = "boosted_trees", "random_forest"
-
-
-def _labelled_sql(mult) -> str:
-    w = [f"1e0 + (o_custkey * {m}) % 97" for m in mult]
-    tot = "(" + " + ".join(f"w{i}" for i in range(4)) + ")"
-    return f"""
-SELECT o_custkey AS id, CAST((o_custkey * 7 + o_custkey // 3) % 4 AS INTEGER) AS label,
-  CAST(CASE WHEN w0 >= w1 AND w0 >= w2 AND w0 >= w3 THEN 0 WHEN w1 >= w2 AND w1 >= w3 THEN 1 WHEN w2 >= w3 THEN 2 ELSE 3 END
-       AS INTEGER) AS prediction,
-  [w0 / {tot}, w1 / {tot}, w2 / {tot}, w3 / {tot}] AS prob
-FROM (SELECT o_custkey, {', '.join(f'{e} AS w{i}' for i, e in enumerate(w))} FROM (SELECT DISTINCT o_custkey FROM orders))
-"""
-
-
-O.add_cte("labelled", _labelled_sql(FX.PRIMARY_MULTIPLIERS))
-O.add_cte("labelled_b", _labelled_sql(FX.SECONDARY_MULTIPLIERS))
-
-
-def _per_class_sql(src: str) -> str:
-    return f"""
-SELECT cls, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0e0 END AS precision,
-  CASE WHEN support > 0 THEN tp / support ELSE 0e0 END AS recall,
-  CASE WHEN support + predicted > 0 THEN 2e0 * tp / (support + predicted) ELSE 0e0 END AS f1,
-  CAST(support AS BIGINT) AS support, CAST(tp AS BIGINT) AS tp
-FROM (SELECT coalesce(s.cls, p.cls) AS cls, coalesce(s.support, 0) AS support, coalesce(p.predicted, 0) AS predicted,
-             coalesce(t.tp, 0) AS tp
-      FROM (SELECT label AS cls, count(*) AS support FROM {src} GROUP BY label) s
-      FULL JOIN (SELECT prediction AS cls, count(*) AS predicted FROM {src} GROUP BY prediction) p ON s.cls = p.cls
-      LEFT JOIN (SELECT label AS cls, count(*) AS tp FROM {src} WHERE label = prediction GROUP BY label) t
-        ON t.cls = coalesce(s.cls, p.cls))
-"""
-
-
-O.add_cte("per_class", _per_class_sql("labelled"))
-O.add_cte("per_class_b", _per_class_sql("labelled_b"))
-
-
-def _summary_sql(pc: str) -> str:
-    r = lambda e: O.np_round_sql(e, EV.METRIC_DIGITS)
-    return (f"SELECT {r('sum(tp) / sum(support)')} AS accuracy, {r('avg(f1)')} AS f1_macro, "
-            f"{r('sum(f1 * support) / sum(support)')} AS f1_weighted, "
-            f"{r('sum(precision * support) / sum(support)')} AS precision_weighted, "
-            f"{r('sum(recall * support) / sum(support)')} AS recall_weighted FROM {pc}")
-
-
-def _score_counts_sql(src: str) -> str:
-    return (f"SELECT cls, score, count(*) FILTER (WHERE label = cls) AS pos, count(*) FILTER (WHERE label <> cls) AS neg "
-            f"FROM (SELECT label, unnest(prob) AS score, unnest([0, 1, 2, 3]) AS cls FROM {src}) GROUP BY cls, score")
-
-
-O.add_cte("score_counts", _score_counts_sql("labelled"))
-O.add_cte("score_counts_b", _score_counts_sql("labelled_b"))
-
-
-def _auc_class_sql(sc: str) -> str:
-    return f"""
-SELECT cls, sum(pos) AS positives, sum(neg) AS negatives,
-  CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (neg_le - 0.5e0 * neg)) / (sum(pos) * sum(neg)) END AS auc
-FROM (SELECT *, sum(neg) OVER (PARTITION BY cls ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_le
-      FROM {sc}) GROUP BY cls"""
-
-
-O.add_cte("auc_class", _auc_class_sql("score_counts"))
-O.add_cte("auc_class_b", _auc_class_sql("score_counts_b"))
-
-
-def _auc_sql(ac: str) -> str:
-    return (f"SELECT CASE WHEN count(*) FILTER (WHERE auc IS NULL) = 0 AND count(*) = 4 "
-            f"THEN {O.np_round_sql('sum(auc * positives) / sum(positives)', EV.METRIC_DIGITS)} ELSE 0e0 END "
-            f"AS roc_auc_weighted FROM {ac}")
-
-
-O.add_cte("eval_a", f"SELECT * FROM ({_summary_sql('per_class')}) CROSS JOIN ({_auc_sql('auc_class')})")
-O.add_cte("eval_b", f"SELECT * FROM ({_summary_sql('per_class_b')}) CROSS JOIN ({_auc_sql('auc_class_b')})")
-
-
-def labelled(spark, sf_dir):
-    return FX.labelled_scores(spark, sf_dir)
-
-
-def labelled_b(spark, sf_dir):
-    return FX.labelled_scores(spark, sf_dir, FX.SECONDARY_MULTIPLIERS)
-
-
-for _name, _metric in [("m06a_accuracy", "accuracy"), ("m06b_f1_macro", "f1_macro"), ("m06c_f1_weighted", "f1_weighted"),
-                       ("m06d_precision_weighted", "precision_weighted"), ("m06e_recall_weighted", "recall_weighted")]:
-    register(_name, O.with_ctes(f"SELECT {_metric} FROM eval_a", "eval_a"))(
-        (lambda m: (lambda spark, sf_dir: EV.summary_metrics(labelled(spark, sf_dir)).select(m)))(_metric))
-
-
-@register("m07_roc_auc_weighted", O.with_ctes("SELECT roc_auc_weighted FROM eval_a", "eval_a"))
-def m07(spark, sf_dir):
-    return EV.roc_auc_weighted(labelled(spark, sf_dir))
-
-
-@register("m07_roc_auc_per_class", O.with_ctes(
-    f"SELECT cls, CAST(positives AS BIGINT) AS positives, CAST(negatives AS BIGINT) AS negatives, "
-    f"{O.np_round_sql('auc', 12)} AS auc FROM auc_class", "auc_class"))
-def m07_per_class(spark, sf_dir):
-    a = EV.auc_per_class(labelled(spark, sf_dir))
-    return a.withColumn("auc", FE.np_round(F.col("auc"), 12))
-
-
-_LABEL_NAME_CASE = "CASE cls " + " ".join(f"WHEN {k} THEN {O._q(v)}" for k, v in sorted(S.RISK_LABELS.items())) + " END"
-
-
-def _report_sql() -> str:
-    r = lambda e: O.np_round_sql(e, EV.METRIC_DIGITS)
-    return O.with_ctes(f"""
-SELECT cls AS row_order, {_LABEL_NAME_CASE} AS row_label, {r('precision')} AS precision, {r('recall')} AS recall,
-       {r('f1')} AS f1, support FROM per_class
-UNION ALL SELECT 4, 'accuracy', NULL, NULL, {r('sum(tp) / sum(support)')}, CAST(sum(support) AS BIGINT) FROM per_class
-UNION ALL SELECT 5, 'macro avg', {r('avg(precision)')}, {r('avg(recall)')}, {r('avg(f1)')}, CAST(sum(support) AS BIGINT)
-  FROM per_class
-UNION ALL SELECT 6, 'weighted avg', {r('sum(precision * support) / sum(support)')}, {r('sum(recall * support) / sum(support)')},
-  {r('sum(f1 * support) / sum(support)')}, CAST(sum(support) AS BIGINT) FROM per_class""", "per_class")
-
-
-@register("m08_classification_report", _report_sql())
-def m08(spark, sf_dir):
-    return EV.classification_report(spark, labelled(spark, sf_dir))
-
-
-@register("m09_confusion_matrix", O.with_ctes(
-    "SELECT a.k AS actual, " + ", ".join(
-        f"CAST(count(*) FILTER (WHERE l.prediction = {k}) AS BIGINT) AS predicted_{k}" for k in range(4)) +
-    " FROM (VALUES (0), (1), (2), (3)) a(k) LEFT JOIN labelled l ON l.label = a.k GROUP BY a.k", "labelled"))
-def m09(spark, sf_dir):
-    return EV.confusion_matrix(spark, labelled(spark, sf_dir))
-
-
-@register("m11_roc_curve_points", O.with_ctes("""
-SELECT cls, score AS threshold, neg_ge / n_all AS fpr, pos_ge / p_all AS tpr FROM (
-  SELECT cls, score,
-    sum(pos) OVER (PARTITION BY cls ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pos_ge,
-    sum(neg) OVER (PARTITION BY cls ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_ge,
-    sum(pos) OVER (PARTITION BY cls) AS p_all, sum(neg) OVER (PARTITION BY cls) AS n_all FROM score_counts)
-UNION ALL SELECT DISTINCT cls, 'inf'::DOUBLE, 0e0, 0e0 FROM score_counts""", "score_counts"))
-def m11(spark, sf_dir):
-    return EV.roc_curve_points(labelled(spark, sf_dir))
-
-
-def _comparison_sql() -> str:
-    parts = []
-    for i, m in enumerate(EV.COMPARED_METRICS):
-        parts.append(f"SELECT {i} AS metric_order, '{m}' AS metric, a.{m} AS {MODEL_A}, b.{m} AS {MODEL_B} "
-                     f"FROM eval_a a CROSS JOIN eval_b b")
-    return O.with_ctes(" UNION ALL ".join(parts), "eval_a", "eval_b")
-
-
-def _evals(spark, sf_dir):
-    return {MODEL_A: EV.evaluate(labelled(spark, sf_dir)), MODEL_B: EV.evaluate(labelled_b(spark, sf_dir))}
-
-
-@register("m14_model_comparison", _comparison_sql())
-def m14(spark, sf_dir):
-    return EV.model_comparison(_evals(spark, sf_dir))
-
-
-@register("m15_model_selection", O.with_ctes(
-    f"SELECT arg_max(model, (f1_weighted, CASE WHEN model = '{MODEL_A}' THEN 1 ELSE 0 END)) AS selected_model, "
-    f"max(f1_weighted) AS f1_weighted FROM (SELECT '{MODEL_A}' AS model, f1_weighted FROM eval_a "
-    f"UNION ALL SELECT '{MODEL_B}', f1_weighted FROM eval_b)", "eval_a", "eval_b"))
-def m15(spark, sf_dir):
-    return EV.select_model(_evals(spark, sf_dir), MODEL_A)
-
-
-# ---------------------------------------------------------------------------
-# M — preparation and training (model-dependent results: rows-only checks)
-# ---------------------------------------------------------------------------
-from motorlytics.operators import training as TR  # noqa: E402
-
-# small fits for the registered queries; the reference-sized defaults live in TR
-RF_QUERY_PARAMS = {"numTrees": 20, "maxDepth": 6}
-GBT_QUERY_PARAMS = {"maxIter": 5, "maxDepth": 3}
-_MODELS: dict = {}
-
-
-def _medians_sql() -> str:
-    parts = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM features WHERE {c} IS NOT NULL"
-                               for c in S.FEATURE_COLUMNS)
-    return O.with_ctes(f"""
-SELECT feature, (max(value) FILTER (WHERE rk = (n + 1) // 2) + max(value) FILTER (WHERE rk = n // 2 + 1)) / 2e0 AS median
-FROM (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) AS rk,
-             count(*) OVER (PARTITION BY feature) AS n FROM ({parts})) GROUP BY feature""", "features")
-
-
-@register("m01_feature_medians", _medians_sql())
-def m01_medians(spark, sf_dir):
-    return TR.exact_medians(engineered(spark, sf_dir), S.FEATURE_COLUMNS)
-
-
-@register("m01_prepare_imputed", O.with_ctes(
-    "SELECT requisition_id, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in S.FEATURE_COLUMNS) +
-    ", risk_category AS label FROM features", "features"))
-def m01_prepare(spark, sf_dir):
-    return TR.prepare(engineered(spark, sf_dir))
-
-
-@register("m04w_class_weights", O.with_ctes(
-    "SELECT requisition_id, risk_category AS label, count(*) OVER () / "
-    "((SELECT count(DISTINCT risk_category) FROM features) * count(*) OVER (PARTITION BY risk_category)) AS weight "
-    "FROM features", "features"))
-def m04w(spark, sf_dir):
-    prep = engineered(spark, sf_dir).select("requisition_id", F.col("risk_category").alias("label"))
-    return TR.class_weights(prep)
-
-
-def training_sets(spark: SparkSession, sf_dir: str):
-    """(train, test), prepared, split 80/20 stratified, checkpointed once."""
-    key = (id(spark), sf_dir, "split")
-    if key not in _MODELS:
-        eng = TR.materialize(engineered(spark, sf_dir).select("requisition_id", "risk_category", *S.FEATURE_COLUMNS))
-        split = TR.materialize(TR.stratified_split(TR.prepare(eng)))
-        _MODELS[key] = (split.where(~F.col("is_test")).drop("is_test"), split.where(F.col("is_test")).drop("is_test"))
-    return _MODELS[key]
-
-
-def trained(spark: SparkSession, sf_dir: str, kind: str):
-    key = (id(spark), sf_dir, kind)
-    if key not in _MODELS:
-        train, _ = training_sets(spark, sf_dir)
-        if kind == "rf":
-            _MODELS[key] = TR.fit_random_forest(train, RF_QUERY_PARAMS)
-        else:
-            _MODELS[key] = TR.fit_boosted_trees(train, GBT_QUERY_PARAMS)
-    return _MODELS[key]
-
-
-@register("m02_stratified_split")
-def m02(spark, sf_dir):
-    prep = TR.prepare(engineered(spark, sf_dir))
-    return TR.stratified_split(prep).select("requisition_id", "label", "is_test")
-
-
-@register("m03_boosted_trees_test_predictions")
-def m03(spark, sf_dir):
-    _, test = training_sets(spark, sf_dir)
-    return TR.predict(trained(spark, sf_dir, "gbt"), test).select("requisition_id", "label", "prediction", "prob")
-
-
-@register("m04_random_forest_test_predictions")
-def m04(spark, sf_dir):
-    _, test = training_sets(spark, sf_dir)
-    return TR.predict(trained(spark, sf_dir, "rf"), test).select("requisition_id", "label", "prediction", "prob")
-
-
-@register("m05_predict_probabilities")
-def m05(spark, sf_dir):
-    """Predicted class and the four class probabilities on the held-out rows."""
-    _, test = training_sets(spark, sf_dir)
-    pred = TR.predict(trained(spark, sf_dir, "rf"), test)
-    return pred.select("requisition_id", "label", "prediction",
-                       FE.risk_label_expr(F.col("prediction")).alias("predicted_risk"),
-                       *[F.col("prob")[i].alias(c) for i, c in enumerate(SC.PROBS)])
-
-
-@register("m14_trained_model_comparison")
-def m14_trained(spark, sf_dir):
-    _, test = training_sets(spark, sf_dir)
-    evals = {name: EV.evaluate(TR.predict(trained(spark, sf_dir, kind), test))
-             for name, kind in ((MODEL_A, "gbt"), (MODEL_B, "rf"))}
-    return EV.model_comparison(evals)
-
-
-@register("m15_trained_model_selection")
-def m15_trained(spark, sf_dir):
-    _, test = training_sets(spark, sf_dir)
-    evals = {name: EV.evaluate(TR.predict(trained(spark, sf_dir, kind), test))
-             for name, kind in ((MODEL_A, "gbt"), (MODEL_B, "rf"))}
-    return EV.select_model(evals, MODEL_A)
-
-
-@register("m10_cross_validation")
-def m10(spark, sf_dir):
-    prep = TR.prepare(engineered(spark, sf_dir))
-    return TR.cross_validate(prep, lambda tr: TR.fit_random_forest(tr, {"numTrees": 10, "maxDepth": 5}), k=5)
-
-
-@register("m12_feature_importance")
-def m12(spark, sf_dir):
-    return TR.feature_importance(spark, trained(spark, sf_dir, "rf"))
-
-
-@register("m13_permutation_attribution")
-def m13(spark, sf_dir):
-    _, test = training_sets(spark, sf_dir)
-    return TR.permutation_attribution(trained(spark, sf_dir, "rf"), test)
-
-
-def model_scored(spark: SparkSession, sf_dir: str, kind: str = "rf") -> DataFrame:
-    """Every motor's latest record scored by a fitted model (missing -> 0)."""
-    from motorlytics.plans.pipeline import score_fleet
-    return score_fleet(trained(spark, sf_dir, kind), latest(spark, sf_dir))
-
-
-@register("c09_batch_scoring")
-def c09(spark, sf_dir):
-    return model_scored(spark, sf_dir).select("equipment_serial_no", "installed_location", "risk_class",
-                                              "predicted_risk", "health_score", *SC.PROBS)
-
-
-@register("d03_checklist_scored")
-def d03_scored(spark, sf_dir):
-    """What-if: checklist-adjusted features re-scored by the fitted forest."""
-    counts = DB.checklist_counts(FX.inspection_items(spark, sf_dir))
-    adj = DB.apply_checklist(latest(spark, sf_dir), counts).where(F.col("found"))
-    feats = adj.select("serial_no", *[F.col(c).cast("double").alias(c) for c in S.FEATURE_COLUMNS])
-    pred = TR.predict(trained(spark, sf_dir, "rf"), feats)
-    p = F.col("prob")
-    return pred.select("serial_no", F.col("prediction").alias("risk_class"),
-                       SC.model_health_expr(p[2], p[3]).alias("health_score"))
-
-
-# ---------------------------------------------------------------------------
-# S — sources, sinks, persistence (written under the shared checkpoint folder)
-# ---------------------------------------------------------------------------
-from motorlytics.sources import io as IO  # noqa: E402
-from motorlytics.streaming import checklist as ST  # noqa: E402
-
-_S01_COLS = ["requisition_id", "equipment_serial_no", "kw", "current", "voltage", "status",
-             "previous_refurbishment_job_no"]
-
-
-@register("s01_csv_scan", O.with_ctes(
-    "SELECT " + ", ".join(c for c in _S01_COLS if c != "previous_refurbishment_job_no") +
-    ", NULLIF(previous_refurbishment_job_no, '') AS previous_refurbishment_job_no, "
-    f"{ISO_DATE_SQL}, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM requisition", "requisition"))
-def s01(spark, sf_dir):
-    """Requisitions written as CSV in the full 38-column layout, scanned back
-    with the explicit schema. Empty text comes back missing, as CSV has no
-    way to tell the two apart."""
-    req = requisition(spark, sf_dir)
-    full = req.select(*[(F.col(f.name) if f.name in req.columns else F.lit(None)).cast(
-        f.dataType if f.name not in ("received_date", "updated_at") else req.schema[f.name].dataType).alias(f.name)
-        for f in S.REQUISITION_SCHEMA.fields])
-    path = IO.write_csv(full, IO.shared_path(spark, "requisitions-csv"))
-    back = IO.read_requisitions_csv(spark, path)
-    return iso_dates(back.select(*_S01_COLS, "received_date",
-                                 F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at")))
-
-
-@register("s02_engineered_table_roundtrip", O.with_ctes(
-    "SELECT * REPLACE (" + ISO_DATE_SQL + ") FROM (SELECT " + ", ".join(ENGINEERED_COLS) + " FROM features)",
-    "features"))
-def s02(spark, sf_dir):
-    path = IO.write_table(engineered(spark, sf_dir).select(*ENGINEERED_COLS), IO.shared_path(spark, "engineered"))
-    return iso_dates(IO.read_table_path(spark, path))
-
-
-@register("s05_encoders_roundtrip", O.with_ctes('SELECT "column", value, code FROM encoders', "encoders"))
-def s05(spark, sf_dir):
-    path = IO.save_encoders(FE.fit_encoders(requisition(spark, sf_dir)), IO.shared_path(spark, "encoders"))
-    return IO.load_encoders(spark, path)
-
-
-@register("s04_batch_predictions_sink")
-def s04(spark, sf_dir):
-    from pyspark.sql import types as T
-    path = IO.write_batch_predictions(model_scored(spark, sf_dir), IO.shared_path(spark, "batch-predictions"))
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in IO.BATCH_PREDICTION_COLUMNS])
-    return spark.read.schema(schema).option("header", True).csv(path)
-
-
-@register("s06_model_roundtrip")
-def s06(spark, sf_dir):
-    path = IO.save_model(trained(spark, sf_dir, "rf"), IO.shared_path(spark, "rf-model"))
-    _, test = training_sets(spark, sf_dir)
-    return TR.predict(IO.load_model(path, "rf"), test).select("requisition_id", "label", "prediction")
-
-
-@register("s07_model_metadata")
-def s07(spark, sf_dir):
-    _, test = training_sets(spark, sf_dir)
-    metrics = {name: EV.evaluate(TR.predict(trained(spark, sf_dir, kind), test))
-               for name, kind in ((MODEL_A, "gbt"), (MODEL_B, "rf"))}
-    params = {MODEL_A: {**TR.GBT_PARAMS, **GBT_QUERY_PARAMS}, MODEL_B: {**TR.RF_PARAMS, **RF_QUERY_PARAMS}}
-    meta = IO.model_metadata(spark, MODEL_A, params, metrics)
-    path = IO.write_json(meta, IO.shared_path(spark, "model-metadata"))
-    return spark.read.json(path)
-
-
-@register("s08_evaluation_report")
-def s08(spark, sf_dir):
-    _, test = training_sets(spark, sf_dir)
-    scored_a = TR.predict(trained(spark, sf_dir, "gbt"), test)
-    evals = {MODEL_A: EV.evaluate(scored_a), MODEL_B: EV.evaluate(TR.predict(trained(spark, sf_dir, "rf"), test))}
-    path = IO.write_evaluation_report(EV.model_comparison(evals), EV.classification_report(spark, scored_a),
-                                      IO.shared_path(spark, "evaluation-report"))
-    return spark.read.json(path)
-
-
-@register("s09_serving_snapshot", O.with_ctes(
-    f"SELECT installed_location, count(*) AS motors, {MEAN_HEALTH_SQL} AS avg_health "
-    "FROM latest GROUP BY installed_location", "latest"))
-def s09(spark, sf_dir):
-    """Tables loaded once and shared through temp views; a request is SQL."""
-    snap = IO.ServingSnapshot(requisition(spark, sf_dir), engineered(spark, sf_dir), latest(spark, sf_dir))
-    return spark.sql(f"SELECT installed_location, count(*) AS motors, "
-                     f"rint(sum(rint(health_score * 10D)) / count(health_score)) / 10D AS avg_health "
-                     f"FROM {snap.views()[2]} GROUP BY installed_location")
-
-
-@register("d03_checklist_stream", O.with_ctes(f"""
-SELECT i.item_id AS request_id, i.serial_no, l.equipment_serial_no IS NOT NULL AS found,
-  l.bearing_failure_count + (CASE WHEN code IN {_in_sql(S.CHECKLIST_BEARING)} THEN 1 ELSE 0 END) AS bearing_failure_count,
-  l.winding_failure_count + (CASE WHEN code IN {_in_sql(S.CHECKLIST_WINDING)} THEN 1 ELSE 0 END) AS winding_failure_count,
-  l.rotor_failure_count + (CASE WHEN code IN {_in_sql(S.CHECKLIST_ROTOR)} THEN 1 ELSE 0 END) AS rotor_failure_count,
-  l.insulation_failure_count + (CASE WHEN code IN {_in_sql(S.CHECKLIST_INSULATION)} THEN 1 ELSE 0 END)
-    AS insulation_failure_count,
-  CAST(l.repair_count + (CASE WHEN code IN {_in_sql(S.CHECKLIST_GENERAL)} THEN 1 ELSE 0 END) AS INTEGER) AS repair_count,
-  l.previous_refurb_count + (CASE WHEN code IN {_in_sql(S.CHECKLIST_GENERAL)} THEN 1 ELSE 0 END) AS previous_refurb_count,
-  CAST(CASE WHEN code IN {_in_sql(S.CHECKLIST_GENERAL)} THEN least(l.days_since_last_repair, {S.CHECKLIST_GAP_CAP_DAYS})
-       ELSE l.days_since_last_repair END AS INTEGER) AS days_since_last_repair
-FROM inspection_items i LEFT JOIN latest l ON i.serial_no = l.equipment_serial_no""", "inspection_items", "latest"))
-def d03_stream(spark, sf_dir):
-    """Checklist requests (one per order, array form) streamed from files and
-    joined to the static latest records; results read back from the sink."""
-    reqs = FX.checklist_requests(spark, sf_dir).withColumnRenamed("item_id", "request_id")
-    src = IO.write_table(reqs, IO.shared_path(spark, "checklist-requests"))
-    sink, ckpt = IO.shared_path(spark, "whatif-out"), IO.shared_path(spark, "whatif-ckpt")
-    cols = ["request_id", "serial_no", "found", *_D3_COLS]
-    # the static side is a written table, so micro-batches do not re-run its aggregation
-    static = IO.write_table(latest(spark, sf_dir), IO.shared_path(spark, "latest-static"))
-    q = ST.start_whatif_stream(spark, src, spark.read.parquet(static), sink, ckpt, cols)
-    q.awaitTermination()
-    return spark.read.parquet(sink)
-
-
-def queries() -> dict[str, Builder]:
-    return dict(REGISTRY)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+from motorlytics.registry import ORACLE, REGISTRY, engineered, latest, oracle_sql, queries, requisition  # noqa: F401
