@@ -29,20 +29,20 @@ def latest_order_key() -> Column:
                     F.col("received_date").alias("d"), F.col("requisition_id").alias("id"))
 
 
-def latest_records(df: DataFrame, columns: list[str] | None = None, position_col: str | None = "repair_count") -> DataFrame:
+def latest_records(df: DataFrame, columns: list[str] | None = None, position_col: str | None = None) -> DataFrame:
     """Per motor, each column's last non-missing value in row order.
 
     One aggregation keyed by the serial; ``max_by`` is partially aggregated
     before the shuffle, so a motor with a huge history costs one row per map
     task in the exchange. Rows without a serial are dropped.
 
-    When the input carries the motor's 1-based history position (the
-    engineered table's ``repair_count``, which follows exactly this row
-    order) that integer is the ordering key; otherwise the
-    (missing date, date, id) struct is.
+    ``position_col`` may name a column holding the motor's 1-based history
+    position in exactly this row order (the engineered table's
+    ``repair_count``); that integer is then the ordering key, about three
+    times cheaper than the (missing date, date, id) struct used otherwise.
     """
     columns = [c for c in (columns or df.columns) if c != SERIAL]
-    okey = F.col(position_col) if position_col and position_col in df.columns else latest_order_key()
+    okey = F.col(position_col) if position_col else latest_order_key()
     aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(c) for c in columns]
     return df.where(F.col(SERIAL).isNotNull()).groupBy(SERIAL).agg(*aggs)
 

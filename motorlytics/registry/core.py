@@ -55,7 +55,7 @@ def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SC.latest_records(engineered(spark, sf_dir).drop("updated_at"))
+    return SC.latest_records(engineered(spark, sf_dir).drop("updated_at"), position_col="repair_count")
 
 
 # exact mean of 1-decimal scores, rounded half-even to 1 decimal

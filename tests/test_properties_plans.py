@@ -98,3 +98,12 @@ def test_single_partition_only_above_bucket_totals(spark):
             child = lines[i + 1]
             assert "HashAggregate" in child and "_bk" in child, child
     assert out.agg(F.max("pos")).first()[0] == 20000
+
+
+def test_latest_position_key_equals_struct_key(spark):
+    from motorlytics.operators import scoring as SC
+    eng, _ = FE.engineer(requisitions(spark, SF_SMALL))
+    eng = eng.drop("updated_at")
+    a = SC.latest_records(eng)
+    b = SC.latest_records(eng, position_col="repair_count")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
