@@ -187,11 +187,12 @@ def permutation_attribution(model, df: DataFrame, features: list[str] | None = N
     For every feature, the feature's values are permuted among the rows of a
     hash bucket (about ``rows_per_bucket`` rows each, so every permutation
     window stays bounded as the data grows). All permuted copies are scored in
-    one ``transform``, and the mean absolute change of p[cls] per feature is
-    returned."""
+    one ``transform``. Per feature: the mean absolute change of p[cls] and
+    the drop in accuracy against the unpermuted rows."""
     features = features or S.FEATURE_COLUMNS
     buckets = max(1, -(-df.count() // rows_per_bucket))
-    base = predict(model, df, features).select(key, F.col("prob")[cls].alias("_p0"))
+    base = predict(model, df, features).select(key, F.col("prob")[cls].alias("_p0"),
+                                               (F.col("prediction") == F.col(LABEL)).cast("double").alias("_ok0"))
     feats = F.array(*[F.lit(f) for f in features])
     long = df.withColumn("_feature", F.explode(feats)).withColumn(
         "_bucket", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets)))
@@ -204,7 +205,10 @@ def permutation_attribution(model, df: DataFrame, features: list[str] | None = N
     permuted = permuted.withColumns({f: F.when(F.col("_feature") == f, F.col("_donor")).otherwise(F.col(f))
                                      for f in features})
     scored = predict(model, permuted.drop("_donor", "_pos", "_bucket"), features)
-    delta = scored.select(key, "_feature", F.col("prob")[cls].alias("_p1")).join(base, key)
+    delta = scored.select(key, "_feature", F.col("prob")[cls].alias("_p1"),
+                          (F.col("prediction") == F.col(LABEL)).cast("double").alias("_ok1")).join(base, key)
+    baseline = base.agg(F.avg("_ok0").alias("_acc0"))  # one row
     out = delta.groupBy(F.col("_feature").alias("feature")).agg(
-        F.avg(F.abs(F.col("_p1") - F.col("_p0"))).alias("mean_abs_change"))
-    return out
+        F.avg(F.abs(F.col("_p1") - F.col("_p0"))).alias("mean_abs_change"), F.avg("_ok1").alias("_acc1"))
+    return out.crossJoin(F.broadcast(baseline)).select(
+        "feature", "mean_abs_change", (F.col("_acc0") - F.col("_acc1")).alias("accuracy_drop"))
