@@ -8,7 +8,7 @@ Sub-packages
 sources     table scans, the requisition fixture, sinks and persistence
 functions   column-expression helpers (rounding, clipping, hashing, scores)
 operators   features, profiling, scoring, dashboards, model evaluation/training
-plans       plan-shape helpers (bucketed prefix sums, lookups) and pipelines
+plans       plan-shape helpers (bucketed prefix sums) and the batch lifecycle
 streaming   checklist what-if scoring as a stream-static join
 """
 

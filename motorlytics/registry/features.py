@@ -155,7 +155,7 @@ register("f16_risk_label", O.with_ctes("SELECT requisition_id, risk_label FROM f
 register("f17_feature_projection", O.with_ctes(
     "SELECT requisition_id, " + ", ".join(S.FEATURE_COLUMNS) + " FROM features", "features"))(
     _engineered_select(["requisition_id", *S.FEATURE_COLUMNS]))
-register("f18_feature_pipeline", O.with_ctes(
+register("f18_feature_engineering", O.with_ctes(
     "SELECT * REPLACE (" + ISO_DATE_SQL + ") FROM (SELECT " + ", ".join(ENGINEERED_COLS) + " FROM features)",
     "features"))(
     _engineered_select(ENGINEERED_COLS))

@@ -141,7 +141,7 @@ def m13(spark, sf_dir):
 
 def model_scored(spark: SparkSession, sf_dir: str, kind: str = "rf") -> DataFrame:
     """Every motor's latest record scored by a fitted model (missing -> 0)."""
-    from motorlytics.plans.pipeline import score_fleet
+    from motorlytics.plans.lifecycle import score_fleet
     return score_fleet(trained(spark, sf_dir, kind), latest(spark, sf_dir))
 
 

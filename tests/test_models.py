@@ -61,12 +61,12 @@ def test_exact_medians_match_pandas(spark):
     assert got["b"] == pd.Series(pdf["b"]).dropna().median()
 
 
-def test_end_to_end_pipeline(spark):
+def test_end_to_end_lifecycle(spark):
     import os
-    from motorlytics.plans.pipeline import run_pipeline
+    from motorlytics.plans.lifecycle import run_batch_lifecycle
     from motorlytics.sources import io as IO
-    out = IO.shared_path(spark, "pipeline-test")
-    paths = run_pipeline(spark, requisitions(spark, SF_SMALL), out, rf_params={"numTrees": 5, "maxDepth": 4},
+    out = IO.shared_path(spark, "lifecycle-test")
+    paths = run_batch_lifecycle(spark, requisitions(spark, SF_SMALL), out, rf_params={"numTrees": 5, "maxDepth": 4},
                          gbt_params={"maxIter": 2, "maxDepth": 2}, cv_folds=2)
     assert paths["selected_model"] in ("boosted_trees", "random_forest")
     for k in ("engineered", "encoders", "rf_model", "gbt_model", "metadata", "evaluation", "cv",

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
-SUBSET = ["f03_repair_count", "f04_days_since_last_repair", "f09_encoder_fit", "f18_feature_pipeline",
+SUBSET = ["f03_repair_count", "f04_days_since_last_repair", "f09_encoder_fit", "f18_feature_engineering",
           "c01_latest_records", "c08_component_ranking", "d05_allotment_flag", "d09_power_band_stats",
           "d17_weekly_received_repaired", "d18_failure_pareto", "m07_roc_auc_weighted", "m11_roc_curve_points",
           "p05_feature_summary", "d03_checklist_adjust"]

@@ -65,7 +65,7 @@ def test_history_plan_has_no_single_partition_and_no_python(spark):
 
 def test_core_queries_have_no_python_udfs(spark):
     q = E.queries()
-    for name in ["f18_feature_pipeline", "c01_latest_records", "d04_equipment_registry", "d09_power_band_stats",
+    for name in ["f18_feature_engineering", "c01_latest_records", "d04_equipment_registry", "d09_power_band_stats",
                  "m07_roc_auc_weighted", "d03_checklist_adjust"]:
         plan = _plan(q[name](spark, SF_SMALL))
         assert "EvalPython" not in plan, name
