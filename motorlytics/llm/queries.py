@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorlytics.llm import line_runs, token_rollup, url_filter
+from motorlytics.llm import bpe_automaton, line_runs, quality_fm, token_rollup, url_filter
 from motorlytics.llm.common import shuffle_partitions, stored
 from motorlytics.sources.io import shared_path
 from motorlytics.sources.tables import read_table
@@ -131,3 +131,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("delete-3", changes(marked.where(F.col("toxic") == 1), "delete",
                                       F.when(low, F.lit(second)).otherwise(F.lit(first)), F.when(low, F.col("n2")).otherwise(F.col("n1"))))
     return rollup.totals()
+
+
+# 7 --------------------------------------------------------------------------
+@register("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "n_chars")
+    model = quality_fm.fit(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality_fm.scores(docs, model, ["doc_id"])
+    return scored.select("doc_id", quality_fm.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= quality_fm.THRESHOLD).cast("int").alias("predicted"))
+
+
+# 8 --------------------------------------------------------------------------
+@register("op8_bpe_encoding")
+def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe_automaton.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    coded = bpe_automaton.encode_documents(documents(spark, sf_dir).select("doc_id", "text"), vocabulary).drop("text")
+    back = bpe_automaton.decode_documents(coded, vocabulary)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
