@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorlytics.llm import bpe_automaton, line_runs, quality_fm, token_rollup, url_filter
+from motorlytics.llm import bpe_automaton, line_runs, ngram_join, quality_fm, token_rollup, url_filter
 from motorlytics.llm.common import shuffle_partitions, stored
 from motorlytics.sources.io import shared_path
 from motorlytics.sources.tables import read_table
@@ -153,3 +153,9 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = bpe_automaton.decode_documents(coded, vocabulary)
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+# 5 --------------------------------------------------------------------------
+@register("op5_ngram_jaccard_join")
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(documents(spark, sf_dir).select("doc_id", "text"))
