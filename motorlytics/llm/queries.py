@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorlytics.llm import bpe_automaton, line_runs, ngram_join, quality_fm, token_rollup, url_filter
+from motorlytics.llm import bpe_automaton, decontaminate, line_runs, ngram_join, quality_fm, token_rollup, url_filter
 from motorlytics.llm.common import shuffle_partitions, stored
 from motorlytics.sources.io import shared_path
 from motorlytics.sources.tables import read_table
@@ -159,3 +159,10 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_ngram_jaccard_join")
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+# 2 --------------------------------------------------------------------------
+@register("op2_benchmark_decontamination")
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return decontaminate.find_leaks(docs, read_table(spark, sf_dir, "benchmark")).drop("k1", "k2")
