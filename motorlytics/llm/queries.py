@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorlytics.llm import bpe_automaton, decontaminate, line_runs, ngram_join, quality_fm, suffix_dedup, token_rollup, url_filter
+from motorlytics.llm import bpe_automaton, decontaminate, line_runs, ngram_join, nn_descent, quality_fm, suffix_dedup, token_rollup, url_filter
 from motorlytics.llm.common import shuffle_partitions, stored
 from motorlytics.sources.io import shared_path
 from motorlytics.sources.tables import read_table
@@ -173,3 +173,9 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# 4 --------------------------------------------------------------------------
+@register("op4_approximate_nearest_neighbours")
+def op4_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(read_table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
