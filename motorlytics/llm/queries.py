@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorlytics.llm import bpe_automaton, decontaminate, line_runs, ngram_join, nn_descent, quality_fm, suffix_dedup, token_rollup, url_filter
+from motorlytics.llm import (bpe_automaton, chat_format, decontaminate, line_runs, ngram_join, nn_descent, quality_fm,
+                             suffix_dedup, token_rollup, url_filter)
 from motorlytics.llm.common import shuffle_partitions, stored
 from motorlytics.sources.io import shared_path
 from motorlytics.sources.tables import read_table
@@ -179,3 +180,52 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_approximate_nearest_neighbours")
 def op4_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(read_table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
+# 1 --------------------------------------------------------------------------
+#: Parameters of the tool that the query reads user turns as calls of.
+TOOL_SCHEMA = [("ask", "n_chars", "integer", True, 40.0, None), ("ask", "text", "string", True, 40.0, 4000.0), ("ask", "topic", "string", False, None, None)]
+
+CHAT_SQL = r"""
+WITH RECURSIVE u AS (SELECT DISTINCT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'user'),
+     a AS (SELECT DISTINCT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant'),
+     e AS (SELECT u.*, turn // 2 AS k, turn % 2 AS odd FROM u),
+     d AS (SELECT e.*, CASE WHEN k > 0 THEN 2 * (k & (k - 1)) + odd END AS used FROM e),
+     lv AS (SELECT d.conv_id, d.turn, 0 AS level FROM d LEFT JOIN u p ON p.conv_id = d.conv_id AND p.turn = d.used
+            WHERE p.turn IS NULL
+            UNION ALL
+            SELECT d.conv_id, d.turn, lv.level + 1 FROM lv JOIN d ON d.conv_id = lv.conv_id AND d.used = lv.turn),
+     c AS (SELECT d.conv_id, lv.level, d.turn, d.text, a.turn IS NOT NULL AS answered,
+                  d.used IS NOT NULL AND p.turn IS NULL AS lost, a.text AS answer
+           FROM d JOIN lv USING (conv_id, turn) LEFT JOIN a ON a.conv_id = d.conv_id AND a.turn = d.turn + 1
+           LEFT JOIN u p ON p.conv_id = d.conv_id AND p.turn = d.used),
+     m AS (SELECT *, concat_ws('; ', CASE WHEN length(text) < 40 THEN 'n_chars: too small' END,
+                                     CASE WHEN length(text) < 40 THEN 'text: too small' WHEN length(text) > 4000 THEN 'text: too large' END,
+                                     CASE WHEN lost THEN 'uses: unknown call' END) AS errors FROM c)
+SELECT conv_id, level::INTEGER AS level, turn, 0 AS part, 'c' || turn AS call_id, CASE WHEN answered THEN 'linked' ELSE 'unanswered' END AS status, errors,
+       '{"arguments":{"n_chars":' || length(text) || ',"text":' || to_json(text)::VARCHAR || '},"call_id":"c' || turn || '","name":"ask","role":"assistant","valid":'
+       || CASE WHEN errors = '' THEN 'true' ELSE 'false' END || '}' AS json FROM m
+UNION ALL
+SELECT a.conv_id, c.level::INTEGER, CASE WHEN c.turn IS NULL THEN a.turn ELSE c.turn END, 1, 'c' || (a.turn - 1),
+       CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'linked' END, '',
+       '{"call_id":"c' || (a.turn - 1) || '","content":' || to_json(a.text)::VARCHAR || ',"role":"tool"}'
+FROM a LEFT JOIN c ON c.conv_id = a.conv_id AND c.turn = a.turn - 1
+"""
+
+
+@register("op1_chat_formatting", CHAT_SQL)
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no tool columns, so each user turn is read as a call of the tool
+    ``ask`` and the assistant turn after it as its result. A call uses an earlier one:
+    that of the exchange whose number lacks the lowest set bit."""
+    turns = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
+    text = F.coalesce("text", F.lit(""))
+    k, odd = F.expr("turn div 2"), F.expr("turn % 2")
+    used = F.when(k > 0, F.concat(F.lit("c"), (2 * k.bitwiseAND(k - 1) + odd).cast("string")))
+    asked = F.to_json(F.struct(text.alias("text"), F.length(text).alias("n_chars")))
+    calls = turns.where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("c"), F.col("turn").cast("string")).alias("call_id"),
+                                                F.lit("ask").alias("name"), asked.alias("arguments"), F.filter(F.array(used), lambda x: x.isNotNull()).alias("uses"))
+    results = turns.where("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("call_id"), text.alias("content"))
+    schemas = spark.createDataFrame(TOOL_SCHEMA, "name string, param string, type string, required boolean, min_size double, max_size double")
+    done = chat_format.format_chat(calls, results, schemas)
+    return done.select("conv_id", "level", "turn", "part", "call_id", "status", F.concat_ws("; ", "errors").alias("errors"), "json")
