@@ -97,7 +97,7 @@ def argument_errors(arguments: Column, params: Column) -> Column:
 
 def quoted(text: Column) -> Column:
     """A string as JSON; null for null."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+    return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1))
 
 
 def canonical_object(fields: dict[str, Column]) -> Column:
