@@ -76,6 +76,11 @@ def similarity(a: Column, b: Column) -> Column:
     return least / (F.size(a) + F.size(b) - least)
 
 
+def row_key(doc_id: Column, text: Column) -> dict[str, Column]:
+    """Two hashes that name a document row by its id and text."""
+    return {"k1": F.xxhash64(doc_id, text), "k2": F.xxhash64(F.lit(3), doc_id, text)}
+
+
 def item_table(benchmark: DataFrame) -> DataFrame:
     """``item_id, size, n_words, item_shingles``: one row per distinct item with words."""
     items = benchmark.select("item_id", word_hashes(text_of()).alias("w")).where(F.size("w") > 0)
@@ -101,7 +106,8 @@ def window_fingerprints(docs: DataFrame, spots: DataFrame, size: int) -> DataFra
     """The shingles and the fingerprint of each window of ``spots``."""
     keys = stored(spots.select("k1", "k2").distinct(), "leak-keys")
     near = docs.join(broadcast_if_small(keys, 16), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    near = near.select("k1", "k2", "doc_id", grams(word_hashes(F.col("text")), size).alias("g"))
+    # the word hashes are a column of their own, else every n-gram would compute them again
+    near = near.select("k1", "k2", "doc_id", word_hashes(F.col("text")).alias("w")).select("k1", "k2", "doc_id", grams(F.col("w"), size).alias("g"))
     cut = near.join(spots, ["k1", "k2"]).select(
         "k1", "k2", "doc_id", "n_words", "start", F.slice("g", F.col("start") + 1, F.col("n_words") - (size - 1)).alias("shingles"))
     return cut.withColumn("print", simhash(F.col("shingles")))
@@ -120,7 +126,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
     """One row per document and item found in it: ``doc_id, item_id, start_word, n_words,
     similarity`` of its most similar window, the first one of equals."""
     docs = docs.select("doc_id", text_of().alias("text"))
-    docs = docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(3), F.col("doc_id"), F.col("text"))})
+    docs = docs.withColumns(row_key(F.col("doc_id"), F.col("text")))
     items = stored(item_table(benchmark.select("item_id", F.col("text").cast("string").alias("text"))), "benchmark-items")
     found = None
     for size in sorted(r["size"] for r in items.select("size").distinct().collect()):  # at most SIZE values
