@@ -64,7 +64,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(paths))
     elif args.command == "dashboard":
         from motorlytics.operators.dashboards import combined_dashboard
-        _print_row(combined_dashboard(spark, req))
+        _print_row(combined_dashboard(req))
     elif args.command == "fleet":
         # rule-based scores when no model is given: latest record per motor
         from pyspark.sql import functions as F

@@ -130,15 +130,14 @@ def registry_search(registry: DataFrame, query: str) -> DataFrame:
 
 
 # D7 / D8 -------------------------------------------------------------------
-def queue_status(df: DataFrame) -> DataFrame:
+def _queue_counts() -> list[Column]:
     st = F.col("status")
-    yet = count_if(st == S.STATUS_RECEIVED)
-    work = count_if(st.isin(S.STATUS_WORK_UP))
-    user = count_if(st == S.STATUS_DISPATCHED)
-    closed = count_if(st == S.STATUS_CLOSED)
-    wide = df.agg(yet.alias("yet_to_start"), work.alias("work_up"), user.alias("user_pending"),
-                  closed.alias("repaired_closed"))
-    return wide.select(
+    return [count_if(st == S.STATUS_RECEIVED).alias("yet_to_start"), count_if(st.isin(S.STATUS_WORK_UP)).alias("work_up"),
+            count_if(st == S.STATUS_DISPATCHED).alias("user_pending"), count_if(st == S.STATUS_CLOSED).alias("repaired_closed")]
+
+
+def queue_status(df: DataFrame) -> DataFrame:
+    return df.agg(*_queue_counts()).select(
         (F.col("yet_to_start") + F.col("work_up")).alias("ers_pending"),
         "user_pending", "yet_to_start", "work_up", "repaired_closed",
         (F.col("yet_to_start") + F.col("work_up")).alias("lt_received"),
@@ -146,16 +145,22 @@ def queue_status(df: DataFrame) -> DataFrame:
     )
 
 
+def _dispatched_counts() -> list[Column]:
+    disp = F.col("status") == S.STATUS_DISPATCHED
+    svc = F.col("service_type_text")
+    return [count_if(disp).alias("dispatched"),
+            count_if(disp & contains_ci(svc, S.BEARING_SERVICE_PATTERN)).alias("bearings_required"),
+            count_if(disp & contains_ci(svc, S.SPARES_SERVICE_PATTERN)).alias("spares_required")]
+
+
+def _mechanical() -> Column:
+    return F.col("dispatched") - F.col("bearings_required") - F.col("spares_required")
+
+
 def dispatched_breakdown(df: DataFrame) -> DataFrame:
     """Dispatched jobs needing bearings / spares (rewinding or insulation);
     mechanical jobs are the rest, by subtraction."""
-    disp = F.col("status") == S.STATUS_DISPATCHED
-    svc = F.col("service_type_text")
-    wide = df.agg(count_if(disp).alias("dispatched"),
-                  count_if(disp & contains_ci(svc, S.BEARING_SERVICE_PATTERN)).alias("bearings_required"),
-                  count_if(disp & contains_ci(svc, S.SPARES_SERVICE_PATTERN)).alias("spares_required"))
-    return wide.withColumn("mechanical_jobs",
-                           F.col("dispatched") - F.col("bearings_required") - F.col("spares_required"))
+    return df.agg(*_dispatched_counts()).withColumn("mechanical_jobs", _mechanical())
 
 
 # D9 ------------------------------------------------------------------------
@@ -171,14 +176,17 @@ def power_band_expr(kw: Column) -> Column:
     return out
 
 
-def power_band_stats(spark: SparkSession, df: DataFrame) -> DataFrame:
+def _band_conditions() -> dict[str, Column]:
     st = F.col("status")
+    return {"received_outstanding": not_equal_null_true(st, S.STATUS_CLOSED), "repaired": st.isin(S.STATUS_DONE),
+            "at_ers": st.isin(S.STATUS_AT_SHOP)}
+
+
+def power_band_stats(spark: SparkSession, df: DataFrame) -> DataFrame:
     counts = (df.withColumn("band_order", power_band_expr(F.col("kw")))
               .where(F.col("band_order").isNotNull())
               .groupBy("band_order")
-              .agg(count_if(not_equal_null_true(st, S.STATUS_CLOSED)).alias("received_outstanding"),
-                   count_if(st.isin(S.STATUS_DONE)).alias("repaired"),
-                   count_if(st.isin(S.STATUS_AT_SHOP)).alias("at_ers")))
+              .agg(*[count_if(c).alias(n) for n, c in _band_conditions().items()]))
     dim = S.power_band_dim(spark)  # three rows by construction
     return (F.broadcast(dim).join(counts, "band_order", "left")
             .select("band_order", "category",
@@ -192,7 +200,11 @@ def duration_days_expr() -> Column:
     return F.coalesce(F.datediff(F.to_date(F.col("updated_at")), F.col("received_date")), F.lit(0))
 
 
-def _band_counts(dur: Column, bands, prefix: str) -> list[Column]:
+def _turnaround_rows(pattern: str) -> Column:
+    return F.col("status").isin(S.STATUS_DONE) & contains_ci(F.col("service_type_text"), pattern)
+
+
+def _band_counts(dur: Column, bands, prefix: str, rows: Column | None = None) -> list[Column]:
     cols = []
     for name, lo, hi in bands:
         cond = F.lit(True)
@@ -200,18 +212,21 @@ def _band_counts(dur: Column, bands, prefix: str) -> list[Column]:
             cond = cond & (dur > lo)
         if hi is not None:
             cond = cond & (dur <= hi)
-        cols.append(count_if(cond).alias(f"{prefix}_{name}"))
+        cols.append(count_if(cond if rows is None else rows & cond).alias(f"{prefix}_{name}"))
     return cols
 
 
+def _band_total(bands, prefix: str) -> Column:
+    total = F.lit(0)
+    for b in bands:
+        total = total + F.col(f"{prefix}_{b[0]}")
+    return total.cast("long")
+
+
 def turnaround(df: DataFrame, pattern: str, bands, prefix: str) -> DataFrame:
-    done = df.where(F.col("status").isin(S.STATUS_DONE) & contains_ci(F.col("service_type_text"), pattern))
+    done = df.where(_turnaround_rows(pattern))
     wide = done.select(duration_days_expr().alias("_dur")).agg(*_band_counts(F.col("_dur"), bands, prefix))
-    names = [f"{prefix}_{b[0]}" for b in bands]
-    total = F.col(names[0])
-    for n in names[1:]:
-        total = total + F.col(n)
-    return wide.withColumn(f"{prefix}_total", total)
+    return wide.withColumn(f"{prefix}_total", _band_total(bands, prefix))
 
 
 def turnaround_rewinding(df: DataFrame) -> DataFrame:
@@ -223,24 +238,27 @@ def turnaround_overhauling(df: DataFrame) -> DataFrame:
 
 
 # D12 -----------------------------------------------------------------------
-def combined_dashboard(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """One record: queue status (+ dispatched breakdown), power bands, turnaround."""
-    q = queue_status(df).crossJoin(dispatched_breakdown(df))
-    dashboard = q.select(F.struct(
-        F.struct(F.col("ers_pending").alias("ers"), F.col("user_pending").alias("user_dept")).alias("pending_status"),
-        F.struct("yet_to_start", "work_up").alias("pending_ers"),
-        F.struct("mechanical_jobs", "spares_required", "bearings_required").alias("pending_user"),
-        F.struct(F.col("lt_received").alias("received"), F.col("lt_repaired").alias("repaired")).alias("lt_motors"),
-    ).alias("dashboard"))
-    bands = power_band_stats(spark, df).agg(
-        F.sort_array(F.collect_list(F.struct("band_order", "category", "received_outstanding", "repaired", "at_ers")))
-        .alias("categories"))  # three rows at most
-    rew = turnaround_rewinding(df)
-    ovh = turnaround_overhauling(df)
-    ta = rew.crossJoin(ovh).select(F.struct(
-        F.struct(*[F.col(c).alias(c[4:]) for c in rew.columns]).alias("rewinding"),
-        F.struct(*[F.col(c).alias(c[4:]) for c in ovh.columns]).alias("overhauling")).alias("turnaround"))
-    return dashboard.crossJoin(bands).crossJoin(ta)
+def combined_dashboard(df: DataFrame) -> DataFrame:
+    """One record: queue status (+ dispatched breakdown), power bands, turnaround; all
+    counts come from one aggregate over one scan."""
+    band = power_band_expr(F.col("kw"))
+    groups = {"rew": (S.REWINDING_PATTERN, S.REWINDING_BANDS), "ovh": (S.OVERHAUL_PATTERN, S.OVERHAUL_BANDS)}
+    wide = df.withColumn("_dur", duration_days_expr()).agg(
+        *_queue_counts(), *_dispatched_counts(),
+        *[count_if((band == order) & c).alias(f"b{order}_{n}") for order, *_ in S.POWER_BANDS for n, c in _band_conditions().items()],
+        *[c for prefix, (pattern, bands) in groups.items() for c in _band_counts(F.col("_dur"), bands, prefix, _turnaround_rows(pattern))])
+    at_shop = F.col("yet_to_start") + F.col("work_up")
+    return wide.select(
+        F.struct(
+            F.struct(at_shop.alias("ers"), F.col("user_pending").alias("user_dept")).alias("pending_status"),
+            F.struct("yet_to_start", "work_up").alias("pending_ers"),
+            F.struct(_mechanical().alias("mechanical_jobs"), "spares_required", "bearings_required").alias("pending_user"),
+            F.struct(at_shop.alias("received"), (F.col("user_pending") + F.col("repaired_closed")).alias("repaired")).alias("lt_motors"),
+        ).alias("dashboard"),
+        F.array(*[F.struct(F.lit(name).alias("category"), *[F.col(f"b{order}_{n}").alias(n) for n in _band_conditions()])
+                  for order, name, *_ in S.POWER_BANDS]).alias("categories"),
+        F.struct(*[F.struct(*[F.col(f"{prefix}_{b[0]}").alias(b[0]) for b in bands], _band_total(bands, prefix).alias("total")).alias(name)
+                   for name, (prefix, (_, bands)) in zip(("rewinding", "overhauling"), groups.items(), strict=True)]).alias("turnaround"))
 
 
 # D14 / D15 -----------------------------------------------------------------
@@ -275,18 +293,19 @@ def weekly_received_repaired(spark: SparkSession, df: DataFrame, weeks: int = 8)
     the last ``weeks`` weeks of data, every week listed."""
     rec_week = F.to_date(F.date_trunc("week", F.col("received_date").cast("timestamp")))
     upd_week = F.to_date(F.date_trunc("week", F.col("updated_at")))
-    received = (df.where(F.col("received_date").isNotNull()).groupBy(rec_week.alias("week_start"))
-                .agg(F.count(F.lit(1)).alias("received")))
-    repaired = (df.where(F.col("status").isin(S.STATUS_DONE) & F.col("updated_at").isNotNull())
-                .groupBy(upd_week.alias("week_start")).agg(F.count(F.lit(1)).alias("repaired")))
-    last = received.select("week_start").unionByName(repaired.select("week_start")).agg(
-        F.max("week_start").alias("_last"))
-    grid = last.select(F.explode(F.sequence(F.date_sub(F.col("_last"), 7 * (weeks - 1)), F.col("_last"),
-                                            F.expr("INTERVAL 7 DAYS"))).alias("week_start"))  # `weeks` rows
-    return (grid.join(received, "week_start", "left").join(repaired, "week_start", "left")
-            .select(F.date_format("week_start", "yyyy-MM-dd").alias("week_start"),
-                    F.coalesce(F.col("received"), F.lit(0)).cast("long").alias("received"),
-                    F.coalesce(F.col("repaired"), F.lit(0)).cast("long").alias("repaired")))
+    seen = F.array(F.struct(rec_week.alias("week_start"), F.lit(1).alias("r"), F.lit(0).alias("d")),
+                   F.struct(F.when(F.col("status").isin(S.STATUS_DONE), upd_week).alias("week_start"), F.lit(0).alias("r"), F.lit(1).alias("d")))
+    # one scan; a row per week of data, reused for the last week and the counts
+    per_week = (df.select(F.inline(seen)).where(F.col("week_start").isNotNull()).groupBy("week_start")
+                .agg(F.sum("r").alias("received"), F.sum("d").alias("repaired")))
+    listed = per_week.agg(F.max("week_start").alias("_last"), F.map_from_entries(F.collect_list(F.struct(
+        "week_start", F.struct("received", "repaired")))).alias("_by_week"))
+    grid = listed.select("_by_week", F.explode(F.sequence(F.date_sub(F.col("_last"), 7 * (weeks - 1)), F.col("_last"),
+                                                          F.expr("INTERVAL 7 DAYS"))).alias("week_start"))  # `weeks` rows
+    at = F.col("_by_week")[F.col("week_start")]
+    return grid.select(F.date_format("week_start", "yyyy-MM-dd").alias("week_start"),
+                       F.coalesce(at["received"], F.lit(0)).cast("long").alias("received"),
+                       F.coalesce(at["repaired"], F.lit(0)).cast("long").alias("repaired"))
 
 
 # D18 -----------------------------------------------------------------------

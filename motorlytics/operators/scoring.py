@@ -118,9 +118,10 @@ def add_recommended_action(df: DataFrame) -> DataFrame:
 
 
 # C7 ------------------------------------------------------------------------
-def prediction_record(df: DataFrame, as_of: str, jitter: str = "mid", seed: int = 0) -> DataFrame:
+def prediction_record(df: DataFrame, as_of: str, jitter: str = "mid", seed: int = 0,
+                      keep: list[Column] | None = None) -> DataFrame:
     """Nested prediction per motor: health, label, class, two probability maps,
-    action and inspection date."""
+    action and inspection date; ``keep`` adds columns of the input."""
     scored = (df.transform(add_model_health)
               .transform(add_component_probabilities, jitter, seed)
               .transform(add_inspection_date, as_of)
@@ -130,6 +131,7 @@ def prediction_record(df: DataFrame, as_of: str, jitter: str = "mid", seed: int
     comp_probs = F.create_map(*[x for name, c in COMPONENT_COLUMNS.items() for x in (F.lit(name), F.col(c))])
     return scored.select(
         SERIAL,
+        *(keep or []),
         F.struct(
             F.col("health_score"),
             risk_label_expr(F.col("risk_class")).alias("risk_category"),
@@ -220,18 +222,16 @@ def fleet_summary_record(spark: SparkSession, s: DataFrame) -> DataFrame:
 
 
 # C14 -----------------------------------------------------------------------
-def motor_report(latest: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Motor attributes with display defaults, next to the prediction record."""
+def motor_report(scored: DataFrame, as_of: str) -> DataFrame:
+    """Motor attributes with display defaults, next to the prediction record; one pass."""
     na = F.lit("N/A")
-    meta = latest.select(
+    meta = F.struct(
         F.col(SERIAL).alias("serial_no"),
-        F.struct(
-            F.col(SERIAL).alias("serial_no"),
-            F.coalesce(F.col("equipment_type_text"), na).alias("equipment_type"),
-            F.coalesce(F.col("make"), na).alias("manufacturer"),
-            F.coalesce(F.col("installed_location"), na).alias("installed_location"),
-            F.coalesce(F.col("kw"), F.lit(0.0)).alias("kw_rating"),
-            F.coalesce(F.col("rpm"), F.lit(0)).alias("rpm"),
-            F.coalesce(F.col("motor_age_years"), F.lit(0)).alias("age_years"),
-        ).alias("metadata"))
-    return meta.join(predictions.withColumnRenamed(SERIAL, "serial_no"), "serial_no", "left")
+        F.coalesce(F.col("equipment_type_text"), na).alias("equipment_type"),
+        F.coalesce(F.col("make"), na).alias("manufacturer"),
+        F.coalesce(F.col("installed_location"), na).alias("installed_location"),
+        F.coalesce(F.col("kw"), F.lit(0.0)).alias("kw_rating"),
+        F.coalesce(F.col("rpm"), F.lit(0)).alias("rpm"),
+        F.coalesce(F.col("motor_age_years"), F.lit(0)).alias("age_years"),
+    ).alias("metadata")
+    return prediction_record(scored.drop("health_score"), as_of, keep=[meta]).withColumnRenamed(SERIAL, "serial_no")

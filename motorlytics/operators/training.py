@@ -85,12 +85,28 @@ def _class_rank(df: DataFrame, key: str, seed: int) -> DataFrame:
     return ranked.join(F.broadcast(sizes), LABEL)
 
 
+def split_quotas(df: DataFrame, test_size: float = 0.2) -> DataFrame:
+    """``label, _class_n, _quota``: ceil(test_size * n) test rows in all, shared out by
+    class in proportion; what rounding down leaves goes to the largest remainders, ties
+    to the larger class, then the smaller label."""
+    sizes = df.groupBy(LABEL).agg(F.count(F.lit(1)).alias("_class_n"))
+    total = sizes.agg(F.sum("_class_n").alias("_n")).select("_n", F.ceil(F.round(F.col("_n") * test_size, 6)).alias("_t"))
+    # one row per class: bounded by the label set
+    shared = sizes.crossJoin(F.broadcast(total)).withColumn("_exact", F.round(F.col("_class_n") * F.col("_t") / F.col("_n"), 9))
+    shared = shared.withColumn("_quota", F.floor("_exact"))
+    one = Window.partitionBy(F.lit(0))
+    rank = F.row_number().over(one.orderBy(F.desc(F.col("_exact") - F.col("_quota")), F.desc("_class_n"), LABEL))
+    left = F.col("_t") - F.sum("_quota").over(one)
+    return shared.select(LABEL, "_class_n", (F.col("_quota") + F.when(rank <= left, 1).otherwise(0)).alias("_quota"))
+
+
 def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str = "requisition_id") -> DataFrame:
-    """Adds ``is_test``: within each class the ceil(test_size * n_class) rows
-    with the smallest hash of (key, seed)."""
-    r = _class_rank(df, key, seed)
-    return r.withColumn("is_test", F.col("_rank") <= F.ceil(F.col("_class_n") * test_size)).drop(
-        "_h", "_rank", "_class_n")
+    """Adds ``is_test``: ceil(test_size * n) rows, within each class (its share by
+    ``split_quotas``) those with the smallest hash of (key, seed)."""
+    ranked = global_prefix(df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), ["_h", key], "_rank", partition=[LABEL])
+    quotas = split_quotas(df, test_size).select(F.col(LABEL).alias("_of"), "_quota")
+    r = ranked.join(F.broadcast(quotas), F.col(LABEL).eqNullSafe(F.col("_of")))
+    return r.withColumn("is_test", F.col("_rank") <= F.col("_quota")).drop("_h", "_rank", "_quota", "_of")
 
 
 def stratified_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "requisition_id") -> DataFrame:

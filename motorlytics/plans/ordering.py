@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from motorlytics.session import ensure_checkpoint_dir
+
 UNBOUNDED = Window.unboundedPreceding
 
 
@@ -100,9 +102,9 @@ def range_bounds(df: DataFrame, keycols: list[str], n_buckets: int, seed: int =
     okey = F.struct(*[F.col(c) for c in keycols])
     sample = (df.select(okey.alias("k"), F.xxhash64(*[F.col(c) for c in keycols], F.lit(seed)).alias("h"))
               .orderBy("h").limit(k).orderBy("k").collect())
-    if len(sample) <= n_buckets:
-        return []
     ks = [tuple(r["k"]) for r in sample]
+    if not ks:
+        return []
     step = len(ks) / n_buckets
     bounds = []
     for i in range(1, n_buckets):
@@ -123,40 +125,38 @@ def bucket_expr(okey: Column, bounds: list[Column]) -> Column:
     return rec(0, len(bounds))
 
 
-SMALL_INPUT_BYTES = 32 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimized plan (an upper bound for
-    aggregates and joins); None when unavailable."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001
-        return None
+#: Rows meant for one range bucket of ``global_prefix``.
+BUCKET_ROWS = 1 << 20
+#: Bounds compiled into one CASE tree; more buckets are dealt by a range exchange.
+TREE_BOUNDS = 512
 
 
 def global_prefix(df: DataFrame, order: list[str], out: str | None = None, value: Column | None = None,
-                  partition: list[str] | None = None, n_buckets: int = 64, seed: int = 42,
-                  small_input_bytes: int = SMALL_INPUT_BYTES, sums: dict[str, Column] | None = None) -> DataFrame:
+                  partition: list[str] | None = None, n_buckets: int | None = None, seed: int = 42,
+                  sums: dict[str, Column] | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` (default 1) in ascending ``order``,
     restarting per ``partition`` group. Order keys should be unique within a
     group (ties are then ordered arbitrarily but consistently).
 
-    Rows are range-bucketed on ``(partition, order)`` by sampled bounds
-    (``range_bounds``), windowed inside their bucket, and offset by the totals
-    of the earlier buckets of their group (a table of at most
-    ``n_buckets + groups`` rows). Inputs whose estimated plan size is at most
-    ``small_input_bytes`` use a single bucket.
+    Rows are range-bucketed on ``(partition, order)``, windowed inside their
+    bucket, and offset by the totals of the earlier buckets of their group (a
+    table of at most ``n_buckets + groups`` rows). The number of buckets follows
+    the counted rows (``BUCKET_ROWS`` each) and has no upper limit. Up to
+    ``TREE_BOUNDS`` of them are told by sampled bounds in an expression; beyond
+    that a range exchange deals the rows, whose bucket is then checkpointed, so
+    that every later read sees the same one.
     """
     partition = partition or []
     keycols = [*partition, *order]
     okey = F.struct(*[F.col(c) for c in keycols])
     key_type = df.select(okey.alias("k")).schema["k"].dataType
-    est = estimated_bytes(df)
-    # an input whose estimated size is small is ordered in one bucket (no
-    # sampling job); anything else is range-bucketed
-    bounds = [] if (est is not None and est <= small_input_bytes) else range_bounds(df, keycols, n_buckets, seed)
-    if bounds:
+    if n_buckets is None:
+        n_buckets = max(1, -(-df.count() // BUCKET_ROWS))
+    if n_buckets > TREE_BOUNDS:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.repartitionByRange(n_buckets, *keycols).withColumn("_bk", F.spark_partition_id()).checkpoint()
+        bucket = F.col("_bk")
+    elif n_buckets > 1 and (bounds := range_bounds(df, keycols, n_buckets, seed)):
         bucket = bucket_expr(okey, _bound_literals(bounds, key_type))
     else:
         bucket = F.lit(0)

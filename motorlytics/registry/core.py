@@ -44,7 +44,7 @@ def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
     data folder, written as Parquet under the shared checkpoint folder, and
     read back by every downstream query (scoring, dashboards, profiling and
     training read the stored feature table, as the application does)."""
-    key = (id(spark), sf_dir, "engineered")
+    key = (spark.sparkContext.applicationId, sf_dir, "engineered")
     if key not in _STAGES:
         from motorlytics.sources.io import shared_path
         out, _ = FE.engineer(requisition(spark, sf_dir))

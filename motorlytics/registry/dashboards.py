@@ -10,7 +10,7 @@ from motorlytics import schema as S
 from motorlytics.operators import dashboards as DB
 from motorlytics.operators import scoring as SC
 from motorlytics.sources import fixtures as FX
-from motorlytics.registry.core import engineered, latest, register, requisition
+from motorlytics.registry.core import ORACLE, engineered, latest, register, requisition
 from motorlytics.registry.scoring import scored
 
 
@@ -204,9 +204,27 @@ def d11(spark, sf_dir):
     return DB.turnaround_overhauling(requisition(spark, sf_dir))
 
 
-@register("d12_combined_dashboard")
+_BAND_FIELDS = ["received_outstanding", "repaired", "at_ers"]
+
+
+def _combined_sql() -> str:
+    bands = ", ".join(f"max({n}) FILTER (WHERE band_order = {o}) AS band{o}_{n}" for o, *_ in S.POWER_BANDS for n in _BAND_FIELDS)
+    return (f"SELECT q.ers_pending, q.user_pending, q.yet_to_start, q.work_up, b.mechanical_jobs, b.spares_required, b.bearings_required, "
+            f"q.lt_received, q.lt_repaired, p.*, r.*, o.* FROM ({ORACLE['d07_queue_status']}) q CROSS JOIN ({ORACLE['d08_dispatched_breakdown']}) b "
+            f"CROSS JOIN (SELECT {bands} FROM ({ORACLE['d09_power_band_stats']})) p CROSS JOIN ({ORACLE['d10_turnaround_rewinding']}) r "
+            f"CROSS JOIN ({ORACLE['d11_turnaround_overhauling']}) o")
+
+
+@register("d12_combined_dashboard", _combined_sql())
 def d12(spark, sf_dir):
-    return DB.combined_dashboard(spark, requisition(spark, sf_dir))
+    """The nested record, flattened for comparison."""
+    rec, dash = DB.combined_dashboard(requisition(spark, sf_dir)), F.col("dashboard")
+    return rec.select(
+        dash["pending_status"]["ers"].alias("ers_pending"), dash["pending_status"]["user_dept"].alias("user_pending"), "dashboard.pending_ers.*",
+        "dashboard.pending_user.*", dash["lt_motors"]["received"].alias("lt_received"), dash["lt_motors"]["repaired"].alias("lt_repaired"),
+        *[F.col("categories")[i][n].alias(f"band{o}_{n}") for i, (o, *_) in enumerate(S.POWER_BANDS) for n in _BAND_FIELDS],
+        *[F.col("turnaround")[k][n].alias(f"{prefix}_{n}") for k, prefix, bands in (("rewinding", "rew", S.REWINDING_BANDS), ("overhauling", "ovh", S.OVERHAUL_BANDS))
+          for n in [*(b[0] for b in bands), "total"]])
 
 
 @register("d13_fleet_summary")

@@ -132,9 +132,27 @@ def c06(spark, sf_dir):
             .select("equipment_serial_no", "risk_class", "recommended_action"))
 
 
-@register("c07_prediction_record")
+def _prediction_sql(extra: str = "") -> str:
+    rounded = ", ".join(f"{O.np_round_sql(c, 4)} AS {c}" for c in SC.PROBS)
+    return O.with_ctes(
+        f"SELECT equipment_serial_no AS serial_no, {extra}health_score, predicted_risk AS risk_category, risk_class, {rounded}, {', '.join(COMP_COLS)}, "
+        f"{_ACTION_CASE} AS recommended_action, strftime(DATE '{AS_OF}' + CAST({_DAYS_CASE} AS INTEGER), '%Y-%m-%d') "
+        "AS suggested_inspection_date FROM scored_components", "scored_components")
+
+
+def _flat_prediction() -> list:
+    """The nested prediction, flattened for comparison."""
+    p = F.col("prediction")
+    return [p["health_score"].alias("health_score"), p["risk_category"].alias("risk_category"), p["risk_class"].alias("risk_class"),
+            *[p["risk_probabilities"][k].alias(c) for k, c in zip(S.RISK_LABELS.values(), SC.PROBS, strict=True)],
+            *[p["failure_probabilities"][k].alias(c) for k, c in SC.COMPONENT_COLUMNS.items()],
+            p["recommended_action"].alias("recommended_action"), p["suggested_inspection_date"].alias("suggested_inspection_date")]
+
+
+@register("c07_prediction_record", _prediction_sql())
 def c07(spark, sf_dir):
-    return SC.prediction_record(scored(spark, sf_dir).drop("health_score"), AS_OF)
+    rec = SC.prediction_record(scored(spark, sf_dir).drop("health_score"), AS_OF)
+    return rec.select(F.col("equipment_serial_no").alias("serial_no"), *_flat_prediction())
 
 
 @register("c04_component_probabilities_seeded")
@@ -192,9 +210,12 @@ def c13(spark, sf_dir):
     return SC.department_risk_summary(scored(spark, sf_dir))
 
 
-@register("c14_motor_report")
+@register("c14_motor_report", _prediction_sql(
+    "coalesce(equipment_type_text, 'N/A') AS equipment_type, coalesce(make, 'N/A') AS manufacturer, "
+    "coalesce(installed_location, 'N/A') AS installed_location, coalesce(kw, 0) AS kw_rating, coalesce(rpm, 0) AS rpm, "
+    "coalesce(motor_age_years, 0) AS age_years, "))
 def c14(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    return SC.motor_report(s, SC.prediction_record(s.drop("health_score"), AS_OF))
+    return SC.motor_report(scored(spark, sf_dir), AS_OF).select("metadata.*", *_flat_prediction())
+
 
 

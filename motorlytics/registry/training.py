@@ -59,7 +59,7 @@ def m04w(spark, sf_dir):
 
 def training_sets(spark: SparkSession, sf_dir: str):
     """(train, test), prepared, split 80/20 stratified, checkpointed once."""
-    key = (id(spark), sf_dir, "split")
+    key = (spark.sparkContext.applicationId, sf_dir, "split")
     if key not in _MODELS:
         eng = TR.materialize(engineered(spark, sf_dir).select("requisition_id", "risk_category", *S.FEATURE_COLUMNS))
         split = TR.materialize(TR.stratified_split(TR.prepare(eng)))
@@ -68,7 +68,7 @@ def training_sets(spark: SparkSession, sf_dir: str):
 
 
 def trained(spark: SparkSession, sf_dir: str, kind: str):
-    key = (id(spark), sf_dir, kind)
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _MODELS:
         train, _ = training_sets(spark, sf_dir)
         if kind == "rf":

@@ -31,11 +31,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 # S1 ------------------------------------------------------------------------
-def read_requisitions_csv(spark: SparkSession, path: str, schema: T.StructType = S.REQUISITION_SCHEMA) -> DataFrame:
-    """CSV with a header row, read with an explicit schema (no inference);
-    text dates are parsed to date/timestamp (unparsable -> null)."""
-    raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return parse_dates(raw)
+def read_requisitions_csv(spark: SparkSession, path: str, schema: T.StructType = S.REQUISITION_SCHEMA,
+                          mode: str = "FAILFAST") -> DataFrame:
+    """CSV with a header row, read by column name with the types of ``schema`` (no
+    inference); text dates are parsed to date/timestamp (unparsable -> null).
+
+    Columns may stand in any order and more may be there; a missing one raises, as do
+    files of one folder whose headers differ. A value that its type cannot hold, or a row
+    of another length, raises when read (``mode="PERMISSIVE"``: becomes null)."""
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [n for n in schema.names if n not in header]
+    if missing:
+        raise ValueError(f"columns missing in {path}: {', '.join(missing)}")
+    found = T.StructType([schema[n] if n in schema.names else T.StructField(n, T.StringType()) for n in header])
+    raw = spark.read.schema(found).option("header", True).option("enforceSchema", False).option("mode", mode).csv(path)
+    return parse_dates(raw.select(*schema.names))
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -119,14 +129,14 @@ def write_evaluation_report(comparison: DataFrame, report: DataFrame, path: str)
 
 # S9 ------------------------------------------------------------------------
 class ServingSnapshot:
-    """Raw, engineered and latest-per-motor tables loaded once and shared by
-    every request: persisted and registered as temp views."""
+    """Raw, engineered and latest-per-motor tables shared by every request as temp
+    views. The first two are read where they are stored; the latest record of each
+    motor is worked out once and stored too, so nothing stays cached in the session."""
 
     def __init__(self, raw: DataFrame, engineered: DataFrame, latest: DataFrame, prefix: str = "motor"):
-        self.raw = raw.persist()
-        self.engineered = engineered.persist()
-        self.latest = latest.persist()
+        self.spark = spark = latest.sparkSession
         self.prefix = prefix
+        latest = read_table_path(spark, write_table(latest, shared_path(spark, f"{prefix}-latest")))
         raw.createOrReplaceTempView(f"{prefix}_raw")
         engineered.createOrReplaceTempView(f"{prefix}_engineered")
         latest.createOrReplaceTempView(f"{prefix}_latest")
@@ -135,5 +145,6 @@ class ServingSnapshot:
         return [f"{self.prefix}_raw", f"{self.prefix}_engineered", f"{self.prefix}_latest"]
 
     def release(self) -> None:
-        for d in (self.raw, self.engineered, self.latest):
-            d.unpersist()
+        """Drop the views."""
+        for name in self.views():
+            self.spark.catalog.dropTempView(name)

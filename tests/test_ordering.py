@@ -26,15 +26,14 @@ def test_bucketed_running_hot_key_matches_window(spark):
 
 def test_global_prefix_matches_row_number(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("x"), (F.col("id") % 3).alias("g"))
-    out = global_prefix(df, ["x"], "pos", partition=["g"], n_buckets=16, small_input_bytes=0)
+    out = global_prefix(df, ["x"], "pos", partition=["g"], n_buckets=16)
     ref = df.select("x", "g", F.row_number().over(Window.partitionBy("g").orderBy("x")).alias("pos"))
     assert sorted(tuple(r) for r in out.select("x", "g", "pos").collect()) == sorted(tuple(r) for r in ref.collect())
 
 
 def test_global_prefix_weighted(spark):
     df = spark.range(1, 301).select(F.col("id").alias("x"), F.col("id").alias("w"))
-    out = {r.x: r.c for r in global_prefix(df, ["x"], "c", value=F.col("w"), n_buckets=8,
-                                           small_input_bytes=0).collect()}
+    out = {r.x: r.c for r in global_prefix(df, ["x"], "c", value=F.col("w"), n_buckets=8).collect()}
     assert out[300] == 300 * 301 // 2 and out[10] == 55
 
 
@@ -51,7 +50,25 @@ def test_repartition_invariance(spark):
 def test_global_prefix_string_keys_and_two_sums(spark):
     df = spark.range(4000).select(F.format_string("K%05d", (F.col("id") * 7919) % 4000).alias("s"),
                                   (F.col("id") % 2).alias("a"), F.lit(1).alias("b"))
-    out = global_prefix(df, ["s"], sums={"ca": F.col("a"), "cb": F.col("b")}, n_buckets=32, small_input_bytes=0)
+    out = global_prefix(df, ["s"], sums={"ca": F.col("a"), "cb": F.col("b")}, n_buckets=32)
     w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
     ref = df.select("s", F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"))
     assert sorted(tuple(r) for r in out.select("s", "ca", "cb").collect()) == sorted(tuple(r) for r in ref.collect())
+
+
+def test_global_prefix_many_buckets_agree(spark):
+    """16 buckets (CASE tree), 600 (range exchange) and the counted default agree."""
+    df = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("x"), (F.col("id") % 2).alias("g"))
+    want = None
+    for n in (None, 16, 600):
+        got = sorted(tuple(r) for r in global_prefix(df, ["x"], "pos", partition=["g"], n_buckets=n).select("g", "x", "pos").collect())
+        want = want or got
+        assert got == want
+
+
+def test_global_prefix_bucket_count_follows_rows(spark, monkeypatch):
+    from motorlytics.plans import ordering
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 100)
+    out = global_prefix(spark.range(2500).withColumnRenamed("id", "x"), ["x"], "pos")
+    assert out.where("pos <> x + 1").count() == 0
+    assert global_prefix(spark.range(0).withColumnRenamed("id", "x"), ["x"], "pos").count() == 0
