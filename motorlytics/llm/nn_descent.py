@@ -106,6 +106,19 @@ def first_edges(nodes: DataFrame, n: int, k: int, seed: int) -> DataFrame:
     return out.withColumn("fresh", F.lit(True))
 
 
+def halved(nodes: DataFrame) -> DataFrame:
+    """``v, half``: vectors scaled by the largest component, in half precision. Enough to
+    build lists by, and a quarter of the bytes that each round sends."""
+    most = nodes.agg(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x)))).alias("m")).first().m
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = (_matrix(batch.column(1)) / most).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in x], pa.binary())], names=["v", "half"])
+
+    return nodes.select("id", "vec").mapInArrow(run, "v long, half binary").withColumn("scale", F.lit(float(most) ** 2))
+
+
 def _sampled_reverse(graph: DataFrame, k: int, seed: int) -> DataFrame:
     """Edges turned round, about ``k`` for a node that many list."""
     listed = graph.groupBy("v").agg(F.count("*").alias("n"))
@@ -114,12 +127,12 @@ def _sampled_reverse(graph: DataFrame, k: int, seed: int) -> DataFrame:
 
 
 def _introduce(per_node: int):
-    """Sorted rows (u, v, fresh, vec, worst) -> (u, v, d): nodes met at some u that improve a list."""
+    """Sorted rows (u, v, fresh, half, worst) -> (u, v, d): nodes met at some u that improve a list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def meet(table: pa.Table) -> pa.RecordBatch | None:
             u, v, fresh = (table[c].to_numpy() for c in ("u", "v", "fresh"))
             worst = table["worst"].to_numpy()
-            x = _matrix(table["vec"], np.float32)
+            x = np.frombuffer(b"".join(table["half"].to_pylist()), np.float16).astype(np.float32).reshape(len(u), -1)
             norm = (x * x).sum(1)
             cuts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1], [True])))
             got = []
@@ -162,15 +175,16 @@ def _introduce(per_node: int):
     return run
 
 
-def descend(graph: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
+def descend(graph: DataFrame, halves: DataFrame, k: int, seed: int) -> DataFrame:
     """One round: lists improved by neighbours of neighbours."""
     lists = graph.select("u", "v", "fresh").unionByName(_sampled_reverse(graph, k, seed)).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
     # a list not full yet takes anything
     worst = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
-    known = nodes.select(F.col("id").alias("v"), F.col("vec").cast("array<float>").alias("vec")).join(worst.withColumnRenamed("u", "v"), "v")
-    met = lists.join(known, "v").select("u", "v", "fresh", "vec", "worst")
-    met = met.repartition(shuffle_partitions(nodes.sparkSession), "u").sortWithinPartitions("u")
-    told = met.mapInArrow(_introduce(k // 2), EDGE).withColumn("fresh", F.lit(True))
+    known = halves.join(worst.withColumnRenamed("u", "v"), "v").withColumn("worst", (F.col("worst") / F.col("scale")).cast("float"))
+    met = lists.join(known, "v").select("u", "v", "fresh", "half", "worst")
+    met = met.repartition(shuffle_partitions(graph.sparkSession), "u").sortWithinPartitions("u")
+    scale = halves.select("scale").first()
+    told = met.mapInArrow(_introduce(k // 2), EDGE).withColumn("d", (F.col("d") * scale.scale).cast("float")).withColumn("fresh", F.lit(True))
     old = graph.withColumn("fresh", F.lit(False))
     return keep_nearest(old.unionByName(told), k)
 
@@ -178,8 +192,11 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame:
 def build_graph(nodes: DataFrame, n: int, k: int = K, rounds: int = ROUNDS, seed: int = 5) -> DataFrame:
     """``u, v, d, fresh`` over ``nodes(id, vec)``, stored after each round."""
     graph = stored(keep_nearest(first_edges(nodes, n, k, seed), k), "nn-graph")
-    for turn in range(rounds if n > BLOCK else 0):  # one block is exact already
-        graph = stored(descend(graph, nodes, k, seed + turn), "nn-graph")
+    if n <= BLOCK:  # one block is exact already
+        return graph
+    halves = stored(halved(nodes), "nn-halves")
+    for turn in range(rounds):
+        graph = stored(descend(graph, halves, k, seed + turn), "nn-graph")
     return graph
 
 
@@ -190,27 +207,33 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64())], names=["q", "c", "d"])
 
 
+def measured(pairs: DataFrame, asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``q, c, d``: squared distance, in double precision, of ``pairs(q, c)``."""
+    vectors = nodes.select(F.col("id").alias("c"), F.col("vec").alias("cv"))
+    return pairs.join(vectors, "c").join(asked, "q").select("q", "c", "qv", "cv").mapInArrow(_distances, "q long, c long, d double")
+
+
 def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM) -> DataFrame:
-    """``q, c, d``: every node looked at for each query node ``queries(q)``, with the
-    squared distance; the query itself is not among them."""
-    asked = broadcast_if_small(stored(queries.join(nodes, queries["q"] == nodes["id"]).select("q", F.col("vec").alias("qv")), "nn-queries"), 600)
+    """``q, c, d``: the ``beam`` nearest nodes found for each query node ``queries(q)``, with
+    the squared distance; the query itself is not among them. What a query keeps between
+    rounds is its beam; a node that has left it may be measured again, not expanded."""
+    asked = queries.join(nodes, queries["q"] == nodes["id"]).select("q", F.col("vec").alias("qv"))
+    asked = broadcast_if_small(stored(asked, "nn-queries"), 1024)
     lists = stored(graph.select("u", "v").unionByName(_sampled_reverse(graph, k, 99).select("u", "v")).distinct(), "nn-lists")
-    vectors = nodes.select(F.col("id").alias("c"), F.col("vec").alias("cv"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))
 
-    def measured(pairs: DataFrame) -> DataFrame:
-        return pairs.join(vectors, "c").join(asked, "q").select("q", "c", "qv", "cv").mapInArrow(_distances, "q long, c long, d double")
+    def beamed(found: DataFrame) -> DataFrame:
+        return stored(found.withColumn("r", rank).where(F.col("r") <= beam).drop("r"), "nn-beam")
 
     start = queries.join(lists, queries["q"] == lists["u"]).select("q", F.col("v").alias("c")).where("q <> c")
-    seen = stored(measured(start).withColumn("expanded", F.lit(False)), "nn-seen")
+    seen = beamed(measured(start, asked, nodes).withColumn("expanded", F.lit(False)))
     for _ in range(MAX_SEARCH_ROUNDS):
-        rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))
-        front = stored(seen.withColumn("r", rank).where(F.col("r") <= beam).where("not expanded").select("q", "c"), "nn-front")
+        front = seen.where("not expanded").select("q", "c")
         if front.isEmpty():
             break
         more = front.join(lists, front["c"] == lists["u"]).select("q", F.col("v").alias("c")).where("q <> c").distinct()
-        more = measured(more.join(seen.select("q", "c"), ["q", "c"], "left_anti")).withColumn("expanded", F.lit(False))
-        old = seen.join(front.withColumn("now", F.lit(True)), ["q", "c"], "left").select("q", "c", "d", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded"))
-        seen = stored(old.unionByName(more), "nn-seen")
+        more = measured(more.join(seen.select("q", "c"), ["q", "c"], "left_anti"), asked, nodes).withColumn("expanded", F.lit(False))
+        seen = beamed(seen.withColumn("expanded", F.lit(True)).unionByName(more))
     return seen.select("q", "c", "d")
 
 
