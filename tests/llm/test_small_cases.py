@@ -380,7 +380,7 @@ def test_nearest_exact_on_one_block_with_odd_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((150, 6)).round(2)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200 + i, x[3].tolist()) for i in range(15)] + [(0, x[0].tolist())]
-    odd = [(300, None), (301, [0.0] * 6), (302, [float("nan")] * 6), (303, [1.0, None, 1, 1, 1, 1]), (304, [float("inf")] + [1.0] * 5), (305, [1.0, 2.0]), (None, [1.0] * 6)]
+    odd = [(300, None), (301, [0.0] * 6), (302, [float("nan")] * 6), (303, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (304, [float("inf")] + [1.0] * 5), (305, [1.0, 2.0]), (None, [1.0] * 6)]
     table = spark.createDataFrame([(*r, 1.0) for r in rows + odd], "vec_id long, embedding array<double>, d double")
     got = collections.defaultdict(list)
     for r in sorted(nn_descent.nearest(table, lambda i: i % 10 == 0).collect(), key=lambda r: (r.query_id, r.rank)):
