@@ -197,21 +197,20 @@ def feature_importance(spark: SparkSession, model, features: list[str] | None =
 
 # M13 -----------------------------------------------------------------------
 def permutation_attribution(model, df: DataFrame, features: list[str] | None = None, cls: int = 2,
-                            seed: int = 7, rows_per_bucket: int = 50_000, key: str = "requisition_id") -> DataFrame:
+                            seed: int = 7, n_blocks: int = 16, key: str = "requisition_id") -> DataFrame:
     """How much each feature moves the probability of class ``cls``.
 
     For every feature, the feature's values are permuted among the rows of a
-    hash bucket (about ``rows_per_bucket`` rows each, so every permutation
-    window stays bounded as the data grows). All permuted copies are scored in
+    block (``n_blocks`` of them, by a hash of the key; a parameter, so that the
+    result of the same rows does not hang on a count). All permuted copies are scored in
     one ``transform``. Per feature: the mean absolute change of p[cls] and
     the drop in accuracy against the unpermuted rows."""
     features = features or S.FEATURE_COLUMNS
-    buckets = max(1, -(-df.count() // rows_per_bucket))
     base = predict(model, df, features).select(key, F.col("prob")[cls].alias("_p0"),
                                                (F.col("prediction") == F.col(LABEL)).cast("double").alias("_ok0"))
     feats = F.array(*[F.lit(f) for f in features])
     long = df.withColumn("_feature", F.explode(feats)).withColumn(
-        "_bucket", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets)))
+        "_bucket", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(n_blocks)))
     w_key = Window.partitionBy("_feature", "_bucket").orderBy(key)
     w_rand = Window.partitionBy("_feature", "_bucket").orderBy(F.xxhash64(F.col(key), F.col("_feature"), F.lit(seed)), key)
     value = F.coalesce(*[F.when(F.col("_feature") == f, F.col(f)) for f in features])

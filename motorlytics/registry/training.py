@@ -124,23 +124,28 @@ def m15_trained(spark, sf_dir):
 
 @register("m10_cross_validation")
 def m10(spark, sf_dir):
-    prep = TR.prepare(engineered(spark, sf_dir))
-    return TR.cross_validate(prep, lambda tr: TR.fit_random_forest(tr, {"numTrees": 10, "maxDepth": 5}), k=5)
+    """Both models, each with the parameters of its registered fit."""
+    prep = TR.materialize(TR.prepare(engineered(spark, sf_dir)))
+    fits = {MODEL_A: lambda tr: TR.fit_boosted_trees(tr, GBT_QUERY_PARAMS), MODEL_B: lambda tr: TR.fit_random_forest(tr, RF_QUERY_PARAMS)}
+    a, b = (TR.cross_validate(prep, fit, k=5).withColumn("model", F.lit(name)) for name, fit in fits.items())
+    return a.unionByName(b)
 
 
 @register("m12_feature_importance")
 def m12(spark, sf_dir):
-    return TR.feature_importance(spark, trained(spark, sf_dir, "rf"))
+    a, b = (TR.feature_importance(spark, trained(spark, sf_dir, kind)).withColumn("model", F.lit(name))
+            for name, kind in ((MODEL_A, "gbt"), (MODEL_B, "rf")))
+    return a.unionByName(b)
 
 
 @register("m13_permutation_attribution")
 def m13(spark, sf_dir):
     _, test = training_sets(spark, sf_dir)
-    return TR.permutation_attribution(trained(spark, sf_dir, "rf"), test)
+    return TR.permutation_attribution(trained(spark, sf_dir, "gbt"), test)
 
 
-def model_scored(spark: SparkSession, sf_dir: str, kind: str = "rf") -> DataFrame:
-    """Every motor's latest record scored by a fitted model (missing -> 0)."""
+def model_scored(spark: SparkSession, sf_dir: str, kind: str = "gbt") -> DataFrame:
+    """Every motor's latest record scored by the primary model (missing -> 0)."""
     from motorlytics.plans.lifecycle import score_fleet
     return score_fleet(trained(spark, sf_dir, kind), latest(spark, sf_dir))
 
@@ -153,11 +158,11 @@ def c09(spark, sf_dir):
 
 @register("d03_checklist_scored")
 def d03_scored(spark, sf_dir):
-    """What-if: checklist-adjusted features re-scored by the fitted forest."""
+    """What-if: checklist-adjusted features re-scored by the primary model."""
     counts = DB.checklist_counts(FX.inspection_items(spark, sf_dir))
     adj = DB.apply_checklist(latest(spark, sf_dir), counts).where(F.col("found"))
     feats = adj.select("serial_no", *[F.col(c).cast("double").alias(c) for c in S.FEATURE_COLUMNS])
-    pred = TR.predict(trained(spark, sf_dir, "rf"), feats)
+    pred = TR.predict(trained(spark, sf_dir, "gbt"), feats)
     p = F.col("prob")
     return pred.select("serial_no", F.col("prediction").alias("risk_class"),
                        SC.model_health_expr(p[2], p[3]).alias("health_score"))
