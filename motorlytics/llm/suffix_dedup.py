@@ -24,6 +24,7 @@ like any other; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,8 +38,9 @@ from motorlytics.llm.common import BROADCAST_BYTES, shuffle_partitions, stored
 LENGTH = 200
 #: Length of the k-grams (a power of two, at most LENGTH).
 GRAM = 64
-#: A bucket of more different strings than this is split by windows.
-HOT_STRINGS = 500
+#: A bucket of more different strings than this (about 1 MB, whose array takes some 250 MB
+#: of a task's memory and a few seconds) is split by windows.
+HOT_STRINGS = 4000
 #: Windows of a text that are looked at together; bounds the memory for very long texts.
 CHUNK = 1 << 20
 #: Enough for a position inside a chunk.
@@ -82,18 +84,18 @@ def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[i
         yield from zip(value[starts].view(np.int64).tolist(), (starts + off).tolist(), (ends - starts).tolist(), many.tolist(), strict=True)
 
 
-def suffix_array(s: list[int]) -> list[int]:
+def suffix_array(s: list[int] | np.ndarray) -> list[int]:
     """Suffix array of ``s``, whose last symbol is smaller than all others."""
     n = len(s)
-    sa = sorted(range(n), key=s.__getitem__)
-    group, size, at = [0] * n, [0] * n, [0] * n  # first position of a suffix's group; size by first position; position
-    first = 0
-    for i, x in enumerate(sa):
-        if s[x] != s[sa[first]]:
-            first = i
-        group[x] = first
-        size[first] += 1
-        at[x] = i
+    symbols = np.asarray(s)
+    order = np.argsort(symbols, kind="stable")
+    symbols = symbols[order]
+    starts = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
+    sizes = np.diff(np.append(starts, n))
+    # first position of a suffix's group; size of a group by first position; position of a suffix
+    group, size, at = np.empty(n, np.int64), np.zeros(n, np.int64), np.empty(n, np.int64)
+    group[order], size[starts], at[order] = np.repeat(starts, sizes), sizes, np.arange(n)
+    sa, group, size, at = order.tolist(), group.tolist(), size.tolist(), at.tolist()
     before = [-1] * n
     end = n
     while end > 0:
@@ -144,6 +146,7 @@ def suffix_array(s: list[int]) -> list[int]:
                     size[cut] = len(ps)
                     size[old] -= len(ps)
         end = low
+    del sa, size, at
     # emit: the smallest suffix not yet placed that a placed one leads to is next in its group
     out, slot, placed = [-1] * n, list(range(n)), [False] * n
     out[0], placed[n - 1] = n - 1, True
@@ -161,27 +164,21 @@ def suffix_array(s: list[int]) -> list[int]:
 def repeated_windows(strings: list[bytes], length: int = LENGTH) -> list[list[int]]:
     """For each of the (different) strings, the starts of its windows that occur elsewhere."""
     m = len(strings)
-    symbols: list[int] = []
-    owner: list[int] = []
-    for i, raw in enumerate(strings):
-        symbols += [b + m for b in raw]
-        symbols.append(m - 1 - i)  # all ends differ, the last is the smallest
-        owner += [i] * len(raw) + [-1]
-    starts = np.cumsum([0] + [len(r) + 1 for r in strings]).tolist()
-    text = b"\0".join(strings)
-    marked: list[set[int]] = [set() for _ in strings]
-    last = None
-    for x in suffix_array(symbols):
-        i = owner[x]
-        if i < 0 or starts[i + 1] - 1 - x < length:
-            last = None
-            continue
-        if last is not None and text[x:x + length] == text[last:last + length]:
-            j = owner[last]
-            marked[i].add(x - starts[i])
-            marked[j].add(last - starts[j])
-        last = x
-    return [sorted(found) for found in marked]
+    text = b"\0".join(strings) + b"\0"
+    lengths = np.array([len(raw) + 1 for raw in strings])
+    ends = np.cumsum(lengths) - 1
+    symbols = np.frombuffer(text, np.uint8).astype(np.int64) + m
+    symbols[ends] = np.arange(m - 1, -1, -1)  # all ends differ, the last is the smallest
+    sa = suffix_array(symbols)
+    order = np.array(sa)
+    window = order <= np.repeat(ends, lengths)[order] - length
+    marked = np.zeros(len(text), bool)
+    # suffixes between two that share `length` bytes share them too, so neighbours tell all
+    for k in np.flatnonzero(window[1:] & window[:-1]).tolist():
+        x, y = sa[k], sa[k + 1]
+        if text[x:x + length] == text[y:y + length]:
+            marked[x] = marked[y] = True
+    return [np.flatnonzero(part).tolist() for part in np.split(marked, ends[:-1] + 1)]
 
 
 def spans(starts: Iterable[int]) -> list[tuple[int, int]]:
@@ -224,7 +221,7 @@ def candidate_runs(keyed: DataFrame, wanted: DataFrame, length: int, gram: int)
     buckets is counted to be small the tasks filter, else a join does."""
     small = None
     if wanted.count() * 8 <= BROADCAST_BYTES:
-        small = keyed.sparkSession.sparkContext.broadcast(np.sort(np.array([r.v for r in wanted.collect()], np.int64)))
+        small = keyed.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["v"].to_numpy()))
     names = ["v", "c", "id0", "k1", "start", "windows", "many"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,6 +270,7 @@ def array_marks(strings: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["v", "c", "marks"])
 
         bucket: list = []
+        gc.disable()  # many small lists without cycles; the worker's collector would scan them again and again
         for batch in batches:
             made = []
             for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -284,6 +282,7 @@ def array_marks(strings: DataFrame, length: int) -> DataFrame:
             yield batch_of(made)
         if bucket:
             yield batch_of(done(bucket))
+        gc.enable()
 
     return dealt.select("v", "c", "n", "bytes").mapInArrow(run, MARKS)
 
