@@ -151,6 +151,8 @@ def _introduce(per_node: int):
             if not got:
                 return None
             who, whom, dist = (np.concatenate([g[c] for g in got]) for c in range(3))
+            if not len(who):
+                return None
             # combined before the shuffle: the same pair is met at several nodes
             order = np.lexsort((dist, whom, who))
             who, whom, dist = who[order], whom[order], dist[order]
