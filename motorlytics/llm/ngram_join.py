@@ -3,10 +3,11 @@
 Documents with equal shingle sets are one class, a row of the incidence matrix. Its
 columns are put in one global order, frequent n-grams last (a fixed-size bitmap tells
 them, found by pre-aggregated counts). Two rows whose Jaccard similarity reaches t
-share a column within their first n - ceil(t n) + 1 ones, so the product runs over
-that block of columns first: rows meet per column, and a meeting is discarded by the
-bounds that the sizes and positions put on the overlap. Pairs that survive get their
-exact overlap from the whole rows.
+share at least m columns within their first n - ceil(t n) + m ones (or all they need to
+share, if less), so the product runs over that block of columns first: rows meet per
+column, a meeting is discarded by the bounds that the sizes and positions put on the
+overlap, and a pair by its accumulated overlap in the block. Pairs that survive get
+their exact overlap from the whole rows.
 
 Only components are asked for, so a column with many rows is not multiplied out at
 once. In the first rounds each column links its rows to one of them (a minimum, hence
@@ -39,12 +40,15 @@ from motorlytics.llm.components import components
 SIZE = 5
 #: Similarity of at least PERCENT / 100.
 PERCENT = 80
+#: Columns of the first block that similar rows share at least.
+BLOCK_OVERLAP = 8
 #: Bits of the bitmap that marks frequent n-grams; a fixed size, whatever the corpus.
-BITMAP_BITS = 1 << 22
-#: An n-gram met in this many documents of a task's block is counted, and is frequent from FREQUENT on.
-BLOCK_SHINGLES = 1 << 20
-BLOCK_DOCS = 4
-FREQUENT = 12
+BITMAP_BITS = 1 << 26
+#: An n-gram met in BLOCK_DOCS documents of a task's block is counted, and is frequent from
+#: FREQUENT on. Chance meetings of common word runs thus move behind the first block.
+BLOCK_SHINGLES = 1 << 22
+BLOCK_DOCS = 2
+FREQUENT = 4
 #: Parts that a frequent column is dealt into for the first rounds.
 SALTS = 16
 #: Rounds that link the rows of a column to one of them, before the last.
@@ -114,25 +118,24 @@ def classes_and_counts(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def frequent_bitmap(counts: DataFrame) -> np.ndarray:
-    """Bitmap of ``BITMAP_BITS`` cells that hold a frequent n-gram. What comes to the
-    driver is at most one word per 64 cells, whatever the corpus."""
+    """Bitmap, as 64-bit words, of ``BITMAP_BITS`` cells that hold a frequent n-gram. What
+    comes to the driver is at most those words (8 MB), whatever the corpus."""
     often = counts.groupBy("shingle").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= FREQUENT)
     cell = F.pmod(F.col("shingle"), F.lit(BITMAP_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(cell, F.lit(64)).cast("int"))
-    words = often.select((cell / 64).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    words = often.select((cell / 64).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP_BITS // 64, np.int64)
-    for w in words:
-        bitmap[w.word] = w.bits
-    return np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return bitmap
 
 
 def prefixes(docs: DataFrame, bitmap: np.ndarray, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
     """``(doc_id, node, n, rare, prefix)``: the first ones of each non-empty row in the
     global order; the first ``rare`` of them are not frequent."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap).tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        words = shared.value
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -140,8 +143,9 @@ def prefixes(docs: DataFrame, bitmap: np.ndarray, percent: int = PERCENT, size:
                 n = len(found)
                 if not n:
                     continue
-                late = often[np.mod(found, BITMAP_BITS)]
-                keep = n - -(-percent * n // 100) + 1
+                cell = np.mod(found, BITMAP_BITS)
+                late = (words[cell >> 6] >> (cell & 63)) & 1 == 1
+                keep = n - -(-percent * n // 100) + BLOCK_OVERLAP
                 rare = found[~late][:keep]
                 rows.append((doc_id, _class(found), n, len(rare), np.concatenate([rare, found[late][:keep - len(rare)]])))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
@@ -197,6 +201,25 @@ def all_pairs(columns: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("node1").alias("a"), F.col("node2").alias("b"))
 
 
+def enough_in_block(pairs: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """``pairs(a, b)`` that share enough columns of the first block. ``blocks(node, n,
+    shingles)`` holds those columns of a row that another row has too."""
+    a = blocks.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("xa"))
+    b = blocks.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("xb"))
+    needed = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
+    shared = F.size(F.array_intersect("xa", "xb"))
+    return pairs.join(a, "a").join(b, "b").where(shared >= F.least(F.lit(BLOCK_OVERLAP), needed)).select("a", "b")
+
+
+def rows_of(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """The whole rows of the classes in ``pairs``, each read from its first document.
+    (Repeated rows of an id may give a class twice; links are made distinct later.)"""
+    nodes = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ngram-nodes")
+    ids = broadcast_if_small(stored(firsts.join(nodes, "node").select("doc_id").distinct(), "ngram-firsts"), 8)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    return stored(whole_rows(keyed, size).where("node is not null").join(nodes, "node", "left_semi"), "ngram-rows")
+
+
 def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """``pairs(a, b)`` whose whole rows reach the similarity exactly."""
     a = rows.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("ones").alias("xa"))
@@ -224,12 +247,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, counts: DataFrame, percent
     ones = ones.withColumns({"least": F.min("node").over(part), "most": F.max("node").over(part)})
     columns = stored(ones.where("often or least < most").select("shingle", "salt", "node", "n", "at"), "ngram-columns")
 
-    wanted = stored(columns.select("node").distinct(), "ngram-nodes")
-    first_ids = firsts.join(wanted, "node").select("doc_id").distinct()
-    first_ids = broadcast_if_small(stored(first_ids, "ngram-firsts"), 8)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text").join(first_ids, "doc_id", "left_semi")
-    # repeated rows of an id may give a class twice; its links are made distinct below
-    rows = stored(whole_rows(keyed, size).where("node is not null"), "ngram-rows")
+    # bounded by the first block of one document
+    blocks = stored(columns.groupBy("node", "n").agg(F.collect_list("shingle").alias("shingles")), "ngram-blocks")
 
     links = spark.createDataFrame([], "a long, b long")
     joined, tested = columns.withColumn("component", F.col("node")), links
@@ -243,7 +262,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, counts: DataFrame, percent
                 pairs = pairs.unionByName(star_pairs(parts, ["shingle"], 0, percent))
         pairs = _pairs(pairs).join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "ngram-pairs")
-        found = stored(verified(pairs, rows, percent), "ngram-links")
+        likely = stored(enough_in_block(pairs, blocks, percent), "ngram-likely")
+        found = stored(verified(likely, rows_of(docs, firsts, likely, size), percent), "ngram-links")
         links, tested = links.unionByName(found), tested.unionByName(pairs)
         if turn == 0 or not found.isEmpty():
             grouped = stored(components(links), "ngram-components")
