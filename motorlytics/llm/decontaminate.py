@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-A document's windows of an item's size are taken where the two can agree at all: at
-each alignment given by a shared shingle (a window that shares none has similarity 0,
-and between two alignments no start shares more than at one of them). Windows and items
+A window of a document that is as similar to an item as asked has at least so many
+shingles of the items of its length (sum of minima <= their number; sum of minima over
+sum of maxima >= threshold). Every start whose window has that many is taken, wherever
+the shingles stand in the item. Windows and items
 get 64-bit SimHash fingerprints of their weighted shingles (weight: how often it
 occurs). A multi-index finds every pair of fingerprints within ``RADIUS``: of eight
 8-bit blocks at least one differs in at most two bits, so each item is listed under all
@@ -91,15 +92,25 @@ def item_table(benchmark: DataFrame) -> DataFrame:
     return items.select("item_id", size.alias("size"), F.size("w").alias("n_words"), shingles.alias("item_shingles")).distinct()
 
 
-def alignments(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """``k1, k2, n_words, start``: windows (from word ``start``) that share a shingle with an
-    item of ``n_words`` words, placed where the shingle stands in the item."""
-    shared = items.select("n_words", F.posexplode("item_shingles").alias("j", "h")).distinct()
-    shared = broadcast_if_small(stored(shared, "item-shingles"), 16)
+def window_starts(docs: DataFrame, items: DataFrame, size: int, threshold: float) -> DataFrame:
+    """``k1, k2, n_words, start``: every window (from word ``start``) with as many shingles of
+    the items of ``n_words`` words as a similarity of ``threshold`` to one of them needs."""
+    shared = items.select("n_words", F.explode("item_shingles").alias("h")).distinct()
+    shared = broadcast_if_small(stored(shared, "item-shingles"), 12)
     found = docs.select("k1", "k2", word_hashes(F.col("text")).alias("w")).where(F.size("w") >= size)
     found = found.select("k1", "k2", F.size("w").alias("n"), F.posexplode(grams(F.col("w"), size)).alias("i", "h")).join(shared, "h")
-    start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("j"), F.col("n") - F.col("n_words")))
-    return found.select("k1", "k2", "n_words", start.alias("start")).distinct()
+    # places of shared shingles, bounded by one document
+    at = found.groupBy("k1", "k2", "n", "n_words").agg(F.array_sort(F.collect_set("i")).alias("at"))
+    full, whole = F.col("n_words") - (size - 1), F.col("n") - (size - 1)
+    at = at.withColumns({"full": full, "span": F.least(full, whole), "last": F.greatest(F.lit(0), F.col("n") - F.col("n_words"))})
+    need = F.ceil((F.col("span") + F.col("full")) * F.lit(threshold / (1 + threshold)) - 1e-6)
+    at = at.withColumn("need", F.greatest(F.lit(1), need).cast("int")).where(F.size("at") >= F.col("need"))
+    # starts whose window has the shared places j to j + need - 1
+    at = at.withColumn("j", F.explode(F.sequence(F.lit(0), F.size("at") - F.col("need"))))
+    low = F.greatest(F.lit(0), F.get("at", F.col("j") + F.col("need") - 1) - F.col("span") + 1)
+    high = F.least(F.get("at", F.col("j")), F.col("last"))
+    at = at.select("k1", "k2", "n_words", low.alias("low"), high.alias("high")).where("low <= high")
+    return at.select("k1", "k2", "n_words", F.explode(F.sequence("low", "high")).alias("start")).distinct()
 
 
 def window_fingerprints(docs: DataFrame, spots: DataFrame, size: int) -> DataFrame:
@@ -131,7 +142,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
     found = None
     for size in sorted(r["size"] for r in items.select("size").distinct().collect()):  # at most SIZE values
         some = items.where(F.col("size") == size)
-        spots = stored(alignments(docs, some, size), "leak-spots")
+        spots = stored(window_starts(docs, some, size, threshold), "leak-spots")
         windows = stored(window_fingerprints(docs, spots, size), "leak-windows")
         looks = windows.select("k1", "k2", "n_words", "start", "print", F.explode(
             F.array(*(F.struct(F.lit(k).alias("block"), block(F.col("print"), k).alias("value")) for k in range(BLOCKS)))).alias("b"))

@@ -262,6 +262,24 @@ def test_decontamination_equals_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == brute_leaks(docs, items)
 
 
+def test_decontamination_swapped_halves_and_edited_ends(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"f{rng.randrange(10 ** 9)}" for _ in range(n)]
+    items = [(i, " ".join(fresh(50))) for i in range(6)] + [(i, " ".join(fresh(200))) for i in range(6, 10)]
+    docs = []
+    for i, text in items:
+        item = text.split()
+        half = len(item) // 2
+        docs.append((2 * i, " ".join(fresh(rng.randint(0, 30)) + item[half:] + item[:half] + fresh(rng.randint(0, 30)))))
+        middle = rng.randint(half - 5, half + 5)
+        edited = item[:1] + fresh(1) + item[2:middle] + fresh(1) + item[middle:-2] + fresh(1) + item[-1:]
+        docs.append((2 * i + 1, " ".join(fresh(rng.randint(0, 30)) + edited + fresh(rng.randint(0, 30)))))
+    want = brute_leaks(docs, items)
+    assert {(2 * i, i) for i, _ in items} <= want
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_decontamination_empty_tables(spark):
     none, items = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.find_leaks(none, items).count() == 0
