@@ -15,7 +15,8 @@ those led to most often last, until a group is the suffixes of one Lyndon prefix
 scan then emits the order inside the groups. No names are assigned again, no recursion.
 
 A bucket of very many different strings (a passage in a third of all documents, each
-time in another context) is split further, by the windows themselves.
+time in another context) or of many bytes (long runs of one byte or a short period share
+a bucket) is split further, by the windows themselves.
 
 Defined results: null is empty; texts shorter than ``length`` repeat nothing; rows that
 repeat a doc_id, whole rows included, are places of their own; a null doc_id is judged
@@ -30,7 +31,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motorlytics.llm.common import BROADCAST_BYTES, shuffle_partitions, stored
@@ -38,9 +39,12 @@ from motorlytics.llm.common import BROADCAST_BYTES, shuffle_partitions, stored
 LENGTH = 200
 #: Length of the k-grams (a power of two, at most LENGTH).
 GRAM = 64
-#: A bucket of more different strings than this (about 1 MB, whose array takes some 250 MB
-#: of a task's memory and a few seconds) is split by windows.
+#: A bucket of more different strings than this, or of more bytes in them (the array of
+#: 1 MB takes some 250 MB of a task's memory and a few seconds), is split by windows.
 HOT_STRINGS = 4000
+HOT_BYTES = 3 << 19
+#: Windows that a task hashes before it sends their rows on.
+SLICE = 1 << 16
 #: Windows of a text that are looked at together; bounds the memory for very long texts.
 CHUNK = 1 << 20
 #: Enough for a position inside a chunk.
@@ -290,25 +294,43 @@ def array_marks(strings: DataFrame, length: int) -> DataFrame:
 def window_marks(strings: DataFrame, length: int) -> DataFrame:
     """The same for hot buckets, which are split until each part is one window: equal
     windows are counted by their 128-bit hash, with partial counts before the shuffle."""
+    def batch_of(rows: list) -> pa.RecordBatch:
+        v, c, n, digests, at = zip(*rows, strict=True)
+        h = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (v, c, n, h[:, 0], h[:, 1])), pa.array(at, pa.list_(pa.int32()))],
+                                          names=["v", "c", "n", "h1", "h2", "at"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            rows = []
-            for v, c, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for o in range(len(raw) - length + 1):
-                    h = xxhash.xxh3_128_intdigest(raw[o:o + length])
-                    rows.append((v, c, n, o, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["v", "c", "n", "o", "h1", "h2"])
-
-    windows = stored(strings.select("v", "c", "n", "bytes").dropDuplicates(["v", "c"]).mapInArrow(run, "v long, c long, n long, o int, h1 long, h2 long"), "suffix-windows")
-    often = windows.groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").select("h1", "h2")
-    hit = windows.where("n = 1").join(often, ["h1", "h2"], "left_semi")
-    # a window range per repeated start; ranges are merged when the document is cut
-    return hit.groupBy("v", "c").agg(F.collect_list(F.struct(F.col("o").alias("a"), (F.col("o") + 1).alias("b"))).alias("marks"))
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_STRINGS) -> DataFrame:
+            for v, c, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                raw = raw.as_py()
+                total = len(raw) - length + 1
+                for off in range(0, total, SLICE):
+                    until = min(off + SLICE, total)
+                    at: dict[bytes, list[int]] = {}  # equal windows of a slice are one row
+                    for o in range(off, until):
+                        at.setdefault(xxhash.xxh3_128_digest(raw[o:o + length]), []).append(o)
+                    rows += [(v, c, n, h, places) for h, places in at.items()]
+                    size += until - off
+                    if size >= SLICE:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    windows = strings.select("v", "c", "n", "bytes").dropDuplicates(["v", "c"]).mapInArrow(run, "v long, c long, n long, h1 long, h2 long, at array<int>")
+    windows = stored(windows, "suffix-windows")
+    often = windows.groupBy("h1", "h2").agg(F.sum(F.col("n") * F.size("at")).alias("times")).where("times > 1").select("h1", "h2")
+    hit = windows.where("n = 1").join(often, ["h1", "h2"], "left_semi").select("v", "c", F.explode("at").alias("o"))
+    # neighbouring starts of a string (at most CHUNK) are one range
+    island = F.col("o") - F.row_number().over(Window.partitionBy("v", "c").orderBy("o"))
+    hit = hit.withColumn("island", island).groupBy("v", "c", "island").agg(F.min("o").alias("a"), (F.max("o") + 1).alias("b"))
+    return hit.groupBy("v", "c").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_STRINGS,
+                   hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``doc_id, n_bytes, n_removed, n_spans, kept`` (binary:
     the remaining bytes; a cut may fall inside a character), one row per document row."""
     keyed = _keyed(docs)
@@ -316,8 +338,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     found = stored(candidate_runs(keyed, wanted, length, gram), "suffix-runs")
     place = F.struct("id0", "k1", "start", "windows")
     strings = stored(found.groupBy("v", "c").agg(F.count("*").alias("n"), F.max("many").alias("many"), F.min(place).alias("place")), "suffix-strings")
-    mixed = strings.groupBy("v").agg(F.count("*").alias("different"), F.min("n").alias("least"), F.max("many").alias("many"))
-    mixed = mixed.where("(different > 1 and least = 1) or many").select("v", (F.col("different") > hot).alias("hot"))
+    mixed = strings.groupBy("v").agg(F.count("*").alias("different"), F.min("n").alias("least"), F.max("many").alias("many"),
+                                      F.sum(F.col("place.windows").cast("long") + (length - 1)).alias("held"))
+    mixed = mixed.where("(different > 1 and least = 1) or many").select("v", ((F.col("different") > hot) | (F.col("held") > hot_bytes)).alias("hot"))
     places = strings.join(mixed, "v").select("place.*", "v", "c", "n", "hot")
     cut = stored(cut_strings(keyed, places, length), "suffix-cut")
     marks = array_marks(cut.where("not hot"), length).unionByName(window_marks(cut.where("hot"), length))

@@ -178,6 +178,21 @@ def test_suffix_dedup_chunks_long_texts(monkeypatch):
     assert [s for _, s, _, _ in found][0] == 0 and sum(w for _, _, w, _ in found) == 1000 - 39
 
 
+def test_suffix_dedup_splits_buckets_of_many_bytes(spark, monkeypatch):
+    ends = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMN"  # each in one document only
+    rows = [(i, end + (" " if i % 2 else "-=") * (60_000 + 777 * i) + end) for i, end in enumerate(ends)]
+    arrays, most = suffix_dedup.array_marks, []
+
+    def seen(strings, length):
+        most.append(strings.groupBy("v").agg(F.sum(F.length("bytes")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return arrays(strings, length)
+
+    monkeypatch.setattr(suffix_dedup, "array_marks", seen)
+    got = {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept).decode()) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: (len(t) - 2, 1, 2 * ends[i]) for i, t in rows}
+    assert max(most) <= 2 << 20
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
