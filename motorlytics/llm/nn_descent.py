@@ -5,7 +5,10 @@ Building. Each vector starts with its nearest neighbours inside a few random blo
 NN-descent then improves the lists in rounds of Spark joins: a node's neighbours and a
 sample of those that list it are brought together with their vectors, and every two of
 them of which one is new tell each other their distance, if it beats the worst entry
-of the other's list. Reverse lists are sampled to about ``k``, told from pre-aggregated
+of the other's list; rounds end when few entries change. Vectors travel in the table's
+own precision; distances are taken in double precision, again by differences where the
+product form would lose digits or overflow, so one huge vector or a group of near copies
+does not blur the others. Reverse lists are sampled to about ``k``, told from pre-aggregated
 counts, so no node gathers an unbounded list.
 
 Searching. Each query is a node of the graph. Its candidates start as its own and
@@ -34,14 +37,18 @@ from pyspark.sql import functions as F
 from motorlytics.llm.common import broadcast_if_small, hash128, shuffle_partitions, stored
 
 K = 24
-ROUNDS = 3
+#: Rounds end when at most this share of the list entries is new, or after ROUNDS.
+CHANGED = 0.001
+ROUNDS = 30
 BEAM = 160
 MAX_SEARCH_ROUNDS = 24
 BLOCK = 4096
 BLOCK_PASSES = 4
 #: Vectors looked at to place the hyperplanes of the first blocks.
 PLANE_SAMPLE = 2000
-EDGE = "u long, v long, d float"
+#: Rows of a block that are compared with the whole block at once; pairs compared by differences at once.
+SLAB, PAIRS = 512, 1 << 15
+EDGE = "u long, v long, d double"
 
 
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -68,16 +75,56 @@ def keep_nearest(edges: DataFrame, k: int) -> DataFrame:
     return one.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
+def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of ``a`` and ``b``, by their differences."""
+    with np.errstate(over="ignore", under="ignore"):
+        gap = np.abs(a - b)
+        square = (gap * gap).sum(1)
+        out = np.sqrt(square)
+        # scaled where squares overflow or vanish
+        odd = np.flatnonzero(~((square > 1e-200) & (square < 1e300)) & gap.any(1))
+        most = gap[odd].max(1, initial=0)
+        odd, most = odd[np.isfinite(most)], most[np.isfinite(most)]
+        out[odd] = most * np.sqrt(((gap[odd] / most[:, None]) ** 2).sum(1))
+    return out
+
+
+def _pairwise(x: np.ndarray, norm: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Distances of the rows ``low`` to ``high`` from all rows of ``x`` (itself: infinite)."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        both = norm[low:high, None] + norm[None]
+        square = both - 2 * x[low:high] @ x.T
+        sure = (square > 1e-8 * both) & (square > 1e-200) & (square < 1e300)
+        d = np.sqrt(np.maximum(square, 0))
+    own = np.arange(low, high)
+    sure[own - low, own] = True
+    i, j = np.nonzero(~sure)
+    for at in range(0, len(i), PAIRS):
+        some, others = i[at:at + PAIRS], j[at:at + PAIRS]
+        d[some, others] = _between(x[low + some], x[others])
+    d[own - low, own] = np.inf
+    return d
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", under="ignore"):
+        return (x * x).sum(1)
+
+
 def _block_edges(k: int):
     def run(table: pa.Table) -> pa.Table:
-        ids, x = table["id"].to_numpy(), _matrix(table["vec"], np.float32)
-        d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ x.T + (x * x).sum(1)[None], 0)
-        np.fill_diagonal(d, np.inf)
+        ids, x = table["id"].to_numpy(), _matrix(table["vec"])
         m = min(k, len(ids) - 1)
         if m <= 0:
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "d": pa.array([], pa.float32())})
-        near = np.argpartition(d, m - 1, axis=1)[:, :m]
-        return pa.table({"u": np.repeat(ids, m), "v": ids[near].ravel(), "d": np.take_along_axis(d, near, 1).ravel().astype(np.float32)})
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
+        norm, parts = _norms(x), []
+        for low in range(0, len(ids), SLAB):
+            d = _pairwise(x, norm, low, min(low + SLAB, len(ids)))
+            near = np.argpartition(d, m - 1, axis=1)[:, :m]
+            parts.append((np.repeat(ids[low:low + SLAB], m), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
+        u, v, d = (np.concatenate(c) for c in zip(*parts, strict=True))
+        other = u != v
+        return pa.table({"u": u[other], "v": v[other], "d": d[other]})
     return run
 
 
@@ -90,7 +137,7 @@ def first_edges(nodes: DataFrame, n: int, k: int, seed: int) -> DataFrame:
     out = None
     for turn in range(BLOCK_PASSES if bits else 1):
         planes = rng.standard_normal((x.shape[1], bits))
-        middle = np.median(x @ planes, axis=0) if bits else np.zeros(0)
+        middle = np.nanmedian(x @ planes, axis=0) if bits else np.zeros(0)
 
         def coded(batches: Iterator[pa.RecordBatch], planes=planes, middle=middle, bits=bits) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -106,17 +153,14 @@ def first_edges(nodes: DataFrame, n: int, k: int, seed: int) -> DataFrame:
     return out.withColumn("fresh", F.lit(True))
 
 
-def halved(nodes: DataFrame) -> DataFrame:
-    """``v, half``: vectors scaled by the largest component, in half precision. Enough to
-    build lists by, and a quarter of the bytes that each round sends."""
-    most = nodes.agg(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x)))).alias("m")).first().m
-
+def packed(nodes: DataFrame, kind: str) -> DataFrame:
+    """``v, raw``: the bytes of the vectors as numbers of ``kind``, that of the table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = (_matrix(batch.column(1)) / most).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in x], pa.binary())], names=["v", "half"])
+            x = _matrix(batch.column(1), kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in x], pa.binary())], names=["v", "raw"])
 
-    return nodes.select("id", "vec").mapInArrow(run, "v long, half binary").withColumn("scale", F.lit(float(most) ** 2))
+    return nodes.select("id", "vec").mapInArrow(run, "v long, raw binary")
 
 
 def _sampled_reverse(graph: DataFrame, k: int, seed: int) -> DataFrame:
@@ -126,21 +170,20 @@ def _sampled_reverse(graph: DataFrame, k: int, seed: int) -> DataFrame:
     return graph.join(listed, "v").where(draw).select(F.col("v").alias("u"), F.col("u").alias("v"), "fresh")
 
 
-def _introduce(per_node: int):
-    """Sorted rows (u, v, fresh, half, worst) -> (u, v, d): nodes met at some u that improve a list."""
+def _introduce(per_node: int, kind: str):
+    """Sorted rows (u, v, fresh, raw, worst) -> (u, v, d): nodes met at some u that improve a list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def meet(table: pa.Table) -> pa.RecordBatch | None:
             u, v, fresh = (table[c].to_numpy() for c in ("u", "v", "fresh"))
             worst = table["worst"].to_numpy()
-            x = np.frombuffer(b"".join(table["half"].to_pylist()), np.float16).astype(np.float32).reshape(len(u), -1)
-            norm = (x * x).sum(1)
+            x = np.frombuffer(b"".join(table["raw"].to_pylist()), kind).astype(np.float64).reshape(len(u), -1)
+            norm = _norms(x)
             cuts = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1], [True])))
             got = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a < 2 or not fresh[a:b].any():
                     continue
-                y = x[a:b]
-                d = np.maximum(norm[a:b, None] - 2 * y @ y.T + norm[None, a:b], 0)
+                d = _pairwise(x[a:b], norm[a:b], 0, b - a)
                 useful = (fresh[a:b, None] | fresh[None, a:b]) & (d < worst[a:b, None]) & (v[a:b, None] != v[None, a:b])
                 d = np.where(useful, d, np.inf)
                 m = min(per_node, b - a - 1)
@@ -157,7 +200,7 @@ def _introduce(per_node: int):
             order = np.lexsort((dist, whom, who))
             who, whom, dist = who[order], whom[order], dist[order]
             first = np.concatenate(([True], (who[1:] != who[:-1]) | (whom[1:] != whom[:-1])))
-            return pa.RecordBatch.from_arrays([pa.array(who[first]), pa.array(whom[first]), pa.array(dist[first].astype(np.float32))], names=["u", "v", "d"])
+            return pa.RecordBatch.from_arrays([pa.array(who[first]), pa.array(whom[first]), pa.array(dist[first])], names=["u", "v", "d"])
 
         held: pa.Table | None = None
         for batch in batches:
@@ -177,47 +220,51 @@ def _introduce(per_node: int):
     return run
 
 
-def descend(graph: DataFrame, halves: DataFrame, k: int, seed: int) -> DataFrame:
+def descend(graph: DataFrame, raws: DataFrame, k: int, seed: int, kind: str) -> DataFrame:
     """One round: lists improved by neighbours of neighbours."""
-    lists = graph.select("u", "v", "fresh").unionByName(_sampled_reverse(graph, k, seed)).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+    parts = shuffle_partitions(graph.sparkSession)
+    lists = graph.select("u", "v", "fresh").unionByName(_sampled_reverse(graph, k, seed)).repartition(parts, "u").groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+    # where none is fresh, nobody is introduced
+    lists = lists.withColumn("any", F.max("fresh").over(Window.partitionBy("u"))).where("any").drop("any")
     # a list not full yet takes anything
-    worst = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
-    known = halves.join(worst.withColumnRenamed("u", "v"), "v").withColumn("worst", (F.col("worst") / F.col("scale")).cast("float"))
-    met = lists.join(known, "v").select("u", "v", "fresh", "half", "worst")
-    met = met.repartition(shuffle_partitions(graph.sparkSession), "u").sortWithinPartitions("u")
-    scale = halves.select("scale").first()
-    told = met.mapInArrow(_introduce(k // 2), EDGE).withColumn("d", (F.col("d") * scale.scale).cast("float")).withColumn("fresh", F.lit(True))
+    worst = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("worst"))
+    known = raws.join(worst.withColumnRenamed("u", "v"), "v")
+    met = lists.join(known, "v").select("u", "v", "fresh", "raw", "worst")
+    met = met.repartition(parts, "u").sortWithinPartitions("u")
+    told = met.mapInArrow(_introduce(k // 2, kind), EDGE).withColumn("fresh", F.lit(True))
     old = graph.withColumn("fresh", F.lit(False))
     return keep_nearest(old.unionByName(told), k)
 
 
-def build_graph(nodes: DataFrame, n: int, k: int = K, rounds: int = ROUNDS, seed: int = 5) -> DataFrame:
+def build_graph(nodes: DataFrame, n: int, k: int = K, rounds: int = ROUNDS, seed: int = 5, kind: str = "<f8") -> DataFrame:
     """``u, v, d, fresh`` over ``nodes(id, vec)``, stored after each round."""
     graph = stored(keep_nearest(first_edges(nodes, n, k, seed), k), "nn-graph")
     if n <= BLOCK:  # one block is exact already
         return graph
-    halves = stored(halved(nodes), "nn-halves")
+    raws = stored(packed(nodes, kind), "nn-raws")
     for turn in range(rounds):
-        graph = stored(descend(graph, halves, k, seed + turn), "nn-graph")
+        graph = stored(descend(graph, raws, k, seed + turn, kind), "nn-graph")
+        if graph.where("fresh").count() <= CHANGED * k * n:
+            break
     return graph
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = _matrix(batch.column(2)), _matrix(batch.column(3))
-        d = ((a - b) ** 2).sum(1) if batch.num_rows else np.empty(0)
+        d = _between(a, b) if batch.num_rows else np.empty(0)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64())], names=["q", "c", "d"])
 
 
 def measured(pairs: DataFrame, asked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``q, c, d``: squared distance, in double precision, of ``pairs(q, c)``."""
+    """``q, c, d``: distance, in double precision, of ``pairs(q, c)``."""
     vectors = nodes.select(F.col("id").alias("c"), F.col("vec").alias("cv"))
     return pairs.join(vectors, "c").join(asked, "q").select("q", "c", "qv", "cv").mapInArrow(_distances, "q long, c long, d double")
 
 
 def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM) -> DataFrame:
     """``q, c, d``: the ``beam`` nearest nodes found for each query node ``queries(q)``, with
-    the squared distance; the query itself is not among them. What a query keeps between
+    the distance; the query itself is not among them. What a query keeps between
     rounds is its beam; a node that has left it may be measured again, not expanded."""
     asked = queries.join(nodes, queries["q"] == nodes["id"]).select("q", F.col("vec").alias("qv"))
     asked = broadcast_if_small(stored(asked, "nn-queries"), 1024)
@@ -254,7 +301,8 @@ def nearest(table: DataFrame, query_ids, id_col: str = "vec_id", vector_col: str
     asked = members.where(query_ids(F.col("id")))
     if n == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    graph = build_graph(nodes, n, k, rounds)
+    kind = "<f4" if dict(table.dtypes)[vector_col] == "array<float>" else "<f8"
+    graph = build_graph(nodes, n, k, rounds, kind=kind)
     seen = greedy_search(graph, nodes, asked.select(F.col("node").alias("q")).distinct(), k, beam)
 
     # the nearest nodes of each query node, with itself at distance 0 for its copies
@@ -267,4 +315,4 @@ def nearest(table: DataFrame, query_ids, id_col: str = "vec_id", vector_col: str
     few = part.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("r") <= top + 1).select(F.col("node").alias("c"), F.col("id").alias("vec_id"))
     found = best.join(few, "c").join(asked.select(F.col("id").alias("query_id"), F.col("node").alias("q")), "q").where("vec_id <> query_id")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))).where(F.col("rank") <= top)
-    return ranked.select("query_id", "rank", "vec_id", F.sqrt("d").alias("score"))
+    return ranked.select("query_id", "rank", "vec_id", F.col("d").alias("score"))

@@ -441,6 +441,22 @@ def test_nn_descent_recall_over_several_blocks(spark, monkeypatch):
     assert hits / 300 >= 0.9
 
 
+def test_nn_descent_with_a_huge_outlier_and_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "BLOCK", 128)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.standard_normal((500, 16)), 3 + 1e-6 * rng.standard_normal((60, 16)), rng.standard_normal((1, 16))])
+    x[-1, 0] = 1e200
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = [*range(0, 500, 25), *range(500, 560, 5)]
+    got = nn_descent.nearest(table, lambda i: i.isin(asked), beam=60).toPandas()
+    hits = 0
+    for q in asked:
+        d = ((x[:-1] - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id))
+    assert hits / (10 * len(asked)) >= 0.95
+
+
 def test_nearest_of_nothing_and_of_one(spark):
     kind = "vec_id long, embedding array<float>"
     assert nn_descent.nearest(spark.createDataFrame([], kind), lambda i: i >= 0).count() == 0
