@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorlytics.llm import (bpe_automaton, chat_format, decontaminate, line_runs, ngram_join, nn_descent, quality_fm,
-                             suffix_dedup, token_rollup, url_filter)
+from motorlytics.llm import (bpe_automaton, chat_format, decontaminate, line_runs, ngram_join, nn_descent, phrase_mining,
+                             quality_fm, secret_scan, suffix_dedup, token_rollup, url_filter, whitening)
 from motorlytics.llm.common import shuffle_partitions, stored
 from motorlytics.sources.io import shared_path
 from motorlytics.sources.tables import read_table
@@ -229,3 +229,49 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     schemas = spark.createDataFrame(TOOL_SCHEMA, "name string, param string, type string, required boolean, min_size double, max_size double")
     done = chat_format.format_chat(calls, results, schemas)
     return done.select("conv_id", "level", "turn", "part", "call_id", "status", F.concat_ws("; ", "errors").alias("errors"), "json")
+
+
+# 11 -------------------------------------------------------------------------
+@register("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"])
+
+
+# 12 -------------------------------------------------------------------------
+PHRASE_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+     p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+     w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+     s AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+     g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+           FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)),
+     f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+     c AS (SELECT * FROM f WHERE k >= 2),
+     h AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.lang = c.lang AND b.k > c.k AND 100 * b.f >= 100 * c.f
+                                             AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' '))),
+     u AS (SELECT h.*, cut, array_to_string(list_slice(string_split(phrase, ' '), 1, cut), ' ') AS head,
+                  array_to_string(list_slice(string_split(phrase, ' '), cut + 1, k), ' ') AS tail
+           FROM (SELECT *, unnest(range(1, k)) AS cut FROM h) h),
+     x AS (SELECT u.lang, u.phrase, u.f AS a, cut, l.f AS l, r.f AS r, s.n AS n,
+                  (1000::HUGEINT * u.f::HUGEINT * s.n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+           FROM u JOIN f l ON l.lang = u.lang AND l.phrase = u.head JOIN f r ON r.lang = u.lang AND r.phrase = u.tail JOIN s ON s.lang = u.lang),
+     y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+     z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM y)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM z WHERE rank <= 2000
+"""
+
+
+@register("op12_phrase_collocations", PHRASE_SQL)
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine(documents(spark, sf_dir).select("text", "lang"))
+
+
+# 13 -------------------------------------------------------------------------
+@register("op13_secret_scans")
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    number = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(number(k) for k in secret_scan.BASE_KINDS),
+                        F.sha2(secret_scan.span_list("secrets", secret_scan.BASE_KINDS).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.span_list("secrets").alias("spans"))
