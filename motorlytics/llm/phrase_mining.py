@@ -1,23 +1,23 @@
 """Phrase collocations by vertical partitioning of the word suffixes.
 
 Every word of a text starts a suffix, cut off after ``max_words`` words, at the end of its
-piece, or before a word that is too rare to be part of a phrase. Counts of phrases are the
-counts of the nodes of the tree of these suffixes, which is built in independent parts:
-
-1. Levels. Words are counted; the suffixes of a word that starts more than ``budget`` of
-   them do not fit one part, so its two-word prefixes are counted, of those too frequent
-   the three-word ones, and so on. Each level is a pass over the texts with counts
-   combined in the task before the shuffle.
-2. Groups. The prefixes at which this ends are dealt into groups whose counted suffixes
-   stay within twice the budget (their number is doubled until the exact loads do).
-3. Subtrees. Each group is one task's work: its suffixes, combined in the map tasks, are
-   sorted by words; runs of equal first words are the nodes, their counts the sums of the
-   leaves below. Only nodes of ``min_count`` or more leave the task.
-
-What tasks must know of the corpus (frequent words and prefixes, prefixes to extend)
-travels as bitmaps of a fixed size, by hash. A false hit keeps suffixes that could have
-gone, or extends a prefix that need not be; it never changes a count, since the level
-table of a prefix's depth counts it whenever the one before it is marked.
+piece, or before a word or pair of words too rare to be part of a phrase. Counts of
+phrases are the counts of the nodes of the tree of these suffixes, which is built in
+independent parts:
+
+1. Rare words and pairs. Words are counted, then pairs of frequent words by a 40-bit hash,
+   each combined in the task before the shuffle. Tasks learn which are frequent from
+   bitmaps of a fixed size, by hash; a collision or false hit keeps suffixes that could
+   have gone, it never changes a count.
+2. Prefixes. The suffixes left, combined in the task and stored, are counted by first word;
+   those of a word with more than ``budget`` of them by their first two words, of these
+   again the too large ones by three, and so on; a bitmap marks the too large. A prefix
+   marked by a false hit is only counted a level deeper than it need be.
+3. Groups. The prefixes at which this ends are dealt into groups of at most twice the
+   budget (their number is doubled until the exact loads keep to that).
+4. Subtrees. Each group is one task's work: its suffixes are sorted by words; runs of equal
+   first words are the nodes, their counts the sums of the leaves below. Only nodes of
+   ``min_count`` or more leave the task. Nodes above the groups are the prefixes counted.
 
 Scores are whole-number divisions of 38-digit decimals.
 
@@ -42,9 +42,10 @@ from pyspark.sql import functions as F
 from motorlytics.llm.common import broadcast_if_small, stored
 
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
-#: Suffixes that may start with one prefix of a group; about 100 bytes each in a task.
-BUDGET = 1 << 18
-BITS = 1 << 23
+#: Suffixes that may start with one prefix of a group; about 300 bytes each in a task.
+BUDGET = 1 << 17
+BITS = 1 << 24
+PAIR_KEYS = 1 << 40
 #: Bytes of text that are cut into words at once.
 SLICE = 4 << 20
 NO_LANG = "und"
@@ -112,131 +113,114 @@ def _slice(mapped: np.ndarray, starts: np.ndarray, lo: int, of_text: np.ndarray,
 
 
 # -- bitmaps ---------------------------------------------------------------
-def bit_of() -> Column:
-    """Place of a prefix (``lang, phrase``) in a bitmap; tasks compute the same."""
-    return F.crc32(F.concat(F.col("lang"), F.lit("\0"), F.col("phrase")).cast("binary")) % BITS
+def hashed(phrase: str) -> Column:
+    """Hash of a phrase and its language; tasks compute the same."""
+    return F.crc32(F.concat(F.col("lang"), F.lit("\0"), F.col(phrase)).cast("binary"))
 
 
-def bitmap(prefixes: DataFrame) -> np.ndarray:
-    """Bits of ``lang, phrase`` rows; at most BITS / 64 rows reach the driver."""
-    slots = prefixes.select(bit_of().alias("bit")).select(F.expr("bit div 64").alias("slot"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("word"))
+def bitmap(keys: DataFrame) -> bytes:
+    """Bits of the ``key`` column; at most BITS / 64 rows reach the driver."""
+    slots = keys.select((F.col("key") % BITS).alias("bit")).select(F.expr("bit div 64").alias("slot"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("word"))
     rows = slots.groupBy("slot").agg(F.expr("bit_or(word)").alias("word")).toArrow()
     words = np.zeros(BITS // 64, np.int64)
     words[rows["slot"].to_numpy()] = rows["word"].to_numpy()
-    return np.unpackbits(words.view(np.uint8), bitorder="little")
+    return words.tobytes()
 
 
-class Marks(NamedTuple):
-    """Packed bitmaps by depth: prefixes frequent enough, prefixes to extend."""
-    frequent: list[bytes]
-    extended: list[bytes]
+def _marked(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = keys % (len(bits) * 8)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _unpacked(marks: Marks) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    return tuple([np.unpackbits(np.frombuffer(m, np.uint8)).astype(bool) for m in maps] for maps in marks)
+def _marker(marks: bytes) -> Callable[[str], Column]:
+    @F.pandas_udf("boolean")
+    def marked(key: pd.Series) -> pd.Series:
+        return pd.Series(_marked(key.to_numpy(), np.frombuffer(marks, np.uint8)))
+    return marked
 
 
 # -- suffixes of a slice ---------------------------------------------------
-class Suffixes:
-    """Prefixes of the suffixes of a slice, depth by depth. ``key[i]`` names the first
-    words, as many as the depth, of the suffix at ``at[i]`` within the slice."""
-
-    def __init__(self, words: Words, frequent: np.ndarray | None, max_words: int) -> None:
-        self.words, self.depth, self.hashed = words, 1, (0, None)
-        both = words.code * len(words.langs) + words.lang
-        self.key, values = pd.factorize(both)
-        self.at = np.arange(len(both))
-        if frequent is not None:
-            alive = self.bits(frequent)[self.key]
-            self.keep(alive)
-            # a suffix goes on while the next word is in the same piece and frequent
-            self.one, self.n_one = pd.factorize(both)[0], len(values)
-            self.follows = np.zeros(len(both) + max_words, bool)
-            self.follows[1:len(both)] = (words.piece[1:] == words.piece[:-1]) & alive[1:]
-
-    def keep(self, which: np.ndarray) -> None:
-        self.key, self.at = self.key[which], self.at[which]
-
-    def phrases(self) -> tuple[np.ndarray, pa.Array, pa.Array]:
-        """The keys in use, with language and text of each."""
-        place = np.full(int(self.key.max(initial=-1)) + 1, -1, np.int64)
-        place[self.key] = self.at
-        used = np.flatnonzero(place >= 0)
-        return used, *self.texts(place[used], np.full(len(used), self.depth))
-
-    def texts(self, place: np.ndarray, depth: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        w = self.words
-        lang = pa.array(w.langs, pa.string()).take(pa.array(w.lang[place]))
-        columns = [w.dictionary.take(pa.array(np.where(k < depth, w.code[np.minimum(place + k, len(w.code) - 1)], 0), mask=k >= depth)) for k in range(int(depth.max(initial=1)))]
-        return lang, pc.binary_join_element_wise(*columns, " ", null_handling="skip")
-
-    def bits(self, marks: np.ndarray) -> np.ndarray:
-        """For every key, whether its prefix is marked."""
-        if self.hashed[0] != self.depth:
-            used, lang, text = self.phrases()
-            at = np.zeros(int(self.key.max(initial=-1)) + 1, np.int64)
-            pairs = zip(lang.cast(pa.binary()).to_pylist(), text.cast(pa.binary()).to_pylist())
-            at[used] = np.fromiter((zlib.crc32(b"%b\0%b" % pair) for pair in pairs), np.int64, len(used))
-            self.hashed = self.depth, at
-        return marks[self.hashed[1] % len(marks)]
-
-    def extend(self) -> None:
-        """One word more; suffixes that end here go."""
-        self.keep(self.follows[self.at + self.depth])
-        self.key = pd.factorize(self.key * self.n_one + self.one[self.at + self.depth])[0]
-        self.depth += 1
-
-    def counts(self) -> pa.RecordBatch:
-        used, lang, text = self.phrases()
-        n = np.bincount(self.key, minlength=1)[used].astype(np.int64)
-        return pa.RecordBatch.from_arrays([lang, text, pa.array(n)], names=["lang", "phrase", "f"])
-
-
-def _level_counts(depth: int, marks: Marks, max_words: int, slice_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of the ``depth``-word prefixes whose shorter ones are all marked."""
+def _word_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each occurrence's word and language, and a small number for the two."""
+    both = words.code * len(words.langs) + words.lang
+    small, values = pd.factorize(both)
+    terms = words.dictionary.cast(pa.binary()).to_pylist()
+    langs = pa.array(words.langs, pa.string()).cast(pa.binary()).to_pylist()
+    code, lang = np.divmod(values, len(langs))
+    crc = np.fromiter((zlib.crc32(b"%b\0%b" % (langs[g], terms[w])) for w, g in zip(code.tolist(), lang.tolist())), np.int64, len(values))
+    return crc[small], small
+
+
+def _texts(words: Words, place: np.ndarray, length: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Language and space-joined words, ``length`` of them, from each place on."""
+    lang = pa.array(words.langs, pa.string()).take(pa.array(words.lang[place]))
+    last = len(words.code) - 1
+    columns = [words.dictionary.take(pa.array(words.code[np.minimum(place + k, last)], mask=k >= length)) for k in range(int(length.max(initial=1)))]
+    return lang, pc.binary_join_element_wise(*columns, " ", null_handling="skip")
+
+
+def _pairs(words: Words, crc: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word: whether it and the next are frequent words of one piece, and the
+    key of the two."""
+    known = _marked(crc, frequent)
+    joined = np.zeros(len(crc), bool)
+    joined[:-1] = (words.piece[1:] == words.piece[:-1]) & known[1:] & known[:-1]
+    key = np.zeros(len(crc), np.int64)
+    mixed = crc[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+    key[:-1] = (mixed.astype(np.int64) + crc[1:] * 251) % PAIR_KEYS
+    return joined, key
+
+
+def _each_slice(slice_bytes: int, work: Callable[[Words], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, extended = _unpacked(marks)
         for batch in batches:
             for words in words_of(batch, slice_bytes):
-                s = Suffixes(words, frequent[0] if depth > 1 else None, max_words)
-                for d in range(1, depth):
-                    s.keep(s.bits(extended[d - 1])[s.key])
-                    s.extend()
-                if len(s.key):
-                    yield s.counts()
+                done = work(words)
+                if done is not None:
+                    yield done
     return run
 
 
-def _records(marks: Marks, max_words: int, slice_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Combined suffixes longer than the prefix they are grouped by: ``lang, suffix,
-    depth`` (words of that prefix) and ``c``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, extended = _unpacked(marks)
-        for batch in batches:
-            for words in words_of(batch, slice_bytes):
-                s = Suffixes(words, frequent[0], max_words)
-                places, depths = [], []
-                for d in range(1, max_words):
-                    more = s.bits(extended[d - 1])[s.key] if d <= len(extended) else np.zeros(len(s.key), bool)
-                    fits = ~more & s.bits(frequent[d - 1])[s.key] & s.follows[s.at + d]
-                    places.append(s.at[fits])
-                    depths.append(np.full(int(fits.sum()), d))
-                    s.keep(more)
-                    if not len(s.key):
-                        break
-                    s.extend()
-                place, depth = np.concatenate(places), np.concatenate(depths)
-                if not len(place):
-                    continue
-                length, key, going = np.ones(len(place), np.int64), s.one[place], np.ones(len(place), bool)
-                for k in range(1, max_words):
-                    going &= s.follows[place + k]
-                    length += going
-                    key = pd.factorize(key * (s.n_one + 1) + np.where(going, s.one[np.minimum(place + k, len(s.one) - 1)] + 1, 0))[0]
-                first = np.zeros(int(key.max()) + 1, np.int64)
-                first[key] = np.arange(len(key))
-                lang, text = s.texts(place[first], length[first])
-                yield pa.RecordBatch.from_arrays([lang, text, pa.array(depth[first], pa.int32()), pa.array(np.bincount(key), pa.int64())], names=["lang", "suffix", "depth", "c"])
+def _count_words(words: Words) -> pa.RecordBatch:
+    both = words.code * len(words.langs) + words.lang
+    n = np.bincount(both)
+    used = np.flatnonzero(n)
+    code, lang = np.divmod(used, len(words.langs))
+    return pa.RecordBatch.from_arrays([pa.array(words.langs, pa.string()).take(pa.array(lang)), words.dictionary.take(pa.array(code)), pa.array(n[used], pa.int64())],
+                                      names=["lang", "phrase", "f"])
+
+
+def _count_pairs(frequent: bytes) -> Callable[[Words], pa.RecordBatch | None]:
+    bits = np.frombuffer(frequent, np.uint8)
+
+    def run(words: Words) -> pa.RecordBatch | None:
+        joined, key = _pairs(words, _word_hashes(words)[0], bits)
+        code, keys = pd.factorize(key[joined])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.bincount(code), pa.int64())], names=["key", "f"]) if len(keys) else None
+    return run
+
+
+def _suffixes(frequent: bytes, pairs: bytes, max_words: int) -> Callable[[Words], pa.RecordBatch | None]:
+    """Suffixes of two words or more, equal ones of a slice combined."""
+    word_bits, pair_bits = np.frombuffer(frequent, np.uint8), np.frombuffer(pairs, np.uint8)
+
+    def run(words: Words) -> pa.RecordBatch | None:
+        crc, small = _word_hashes(words)
+        joined, key = _pairs(words, crc, word_bits)
+        joined &= _marked(key, pair_bits)
+        place = np.flatnonzero(joined)
+        if not len(place):
+            return None
+        goes_on, n_small = np.append(joined, np.zeros(max_words, bool)), int(small.max()) + 2
+        length, same, going = np.ones(len(place), np.int64), small[place], np.ones(len(place), bool)
+        for k in range(1, max_words):
+            going &= goes_on[place + k - 1]
+            length += going
+            same = pd.factorize(same * n_small + np.where(going, small[np.minimum(place + k, len(small) - 1)] + 1, 0))[0]
+        one = np.zeros(int(same.max()) + 1, np.int64)
+        one[same] = np.arange(len(same))
+        lang, text = _texts(words, place[one], length[one])
+        return pa.RecordBatch.from_arrays([lang, text, pa.array(length[one], pa.int32()), pa.array(np.bincount(same), pa.int64())], names=["lang", "suffix", "words", "c"])
     return run
 
 
@@ -276,44 +260,57 @@ def _subtree(max_words: int, min_count: int) -> Callable[[pa.Table], pa.Table]:
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS,
                   min_count: int = MIN_COUNT, budget: int = BUDGET, slice_bytes: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, f`` of all phrases of up to ``max_words`` words that occur
-    ``min_count`` times or more, and ``lang, n`` of all words; both stored."""
+    ``min_count`` times or more, and ``lang, n`` of all words."""
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"))
-    marks, nodes, ends = Marks([], []), [], []
+    counted = rows.mapInArrow(_each_slice(slice_bytes, _count_words), "lang string, phrase string, f long")
+    counted = stored(counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "phrase-words")
+    sizes = stored(counted.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-sizes")
+    words = counted.where(F.col("f") >= min_count)
+    if max_words < 2:
+        return words, sizes
+    frequent = bitmap(words.select(hashed("phrase").alias("key")))
+    pairs = rows.mapInArrow(_each_slice(slice_bytes, _count_pairs(frequent)), "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    pairs = bitmap(pairs.where(F.col("f") >= min_count))
+    suffixes = rows.mapInArrow(_each_slice(slice_bytes, _suffixes(frequent, pairs, max_words)), "lang string, suffix string, words int, c long")
+    return words.unionByName(tree_nodes(stored(suffixes, "phrase-suffixes"), max_words, min_count, budget)), sizes
+
+
+def tree_nodes(suffixes: DataFrame, max_words: int, min_count: int, budget: int) -> DataFrame:
+    """``lang, phrase, f`` of the nodes of two words or more of the tree of ``suffixes``."""
+    schema = "lang string, phrase string, f long"
+    left, parts, loads, nodes = suffixes, [], [], []
     for depth in range(1, max_words + 1):
-        parts = rows.mapInArrow(_level_counts(depth, marks, max_words, slice_bytes), "lang string, phrase string, f long")
-        counted = stored(parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")), f"phrase-level-{depth}")
-        if depth == 1:
-            sizes = stored(counted.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-words")
-        frequent, large = counted.where(F.col("f") >= min_count), counted.where(F.col("f") > budget)
-        nodes.append(frequent)
+        by_prefix = left.withColumn("phrase", F.expr(f"substring_index(suffix, ' ', {depth})"))
+        counted = by_prefix.groupBy("lang", "phrase").agg(F.sum("c").alias("f"), F.count("c").alias("held"))
         if depth == max_words:
+            nodes.append(counted.where(F.col("f") >= min_count).select("lang", "phrase", "f"))
             break
-        marks = Marks([*marks.frequent, np.packbits(bitmap(frequent)).tobytes()], marks.extended)
-        ends.append(frequent.where(F.col("f") <= budget))
+        counted = stored(counted, f"phrase-prefixes-{depth}").withColumn("key", hashed("phrase"))
+        if depth > 1:
+            nodes.append(counted.where(F.col("f") >= min_count).select("lang", "phrase", "f"))
+        large = counted.where((F.col("held") > budget) & (F.col("f") >= min_count))
+        loads.append(counted.where(F.col("f") >= min_count).where(F.col("held") <= budget).select("key", "held"))
+        by_prefix = by_prefix.where(F.col("words") > depth).withColumns({"key": hashed("phrase"), "depth": F.lit(depth)})
         if large.isEmpty():
+            parts.append(by_prefix)
             break
-        marks = Marks(marks.frequent, [*marks.extended, np.packbits(bitmap(large)).tobytes()])
-    if max_words > 1:
-        nodes.append(_grouped(rows, ends, marks, max_words, min_count, budget, slice_bytes))
-    out = nodes[0]
-    for more in nodes[1:]:
-        out = out.unionByName(more)
-    return out, sizes
+        by_prefix = by_prefix.withColumn("more", _marker(bitmap(large))("key"))
+        parts.append(by_prefix.where(~F.col("more")).drop("more"))
+        left = by_prefix.where("more").drop("phrase", "key", "depth", "more")
+    load = stored(_union(loads), "phrase-loads")
+    groups = max(1, -(-(load.agg(F.sum("held")).first()[0] or 0) // budget))
+    while (load.groupBy((F.col("key") % groups).alias("g")).agg(F.sum("held").alias("held")).agg(F.max("held")).first()[0] or 0) > 2 * budget:
+        groups = 2 * groups + 1
+    dealt = _union(parts).withColumn("g", F.col("key") % groups).select("g", "lang", "suffix", "depth", "c")
+    nodes.append(stored(dealt.groupBy("g").applyInArrow(_subtree(max_words, min_count), schema), "phrase-nodes"))
+    return _union(nodes)
 
 
-def _grouped(rows: DataFrame, ends: list[DataFrame], marks: Marks, max_words: int, min_count: int, budget: int, slice_bytes: int) -> DataFrame:
-    prefixes = ends[0]
-    for more in ends[1:]:
-        prefixes = prefixes.unionByName(more)
-    hashed = lambda c: F.crc32(F.concat(F.col("lang"), F.lit("\0"), c).cast("binary"))
-    load = stored(prefixes.select(hashed(F.col("phrase")).alias("h"), "f"), "phrase-loads")
-    groups = max(1, -(-(load.agg(F.sum("f")).first()[0] or 0) // budget))
-    while (load.groupBy((F.col("h") % groups).alias("g")).agg(F.sum("f").alias("f")).agg(F.max("f")).first()[0] or 0) > 2 * budget:
-        groups = 2 * groups + 1
-    records = rows.mapInArrow(_records(marks, max_words, slice_bytes), "lang string, suffix string, depth int, c long")
-    records = records.withColumn("g", hashed(F.expr("substring_index(suffix, ' ', depth)")) % groups)
-    done = records.groupBy("g").applyInArrow(_subtree(max_words, min_count), "lang string, phrase string, f long")
-    return stored(done, "phrase-nodes")
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def collocations(counts: DataFrame, sizes: DataFrame, top: int | None = TOP, max_words: int = MAX_WORDS) -> DataFrame:
@@ -321,7 +318,7 @@ def collocations(counts: DataFrame, sizes: DataFrame, top: int | None = TOP, max
     lowest score over their cuts, without those that a longer phrase of the same count
     holds; each language's first ``top``."""
     counts = stored(counts, "phrase-counts")
-    small = broadcast_if_small(counts, 64)
+    small = broadcast_if_small(counts, 250)
     words = F.split("phrase", " ")
     phrases = counts.withColumn("w", words).where(F.size("w") >= 2)
     # a longer phrase with the same count implies one of one word more

