@@ -71,7 +71,7 @@ def apply_checklist(motors: DataFrame, counts: DataFrame, key: str = "serial_no"
         "winding_failure_count": F.col("winding_failure_count") + F.col("add_winding"),
         "rotor_failure_count": F.col("rotor_failure_count") + F.col("add_rotor"),
         "insulation_failure_count": F.col("insulation_failure_count") + F.col("add_insulation"),
-        "repair_count": (F.col("repair_count") + gen).cast("int"),
+        "repair_count": (F.col("repair_count") + gen).cast("long"),
         "previous_refurb_count": F.col("previous_refurb_count") + gen,
         "days_since_last_repair": F.when(gen > 0, F.least(F.col("days_since_last_repair"),
                                                           F.lit(S.CHECKLIST_GAP_CAP_DAYS)))

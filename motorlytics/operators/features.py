@@ -9,13 +9,10 @@ from pyspark.sql import functions as F
 
 from motorlytics import schema as S
 from motorlytics.functions.expr import clip01, hash_normal, np_round
-from motorlytics.plans.ordering import bucketed_running, global_prefix
+from motorlytics.plans.ordering import global_prefix, segmented_running
 from motorlytics.session import ensure_checkpoint_dir
 
 SERIAL = "equipment_serial_no"
-# history buckets: (date missing, date, id >> CHUNK_BITS). Monotone in the
-# motor's row order, so a motor with a huge history spreads over many tasks.
-CHUNK_BITS = 20
 
 
 # F1 ------------------------------------------------------------------------
@@ -60,16 +57,12 @@ def add_repair_history(df: DataFrame, compat_nan: bool = False) -> DataFrame:
     requisition id (a stable sort of rows in id order gives the same).
     """
     d = F.col("received_date")
-    buckets = {
-        "_b_nodate": d.isNull(),
-        "_b_date": F.coalesce(d, F.lit("1970-01-01").cast("date")),
-        "_b_chunk": F.shiftright(F.coalesce(F.col("requisition_id"), F.lit(0)), CHUNK_BITS),
-    }
+    order = {"_o_nodate": d.isNull(), "_o_date": d, "_o_id": F.col("requisition_id")}
     sums = {"previous_refurb_count": refurb_flag(F.col("previous_refurbishment_job_no"), compat_nan)}
     for reason, col_name in S.TRACKED_FAILURES.items():
         sums[col_name] = F.when(F.col("reason_of_failure_text") == reason, 1).otherwise(0)
-    out = bucketed_running(
-        df, SERIAL, buckets, [F.col("requisition_id")],
+    out = segmented_running(
+        df, SERIAL, order,
         sums={k: v.cast("long") for k, v in sums.items()},
         lags={"_prev_received": d},
         position="repair_count",

@@ -91,7 +91,7 @@ def _failure_running() -> str:
 HISTORY = f"""
 SELECT r.*,
   CAST({S.DEFAULT_AS_OF_YEAR} - motor_manufacturing_year AS INTEGER) AS motor_age_years,
-  CAST(row_number() OVER ({_W}) AS INTEGER) AS repair_count,
+  CAST(row_number() OVER ({_W}) AS BIGINT) AS repair_count,
   CAST(coalesce(datediff('day', lag(received_date) OVER ({_W}), received_date), {S.FIRST_REPAIR_GAP_DAYS}) AS INTEGER)
     AS days_since_last_repair,
   CAST(sum(CASE WHEN coalesce(previous_refurbishment_job_no, '') <> '' THEN 1 ELSE 0 END) OVER ({_WC}) AS BIGINT)

@@ -3,13 +3,13 @@
 Two helpers replace windows that would otherwise put one whole group (or the
 whole table) into a single task:
 
-``bucketed_running``
-    running sums / row position / lag inside each key, ordered by time, where
-    one key may hold a large share of all rows. The key's history is cut into
-    buckets that are monotone in the order (e.g. ``(date, id div 2^20)``); each
-    bucket is windowed on its own, bucket totals (one row per bucket) are
-    prefix-summed per key, and the offsets are joined back. A hot key is
-    therefore spread over as many tasks as it has buckets.
+``segmented_running``
+    running sums / row position / lag inside each key, where one key may hold a
+    large share of all rows: a segmented scan. Rows are dealt by ranges of the
+    whole (key, order) tuple, told from a sample, so a task's share does not
+    hang on how rows are spread over keys; each partition is windowed on its
+    own; and only the few keys that a range bound cuts carry their totals from
+    one partition to the next.
 
 ``global_prefix``
     a running sum in a total order over the whole table (or over a few large
@@ -30,58 +30,73 @@ from motorlytics.session import ensure_checkpoint_dir
 UNBOUNDED = Window.unboundedPreceding
 
 
-def bucketed_running(df: DataFrame, key: str, buckets: dict[str, Column], order: list[Column],
-                     sums: dict[str, Column] | None = None, lags: dict[str, Column] | None = None,
-                     position: str | None = None) -> DataFrame:
-    """Per ``key``, rows ordered by ``(*buckets, *order)``.
+def segments(df: DataFrame, key: str, order: list[str], partitions: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with ``_pid``, the range of the (key, order) tuple that a row falls into,
+    and the keys that lie in more than one range (None if there is one range).
 
-    ``buckets`` must be non-null columns whose lexicographic order agrees with
-    the row order; ``order`` orders rows inside one bucket.
-    Adds: each ``sums`` name = inclusive running sum; each ``lags`` name =
-    value of the expression on the previous row of the key; ``position`` =
-    1-based row number within the key. Rows with a null key get nulls.
+    There is a range for each shuffle partition unless told otherwise. Up to
+    ``TREE_BOUNDS`` bounds come from ``SEGMENT_SAMPLE`` sampled tuples a range, so a
+    range is within some 30 % of the mean. More ranges are dealt by Spark's own
+    range exchange and checkpointed, so that every later read sees the same ones.
     """
-    sums = sums or {}
-    lags = lags or {}
-    bcols = list(buckets)
-    part = [key, *bcols]
-    prepared = df.withColumns({**buckets,
-                               **{f"_v_{n}": c for n, c in sums.items()},
-                               **{f"_l_{n}": c for n, c in lags.items()}})
-    w_in = Window.partitionBy(*part).orderBy(*order)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n > TREE_BOUNDS:
+        ensure_checkpoint_dir(df.sparkSession)
+        dealt = df.repartitionByRange(n, key, *order).withColumn("_pid", F.spark_partition_id()).checkpoint()
+        ends = dealt.groupBy("_pid").agg(F.min(key).alias("a"), F.max(key).alias("b"))
+        return dealt, ends.select(F.explode(F.array("a", "b")).alias(key)).where(F.col(key).isNotNull()).distinct()
+    okey = F.struct(F.col(key), *[F.col(c) for c in order])
+    bounds = range_bounds(df, [key, *order], n, per_bucket=SEGMENT_SAMPLE) if n > 1 else []
+    if not bounds:
+        return df.withColumn("_pid", F.lit(0)), None
+    types = df.select(okey.alias("k")).schema["k"].dataType
+    dealt = df.withColumn("_pid", bucket_expr(okey, _bound_literals(bounds, types)))
+    cut = sorted({b[0] for b in bounds if b[0] is not None})
+    return dealt, df.sparkSession.createDataFrame([(c,) for c in cut], T.StructType([T.StructField(key, df.schema[key].dataType)]))
+
+
+def segmented_running(df: DataFrame, key: str, order: dict[str, Column], sums: dict[str, Column] | None = None,
+                      lags: dict[str, Column] | None = None, position: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Per ``key``, rows ordered by the ``order`` expressions (named helper columns, nulls
+    first; unique per key).
+
+    Adds: each ``sums`` name = inclusive running sum; each ``lags`` name = value of the
+    expression on the previous row of the key; ``position`` = 1-based row number within
+    the key (long). Rows with a null key get nulls.
+
+    The wide rows are shuffled once, to the partition of their range. Keys that bounds
+    cut - no more than there are bounds - are aggregated beforehand, by (range, key), and
+    the prefix of these totals joins back as the carry: at most two rows a bound.
+    """
+    sums, lags, ocols = sums or {}, lags or {}, list(order)
+    rows = df.withColumns({**order, **{f"_v_{n}": c for n, c in sums.items()}, **{f"_l_{n}": c for n, c in lags.items()}})
+    rows, cut = segments(rows, key, ocols, partitions)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the partition id is the range, so a window by (range, key) needs no further exchange
+    dealt = rows.repartitionById(n, F.col("_pid")) if cut is not None and n <= TREE_BOUNDS else rows
+    w_in = Window.partitionBy("_pid", key).orderBy(*ocols)
     w_cum = w_in.rowsBetween(UNBOUNDED, Window.currentRow)
-    inner = prepared.select(
-        "*",
-        F.row_number().over(w_in).alias("_rn_in"),
-        *[F.sum(f"_v_{n}").over(w_cum).alias(f"_in_{n}") for n in sums],
-        *[F.lag(f"_l_{n}").over(w_in).alias(f"_inlag_{n}") for n in lags],
-    )
-    # one row per (key, bucket); the input is already partitioned by these keys
-    totals = inner.groupBy(*part).agg(
-        F.count(F.lit(1)).alias("_cnt"),
-        *[F.sum(f"_v_{n}").alias(f"_tot_{n}") for n in sums],
-        *[F.max_by(f"_l_{n}", "_rn_in").alias(f"_last_{n}") for n in lags],
-    )
-    w_key = Window.partitionBy(key).orderBy(*bcols)
-    w_before = w_key.rowsBetween(UNBOUNDED, -1)
-    offsets = totals.select(
-        *part,
-        F.coalesce(F.sum("_cnt").over(w_before), F.lit(0)).alias("_off_rn"),
-        *[F.coalesce(F.sum(f"_tot_{n}").over(w_before), F.lit(0)).alias(f"_off_{n}") for n in sums],
-        *[F.lag(f"_last_{n}").over(w_key).alias(f"_prev_{n}") for n in lags],
-    )
-    joined = inner.join(offsets, on=part, how="left")
-    has_key = F.col(key).isNotNull()
-    out = {}
-    if position:
-        out[position] = F.when(has_key, (F.col("_rn_in") + F.col("_off_rn")).cast("int"))
-    for n in sums:
-        out[n] = F.when(has_key, F.col(f"_in_{n}") + F.col(f"_off_{n}"))
-    for n in lags:
-        out[n] = F.when(has_key, F.when(F.col("_rn_in") == 1, F.col(f"_prev_{n}"))
-                        .otherwise(F.col(f"_inlag_{n}")))
-    helper = [c for c in joined.columns if c.startswith("_")] + bcols
-    return joined.withColumns(out).drop(*helper)
+    out = dealt.select("*", F.row_number().over(w_in).cast("long").alias("_rn"),
+                       *[F.sum(f"_v_{c}").over(w_cum).alias(f"_in_{c}") for c in sums],
+                       *[F.lag(f"_l_{c}").over(w_in).alias(f"_inlag_{c}") for c in lags])
+    if cut is not None:
+        few = F.broadcast(cut) if n <= TREE_BOUNDS else cut  # a key for each bound at most
+        totals = rows.join(few, key, "left_semi").groupBy("_pid", key).agg(
+            F.count(F.lit(1)).alias("_cnt"), *[F.sum(f"_v_{c}").alias(f"_tot_{c}") for c in sums],
+            *[F.max_by(f"_l_{c}", F.struct(*ocols)).alias(f"_last_{c}") for c in lags])
+        w_key = Window.partitionBy(key).orderBy("_pid")
+        w_before = w_key.rowsBetween(UNBOUNDED, -1)
+        carry = totals.select("_pid", key, F.sum("_cnt").over(w_before).alias("_off_rn"),
+                              *[F.sum(f"_tot_{c}").over(w_before).alias(f"_off_{c}") for c in sums],
+                              *[F.lag(f"_last_{c}").over(w_key).alias(f"_prev_{c}") for c in lags])
+        out = out.join(F.broadcast(carry) if n <= TREE_BOUNDS else carry, ["_pid", key], "left")
+    else:
+        out = out.withColumns({"_off_rn": F.lit(0), **{f"_off_{c}": F.lit(0) for c in sums}, **{f"_prev_{c}": F.lit(None) for c in lags}})
+    has_key, zero = F.col(key).isNotNull(), F.lit(0)
+    new = {position: F.col("_rn") + F.coalesce("_off_rn", zero)} if position else {}
+    new |= {c: F.col(f"_in_{c}") + F.coalesce(f"_off_{c}", zero) for c in sums}
+    new |= {c: F.when(F.col("_rn") == 1, F.col(f"_prev_{c}")).otherwise(F.col(f"_inlag_{c}")) for c in lags}
+    return out.select(*df.columns, *(F.when(has_key, v).alias(c) for c, v in new.items()))
 
 
 def _bound_literals(rows: list, key_type: T.StructType) -> list[Column]:
@@ -89,16 +104,16 @@ def _bound_literals(rows: list, key_type: T.StructType) -> list[Column]:
             for r in rows]
 
 
-def range_bounds(df: DataFrame, keycols: list[str], n_buckets: int, seed: int = 42) -> list:
+def range_bounds(df: DataFrame, keycols: list[str], n_buckets: int, seed: int = 42, per_bucket: int = 20) -> list:
     """Up to ``n_buckets - 1`` split points for the struct of ``keycols``,
     ascending in Spark's own ordering.
 
-    One job: the ``20 * n_buckets`` rows with the smallest hash of the key are
+    One job: the ``per_bucket * n_buckets`` rows with the smallest hash of the key are
     a uniform sample without replacement (Spark takes a per-partition top-k
     and merges, so at most that many rows reach the driver); Spark then sorts
     that sample by the key.
     """
-    k = 20 * n_buckets
+    k = per_bucket * n_buckets
     okey = F.struct(*[F.col(c) for c in keycols])
     sample = (df.select(okey.alias("k"), F.xxhash64(*[F.col(c) for c in keycols], F.lit(seed)).alias("h"))
               .orderBy("h").limit(k).orderBy("k").collect())
@@ -125,6 +140,8 @@ def bucket_expr(okey: Column, bounds: list[Column]) -> Column:
     return rec(0, len(bounds))
 
 
+#: Tuples sampled for each range of ``segments``.
+SEGMENT_SAMPLE = 100
 #: Rows meant for one range bucket of ``global_prefix``.
 BUCKET_ROWS = 1 << 20
 #: Bounds compiled into one CASE tree; more buckets are dealt by a range exchange.

@@ -72,7 +72,7 @@ SELECT c.serial_no, l.equipment_serial_no IS NOT NULL AS found,
   l.winding_failure_count + c.add_winding AS winding_failure_count,
   l.rotor_failure_count + c.add_rotor AS rotor_failure_count,
   l.insulation_failure_count + c.add_insulation AS insulation_failure_count,
-  CAST(l.repair_count + c.add_general AS INTEGER) AS repair_count,
+  CAST(l.repair_count + c.add_general AS BIGINT) AS repair_count,
   l.previous_refurb_count + c.add_general AS previous_refurb_count,
   CAST(CASE WHEN c.add_general > 0 THEN least(l.days_since_last_repair, {S.CHECKLIST_GAP_CAP_DAYS})
        ELSE l.days_since_last_repair END AS INTEGER) AS days_since_last_repair

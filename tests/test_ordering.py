@@ -3,25 +3,64 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from motorlytics.plans.ordering import bucketed_running, global_prefix
+from motorlytics.plans.ordering import global_prefix, segmented_running, segments
 
 
-def test_bucketed_running_hot_key_matches_window(spark):
-    n = 3000
-    df = spark.range(n).select(
+def _history(spark, n=3000, hot=3):
+    """Rows of one hot key (1 in ``hot``), fifty others and a null one, with null dates."""
+    return spark.range(n).select(
         F.col("id").alias("rid"),
-        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise((F.col("id") % 50).cast("string")).alias("k"),
-        (F.col("id") % 17).alias("d"),
+        F.when(F.col("id") % hot == 0, F.lit("HOT")).when(F.col("id") % 50 != 7, (F.col("id") % 50).cast("string")).alias("k"),
+        F.when(F.col("id") % 13 != 0, F.col("id") % 17).alias("d"),
         (F.col("id") % 4 == 0).cast("long").alias("v"))
-    # tiny buckets: the hot key is spread over hundreds of (d, rid div 8) buckets
-    out = bucketed_running(df, "k", {"_b1": F.col("d"), "_b2": F.shiftright(F.col("rid"), 3)}, [F.col("rid")],
-                           sums={"cum_v": F.col("v")}, lags={"prev_rid": F.col("rid")}, position="pos")
-    w = Window.partitionBy("k").orderBy("d", "rid")
-    ref = df.select("rid", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum_v"),
-                    F.lag("rid").over(w).alias("prev_rid"), F.row_number().over(w).alias("pos"))
-    a = sorted(tuple(r) for r in out.select("rid", "cum_v", "prev_rid", "pos").collect())
-    b = sorted(tuple(r) for r in ref.collect())
-    assert a == b
+
+
+def _plain(df):
+    w = Window.partitionBy("k").orderBy(F.col("d").isNull(), "d", "rid")
+    has = F.col("k").isNotNull()
+    return sorted((tuple(r) for r in df.select("rid", F.when(has, F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("cum_v"),
+                  F.when(has, F.lag("rid").over(w)).alias("prev_rid"), F.when(has, F.row_number().over(w)).alias("pos")).collect()))
+
+
+def _segmented(df, partitions):
+    order = {"_n": F.col("d").isNull(), "_d": F.col("d"), "_r": F.col("rid")}
+    out = segmented_running(df, "k", order, sums={"cum_v": F.col("v")}, lags={"prev_rid": F.col("rid")}, position="pos", partitions=partitions)
+    assert out.columns == [*df.columns, "pos", "cum_v", "prev_rid"] and dict(out.dtypes)["pos"] == "bigint"
+    return sorted(tuple(r) for r in out.select("rid", "cum_v", "prev_rid", "pos").collect())
+
+
+def test_segmented_running_hot_key_matches_window(spark):
+    """One range, a few, as many as rows allow, and the range exchange beyond the tree's bounds."""
+    df = _history(spark).repartition(5)
+    want = _plain(df)
+    for partitions in (1, 7, 64, 600):
+        assert _segmented(df, partitions) == want
+
+
+def test_segmented_running_empty_and_tiny(spark):
+    assert _segmented(_history(spark, 0), 8) == []
+    tiny = _history(spark, 4)
+    assert _segmented(tiny, 8) == _plain(tiny)
+
+
+def test_segments_balance_a_million_row_motor(spark):
+    df = _history(spark, 1_250_000, 1).withColumn("k", F.when(F.col("rid") < 1_000_000, F.lit("HOT")).otherwise((F.col("rid") % 5000).cast("string")))
+    dealt, cut = segments(df.withColumn("n", F.col("d").isNull()), "k", ["n", "d", "rid"], 16)
+    sizes = [r["count"] for r in dealt.groupBy("_pid").count().collect()]
+    assert len(sizes) == 16 and max(sizes) <= 1.5 * sum(sizes) / 16
+    assert cut.where("k = 'HOT'").count() == 1 and cut.count() <= 15
+
+
+def test_segmented_running_shuffles_wide_rows_once(spark):
+    """One exchange takes the rows (to their range, no key); the others take totals of cut keys."""
+    df = _history(spark)
+    order = {"_n": F.col("d").isNull(), "_d": F.col("d"), "_r": F.col("rid")}
+    out = segmented_running(df, "k", order, sums={"cum_v": F.col("v")}, lags={"prev": F.col("rid")}, position="pos", partitions=8)
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line]
+    assert sum("REPARTITION_BY_NUM" in line for line in lines) == 1
+    assert below and all("Aggregate" in line for line in below), below
+    assert "SinglePartition" not in "".join(lines)
 
 
 def test_global_prefix_matches_row_number(spark):
