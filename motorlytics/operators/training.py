@@ -8,10 +8,18 @@
 * The prepared training table is checkpointed into the shared checkpoint
   folder before the iterative fits, so tree building does not re-run the
   feature lineage on every pass and survives lost executors.
+* Losses after every boosting round come from one pass over the rows: the leaves
+  that a row reaches in all trees, their outputs summed round by round.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import (GBTClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,7 +28,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from motorlytics import schema as S
-from motorlytics.functions.expr import np_round
 from motorlytics.operators import evaluation as EV
 from motorlytics.plans.ordering import global_prefix
 from motorlytics.session import ensure_checkpoint_dir
@@ -30,7 +37,12 @@ LABEL = "label"
 # Reference hyper-parameters, mapped to Spark ML names (defaults of the fits)
 RF_PARAMS = {"numTrees": 300, "maxDepth": 10, "minInstancesPerNode": 2, "featureSubsetStrategy": "sqrt", "seed": 42}
 GBT_PARAMS = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8,
-              "featureSubsetStrategy": "0.8", "minInstancesPerNode": 3, "minInfoGain": 0.0, "seed": 42}
+              "featureSubsetStrategy": "0.8", "minInstancesPerNode": 3, "seed": 42}
+#: Least fall of the loss, summed over the training rows, that a split must bring. Spark's
+#: ``minInfoGain`` is a mean over rows, so it becomes GAMMA / rows.
+GAMMA = 0.1
+#: Rows for each partition of a fit (as far as there are cores).
+FIT_ROWS = 1500
 
 
 # M1 ------------------------------------------------------------------------
@@ -120,10 +132,16 @@ def assembler(features: list[str] | None = None) -> VectorAssembler:
     return VectorAssembler(inputCols=features or S.FEATURE_COLUMNS, outputCol="features", handleInvalid="keep")
 
 
+def spread(df: DataFrame, n_rows: int) -> DataFrame:
+    """A fit's rows over the cores: a small stored table comes back as one partition."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if 1 < (n := min(cores, n_rows // FIT_ROWS)) else df
+
+
 def fit_random_forest(train: DataFrame, params: dict | None = None, features: list[str] | None = None):
     """Random forest with balanced class weights (``weightCol``)."""
     p = {**RF_PARAMS, **(params or {})}
-    data = assembler(features).transform(class_weights(train))
+    data = assembler(features).transform(spread(class_weights(train), train.count()))
     rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL, weightCol="weight", **p)
     return rf.fit(data)
 
@@ -131,13 +149,69 @@ def fit_random_forest(train: DataFrame, params: dict | None = None, features: li
 def fit_boosted_trees(train: DataFrame, params: dict | None = None, features: list[str] | None = None,
                       parallelism: int = 4):
     """Multiclass boosting as one-vs-rest binary gradient-boosted trees."""
-    p = {**GBT_PARAMS, **(params or {})}
+    p = {"minInfoGain": GAMMA / max(train.count(), 1), **GBT_PARAMS, **(params or {})}
     data = assembler(features).transform(train)
     ovr = OneVsRest(classifier=GBTClassifier(featuresCol="features", labelCol=LABEL, **p),
                     featuresCol="features", labelCol=LABEL, parallelism=parallelism)
     return ovr.fit(data)
 
 
+# M3 evaluation set ---------------------------------------------------------
+def leaf_outputs(model) -> list[np.ndarray]:
+    """Weighted output of every leaf of every tree of a boosted model, in leaf order (left
+    to right, as ``leafCol`` numbers them)."""
+    trees = re.split(r"^\s*Tree \d+ \(weight .*\):$", model.toDebugString, flags=re.M)[1:]
+    return [w * np.array([float(v) for v in re.findall(r"Predict: (\S+)", t)]) for t, w in zip(trees, model.treeWeights)]
+
+
+def staged_losses(model, df: DataFrame, split: str, features: list[str] | None = None) -> DataFrame:
+    """``split, round, n, logloss, mlogloss`` of a one-vs-rest boosted model after each
+    round, for each value of the column ``split``.
+
+    ``logloss`` is the boosting objective, 2 log(1 + exp(-2 y m)) of a class's margin m,
+    summed over the classes and averaged over rows; ``mlogloss`` is minus the log of the
+    normalised probability of the row's label. One pass: each tree tells the leaf of a
+    row; the tasks look the leaves' outputs up, prefix-sum them over the rounds and emit a
+    row of sums for each round and split. The tables of outputs hold rounds x leaves numbers."""
+    rows = assembler(features).transform(df)
+    outputs, leaves = [], []
+    for k, binary in enumerate(model.models):
+        leaves.append(f"_leaf{k}")
+        rows = binary.copy().setLeafCol(leaves[-1]).setPredictionCol("").setRawPredictionCol(f"_raw{k}").setProbabilityCol("").transform(rows)
+        trees = leaf_outputs(binary)
+        table = np.zeros((len(trees), max(map(len, trees))))
+        for t, values in enumerate(trees):
+            table[t, :len(values)] = values
+        outputs.append(table)
+    rounds = max(map(len, outputs))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            label = batch.column("label").to_numpy(zero_copy_only=False)
+            margins = np.zeros((len(outputs), n, rounds))
+            for k, table in enumerate(outputs):
+                at = batch.column(leaves[k]).flatten().to_numpy().astype(np.int64).reshape(n, -1)
+                m = np.cumsum(table[np.arange(at.shape[1]), at], axis=1)
+                margins[k] = np.concatenate([m, np.repeat(m[:, -1:], rounds - m.shape[1], axis=1)], axis=1)
+            sign = np.where(label[None, :] == np.arange(len(outputs))[:, None], 1.0, -1.0)[:, :, None]
+            log = 2 * np.logaddexp(0, -2 * sign * margins).sum(axis=0)
+            share = 1 / (1 + np.exp(-2 * margins))
+            own = np.take_along_axis(share, label.astype(np.int64)[None, :, None], axis=0)[0]
+            mlog = -np.log(np.maximum(own / share.sum(axis=0), 1e-300))
+            for name in sorted(set(batch.column("split").to_pylist())):
+                here = np.array([v == name for v in batch.column("split").to_pylist()])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([name] * rounds, pa.string()), pa.array(np.arange(1, rounds + 1, dtype=np.int32)), pa.array(np.full(rounds, here.sum(), np.int64)),
+                    pa.array(log[here].sum(axis=0)), pa.array(mlog[here].sum(axis=0))], names=["split", "round", "n", "logloss", "mlogloss"])
+
+    small = rows.select(F.col(split).cast("string").alias("split"), F.col(LABEL).cast("int").alias("label"), *[vector_to_array(c).alias(c) for c in leaves])
+    parts = small.where("split is not null and label is not null").mapInArrow(sums, "split string, round int, n long, logloss double, mlogloss double")
+    return parts.groupBy("split", "round").agg(F.sum("n").alias("n"), *[(F.sum(c) / F.sum("n")).alias(c) for c in ("logloss", "mlogloss")])
+
+
 def predict(model, df: DataFrame, features: list[str] | None = None) -> DataFrame:
     """Adds ``prediction`` (int) and ``prob`` (array<double>, one per class).
 
@@ -161,22 +235,25 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 # M10 -----------------------------------------------------------------------
-def cross_validate(df: DataFrame, fit, k: int = 5, seed: int = 42, key: str = "requisition_id") -> DataFrame:
-    """Per-fold weighted F1 plus mean and population std (fits are sequential
-    driver-side calls; each fit and evaluation is a distributed job)."""
+def cross_validate(df: DataFrame, fits: dict[str, Callable], k: int = 5, seed: int = 42, key: str = "requisition_id",
+                   parallelism: int = 4) -> DataFrame:
+    """``model, fold, f1_weighted, cv_mean, cv_std``: every model fitted without each fold
+    in turn and scored on it. Fits are submitted ``parallelism`` at a time; the held-out
+    predictions of all models and folds are one table, and the scores projections of its
+    confusion table."""
     folded = materialize(stratified_folds(df, k, seed, key))
-    rows = []
-    for f in range(k):
-        model = fit(folded.where(F.col("fold") != f).drop("fold"))
-        scored = predict(model, folded.where(F.col("fold") == f).drop("fold"))
-        rows.append(EV.summary_metrics(scored).select(F.lit(f).alias("fold"), "f1_weighted"))
-    per_fold = rows[0]
-    for r in rows[1:]:
-        per_fold = per_fold.unionByName(r)
-    per_fold = materialize(per_fold)
-    stats = per_fold.agg(np_round(F.avg("f1_weighted"), 4).alias("cv_mean"),
-                         np_round(F.stddev_pop("f1_weighted"), 4).alias("cv_std"))
-    return per_fold.crossJoin(stats)
+
+    def held_out(task: tuple[str, int]) -> DataFrame:
+        name, fold = task
+        model = fits[name](folded.where(F.col("fold") != fold).drop("fold"))
+        return predict(model, folded.where(F.col("fold") == fold)).select(F.lit(name).alias("model"), "fold", "label", "prediction")
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        parts = list(pool.map(held_out, [(name, fold) for name in fits for fold in range(k)]))
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
+    return EV.fold_scores(materialize(EV.confusion_table(scored, ("model", "fold"))))
 
 
 # M12 -----------------------------------------------------------------------

@@ -169,20 +169,24 @@ def global_prefix(df: DataFrame, order: list[str], out: str | None = None, value
     key_type = df.select(okey.alias("k")).schema["k"].dataType
     if n_buckets is None:
         n_buckets = max(1, -(-df.count() // BUCKET_ROWS))
+    bounds = None
     if n_buckets > TREE_BOUNDS:
+        bounds = []
         ensure_checkpoint_dir(df.sparkSession)
         df = df.repartitionByRange(n_buckets, *keycols).withColumn("_bk", F.spark_partition_id()).checkpoint()
         bucket = F.col("_bk")
     elif n_buckets > 1 and (bounds := range_bounds(df, keycols, n_buckets, seed)):
         bucket = bucket_expr(okey, _bound_literals(bounds, key_type))
     else:
-        bucket = F.lit(0)
+        bounds, bucket = None, F.lit(0)
     sums = dict(sums or {})
     if out is not None:
         sums[out] = value if value is not None else F.lit(1)
     names = list(sums)
     d1 = df.withColumns({"_bk": bucket, **{f"_val{i}": sums[n] for i, n in enumerate(names)}})
     w_in = Window.partitionBy("_bk", *partition).orderBy(*keycols).rowsBetween(UNBOUNDED, Window.currentRow)
+    if bounds is None:  # one bucket: nothing to offset
+        return d1.withColumns({n: F.sum(f"_val{i}").over(w_in) for i, n in enumerate(names)}).drop("_bk", *[f"_val{i}" for i in range(len(names))])
     inner = d1.select("*", *[F.sum(f"_val{i}").over(w_in).alias(f"_in{i}") for i in range(len(names))])
     totals = d1.groupBy("_bk", *partition).agg(*[F.sum(f"_val{i}").alias(f"_tot{i}") for i in range(len(names))])
     w_tot = (Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0)))

@@ -11,6 +11,7 @@ from motorlytics import schema as S
 from motorlytics.operators import features as FE
 from motorlytics.operators import scoring as SC
 from motorlytics.sources import fixtures as FX
+from motorlytics.sources.io import shared_path
 
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -39,21 +40,23 @@ def requisition(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STAGES: dict = {}
 
 
-def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The engineered table as a stage output: computed once per session and
-    data folder, written as Parquet under the shared checkpoint folder, and
-    read back by every downstream query (scoring, dashboards, profiling and
-    training read the stored feature table, as the application does)."""
-    key = (spark.sparkContext.applicationId, sf_dir, "engineered")
+def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A stage output: computed once per session and data folder, written as Parquet under
+    the shared checkpoint folder, and read back by every query that uses it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STAGES:
-        from motorlytics.sources.io import shared_path
-        out, _ = FE.engineer(requisition(spark, sf_dir))
-        path = shared_path(spark, "engineered-stage")
-        out.write.mode("overwrite").parquet(path)
+        path = shared_path(spark, f"{name}-stage")
+        build().write.mode("overwrite").parquet(path)
         _STAGES[key] = path
     return spark.read.parquet(_STAGES[key])
 
 
+def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engineered table (scoring, dashboards, profiling and training read the stored
+    feature table, as the application does)."""
+    return stage(spark, sf_dir, "engineered", lambda: FE.engineer(requisition(spark, sf_dir))[0])
+
+
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SC.latest_records(engineered(spark, sf_dir).drop("updated_at"), position_col="repair_count")
 

@@ -9,7 +9,7 @@ from motorlytics import schema as S
 from motorlytics.operators import evaluation as EV
 from motorlytics.operators import features as FE
 from motorlytics.sources import fixtures as FX
-from motorlytics.registry.core import register
+from motorlytics.registry.core import register, stage
 
 
 # ---------------------------------------------------------------------------
@@ -93,30 +93,47 @@ O.add_cte("eval_a", f"SELECT * FROM ({_summary_sql('per_class')}) CROSS JOIN ({_
 O.add_cte("eval_b", f"SELECT * FROM ({_summary_sql('per_class_b')}) CROSS JOIN ({_auc_sql('auc_class_b')})")
 
 
-def labelled(spark, sf_dir):
-    return FX.labelled_scores(spark, sf_dir)
+def _labelled(spark, sf_dir):
+    return FX.labelled_models(spark, sf_dir, {MODEL_A: FX.PRIMARY_MULTIPLIERS, MODEL_B: FX.SECONDARY_MULTIPLIERS})
 
 
-def labelled_b(spark, sf_dir):
-    return FX.labelled_scores(spark, sf_dir, FX.SECONDARY_MULTIPLIERS)
+def confusion(spark, sf_dir):
+    """Confusion table of both stand-in models: one scan, one aggregate; every query of
+    M6, M8, M9, M14 and M15 projects it."""
+    return stage(spark, sf_dir, "confusion-table", lambda: EV.confusion_table(_labelled(spark, sf_dir), ("model",)))
+
+
+def score_prefix(spark, sf_dir):
+    """Score histogram of both stand-in models, stored, then prefixed and stored; M7 and
+    M11 read it."""
+    histogram = stage(spark, sf_dir, "score-histogram", lambda: EV.score_histogram(_labelled(spark, sf_dir), ("model",)))
+    return stage(spark, sf_dir, "score-prefix", lambda: EV.prefixed(histogram))
+
+
+def of_model(df, model):
+    return df.where(F.col("model") == model).drop("model")
+
+
+def of_primary(df):
+    return of_model(df, MODEL_A)
 
 
 for _name, _metric in [("m06a_accuracy", "accuracy"), ("m06b_f1_macro", "f1_macro"), ("m06c_f1_weighted", "f1_weighted"),
                        ("m06d_precision_weighted", "precision_weighted"), ("m06e_recall_weighted", "recall_weighted")]:
     register(_name, O.with_ctes(f"SELECT {_metric} FROM eval_a", "eval_a"))(
-        (lambda m: (lambda spark, sf_dir: EV.summary_metrics(labelled(spark, sf_dir)).select(m)))(_metric))
+        (lambda m: (lambda spark, sf_dir: EV.metrics(of_primary(confusion(spark, sf_dir))).select(m)))(_metric))
 
 
 @register("m07_roc_auc_weighted", O.with_ctes("SELECT roc_auc_weighted FROM eval_a", "eval_a"))
 def m07(spark, sf_dir):
-    return EV.roc_auc_weighted(labelled(spark, sf_dir))
+    return EV.roc_auc_weighted(of_primary(score_prefix(spark, sf_dir)))
 
 
 @register("m07_roc_auc_per_class", O.with_ctes(
     f"SELECT cls, CAST(positives AS BIGINT) AS positives, CAST(negatives AS BIGINT) AS negatives, "
     f"{O.np_round_sql('auc', 12)} AS auc FROM auc_class", "auc_class"))
 def m07_per_class(spark, sf_dir):
-    a = EV.auc_per_class(labelled(spark, sf_dir))
+    a = EV.auc_per_class(of_primary(score_prefix(spark, sf_dir)))
     return a.withColumn("auc", FE.np_round(F.col("auc"), 12))
 
 
@@ -137,7 +154,7 @@ UNION ALL SELECT 6, 'weighted avg', {r('sum(precision * support) / sum(support)'
 
 @register("m08_classification_report", _report_sql())
 def m08(spark, sf_dir):
-    return EV.classification_report(spark, labelled(spark, sf_dir))
+    return EV.report(of_primary(confusion(spark, sf_dir)))
 
 
 @register("m09_confusion_matrix", O.with_ctes(
@@ -145,7 +162,7 @@ def m08(spark, sf_dir):
         f"CAST(count(*) FILTER (WHERE l.prediction = {k}) AS BIGINT) AS predicted_{k}" for k in range(4)) +
     " FROM (VALUES (0), (1), (2), (3)) a(k) LEFT JOIN labelled l ON l.label = a.k GROUP BY a.k", "labelled"))
 def m09(spark, sf_dir):
-    return EV.confusion_matrix(spark, labelled(spark, sf_dir))
+    return EV.matrix(of_primary(confusion(spark, sf_dir)))
 
 
 @register("m11_roc_curve_points", O.with_ctes("""
@@ -156,7 +173,7 @@ SELECT cls, score AS threshold, neg_ge / n_all AS fpr, pos_ge / p_all AS tpr FRO
     sum(pos) OVER (PARTITION BY cls) AS p_all, sum(neg) OVER (PARTITION BY cls) AS n_all FROM score_counts)
 UNION ALL SELECT DISTINCT cls, 'inf'::DOUBLE, 0e0, 0e0 FROM score_counts""", "score_counts"))
 def m11(spark, sf_dir):
-    return EV.roc_curve_points(labelled(spark, sf_dir))
+    return EV.roc_curve_points(of_primary(score_prefix(spark, sf_dir)))
 
 
 def _comparison_sql() -> str:
@@ -168,12 +185,12 @@ def _comparison_sql() -> str:
 
 
 def _evals(spark, sf_dir):
-    return {MODEL_A: EV.evaluate(labelled(spark, sf_dir)), MODEL_B: EV.evaluate(labelled_b(spark, sf_dir))}
+    return EV.evaluate(confusion(spark, sf_dir), score_prefix(spark, sf_dir))
 
 
 @register("m14_model_comparison", _comparison_sql())
 def m14(spark, sf_dir):
-    return EV.model_comparison(_evals(spark, sf_dir))
+    return EV.model_comparison(_evals(spark, sf_dir), [MODEL_A, MODEL_B])
 
 
 @register("m15_model_selection", O.with_ctes(

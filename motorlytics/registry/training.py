@@ -13,17 +13,14 @@ from motorlytics.operators import features as FE
 from motorlytics.operators import scoring as SC
 from motorlytics.operators import training as TR
 from motorlytics.sources import fixtures as FX
-from motorlytics.registry.core import engineered, latest, register
-from motorlytics.registry.evaluation import MODEL_A, MODEL_B
+from motorlytics.registry.core import engineered, latest, register, stage
+from motorlytics.registry.evaluation import MODEL_A, MODEL_B, of_model
 
 
 # ---------------------------------------------------------------------------
 # M — preparation and training (model-dependent results: rows-only checks)
 # ---------------------------------------------------------------------------
 
-# small fits for the registered queries; the reference-sized defaults live in TR
-RF_QUERY_PARAMS = {"numTrees": 20, "maxDepth": 6}
-GBT_QUERY_PARAMS = {"maxIter": 5, "maxDepth": 3}
 _MODELS: dict = {}
 
 
@@ -72,9 +69,9 @@ def trained(spark: SparkSession, sf_dir: str, kind: str):
     if key not in _MODELS:
         train, _ = training_sets(spark, sf_dir)
         if kind == "rf":
-            _MODELS[key] = TR.fit_random_forest(train, RF_QUERY_PARAMS)
+            _MODELS[key] = TR.fit_random_forest(train)
         else:
-            _MODELS[key] = TR.fit_boosted_trees(train, GBT_QUERY_PARAMS)
+            _MODELS[key] = TR.fit_boosted_trees(train)
     return _MODELS[key]
 
 
@@ -84,16 +81,42 @@ def m02(spark, sf_dir):
     return TR.stratified_split(prep).select("requisition_id", "label", "is_test")
 
 
+def test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both models' predictions on the test rows, written once per session and folder."""
+    def build() -> DataFrame:
+        _, test = training_sets(spark, sf_dir)
+        a, b = (TR.predict(trained(spark, sf_dir, kind), test).select(F.lit(name).alias("model"), "requisition_id", "label", "prediction", "prob")
+                for name, kind in ((MODEL_A, "gbt"), (MODEL_B, "rf")))
+        return a.unionByName(b)
+    return stage(spark, sf_dir, "test-predictions", build)
+
+
+def trained_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "trained-confusion", lambda: EV.confusion_table(test_predictions(spark, sf_dir), ("model",)))
+
+
+def trained_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of metrics for each of the two models, on the test rows."""
+    histogram = stage(spark, sf_dir, "trained-histogram", lambda: EV.score_histogram(test_predictions(spark, sf_dir), ("model",)))
+    return EV.evaluate(trained_confusion(spark, sf_dir), EV.prefixed(histogram))
+
+
 @register("m03_boosted_trees_test_predictions")
 def m03(spark, sf_dir):
-    _, test = training_sets(spark, sf_dir)
-    return TR.predict(trained(spark, sf_dir, "gbt"), test).select("requisition_id", "label", "prediction", "prob")
+    return of_model(test_predictions(spark, sf_dir), MODEL_A).select("requisition_id", "label", "prediction", "prob")
+
+
+@register("m03_boosting_staged_losses")
+def m03_losses(spark, sf_dir):
+    """Losses of the training and the test rows after each boosting round."""
+    train, test = training_sets(spark, sf_dir)
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return TR.staged_losses(trained(spark, sf_dir, "gbt"), both, "split")
 
 
 @register("m04_random_forest_test_predictions")
 def m04(spark, sf_dir):
-    _, test = training_sets(spark, sf_dir)
-    return TR.predict(trained(spark, sf_dir, "rf"), test).select("requisition_id", "label", "prediction", "prob")
+    return of_model(test_predictions(spark, sf_dir), MODEL_B).select("requisition_id", "label", "prediction", "prob")
 
 
 @register("m05_predict_probabilities")
@@ -108,27 +131,28 @@ def m05(spark, sf_dir):
 
 @register("m14_trained_model_comparison")
 def m14_trained(spark, sf_dir):
-    _, test = training_sets(spark, sf_dir)
-    evals = {name: EV.evaluate(TR.predict(trained(spark, sf_dir, kind), test))
-             for name, kind in ((MODEL_A, "gbt"), (MODEL_B, "rf"))}
-    return EV.model_comparison(evals)
+    return EV.model_comparison(trained_evals(spark, sf_dir), [MODEL_A, MODEL_B])
 
 
 @register("m15_trained_model_selection")
 def m15_trained(spark, sf_dir):
-    _, test = training_sets(spark, sf_dir)
-    evals = {name: EV.evaluate(TR.predict(trained(spark, sf_dir, kind), test))
-             for name, kind in ((MODEL_A, "gbt"), (MODEL_B, "rf"))}
-    return EV.select_model(evals, MODEL_A)
+    return EV.select_model(trained_evals(spark, sf_dir), MODEL_A)
+
+
+#: Cross-validation's fits: five folds of two models would take a quarter of an hour with
+#: 300 rounds of four classes each, all of it job scheduling, so both models are smaller.
+CV_RF_PARAMS, CV_GBT_PARAMS = {"numTrees": 300, "maxDepth": 10}, {"maxIter": 30, "maxDepth": 6}
+
+
+def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = {MODEL_A: lambda tr: TR.fit_boosted_trees(tr, CV_GBT_PARAMS), MODEL_B: lambda tr: TR.fit_random_forest(tr, CV_RF_PARAMS)}
+    return stage(spark, sf_dir, "cross-validation", lambda: TR.cross_validate(TR.prepare(engineered(spark, sf_dir)), fits, k=5))
 
 
 @register("m10_cross_validation")
 def m10(spark, sf_dir):
-    """Both models, each with the parameters of its registered fit."""
-    prep = TR.materialize(TR.prepare(engineered(spark, sf_dir)))
-    fits = {MODEL_A: lambda tr: TR.fit_boosted_trees(tr, GBT_QUERY_PARAMS), MODEL_B: lambda tr: TR.fit_random_forest(tr, RF_QUERY_PARAMS)}
-    a, b = (TR.cross_validate(prep, fit, k=5).withColumn("model", F.lit(name)) for name, fit in fits.items())
-    return a.unionByName(b)
+    """Both models over the same five folds."""
+    return cross_validation(spark, sf_dir)
 
 
 @register("m12_feature_importance")

@@ -155,14 +155,14 @@ def with_fixture_scores(df: DataFrame, serial_col: str = "equipment_serial_no",
     })
 
 
-def labelled_scores(spark: SparkSession, sf_dir: str, multipliers=PRIMARY_MULTIPLIERS) -> DataFrame:
-    """Held-out style rows ``(id, label, prediction, prob[4])`` with a known truth."""
-    motors = read_table(spark, sf_dir, "orders", ["o_custkey"]).distinct()
+def labelled_models(spark: SparkSession, sf_dir: str, multipliers: dict[str, tuple[int, ...]]) -> DataFrame:
+    """Held-out style rows ``(model, id, label, prediction, prob[4])`` with a known truth,
+    for each named stand-in; the motors are read once."""
     ck = F.col("o_custkey")
-    scored = with_fixture_scores(motors.withColumn("serial", serial_of(ck)), "serial", multipliers)
-    return scored.select(
-        ck.alias("id"),
-        ((ck * 7 + F.expr("o_custkey div 3")) % 4).cast("int").alias("label"),
-        F.col("risk_class").alias("prediction"),
-        F.array("p_low", "p_medium", "p_high", "p_critical").alias("prob"),
-    )
+    rows = read_table(spark, sf_dir, "orders", ["o_custkey"]).distinct().withColumn("serial", serial_of(ck))
+    names = ["p_low", "p_medium", "p_high", "p_critical"]
+    for model, m in multipliers.items():
+        scored = with_fixture_scores(rows, "serial", m)
+        rows = scored.withColumn(f"_{model}", F.struct(F.lit(model).alias("model"), F.col("risk_class").alias("prediction"), F.array(*names).alias("prob"))).drop("risk_class", *names)
+    return rows.select(ck.alias("id"), ((ck * 7 + F.expr("o_custkey div 3")) % 4).cast("int").alias("label"),
+                       F.inline(F.array(*[F.col(f"_{model}") for model in multipliers])))

@@ -97,18 +97,19 @@ def load_model(path: str, kind: str):
 
 
 # S7 ------------------------------------------------------------------------
-def model_metadata(spark: SparkSession, primary: str, params: dict[str, dict], metrics: dict[str, DataFrame],
+def model_metadata(spark: SparkSession, primary: str, params: dict[str, dict], evals: DataFrame,
                    features: list[str] | None = None) -> DataFrame:
     """One-row record: feature list, labels, params and scalar metrics per
-    model (no per-row predictions, no matrices)."""
+    model of ``evals`` (no per-row predictions, no matrices)."""
     features = features or S.FEATURE_COLUMNS
     head = spark.createDataFrame(
         [(primary, features, "risk_category", {str(k): v for k, v in S.RISK_LABELS.items()}, len(features))],
         "primary_model string, feature_columns array<string>, target string, risk_labels map<string,string>, "
         "n_features int")
     out = head
-    for name, m in metrics.items():
-        p = json.dumps(params.get(name, {}), sort_keys=True)
+    for name, p in params.items():
+        m = evals.where(F.col("model") == name).drop("model")
+        p = json.dumps(p, sort_keys=True)
         out = out.crossJoin(m.select(F.struct(F.lit(p).alias("params"), F.struct(*m.columns).alias("metrics"))
                                      .alias(name)))  # each side is one row
     return out
@@ -120,11 +121,14 @@ def write_json(df: DataFrame, path: str) -> str:
 
 
 # S8 ------------------------------------------------------------------------
-def write_evaluation_report(comparison: DataFrame, report: DataFrame, path: str) -> str:
-    """Both models' metrics and the per-class report, as JSON lines."""
-    a = comparison.select(F.lit("comparison").alias("section"), F.to_json(F.struct("*")).alias("row"))
-    b = report.select(F.lit("classification_report").alias("section"), F.to_json(F.struct("*")).alias("row"))
-    return write_json(a.unionByName(b), path)
+def write_evaluation_report(sections: dict[str, DataFrame], path: str) -> str:
+    """Named sections (metrics, both models' per-class reports, matrices, validation
+    scores, the choice) as JSON lines ``section, row``."""
+    out = None
+    for name, df in sections.items():
+        part = df.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("row"))
+        out = part if out is None else out.unionByName(part)
+    return write_json(out, path)
 
 
 # S9 ------------------------------------------------------------------------

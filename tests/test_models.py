@@ -41,6 +41,104 @@ def test_boosted_one_vs_rest_probabilities(spark):
     assert 0.0 <= acc <= 1.0
 
 
+def test_staged_losses_end_at_the_models_own(spark):
+    """The last round's losses equal those of the model's raw and normalised predictions,
+    for each split; those of every round equal the library's own evaluation."""
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    train, test = _split(spark)
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    model = TR.fit_boosted_trees(train, {"maxIter": 6, "maxDepth": 4})
+    got = {(r["split"], r["round"]): r for r in TR.staged_losses(model, both, "split").collect()}
+    assert len(got) == 12
+    wide = TR.assembler().transform(both)
+    for k, m in enumerate(model.models):
+        wide = m.copy().setPredictionCol("").setProbabilityCol("").setRawPredictionCol(f"raw{k}").transform(wide)
+    own = wide.select("split", "label", *[vector_to_array(f"raw{k}")[1].alias(f"m{k}") for k in range(4)]).toPandas()
+    for split, rows in own.groupby("split"):
+        loss = sum(2 * np.log1p(np.exp(-2 * np.where(rows["label"] == k, 1, -1) * rows[f"m{k}"])) for k in range(4)).mean()
+        assert abs(got[(split, 6)]["logloss"] - loss) < 1e-9 and got[(split, 6)]["n"] == len(rows)
+    prob = TR.predict(model, both).select("split", "label", "prob").toPandas()
+    for split, rows in prob.groupby("split"):
+        want = -np.mean([np.log(p[y]) for y, p in zip(rows["label"], rows["prob"])])
+        assert abs(got[(split, 6)]["mlogloss"] - want) < 1e-9
+    each = []
+    for k, m in enumerate(model.models):
+        named = train.withColumn(m.getLabelCol(), (F.col("label") == k).cast("double"))
+        each.append(m.evaluateEachIteration(TR.assembler().transform(named)))
+    for i in range(6):
+        assert abs(got[("train", i + 1)]["logloss"] - sum(e[i] for e in each)) < 1e-9
+
+
+def test_cross_validation_of_two_models(spark):
+    train, _ = _split(spark)
+    fits = {"a": lambda d: TR.fit_random_forest(d, {"numTrees": 4, "maxDepth": 3}), "b": lambda d: TR.fit_boosted_trees(d, {"maxIter": 2, "maxDepth": 2})}
+    rows = TR.cross_validate(train, fits, k=3).collect()
+    assert sorted((r["model"], r["fold"]) for r in rows) == [(m, f) for m in "ab" for f in range(3)]
+    for m in "ab":
+        scores = [r["f1_weighted"] for r in rows if r["model"] == m]
+        assert {r["cv_mean"] for r in rows if r["model"] == m} == {round(sum(scores) / 3, 4)}
+
+
+def _labelled(spark, n=400):
+    k = F.col("id")
+    return spark.range(n).select((k % 2).cast("string").alias("model"), (k * 7 % 4).cast("int").alias("label"), (k * 11 % 3).cast("int").alias("prediction"),
+                                 F.array(*[((k * m) % 19 / 19.0) for m in (3, 5, 7, 11)]).alias("prob"))
+
+
+def test_metrics_from_the_confusion_table_equal_brute_force(spark):
+    df = _labelled(spark)
+    table = EV.confusion_table(df, ("model",))
+    got = {r["model"]: r for r in EV.metrics(table).collect()}
+    reports = EV.report(table).collect()
+    for model, rows in df.toPandas().groupby("model"):
+        y, p = list(rows["label"]), list(rows["prediction"])
+        stats = {}
+        for c in sorted(set(y) | set(p)):
+            tp, sup, pred = sum(a == b == c for a, b in zip(y, p)), y.count(c), p.count(c)
+            stats[c] = (tp / pred if pred else 0, tp / sup if sup else 0, 2 * tp / (sup + pred), sup)
+        n = len(y)
+        want = {"accuracy": sum(a == b for a, b in zip(y, p)) / n, "f1_macro": sum(s[2] for s in stats.values()) / len(stats),
+                "f1_weighted": sum(s[2] * s[3] for s in stats.values()) / n, "precision_weighted": sum(s[0] * s[3] for s in stats.values()) / n,
+                "recall_weighted": sum(s[1] * s[3] for s in stats.values()) / n}
+        assert all(abs(got[model][c] - v) <= 5e-5 + 1e-12 for c, v in want.items())
+        per = {r["row_order"]: r for r in reports if r["model"] == model}
+        assert sorted(per) == sorted([*stats, 4, 5, 6]) and all(per[c]["support"] == s[3] for c, s in stats.items())
+        cells = {r["actual"]: r for r in EV.matrix(table).where(F.col("model") == model).collect()}
+        assert all(cells[a][f"predicted_{b}"] == sum(x == a and z == b for x, z in zip(y, p)) for a in range(4) for b in range(4))
+
+
+def test_metrics_of_nothing(spark):
+    table = EV.confusion_table(_labelled(spark, 0))
+    assert tuple(EV.metrics(table).first()) == (None,) * 5 and EV.matrix(table).count() == 4
+    assert EV.metrics(EV.confusion_table(_labelled(spark, 0), ("model",))).count() == 0
+
+
+def test_metrics_take_one_exchange(spark):
+    """Metrics, report, matrix and fold scores add no exchange to the table's own."""
+    table = EV.confusion_table(_labelled(spark), ("model",))
+    for df in (EV.metrics(table), EV.report(table), EV.matrix(table)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_histograms_merge_and_give_auc_and_roc(spark):
+    df = _labelled(spark)
+    whole = EV.score_histogram(df, ("model",))
+    merged = EV.merge_histograms(EV.score_histogram(df.where("label < 2"), ("model",)), EV.score_histogram(df.where("label >= 2"), ("model",)))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, merged.collect()))
+    prefix = EV.prefixed(TR.materialize(merged))
+    auc = {(r["model"], r["cls"]): r["auc"] for r in EV.auc_per_class(prefix).collect()}
+    points = EV.roc_curve_points(prefix).collect()
+    for model, rows in df.toPandas().groupby("model"):
+        for c in range(4):
+            pos = [p[c] for y, p in zip(rows["label"], rows["prob"]) if y == c]
+            neg = [p[c] for y, p in zip(rows["label"], rows["prob"]) if y != c]
+            if pos and neg:
+                assert abs(auc[(model, c)] - sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)) < 1e-12
+                for r in (r for r in points if (r["model"], r["cls"]) == (model, c)):
+                    assert r["tpr"] == sum(a >= r["threshold"] for a in pos) / len(pos) and r["fpr"] == sum(b >= r["threshold"] for b in neg) / len(neg)
+
+
 def test_model_persistence_roundtrip(spark):
     from motorlytics.sources import io as IO
     train, test = _split(spark)
@@ -72,5 +170,8 @@ def test_end_to_end_lifecycle(spark):
     for k in ("engineered", "encoders", "rf_model", "gbt_model", "metadata", "evaluation", "cv",
               "batch_predictions", "department_summary"):
         assert os.path.exists(paths[k].replace("file:", "")), k
+    sections = spark.read.json(paths["evaluation"]).groupBy("section").count().collect()
+    assert {r["section"]: r["count"] for r in sections}["cross_validation"] == 4
+    assert {r["section"] for r in sections} == {"comparison", "classification_report", "confusion_matrix", "selection", "cross_validation"}
     preds = spark.read.option("header", True).csv(paths["batch_predictions"])
     assert preds.count() == requisitions(spark, SF_SMALL).select("equipment_serial_no").distinct().count()
