@@ -46,8 +46,8 @@ MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 BUDGET = 1 << 17
 BITS = 1 << 24
 PAIR_KEYS = 1 << 40
-#: Bytes of text that are cut into words at once; a task's arrays take about 40 times that.
-SLICE = 1 << 20
+#: Bytes of text that are cut into words at once; a task holds some 40 times that.
+SLICE = 4 << 20
 NO_LANG = "und"
 
 # fixed values: what ends a piece, what ends a word, A-Z to a-z; all other bytes are letters
