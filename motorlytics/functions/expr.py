@@ -54,16 +54,25 @@ def clip01(c: Column) -> Column:
     return clip(c, 0.0, 1.0)
 
 
+#: Hexadecimal digits of an md5 digest that make a draw: 52 bits, exact as a long and as a double.
+DRAW_DIGITS = 13
+
+
+def draw_bits(seed: int, *cols: Column) -> Column:
+    """A counter-based draw, whole number below 2^52: the leading digits of the md5 of seed
+    and key columns. Any engine computes the same, whatever the order or layout of rows."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols]).cast("binary"))
+    return F.conv(F.substring(digest, 1, DRAW_DIGITS), 16, 10).cast("long")
+
+
 def hash_uniform(seed: int, *cols: Column) -> Column:
-    """U[0,1) from a 64-bit hash of key columns: stable under retries and
-    repartitioning (unlike ``rand()``), and independent of partition layout."""
-    h = F.xxhash64(F.lit(seed), *cols)
-    # keep 53 bits so the value is an exact double in [0, 1)
-    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(2 ** 53))
+    """U[0,1) from a draw on key columns: stable under retries and repartitioning
+    (unlike ``rand()``)."""
+    return draw_bits(seed, *cols).cast("double") / F.lit(float(16 ** DRAW_DIGITS))
 
 
 def hash_normal(seed: int, *cols: Column) -> Column:
-    """N(0,1) by Box-Muller over two independent hash uniforms."""
+    """N(0,1) by Box-Muller over two independent draws."""
     u1 = hash_uniform(seed, *cols)
     u2 = hash_uniform(seed + 7919, *cols)
     return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * F.cos(F.lit(2 * math.pi) * u2)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorlytics import schema as S
-from motorlytics.functions.expr import clip, hash_uniform, mean_of_decimals, median_of_decimals, np_round
+from motorlytics.functions.expr import clip, draw_bits, hash_uniform, mean_of_decimals, median_of_decimals, np_round
 from motorlytics.operators.features import risk_label_expr
 
 SERIAL = "equipment_serial_no"
@@ -64,6 +64,12 @@ def latest_by_position(df: DataFrame, columns: list[str], position_col: str) ->
     return found.select(SERIAL, *[(F.col("_rows")[F.col(at[c])] if c in at else F.col("_row"))[c].alias(c) for c in columns])
 
 
+# C2 ------------------------------------------------------------------------
+def sample_motors(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` motors without replacement: those with the smallest draw for (seed, serial)"""
+    return df.orderBy(draw_bits(seed, F.col(SERIAL)), SERIAL).limit(n)
+
+
 # C3 ------------------------------------------------------------------------
 def model_health_expr(p_high: Column, p_critical: Column) -> Column:
     raw = (F.lit(1.0) - p_high * S.HEALTH_WEIGHT_HIGH - p_critical * S.HEALTH_WEIGHT_CRITICAL) * 100.0

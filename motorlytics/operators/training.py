@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from motorlytics import schema as S
+from motorlytics.functions.expr import draw_bits
 from motorlytics.operators import evaluation as EV
 from motorlytics.plans.ordering import global_prefix
 from motorlytics.session import ensure_checkpoint_dir
@@ -91,7 +92,7 @@ def class_weights(df: DataFrame, label_col: str = LABEL) -> DataFrame:
 
 # M2 / M10 ------------------------------------------------------------------
 def _class_rank(df: DataFrame, key: str, seed: int) -> DataFrame:
-    ranked = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    ranked = df.withColumn("_h", draw_bits(seed, F.col(key)))
     ranked = global_prefix(ranked, ["_h", key], "_rank", partition=[LABEL])
     sizes = ranked.groupBy(LABEL).agg(F.count(F.lit(1)).alias("_class_n"))
     return ranked.join(F.broadcast(sizes), LABEL)
@@ -114,8 +115,8 @@ def split_quotas(df: DataFrame, test_size: float = 0.2) -> DataFrame:
 
 def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str = "requisition_id") -> DataFrame:
     """Adds ``is_test``: ceil(test_size * n) rows, within each class (its share by
-    ``split_quotas``) those with the smallest hash of (key, seed)."""
-    ranked = global_prefix(df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), ["_h", key], "_rank", partition=[LABEL])
+    ``split_quotas``) those with the smallest draw for (seed, key)."""
+    ranked = global_prefix(df.withColumn("_h", draw_bits(seed, F.col(key))), ["_h", key], "_rank", partition=[LABEL])
     quotas = split_quotas(df, test_size).select(F.col(LABEL).alias("_of"), "_quota")
     r = ranked.join(F.broadcast(quotas), F.col(LABEL).eqNullSafe(F.col("_of")))
     return r.withColumn("is_test", F.col("_rank") <= F.col("_quota")).drop("_h", "_rank", "_quota", "_of")

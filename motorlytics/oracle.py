@@ -10,7 +10,10 @@ numpy's scale-then-round-half-even.
 
 from __future__ import annotations
 
+import math
+
 from motorlytics import schema as S
+from motorlytics.functions.expr import DRAW_DIGITS
 from motorlytics.sources import fixtures as FX
 
 
@@ -152,17 +155,30 @@ FROM encoded e
 COMPONENTS = _components_sql()
 
 
-def _scored_sql() -> str:
+def draw_sql(seed: int, col: str) -> str:
+    """Twin of ``functions.expr.draw_bits``."""
+    return f"CAST('0x' || substr(md5('{seed}:' || CAST({col} AS VARCHAR)), 1, {DRAW_DIGITS}) AS BIGINT)"
+
+
+def uniform_sql(seed: int, col: str) -> str:
+    return f"(CAST({draw_sql(seed, col)} AS DOUBLE) / {float(16 ** DRAW_DIGITS)!r}::DOUBLE)"
+
+
+def normal_sql(seed: int, col: str) -> str:
+    return f"(sqrt(-2e0 * ln(1e0 - {uniform_sql(seed, col)})) * cos({2 * math.pi!r}::DOUBLE * {uniform_sql(seed + 7919, col)}))"
+
+
+def _scored_sql(noise: str = "") -> str:
     w = S.RISK_WEIGHTS
     score = (f"{w['age']}e0 * age_score + {w['repairs']}e0 * repair_freq_score + {w['recency']}e0 * recency_score"
-             f" + {w['kw']}e0 * kw_score + {w['failures']}e0 * failure_history_score")
+             f" + {w['kw']}e0 * kw_score + {w['failures']}e0 * failure_history_score{noise}")
     return f"SELECT c.*, {clip01_sql(score)} AS risk_score FROM components c"
 
 
 RISK = _scored_sql()
 
 
-def _features_sql() -> str:
+def _features_sql(risk: str = "risk") -> str:
     t0, t1, t2 = S.RISK_THRESHOLDS
     cat = (f"CAST(CASE WHEN risk_score IS NULL THEN 1 WHEN risk_score < {t0}e0 THEN 0 WHEN risk_score < {t1}e0 THEN 1 "
            f"WHEN risk_score < {t2}e0 THEN 2 ELSE 3 END AS INTEGER)")
@@ -170,7 +186,7 @@ def _features_sql() -> str:
     return f"""
 SELECT * EXCLUDE (age_score, repair_freq_score, recency_score, kw_score, failure_history_score, risk_score, cat_),
   (CASE cat_ {labels} END) AS risk_label, cat_ AS risk_category
-FROM (SELECT *, {np_round_sql('(1e0 - risk_score) * 100e0', 1)} AS health_score, {cat} AS cat_ FROM risk)
+FROM (SELECT *, {np_round_sql('(1e0 - risk_score) * 100e0', 1)} AS health_score, {cat} AS cat_ FROM {risk})
 """
 
 
@@ -187,6 +203,8 @@ CTES: dict[str, str] = {
     "components": COMPONENTS,
     "risk": RISK,
     "features": FEATURES,
+    "risk_noise": _scored_sql(f" + 0.05e0 * {normal_sql(42, 'requisition_id')}"),
+    "features_noise": _features_sql("risk_noise"),
 }
 
 

@@ -140,7 +140,7 @@ def f12(spark, sf_dir):
     return FE.add_risk_target(eng, keep_components=True).select("requisition_id", "risk_score")
 
 
-@register("f13_score_noise")
+@register("f13_score_noise", O.with_ctes("SELECT requisition_id, health_score, risk_category FROM features_noise", "features_noise"))
 def f13(spark, sf_dir):
     eng, _ = FE.engineer(requisition(spark, sf_dir), noise_sd=0.05, seed=42)
     return eng.select("requisition_id", "health_score", "risk_category")

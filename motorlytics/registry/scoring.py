@@ -68,14 +68,14 @@ FROM (SELECT *, w0 / (w0 + w1 + w2 + w3) AS p_low, w1 / (w0 + w1 + w2 + w3) AS p
 """)
 
 
-def _components_select_sql() -> str:
+def _components_select_sql(seed: int | None = None) -> str:
     ps = ["p_low", "p_medium", "p_high", "p_critical"]
     raw = []
-    for name, (wm, wh, wc), (lo, hi) in S.COMPONENTS:
+    for i, (name, (wm, wh, wc), (lo, hi)) in enumerate(S.COMPONENTS):
         terms = [f"{ps[k]} * {w!r}e0" if "e" not in repr(w) else f"{ps[k]} * {w!r}"
                  for k, w in ((1, wm), (2, wh), (3, wc)) if w]
-        mid = (lo + hi) / 2.0
-        raw.append((SC.COMPONENT_COLUMNS[name], O.np_round_sql(f"({terms[0]} + {terms[1]}) * {mid!r}", 3)))
+        factor = repr((lo + hi) / 2.0) if seed is None else f"({lo!r}::DOUBLE + ({hi!r}::DOUBLE - {lo!r}::DOUBLE) * {O.uniform_sql(seed + i, 'equipment_serial_no')})"
+        raw.append((SC.COMPONENT_COLUMNS[name], O.np_round_sql(f"({terms[0]} + {terms[1]}) * {factor}", 3)))
     total = " + ".join(f"r_{c}" for c, _ in raw)
     inner = ", ".join(f"{e} AS r_{c}" for c, e in raw)
     outer = ", ".join(
@@ -84,6 +84,7 @@ def _components_select_sql() -> str:
 
 
 O.add_cte("scored_components", _components_select_sql())
+O.add_cte("scored_components_seeded", _components_select_sql(123))
 COMP_COLS = list(SC.COMPONENT_COLUMNS.values())
 
 # ---------------------------------------------------------------------------
@@ -91,11 +92,11 @@ COMP_COLS = list(SC.COMPONENT_COLUMNS.values())
 # ---------------------------------------------------------------------------
 
 
-@register("c02_motor_sample")
+@register("c02_motor_sample", O.with_ctes(
+    f"SELECT equipment_serial_no, installed_location, risk_label FROM latest "
+    f"ORDER BY {O.draw_sql(123, 'equipment_serial_no')}, equipment_serial_no LIMIT 8", "latest"))
 def c02(spark, sf_dir):
-    lt = latest(spark, sf_dir)
-    return (lt.orderBy(F.xxhash64(F.col("equipment_serial_no"), F.lit(123))).limit(8)
-            .select("equipment_serial_no", "installed_location", "risk_label"))
+    return SC.sample_motors(latest(spark, sf_dir), 8, 123).select("equipment_serial_no", "installed_location", "risk_label")
 
 
 @register("c03_model_health", O.with_ctes("SELECT equipment_serial_no, health_score FROM scored", "scored"))
@@ -155,7 +156,8 @@ def c07(spark, sf_dir):
     return rec.select(F.col("equipment_serial_no").alias("serial_no"), *_flat_prediction())
 
 
-@register("c04_component_probabilities_seeded")
+@register("c04_component_probabilities_seeded", O.with_ctes(
+    f"SELECT equipment_serial_no, {', '.join(COMP_COLS)} FROM scored_components_seeded", "scored_components_seeded"))
 def c04_seeded(spark, sf_dir):
     """Jitter drawn per motor from a hash of its serial (stable across reruns)."""
     return (scored(spark, sf_dir).transform(SC.add_component_probabilities, "seeded", 123)

@@ -75,7 +75,13 @@ def trained(spark: SparkSession, sf_dir: str, kind: str):
     return _MODELS[key]
 
 
-@register("m02_stratified_split")
+@register("m02_stratified_split", O.with_ctes(f"""
+SELECT requisition_id, label, row_number() OVER (PARTITION BY label ORDER BY {O.draw_sql(42, 'requisition_id')}, requisition_id) <= quota AS is_test
+FROM (SELECT requisition_id, risk_category AS label FROM features) f JOIN (
+  SELECT cls, floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, n DESC, cls) <= t - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS quota
+  FROM (SELECT cls, n, t, round(n * t / total, 9) AS exact
+        FROM (SELECT risk_category AS cls, count(*) AS n FROM features GROUP BY risk_category),
+             (SELECT count(*) AS total, ceil(round(count(*) * 0.2e0, 6)) AS t FROM features))) q ON f.label = q.cls""", "features"))
 def m02(spark, sf_dir):
     prep = TR.prepare(engineered(spark, sf_dir))
     return TR.stratified_split(prep).select("requisition_id", "label", "is_test")

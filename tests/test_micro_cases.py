@@ -141,3 +141,25 @@ def test_search_is_literal(spark):
                                 "installed_location string")
     assert [r.equipment_serial_no for r in DB.registry_search(reg, "%").collect()] == ["EQ1"]
     assert DB.registry_search(reg, "A_B").count() == 0
+
+
+def test_draws_are_portable_and_uniform(spark):
+    """The draw is the leading 52 bits of an md5 that any engine computes."""
+    import hashlib
+    from motorlytics.functions.expr import draw_bits, hash_normal, hash_uniform
+    rows = spark.range(2000).select("id", draw_bits(42, F.col("id")).alias("b"), hash_uniform(42, F.col("id")).alias("u"), hash_normal(42, F.col("id")).alias("z")).collect()
+    for r in rows[:50]:
+        assert r["b"] == int(hashlib.md5(f"42:{r['id']}".encode()).hexdigest()[:13], 16) and r["u"] == r["b"] / 2 ** 52
+    assert abs(sum(r["u"] for r in rows) / 2000 - 0.5) < 0.03 and abs(sum(r["z"] ** 2 for r in rows) / 2000 - 1) < 0.15
+    assert len({r["b"] for r in rows}) == 2000
+
+
+def test_latest_by_position_takes_each_column_from_its_own_row(spark):
+    from motorlytics.operators import scoring as SC
+    rows = [("a", 1, "x", None, None), ("a", 2, None, 5, None), ("a", 3, None, None, None), ("b", 1, "y", 1, None), (None, 1, "z", 9, None)]
+    df = spark.createDataFrame(rows, "equipment_serial_no string, repair_count long, s string, n int, never double")
+    got = {r["equipment_serial_no"]: tuple(r)[1:] for r in SC.latest_records(df, position_col="repair_count").collect()}
+    assert got == {"a": (3, "x", 5, None), "b": (1, "y", 1, None)}
+    assert SC.latest_records(df.limit(0), position_col="repair_count").count() == 0
+    plan = SC.latest_records(df, position_col="repair_count")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
