@@ -216,17 +216,24 @@ def staged_losses(model, df: DataFrame, split: str, features: list[str] | None =
 def predict(model, df: DataFrame, features: list[str] | None = None) -> DataFrame:
     """Adds ``prediction`` (int) and ``prob`` (array<double>, one per class).
 
-    Forests expose class probabilities. One-vs-rest boosting exposes one
-    margin per class; each becomes 1/(1+exp(-2m)) and the four are normalised."""
-    out = model.transform(assembler(features).transform(df))
-    if "probability" in out.columns:
-        prob = vector_to_array(F.col("probability"))
-    else:
-        raw = vector_to_array(F.col("rawPrediction"))
-        sig = F.transform(raw, lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * m)))
-        prob = F.transform(sig, lambda x: x / F.aggregate(sig, F.lit(0.0), lambda a, b: a + b))
-    drop = [c for c in ("features", "rawPrediction", "probability") if c in out.columns]
-    return out.withColumn("prob", prob).withColumn("prediction", F.col("prediction").cast("int")).drop(*drop)
+    Forests expose class probabilities. One-vs-rest boosting exposes one margin m per
+    class: the largest is the prediction (ties to the smaller class), and 1/(1+exp(-2m)),
+    normalised, the probabilities. The binary models are applied one by one, so that the
+    scoring stays in the JVM and works on streams."""
+    out = assembler(features).transform(df)
+    if hasattr(model, "models"):
+        raw = [f"_raw{k}" for k in range(len(model.models))]
+        for name, binary in zip(raw, model.models):
+            out = binary.copy().setPredictionCol("").setProbabilityCol("").setRawPredictionCol(name).transform(out)
+        margins = F.array(*[vector_to_array(F.col(name))[1] for name in raw])
+        sig = F.transform(F.col("_margins"), lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * m)))
+        out = out.withColumn("_margins", margins).withColumn("_sig", sig)
+        prob = F.transform("_sig", lambda x: x / F.aggregate("_sig", F.lit(0.0), lambda a, b: a + b))
+        prediction = F.array_position("_margins", F.array_max("_margins")) - 1
+        return out.withColumns({"prob": prob, "prediction": prediction.cast("int")}).drop("features", "_margins", "_sig", *raw)
+    out = model.transform(out)
+    return out.withColumns({"prob": vector_to_array(F.col("probability")), "prediction": F.col("prediction").cast("int")}).drop(
+        "features", "rawPrediction", "probability")
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -35,6 +35,9 @@ def test_boosted_one_vs_rest_probabilities(spark):
     train, test = _split(spark)
     model = TR.fit_boosted_trees(train, {"maxIter": 3, "maxDepth": 3})
     pred = TR.predict(model, test)
+    # the same classes as the library's own one-vs-rest transform
+    own = model.transform(TR.assembler().transform(test)).select("requisition_id", F.col("prediction").cast("int").alias("own"))
+    assert pred.join(own, "requisition_id").where("prediction <> own").count() == 0
     row = pred.select(F.size("prob").alias("n"), F.aggregate("prob", F.lit(0.0), lambda a, b: a + b).alias("s")).first()
     assert row.n == 4 and abs(row.s - 1.0) < 1e-9
     acc = EV.summary_metrics(pred).first().accuracy

@@ -8,7 +8,11 @@ from motorlytics.sources.fixtures import inspection_items
 from tests.conftest import SF_SMALL
 
 
-def test_stream_scores_every_request(spark):
+def test_stream_scores_every_request(spark, monkeypatch):
+    from motorlytics.operators import training as TR
+    from motorlytics.registry import training as RT
+    monkeypatch.setattr(RT, "_MODELS", {})
+    monkeypatch.setitem(TR.GBT_PARAMS, "maxIter", 4)  # the stream is tested here, not the fit
     out = E.queries()["d03_checklist_stream_scored"](spark, SF_SMALL)
     n_req = inspection_items(spark, SF_SMALL).count()
     assert out.count() == n_req
