@@ -90,14 +90,15 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # 10 -------------------------------------------------------------------------
 TOKEN_SQL = r"""
-WITH w AS (SELECT DISTINCT doc_id, source, lang,
+WITH w AS (SELECT doc_id, source, lang, CASE WHEN doc_id IS NULL THEN count(*) ELSE 1 END AS copies,
                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n1,
-                  len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{N}]')) AS n2 FROM documents),
+                  len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{N}]')) AS n2 FROM documents
+           GROUP BY doc_id, source, lang, n1, n2),
      g AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
      d AS (SELECT source, lang, CASE WHEN g.quality = 0 THEN 'wordpunct-2' ELSE 'words-1' END AS tokenizer,
-                  CASE WHEN g.quality = 0 THEN n2 ELSE n1 END AS n FROM w LEFT JOIN g USING (doc_id)
+                  CASE WHEN g.quality = 0 THEN n2 ELSE n1 END AS n, copies FROM w LEFT JOIN g USING (doc_id)
            WHERE coalesce(g.toxic, 0) <> 1)
-SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM d GROUP BY ALL
+SELECT source, lang, tokenizer, sum(copies)::BIGINT AS n_docs, sum(n * copies)::BIGINT AS n_tokens FROM d GROUP BY ALL
 """
 
 

@@ -9,7 +9,8 @@ new one that replaces them with the same single log write.
 
 Changes: ``change`` is ``insert`` (+), ``delete`` (-) or ``revise`` (the old count
 under its old key is taken back, the new one added). Defined results: identical
-change rows of a batch count once; null source, lang or tokenizer is a group of
+change rows of a batch count once if they name a document; without an id each is a
+document of its own; null source, lang or tokenizer is a group of
 its own; a null count is 0; an unknown change raises; a group whose totals are
 all 0 is left out; a rollup without batches is empty.
 """
@@ -37,17 +38,19 @@ def token_count(version: str, col: Column | str = "text") -> Column:
 
 def signed_sums(changes: DataFrame) -> DataFrame:
     """Signed sums of a batch of changes by key; partial sums are made before the shuffle."""
-    c = changes.select(*[f.split()[0] for f in CHANGE_SCHEMA.split(", ")]).distinct()
+    named = [f.split()[0] for f in CHANGE_SCHEMA.split(", ")]
+    c = changes.groupBy(*named).agg(F.count(F.lit(1)).alias("copies"))
     known = F.col("change").isin("insert", "delete", "revise")
     c = c.withColumn("change", F.when(known, F.col("change")).otherwise(
         F.raise_error(F.concat(F.lit("unknown change: "), F.coalesce("change", F.lit("null"))))))
-    sign = F.when(F.col("change") == "delete", F.lit(-1)).otherwise(F.lit(1)).cast("long")
+    times = F.when(F.col("doc_id").isNull(), F.col("copies")).otherwise(F.lit(1)).cast("long")
+    sign = F.when(F.col("change") == "delete", -times).otherwise(times)
 
     def row(prefix: str, s: Column) -> Column:
         return F.struct(*(F.col(prefix + k).alias(k) for k in KEYS), s.alias("n_docs"),
                         (s * F.coalesce(prefix + "n_tokens", F.lit(0))).alias("n_tokens"))
 
-    rows = F.when(F.col("change") == "revise", F.array(row("", sign), row("old_", F.lit(-1).cast("long")))).otherwise(F.array(row("", sign)))
+    rows = F.when(F.col("change") == "revise", F.array(row("", sign), row("old_", -times))).otherwise(F.array(row("", sign)))
     return c.select(F.inline(rows)).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 

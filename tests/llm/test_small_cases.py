@@ -363,6 +363,14 @@ def test_token_rollup_batches(spark):
     assert rows_of(again.totals(), "source", "lang", "tokenizer", "n_docs", "n_tokens") == sorted([("a", "en", "v2", 1, 12), (None, None, "v1", 1, 0)], key=repr)
 
 
+def test_token_rollup_documents_without_id_are_each_their_own(spark):
+    rollup = token_rollup.TokenRollup(spark, shared_path(spark, "rollup-null-ids"))
+    rollup.commit("b1", changes(spark, [("insert", None, "a", "en", "v1", 5, None)] * 3 + [("insert", 7, "a", "en", "v1", 5, None)] * 2))
+    assert rows_of(rollup.totals(), "n_docs", "n_tokens") == [(4, 20)]
+    rollup.commit("b2", changes(spark, [("delete", None, "a", "en", "v1", 5, None), ("revise", None, "a", "en", "v1", 6, ("a", "en", "v1", 5))]))
+    assert rows_of(rollup.totals(), "n_docs", "n_tokens") == [(3, 16)]
+
+
 def test_token_rollup_unknown_change_raises(spark):
     with pytest.raises(Exception, match="unknown change"):
         token_rollup.signed_sums(changes(spark, [("upsert", 1, "a", "en", "v1", 1, None)])).collect()
