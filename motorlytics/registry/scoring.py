@@ -9,7 +9,7 @@ from motorlytics import oracle as O
 from motorlytics import schema as S
 from motorlytics.operators import scoring as SC
 from motorlytics.sources import fixtures as FX
-from motorlytics.registry.core import AS_OF, ENGINEERED_COLS, MEAN_HEALTH_SQL, _label_values_sql, latest, register
+from motorlytics.registry.core import AS_OF, ENGINEERED_COLS, MEAN_HEALTH_SQL, _label_values_sql, engineered, latest, register
 from motorlytics.registry.features import ISO_DATE_SQL, iso_dates
 
 
@@ -31,7 +31,7 @@ O.add_cte("latest", _latest_sql())
 
 @register("c01_latest_records", O.with_ctes(f"SELECT * REPLACE ({ISO_DATE_SQL}) FROM latest", "latest"))
 def c01(spark, sf_dir):
-    return iso_dates(latest(spark, sf_dir))
+    return iso_dates(SC.latest_by_position(engineered(spark, sf_dir).drop("updated_at"), "repair_count"))
 
 
 @register("c13_department_risk_rule", O.with_ctes(

@@ -158,8 +158,8 @@ def test_latest_by_position_takes_each_column_from_its_own_row(spark):
     from motorlytics.operators import scoring as SC
     rows = [("a", 1, "x", None, None), ("a", 2, None, 5, None), ("a", 3, None, None, None), ("b", 1, "y", 1, None), (None, 1, "z", 9, None)]
     df = spark.createDataFrame(rows, "equipment_serial_no string, repair_count long, s string, n int, never double")
-    got = {r["equipment_serial_no"]: tuple(r)[1:] for r in SC.latest_records(df, position_col="repair_count").collect()}
+    got = {r["equipment_serial_no"]: tuple(r)[1:] for r in SC.latest_by_position(df, "repair_count").collect()}
     assert got == {"a": (3, "x", 5, None), "b": (1, "y", 1, None)}
-    assert SC.latest_records(df.limit(0), position_col="repair_count").count() == 0
-    plan = SC.latest_records(df, position_col="repair_count")._jdf.queryExecution().executedPlan().toString()
+    assert SC.latest_by_position(df.limit(0), "repair_count").count() == 0
+    plan = SC.latest_by_position(df, "repair_count")._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan

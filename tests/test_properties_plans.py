@@ -107,3 +107,5 @@ def test_latest_position_key_equals_struct_key(spark):
     a = SC.latest_records(eng)
     b = SC.latest_records(eng, position_col="repair_count")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    c = SC.latest_by_position(eng, "repair_count")
+    assert a.columns == c.columns and a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
