@@ -13,8 +13,11 @@ Only components are asked for, so a column with many rows is not multiplied out
 once. In the first rounds each column links its rows to one of them (a minimum, hence
 pre-aggregated, frequent columns being dealt into salted parts first). Verified links
 merge rows into components; columns whose rows are all in one component are done. The
-last round multiplies what is left: every pair of rows of different components that
-share a column. So no link is lost, and a group of near copies costs about its size.
+last round multiplies what is left, the smaller row's first columns with the larger
+row's longer block. Rows meet there only if their parity signatures allow the similarity:
+each n-gram flips one of ``SIGN_BITS`` bits, so two rows differ in at least as many n-grams
+as their signatures in bits. So no link is lost, and near copies of one text that are not
+near copies of each other are told apart before they are paired.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; fewer than
 ``size`` words make one shingle of the whole sequence; null, empty or blank text has
@@ -53,6 +56,8 @@ FREQUENT = 4
 SALTS = 16
 #: Rounds that link the rows of a column to one of them, before the last.
 STAR_ROUNDS = 2
+#: Bits of a row's parity signature, in 64-bit words.
+SIGN_BITS = 512
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -82,10 +87,17 @@ def _class(found: np.ndarray) -> int | None:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())))) if len(found) else None
 
 
+def signature(found: np.ndarray) -> np.ndarray:
+    """Parity, bit by bit, of how many n-grams fall on each of ``SIGN_BITS`` cells."""
+    cell = found.view(np.uint64) >> np.uint64(64 - (SIGN_BITS - 1).bit_length())
+    odd = np.bincount(cell.astype(np.int64), minlength=SIGN_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def classes_and_counts(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """Two kinds of rows: ``(doc_id, n, node)`` per document row, and
+    """Two kinds of rows: ``(doc_id, n, node, sign)`` per document row, and
     ``(shingle, docs)`` for n-grams met often within a block of a task."""
-    schema = "doc_id long, n int, node long, shingle long, docs long"
+    schema = "doc_id long, n int, node long, sign array<long>, shingle long, docs long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = [], 0
@@ -94,23 +106,25 @@ def classes_and_counts(docs: DataFrame, size: int = SIZE) -> DataFrame:
             values, times = np.unique(np.concatenate(block), return_counts=True)
             often = times >= BLOCK_DOCS
             none = pa.nulls(int(often.sum()))
-            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()),
+            return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.list_(pa.int64())),
                                                pa.array(values[often]), pa.array(times[often].astype(np.int64))], names=names)
 
-        names = ["doc_id", "n", "node", "shingle", "docs"]
+        names = ["doc_id", "n", "node", "sign", "shingle", "docs"]
         for batch in batches:
-            n, node = [], []
+            n, node, sign = [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py(), size)
                 n.append(len(found))
                 node.append(_class(found))
+                sign.append(signature(found) if len(found) else None)
                 block.append(found)
                 held += len(found)
                 if held >= BLOCK_SHINGLES:
                     yield counted()
                     block, held = [], 0
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(node, pa.int64()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(node, pa.int64()),
+                                               pa.array(sign, pa.list_(pa.int64())), none, none], names=names)
         if block:
             yield counted()
 
@@ -179,25 +193,46 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
+def _early(percent: int) -> Column:
+    """Whether the smaller of two similar rows may meet the other first at this column."""
+    n = F.col("n").cast("long")
+    return (100 + percent) * (n - F.col("at")) >= 2 * percent * n
+
+
 def _pivot(seed: int) -> Column:
-    return F.struct(F.xxhash64(F.lit(seed), "node").alias("o"), "node", "n", "at", "component")
+    """Of the first round one order of rows for all columns, of later ones one for each column."""
+    order = F.xxhash64(F.lit(seed), "shingle", "node") if seed else F.xxhash64(F.lit(seed), "node")
+    return F.struct(order.alias("o"), "node", "n", "at", "component")
 
 
 def star_pairs(columns: DataFrame, by: list[str], seed: int, percent: int) -> DataFrame:
     """Each column's rows with one of them, the one whose seeded hash is smallest, unless
-    they are in one component already."""
-    pivot = columns.groupBy(*by).agg(F.min(_pivot(seed)).alias("p"))
+    they are in one component already. With an order for each column the copies of a text,
+    which share many columns, are tried against many of them."""
+    pivot = columns.where(_early(percent)).groupBy(*by).agg(F.min(_pivot(seed)).alias("p"))
     met = columns.join(pivot, by).where(F.col("component") != F.col("p.component"))
     met = met.where(_possible(F.col("n"), F.col("at"), F.col("p.n"), F.col("p.at"), percent))
     return met.select(F.col("node").alias("a"), F.col("p.node").alias("b"))
 
 
-def all_pairs(columns: DataFrame, percent: int) -> DataFrame:
-    """Every two rows of different components that share a column and can be similar."""
-    left = columns.select("shingle", *(F.col(c).alias(c + "1") for c in ("node", "n", "at", "component")))
-    right = columns.select("shingle", *(F.col(c).alias(c + "2") for c in ("node", "n", "at", "component")))
-    met = left.join(right, "shingle").where("component1 < component2")
-    met = met.where(_possible(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), percent))
+def near_signs(percent: int) -> Column:
+    """Whether rows of ``n1`` and ``n2`` n-grams may differ in as many as their signatures
+    ``sign1`` and ``sign2`` differ in bits: (100 + p) d <= (100 - p) (n1 + n2)."""
+    words = [F.bit_count(F.col("sign1")[i].bitwiseXOR(F.col("sign2")[i])) for i in range(SIGN_BITS // 64)]
+    return (100 + percent) * sum(words[1:], words[0]) <= (100 - percent) * (F.col("n1") + F.col("n2")).cast("long")
+
+
+def all_pairs(columns: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Every two rows of different components that share a column and can be similar.
+    Rows that meet first at a column share it within the smaller one's first
+    n - (2 p n / (100 + p)) columns and the larger one's first n - p n / 100. ``signs(node, sign)``
+    holds the signature of each row."""
+    columns = columns.join(signs, "node")
+    some = ("node", "n", "at", "component", "sign")
+    left = columns.where(_early(percent)).select("shingle", *(F.col(c).alias(c + "1") for c in some))
+    right = columns.where(100 * (F.col("n") - F.col("at")).cast("long") >= percent * F.col("n")).select("shingle", *(F.col(c).alias(c + "2") for c in some))
+    met = left.join(right, "shingle").where("component1 <> component2 and (n1 < n2 or n1 = n2 and node1 < node2)")
+    met = met.where(_possible(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), percent) & near_signs(percent))
     return met.select(F.col("node1").alias("a"), F.col("node2").alias("b"))
 
 
@@ -254,11 +289,13 @@ def link_classes(docs: DataFrame, classes: DataFrame, counts: DataFrame, percent
     joined, tested = columns.withColumn("component", F.col("node")), links
     for turn in range(STAR_ROUNDS + 1):
         if turn == STAR_ROUNDS:
-            pairs = all_pairs(joined, percent)
+            # one signature a class, and only of the classes still open
+            signs = classes.join(joined.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("sign").alias("sign"))
+            pairs = all_pairs(joined, signs, percent)
         else:
             pairs = star_pairs(joined, ["shingle", "salt"], turn, percent)
             if turn == 0:  # the parts of a frequent column meet through their pivots
-                parts = joined.groupBy("shingle", "salt").agg(F.min(_pivot(0)).alias("p")).select("shingle", "p.*")
+                parts = joined.where(_early(percent)).groupBy("shingle", "salt").agg(F.min(_pivot(0)).alias("p")).select("shingle", "p.*")
                 pairs = pairs.unionByName(star_pairs(parts, ["shingle"], 0, percent))
         pairs = _pairs(pairs).join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "ngram-pairs")
@@ -278,7 +315,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE)
     """``docs(doc_id, text, ...)`` -> one row per document row: ``doc_id, n_shingles,
     component_id`` (smallest doc_id reachable by links)."""
     found = stored(classes_and_counts(docs, size), "ngram-classes")
-    classes = found.where("shingle is null").select("doc_id", "n", "node")
+    classes = found.where("shingle is null").select("doc_id", "n", "node", "sign")
     counts = found.where("shingle is not null").select("shingle", "docs")
     grouped = link_classes(docs, classes, counts, percent, size)
 
