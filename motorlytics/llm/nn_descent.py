@@ -1,19 +1,21 @@
 """Approximate nearest neighbours: NN-descent graph, greedy search.
 
-Building. Each vector starts with its nearest neighbours inside a few random blocks
-(hyperplane codes; blocks of bounded size, a crowded code is dealt into several).
-NN-descent then improves the lists in rounds of Spark joins: a node's neighbours and a
+Building. Each vector starts with a coarse list: a few of its nearest inside two small
+hyperplane blocks and inside a random group, which keeps the blocks connected.
+NN-descent then improves the lists in rounds of Spark joins, at every table size: a node's neighbours and a
 sample of those that list it are brought together with their vectors, and every two of
 them of which one is new tell each other their distance, if it beats the worst entry
-of the other's list; rounds end when few entries change. Vectors travel in the table's
-own precision; distances are taken in double precision, again by differences where the
+of the other's list; rounds end when few entries change. Vectors and lists are broadcast to
+the joins while their counted bytes are under the bound, and shuffled beyond it. Vectors
+travel in the table's own precision; distances are taken in double precision, again by differences where the
 product form would lose digits or overflow, so one huge vector or a group of near copies
 does not blur the others. Reverse lists are sampled to about ``k``, told from pre-aggregated
 counts, so no node gathers an unbounded list.
 
 Searching. Each query is a node of the graph. Its candidates start as its own and
 sampled reverse neighbours; in rounds, the unexpanded ones among the ``beam`` nearest
-are joined with their lists, until none is left. Distances of results are Euclidean, in
+are joined with their lists, until none is left: the beam's worst distance only falls,
+so what has left it stays out and the rounds end by themselves. Distances of results are Euclidean, in
 double precision on the original vectors.
 
 Equal vectors are one node, named by the smallest id; results are expanded to the
@@ -34,16 +36,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motorlytics.llm.common import broadcast_if_small, hash128, shuffle_partitions, stored
+from motorlytics.llm.common import BROADCAST_BYTES, broadcast_if_small, hash128, shuffle_partitions, stored
 
 K = 24
 #: Rounds end when at most this share of the list entries is new, or after ROUNDS.
-CHANGED = 0.001
+CHANGED = 0.01
 ROUNDS = 30
 BEAM = 160
-MAX_SEARCH_ROUNDS = 24
-BLOCK = 4096
-BLOCK_PASSES = 4
+#: Rows of a hyperplane block and of a random group; a block is cut between BLOCK and 2 BLOCK rows.
+BLOCK, GROUP = 256, 64
+#: Entries of a first list out of each of the two blocks and the random group: K in all.
+FIRST = (9, 9, 6)
+#: Rows of one hyperplane code that go to one task.
+CODE_ROWS = 1 << 16
 #: Vectors looked at to place the hyperplanes of the first blocks.
 PLANE_SAMPLE = 2000
 #: Rows of a block that are compared with the whole block at once; pairs compared by differences at once.
@@ -68,11 +73,13 @@ def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
 
 
 def keep_nearest(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest distinct ``v`` of each ``u``; an entry known before is not fresh."""
+    """The ``k`` nearest distinct ``v`` of each ``u``, with their rank ``r``; an entry known before is not
+    fresh. ``worst`` is the distance that a new entry has to beat (a list not full yet takes anything)."""
     dealt = edges.repartition(shuffle_partitions(edges.sparkSession), "u")
     one = dealt.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
-    return one.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+    kept, whole = one.withColumn("r", rank).where(F.col("r") <= k), Window.partitionBy("u")
+    return kept.withColumn("worst", F.when(F.count("*").over(whole) >= k, F.max("d").over(whole)).otherwise(F.lit(float("inf"))))
 
 
 def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,46 +118,87 @@ def _norms(x: np.ndarray) -> np.ndarray:
         return (x * x).sum(1)
 
 
-def _block_edges(k: int):
-    def run(table: pa.Table) -> pa.Table:
-        ids, x = table["id"].to_numpy(), _matrix(table["vec"])
-        m = min(k, len(ids) - 1)
-        if m <= 0:
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
-        norm, parts = _norms(x), []
-        for low in range(0, len(ids), SLAB):
-            d = _pairwise(x, norm, low, min(low + SLAB, len(ids)))
-            near = np.argpartition(d, m - 1, axis=1)[:, :m]
-            parts.append((np.repeat(ids[low:low + SLAB], m), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
-        u, v, d = (np.concatenate(c) for c in zip(*parts, strict=True))
-        other = u != v
-        return pa.table({"u": u[other], "v": v[other], "d": d[other]})
+def _block_edges(table: pa.Table, kind: str) -> pa.RecordBatch | None:
+    """The first entries of a block's rows ``(v, raw, turn)``, all of one turn."""
+    ids, x = table["v"].to_numpy(), np.frombuffer(b"".join(table["raw"].to_pylist()), kind).astype(np.float64).reshape(table.num_rows, -1)
+    m = min(FIRST[table["turn"][0].as_py()], len(ids) - 1)
+    if m <= 0:
+        return None
+    norm, parts = _norms(x), []
+    for low in range(0, len(ids), SLAB):
+        d = _pairwise(x, norm, low, min(low + SLAB, len(ids)))
+        near = np.argpartition(d, m - 1, axis=1)[:, :m]
+        parts.append((np.repeat(ids[low:low + SLAB], m), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
+    u, v, d = (np.concatenate(c) for c in zip(*parts, strict=True))
+    other = u != v
+    return pa.RecordBatch.from_arrays([pa.array(u[other]), pa.array(v[other]), pa.array(d[other])], names=["u", "v", "d"])
+
+
+def _cut_blocks(kind: str):
+    """Sorted rows (v, raw, turn, code, part) -> edges inside blocks; at most two blocks and a batch are held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(held: pa.Table, last: bool) -> Iterator[pa.RecordBatch | None]:
+            keys = [held[c].to_numpy() for c in ("turn", "code", "part")]
+            ends = np.flatnonzero(np.concatenate((np.any([k[1:] != k[:-1] for k in keys], axis=0), [True]))) + 1
+            at = 0
+            for end in ends:
+                while end - at >= 2 * BLOCK:
+                    yield _block_edges(held.slice(at, BLOCK), kind)
+                    at += BLOCK
+                if end < held.num_rows or last:  # the last run may go on
+                    yield _block_edges(held.slice(at, end - at), kind)
+                    at = int(end)
+            rest.append(held.slice(at))
+
+        held, rest = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            yield from (b for b in made(held, False) if b is not None)
+            held = rest.pop()
+        if held is not None and held.num_rows:
+            yield from (b for b in made(held, True) if b is not None)
     return run
 
 
-def first_edges(nodes: DataFrame, n: int, k: int, seed: int) -> DataFrame:
-    """Neighbours inside random blocks; one pass only if everything fits one block."""
-    sample = nodes.orderBy(F.xxhash64(F.lit(seed), "id")).limit(PLANE_SAMPLE).toPandas()
-    x = np.array(sample["vec"].tolist())
-    bits = max(0, int(np.ceil(np.log2(max(1, n) / BLOCK))))
-    rng = np.random.default_rng(seed)
-    out = None
-    for turn in range(BLOCK_PASSES if bits else 1):
+def first_edges(raws: DataFrame, n: int, seed: int, kind: str) -> DataFrame:
+    """Coarse lists of ``raws(v, raw)``: neighbours inside two hyperplane blocks and a random group."""
+    sample = raws.orderBy(F.xxhash64(F.lit(seed), "v")).limit(PLANE_SAMPLE).toPandas()
+    x = np.frombuffer(b"".join(sample["raw"]), kind).astype(np.float64).reshape(len(sample), -1)
+    bits, groups = max(0, int(np.ceil(np.log2(max(1, n) / BLOCK)))), -(-n // GROUP)
+    rng, weights = np.random.default_rng(seed), 1 << np.arange(bits, dtype=np.int64)
+    sides, crowded = [], []
+    for _ in FIRST[:2]:
         planes = rng.standard_normal((x.shape[1], bits))
-        middle = np.nanmedian(x @ planes, axis=0) if bits else np.zeros(0)
-
-        def coded(batches: Iterator[pa.RecordBatch], planes=planes, middle=middle, bits=bits) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                side = (_matrix(batch.column(1)) @ planes > middle) if bits and batch.num_rows else np.zeros((batch.num_rows, bits), bool)
-                code = side @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(batch.num_rows, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code.astype(np.int64))], names=["id", "vec", "code"])
-
-        code = nodes.mapInArrow(coded, "id long, vec array<double>, code long")
-        sizes = code.groupBy("code").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-        code = code.join(sizes, "code").withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "id"), F.col("parts")))
-        made = code.groupBy("code", "part").applyInArrow(_block_edges(k), EDGE)
-        out = made if out is None else out.unionByName(made)
-    return out.withColumn("fresh", F.lit(True))
+        with np.errstate(over="ignore", invalid="ignore"):
+            middle = np.nanmedian(x @ planes, axis=0) if bits else np.zeros(0)
+            codes, seen = np.unique((x @ planes > middle) @ weights, return_counts=True)
+        # a code that the sample shows to hold many rows is dealt into several tasks
+        crowded.append({int(c): int(p) for c, s in zip(codes, seen, strict=True) if (p := -(-int(s) * n // (len(x) * CODE_ROWS))) > 1})
+        sides.append((planes, middle))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, raw = batch.column(0).to_numpy(), batch.column(1)
+            if not len(ids):
+                continue
+            rows = np.frombuffer(b"".join(raw.to_pylist()), kind).astype(np.float64).reshape(len(ids), -1)
+            drawn = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+            for turn, (planes, middle) in enumerate(sides):
+                with np.errstate(over="ignore", invalid="ignore"):
+                    code = ((rows @ planes > middle) @ weights).astype(np.int64)
+                parts = np.array([crowded[turn].get(c, 1) for c in code.tolist()], np.uint64)
+                part = (drawn % parts).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), raw, pa.array(np.full(len(ids), turn, np.int32)), pa.array(code), pa.array(part)], names=names)
+            group = (drawn % np.uint64(groups)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), raw, pa.array(np.full(len(ids), len(sides), np.int32)), pa.array(group), pa.array(np.zeros(len(ids), np.int64))], names=names)
+
+    names = ["v", "raw", "turn", "code", "part"]
+    dealt = raws.mapInArrow(coded, "v long, raw binary, turn int, code long, part long")
+    dealt = dealt.repartition(shuffle_partitions(raws.sparkSession), "turn", "code", "part").sortWithinPartitions("turn", "code", "part", "v")
+    return dealt.mapInArrow(_cut_blocks(kind), EDGE).withColumn("fresh", F.lit(True))
 
 
 def packed(nodes: DataFrame, kind: str) -> DataFrame:
@@ -163,9 +211,14 @@ def packed(nodes: DataFrame, kind: str) -> DataFrame:
     return nodes.select("id", "vec").mapInArrow(run, "v long, raw binary")
 
 
-def _sampled_reverse(graph: DataFrame, k: int, seed: int) -> DataFrame:
+def _whole(df: DataFrame, small: bool) -> DataFrame:
+    """``df``, a row for each node, as a broadcast side if its bytes were found ``small``."""
+    return F.broadcast(df) if small else df
+
+
+def _sampled_reverse(graph: DataFrame, k: int, seed: int, small: bool) -> DataFrame:
     """Edges turned round, about ``k`` for a node that many list."""
-    listed = graph.groupBy("v").agg(F.count("*").alias("n"))
+    listed = _whole(graph.groupBy("v").agg(F.count("*").alias("n")), small)
     draw = F.pmod(F.xxhash64(F.lit(seed), "u", "v"), F.lit(1 << 20)) * F.col("n") < k * (1 << 20)
     return graph.join(listed, "v").where(draw).select(F.col("v").alias("u"), F.col("u").alias("v"), "fresh")
 
@@ -220,69 +273,65 @@ def _introduce(per_node: int, kind: str):
     return run
 
 
-def descend(graph: DataFrame, raws: DataFrame, k: int, seed: int, kind: str) -> DataFrame:
+def descend(graph: DataFrame, raws: DataFrame, k: int, seed: int, kind: str, small: bool) -> DataFrame:
     """One round: lists improved by neighbours of neighbours."""
     parts = shuffle_partitions(graph.sparkSession)
-    lists = graph.select("u", "v", "fresh").unionByName(_sampled_reverse(graph, k, seed)).repartition(parts, "u").groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+    lists = graph.select("u", "v", "fresh").unionByName(_sampled_reverse(graph, k, seed, small)).repartition(parts, "u").groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
     # where none is fresh, nobody is introduced
     lists = lists.withColumn("any", F.max("fresh").over(Window.partitionBy("u"))).where("any").drop("any")
-    # a list not full yet takes anything
-    worst = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("worst"))
-    known = raws.join(worst.withColumnRenamed("u", "v"), "v")
+    worst = graph.where("r = 1").select(F.col("u").alias("v"), "worst")
+    known = _whole(raws.join(_whole(worst, small), "v"), small)
     met = lists.join(known, "v").select("u", "v", "fresh", "raw", "worst")
-    met = met.repartition(parts, "u").sortWithinPartitions("u")
-    told = met.mapInArrow(_introduce(k // 2, kind), EDGE).withColumn("fresh", F.lit(True))
-    old = graph.withColumn("fresh", F.lit(False))
+    if not small:  # a broadcast leaves the rows dealt by u
+        met = met.repartition(parts, "u")
+    told = met.sortWithinPartitions("u").mapInArrow(_introduce(k // 2, kind), EDGE).withColumn("fresh", F.lit(True))
+    old = graph.select("u", "v", "d", F.lit(False).alias("fresh"))
     return keep_nearest(old.unionByName(told), k)
 
 
-def build_graph(nodes: DataFrame, n: int, k: int = K, rounds: int = ROUNDS, seed: int = 5, kind: str = "<f8") -> DataFrame:
-    """``u, v, d, fresh`` over ``nodes(id, vec)``, stored after each round."""
-    graph = stored(keep_nearest(first_edges(nodes, n, k, seed), k), "nn-graph")
-    if n <= BLOCK:  # one block is exact already
-        return graph
-    raws = stored(packed(nodes, kind), "nn-raws")
+def build_graph(raws: DataFrame, n: int, small: bool, k: int = K, rounds: int = ROUNDS, seed: int = 5, kind: str = "<f8") -> DataFrame:
+    """``u, v, d, fresh, r, worst`` over ``raws(v, raw)``, stored after each round."""
+    graph = stored(keep_nearest(first_edges(raws, n, seed, kind), k), "nn-graph")
     for turn in range(rounds):
-        graph = stored(descend(graph, raws, k, seed + turn, kind), "nn-graph")
+        graph = stored(descend(graph, raws, k, seed + turn, kind, small), "nn-graph")
         if graph.where("fresh").count() <= CHANGED * k * n:
             break
     return graph
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = _matrix(batch.column(2)), _matrix(batch.column(3))
-        d = _between(a, b) if batch.num_rows else np.empty(0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64())], names=["q", "c", "d"])
-
-
-def measured(pairs: DataFrame, asked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``q, c, d``: distance, in double precision, of ``pairs(q, c)``."""
-    vectors = nodes.select(F.col("id").alias("c"), F.col("vec").alias("cv"))
-    return pairs.join(vectors, "c").join(asked, "q").select("q", "c", "qv", "cv").mapInArrow(_distances, "q long, c long, d double")
+def _distances(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), kind).astype(np.float64).reshape(batch.num_rows, -1) for i in (3, 4))
+            d = _between(a, b) if batch.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(d, pa.float64())], names=["q", "c", "expanded", "d"])
+    return run
 
 
-def greedy_search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM) -> DataFrame:
+def greedy_search(graph: DataFrame, raws: DataFrame, queries: DataFrame, small: bool, k: int = K, beam: int = BEAM, kind: str = "<f8", row_bytes: int = 1024) -> DataFrame:
     """``q, c, d``: the ``beam`` nearest nodes found for each query node ``queries(q)``, with
     the distance; the query itself is not among them. What a query keeps between
     rounds is its beam; a node that has left it may be measured again, not expanded."""
-    asked = queries.join(nodes, queries["q"] == nodes["id"]).select("q", F.col("vec").alias("qv"))
-    asked = broadcast_if_small(stored(asked, "nn-queries"), 1024)
-    lists = stored(graph.select("u", "v").unionByName(_sampled_reverse(graph, k, 99).select("u", "v")).distinct(), "nn-lists")
+    asked = raws.select(F.col("v").alias("q"), F.col("raw").alias("q_raw")).join(queries, "q")
+    asked = broadcast_if_small(stored(asked, "nn-queries"), row_bytes)
+    vectors = _whole(raws.select(F.col("v").alias("c"), F.col("raw").alias("c_raw")), small)
+    lists = stored(graph.select("u", "v").unionByName(_sampled_reverse(graph, k, 99, small).select("u", "v")).distinct(), "nn-lists")
+    lists = broadcast_if_small(lists.select(F.col("u").alias("c"), "v"), 16)
+    parts = shuffle_partitions(graph.sparkSession)
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))
 
     def beamed(found: DataFrame) -> DataFrame:
-        return stored(found.withColumn("r", rank).where(F.col("r") <= beam).drop("r"), "nn-beam")
+        """The nearest of ``found(q, c, expanded)``, a candidate found again counting once."""
+        one = found.where("q <> c").repartition(parts, "q").groupBy("q", "c").agg(F.max("expanded").alias("expanded"))
+        near = one.join(vectors, "c").join(asked, "q").select("q", "c", "expanded", "q_raw", "c_raw").mapInArrow(_distances(kind), "q long, c long, expanded boolean, d double")
+        return stored(near.withColumn("r", rank).where(F.col("r") <= beam).drop("r"), "nn-beam")
 
-    start = queries.join(lists, queries["q"] == lists["u"]).select("q", F.col("v").alias("c")).where("q <> c")
-    seen = beamed(measured(start, asked, nodes).withColumn("expanded", F.lit(False)))
-    for _ in range(MAX_SEARCH_ROUNDS):
-        front = seen.where("not expanded").select("q", "c")
-        if front.isEmpty():
-            break
-        more = front.join(lists, front["c"] == lists["u"]).select("q", F.col("v").alias("c")).where("q <> c").distinct()
-        more = measured(more.join(seen.select("q", "c"), ["q", "c"], "left_anti"), asked, nodes).withColumn("expanded", F.lit(False))
-        seen = beamed(seen.withColumn("expanded", F.lit(True)).unionByName(more))
+    def listed(front: DataFrame) -> DataFrame:
+        return front.join(lists, "c").select("q", F.col("v").alias("c"), F.lit(False).alias("expanded"))
+
+    seen = beamed(listed(queries.select("q", F.col("q").alias("c"))))
+    while not (front := seen.where("not expanded").select("q", "c")).isEmpty():
+        seen = beamed(seen.select("q", "c", F.lit(True).alias("expanded")).unionByName(listed(front)))
     return seen.select("q", "c", "d")
 
 
@@ -293,7 +342,7 @@ def nearest(table: DataFrame, query_ids, id_col: str = "vec_id", vector_col: str
     rows = valid_vectors(table, id_col, vector_col)
     h1, h2 = hash128(F.col("vec"))
     rows = stored(rows.withColumns({"h1": h1, "h2": h2}), "nn-vectors")
-    names = rows.groupBy("h1", "h2").agg(F.min("id").alias("node"))
+    names = broadcast_if_small(stored(rows.groupBy("h1", "h2").agg(F.min("id").alias("node")), "nn-names"), 32)
     members = stored(rows.join(names, ["h1", "h2"]).select("id", "node"), "nn-members")
     nodes = stored(rows.join(names, (rows["h1"] == names["h1"]) & (rows["h2"] == names["h2"]) & (rows["id"] == names["node"]), "left_semi").select("id", "vec"), "nn-nodes")
     n = nodes.count()
@@ -302,8 +351,12 @@ def nearest(table: DataFrame, query_ids, id_col: str = "vec_id", vector_col: str
     if n == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind = "<f4" if dict(table.dtypes)[vector_col] == "array<float>" else "<f8"
-    graph = build_graph(nodes, n, k, rounds, kind=kind)
-    seen = greedy_search(graph, nodes, asked.select(F.col("node").alias("q")).distinct(), k, beam)
+    raws = stored(packed(nodes, kind), "nn-raws")
+    row_bytes = 32 + raws.select(F.octet_length("raw")).first()[0]
+    small = n * row_bytes <= BROADCAST_BYTES
+    graph = build_graph(raws, n, small, k, rounds, kind=kind)
+    queries = stored(asked.select(F.col("node").alias("q")).distinct(), "nn-asked")
+    seen = greedy_search(graph, raws, queries, small, k, beam, kind, row_bytes)
 
     # the nearest nodes of each query node, with itself at distance 0 for its copies
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))
