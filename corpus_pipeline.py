@@ -73,13 +73,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of the documents, ``text`` being what the tokens decode to, then
-    ``token_ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``."""
+    ``token_ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``, which replace
+    columns of the documents with these names (in any case of letters)."""
     vocabulary = bpe_automaton.read_vocabulary(public_tokenizers.path(VOCABULARY))
     rest = [c for c in docs.columns if c != "text"]
     rows = docs.select("text", F.struct(*rest).alias("packed_row"))
     coded = bpe_automaton.encode_documents(rows, vocabulary, ids="token_ids").drop("text")
     done = bpe_automaton.decode_documents(coded, vocabulary, ids="token_ids", text="text")
-    return done.select(*(F.col("text") if c == "text" else F.col("packed_row")[c].alias(c) for c in docs.columns),
+    return done.select(*(F.col("text") if c == "text" else F.col("packed_row")[c].alias(c) for c in docs.columns if c.lower() not in ("token_ids", "n_tokens")),
                        "token_ids", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"))
 
 
