@@ -71,3 +71,13 @@ def test_oracle_twins(spark, name):
     names = [c[0] for c in want.description]
     assert sorted(names) == sorted(got.columns)
     assert sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_token_columns_replace_columns_of_their_name(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b", "x", 7), (2, None, None, None)], "doc_id long, text string, Token_Ids string, n_tokens int")
+    done = corpus_pipeline.bpe_encoding(spark, docs, "")
+    done.write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("doc_id").collect()
+    assert done.columns == ["doc_id", "text", "token_ids", "n_tokens"]
+    assert [(r.doc_id, r.text, r.n_tokens, len(r.token_ids)) for r in got] == [(1, "a b", got[0].n_tokens, 4 * got[0].n_tokens), (2, "", 0, 0)]
+    assert got[0].n_tokens > 0

@@ -119,6 +119,17 @@ def test_ngram_components_equal_brute_force(spark, monkeypatch, star_rounds):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
+def test_ngram_signatures_never_differ_in_more_bits_than_rows_in_ngrams():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 60, 3000):
+        x = rng.integers(-(1 << 63), 1 << 63, n, dtype=np.int64)
+        for changed in {0, 1, n // 9, n}:
+            y = x.copy()
+            y[:changed] = rng.integers(-(1 << 63), 1 << 63, changed, dtype=np.int64)
+            bits = sum(int(w).bit_count() for w in (ngram_join.signature(x) ^ ngram_join.signature(y)).view(np.uint64))
+            assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
 def test_ngram_null_ids_repeats_and_empty(spark):
     rows = [(3, "one two three four five six"), (3, "one two three four five six"), (None, "one two three four five six"),
             (None, "alone with five words here now"), (1, "seven eight"), (1, "nine ten")]
