@@ -247,10 +247,10 @@ def fleet_summary_record(spark: SparkSession, s: DataFrame) -> DataFrame:
 
 
 # C14 -----------------------------------------------------------------------
-def motor_report(scored: DataFrame, as_of: str) -> DataFrame:
-    """Motor attributes with display defaults, next to the prediction record; one pass."""
+def motor_metadata() -> Column:
+    """Motor attributes with display defaults, as a struct."""
     na = F.lit("N/A")
-    meta = F.struct(
+    return F.struct(
         F.col(SERIAL).alias("serial_no"),
         F.coalesce(F.col("equipment_type_text"), na).alias("equipment_type"),
         F.coalesce(F.col("make"), na).alias("manufacturer"),
@@ -258,5 +258,9 @@ def motor_report(scored: DataFrame, as_of: str) -> DataFrame:
         F.coalesce(F.col("kw"), F.lit(0.0)).alias("kw_rating"),
         F.coalesce(F.col("rpm"), F.lit(0)).alias("rpm"),
         F.coalesce(F.col("motor_age_years"), F.lit(0)).alias("age_years"),
-    ).alias("metadata")
-    return prediction_record(scored.drop("health_score"), as_of, keep=[meta]).withColumnRenamed(SERIAL, "serial_no")
+    )
+
+
+def motor_report(scored: DataFrame, as_of: str) -> DataFrame:
+    """Motor attributes next to the prediction record; one pass."""
+    return prediction_record(scored.drop("health_score"), as_of, keep=[motor_metadata().alias("metadata")]).withColumnRenamed(SERIAL, "serial_no")

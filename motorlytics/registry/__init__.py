@@ -8,7 +8,7 @@ building blocks of later modules refer to those of earlier ones).
 """
 
 from motorlytics.registry import core  # noqa: F401 - registers first
-from motorlytics.registry import features, scoring, profile, dashboards, evaluation, training, io  # noqa: F401
+from motorlytics.registry import features, scoring, profile, dashboards, evaluation, training, io, serving  # noqa: F401
 from motorlytics.registry.core import ORACLE, REGISTRY, engineered, latest, requisition  # noqa: F401
 
 

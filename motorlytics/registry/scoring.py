@@ -58,17 +58,21 @@ _LABEL_CASE = "CASE risk_class " + " ".join(f"WHEN {k} THEN {O._q(v)}" for k, v
 _HEALTH_SQL = O.clip_sql(O.np_round_sql(
     f"(1e0 - p_high * {S.HEALTH_WEIGHT_HIGH}e0 - p_critical * {S.HEALTH_WEIGHT_CRITICAL}e0) * 100e0", 1),
     f"{S.HEALTH_MIN}e0", f"{S.HEALTH_MAX}e0")
-O.add_cte("scored", f"""
+def _classes_sql(source: str) -> str:
+    return f"""
 SELECT * EXCLUDE (w0, w1, w2, w3, ck, health_score), {_LABEL_CASE} AS predicted_risk, {_HEALTH_SQL} AS health_score
 FROM (SELECT *, w0 / (w0 + w1 + w2 + w3) AS p_low, w1 / (w0 + w1 + w2 + w3) AS p_medium,
         w2 / (w0 + w1 + w2 + w3) AS p_high, w3 / (w0 + w1 + w2 + w3) AS p_critical,
         CAST(CASE WHEN w0 >= w1 AND w0 >= w2 AND w0 >= w3 THEN 0 WHEN w1 >= w2 AND w1 >= w3 THEN 1
                   WHEN w2 >= w3 THEN 2 ELSE 3 END AS INTEGER) AS risk_class
-      FROM scored_w)
-""")
+      FROM {source})
+"""
+
+
+O.add_cte("scored", _classes_sql("scored_w"))
 
 
-def _components_select_sql(seed: int | None = None) -> str:
+def _components_select_sql(seed: int | None = None, source: str = "scored") -> str:
     ps = ["p_low", "p_medium", "p_high", "p_critical"]
     raw = []
     for i, (name, (wm, wh, wc), (lo, hi)) in enumerate(S.COMPONENTS):
@@ -80,7 +84,7 @@ def _components_select_sql(seed: int | None = None) -> str:
     inner = ", ".join(f"{e} AS r_{c}" for c, e in raw)
     outer = ", ".join(
         f"CASE WHEN ({total}) > 0 THEN {O.np_round_sql(f'r_{c} / ({total})', 3)} ELSE r_{c} END AS {c}" for c, _ in raw)
-    return f"SELECT * EXCLUDE ({', '.join('r_' + c for c, _ in raw)}), {outer} FROM (SELECT *, {inner} FROM scored)"
+    return f"SELECT * EXCLUDE ({', '.join('r_' + c for c, _ in raw)}), {outer} FROM (SELECT *, {inner} FROM {source})"
 
 
 O.add_cte("scored_components", _components_select_sql())
@@ -133,12 +137,14 @@ def c06(spark, sf_dir):
             .select("equipment_serial_no", "risk_class", "recommended_action"))
 
 
-def _prediction_sql(extra: str = "") -> str:
+def _prediction_columns_sql() -> str:
     rounded = ", ".join(f"{O.np_round_sql(c, 4)} AS {c}" for c in SC.PROBS)
-    return O.with_ctes(
-        f"SELECT equipment_serial_no AS serial_no, {extra}health_score, predicted_risk AS risk_category, risk_class, {rounded}, {', '.join(COMP_COLS)}, "
-        f"{_ACTION_CASE} AS recommended_action, strftime(DATE '{AS_OF}' + CAST({_DAYS_CASE} AS INTEGER), '%Y-%m-%d') "
-        "AS suggested_inspection_date FROM scored_components", "scored_components")
+    return (f"health_score, predicted_risk AS risk_category, risk_class, {rounded}, {', '.join(COMP_COLS)}, "
+            f"{_ACTION_CASE} AS recommended_action, strftime(DATE '{AS_OF}' + CAST({_DAYS_CASE} AS INTEGER), '%Y-%m-%d') AS suggested_inspection_date")
+
+
+def _prediction_sql(extra: str = "") -> str:
+    return O.with_ctes(f"SELECT equipment_serial_no AS serial_no, {extra}{_prediction_columns_sql()} FROM scored_components", "scored_components")
 
 
 def _flat_prediction() -> list:
@@ -212,10 +218,13 @@ def c13(spark, sf_dir):
     return SC.department_risk_summary(scored(spark, sf_dir))
 
 
-@register("c14_motor_report", _prediction_sql(
+_METADATA_SQL = (
     "coalesce(equipment_type_text, 'N/A') AS equipment_type, coalesce(make, 'N/A') AS manufacturer, "
     "coalesce(installed_location, 'N/A') AS installed_location, coalesce(kw, 0) AS kw_rating, coalesce(rpm, 0) AS rpm, "
-    "coalesce(motor_age_years, 0) AS age_years, "))
+    "coalesce(motor_age_years, 0) AS age_years, ")
+
+
+@register("c14_motor_report", _prediction_sql(_METADATA_SQL))
 def c14(spark, sf_dir):
     return SC.motor_report(scored(spark, sf_dir), AS_OF).select("metadata.*", *_flat_prediction())
 

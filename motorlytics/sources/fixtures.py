@@ -131,6 +131,19 @@ def checklist_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", "serial_no", F.array("code").alias("checklist"))
 
 
+def checklist_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests ``(request_id, serial_no, checklist)``, one per order: no list, an empty
+    one or up to four codes, some twice; every eleventh names a motor that is not there."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
+    key = F.col("o_orderkey")
+    codes = F.array(*[F.lit(c) for c in CHECKLIST_CODES])
+    listed = F.filter(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda j: F.when(
+        j < key % 6, F.element_at(codes, ((key + F.floor(j / 2)) % len(CHECKLIST_CODES) + 1).cast("int")))), lambda c: c.isNotNull())
+    serial = serial_of(F.col("o_custkey"))
+    return o.select(key.alias("request_id"), F.when(key % 11 == 0, F.concat(F.lit("ZZ"), serial)).otherwise(serial).alias("serial_no"),
+                    F.when(key % 6 != 0, listed).alias("checklist"))
+
+
 # FIXED VALUES — multipliers of the two deterministic stand-in "models"
 PRIMARY_MULTIPLIERS = (31, 37, 41, 43)
 SECONDARY_MULTIPLIERS = (47, 53, 59, 61)
@@ -144,7 +157,25 @@ def motor_weights(serial: Column, multipliers=PRIMARY_MULTIPLIERS) -> list[Colum
 def with_fixture_scores(df: DataFrame, serial_col: str = "equipment_serial_no",
                         multipliers=PRIMARY_MULTIPLIERS) -> DataFrame:
     """Deterministic stand-in for model output: p_low..p_critical and argmax class."""
-    w0, w1, w2, w3 = motor_weights(F.col(serial_col), multipliers)
+    return with_weighted_classes(df, motor_weights(F.col(serial_col), multipliers))
+
+
+# FIXED VALUES — what one unit of each feature adds to the key of the what-if stand-in
+WHATIF_FEATURES = {"repair_count": 1, "bearing_failure_count": 2, "winding_failure_count": 3, "rotor_failure_count": 5,
+                   "insulation_failure_count": 7, "previous_refurb_count": 11, "days_since_last_repair": 13}
+
+
+def with_feature_scores(df: DataFrame) -> DataFrame:
+    """Stand-in for model output that depends on the features a checklist changes."""
+    key = F.lit(0).cast("long")
+    for name, unit in WHATIF_FEATURES.items():
+        key = key + F.coalesce(F.col(name).cast("long"), F.lit(0)) * unit
+    return with_weighted_classes(df, [F.lit(1.0) + (key * m) % 97 for m in PRIMARY_MULTIPLIERS])
+
+
+def with_weighted_classes(df: DataFrame, weights: list[Column]) -> DataFrame:
+    """Class probabilities in proportion to four weights, and the class of the largest."""
+    w0, w1, w2, w3 = weights
     total = w0 + w1 + w2 + w3
     risk_class = (F.when((w0 >= w1) & (w0 >= w2) & (w0 >= w3), 0)
                   .when((w1 >= w2) & (w1 >= w3), 1)
