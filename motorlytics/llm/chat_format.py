@@ -8,8 +8,12 @@
   conversation by (level, turn, part) is a topological order; a conversation of any
   size stays spread over tasks, since no step needs it together.
 * Arguments are parsed once into a variant and checked against their tool's parameters.
-* Canonical JSON: keys sorted at every level, no white space, numbers without trailing
-  zeros, only what JSON requires escaped.
+* Canonical JSON: keys sorted at every level, no white space, only what JSON requires
+  escaped, one text for each number with all its digits: no leading or trailing zeros,
+  no ``-0``, plain for a point up to 21 places right or 6 left of the first digit, else
+  ``d.ddde+x``. (An exponent of over 15 digits stays as written.) A variant would round
+  numbers, so they pass through it as marked strings.
+* A number is an integer by its value: ``100``, ``100.0`` and ``1e2`` are the same.
 
 Only built-in functions are used. Defined results: a null identifier links with
 nothing (status ``no_id``); of calls, or results, that share an identifier the first by
@@ -17,8 +21,9 @@ turn, then by text counts and the others are ``duplicate``; whole rows repeated
 ``duplicate`` too, reported once; a result without a call is ``orphan``, a call without
 a result ``unanswered``; uses of unknown calls are reported and not waited for; calls
 that use each other, or themselves, and what depends on them get a null level and the
-error ``cycle``; null arguments are an empty object, unreadable ones an error and null;
-an unknown or null tool is an error; null texts are empty; empty tables give no rows.
+error ``cycle``; turns of other roles, or none, are ``message`` rows of level 0, once for
+each distinct turn, a null role left out of their JSON; null arguments are an empty
+object, unreadable ones an error and null; an unknown or null tool is an error; null texts are empty; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,9 +35,53 @@ from motorlytics.llm.common import broadcast_if_small, stored
 
 CALLS = ["conv_id", "turn", "call_id", "name", "arguments", "uses"]
 RESULTS = ["conv_id", "turn", "call_id", "content"]
-#: JSON type -> pattern of Spark's name for a variant's type.
-TYPES = {"string": "^STRING", "integer": "^BIGINT", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "^BOOLEAN",
+#: JSON type -> pattern of the kind of a value (Spark's name for a variant's type, or that of a marked number).
+TYPES = {"string": "^STRING", "integer": "^INTEGER", "number": "^(INTEGER|NUMBER)", "boolean": "^BOOLEAN",
          "array": "^ARRAY", "object": "^OBJECT", "null": "^VOID"}
+MESSAGES = ["conv_id", "turn", "role", "content"]
+#: A JSON text in pieces: strings, numbers, what lies between. Possessive, so that long strings need no stack.
+PIECES = r'(?s)"(?:[^"\\]++|\\.)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++|-'
+#: First characters of the strings that stand for numbers, and of strings that begin like one of them.
+NUMBER, STRING = "\\u0001n", "\\u0001s"
+
+
+def canonical_number(text: Column) -> Column:
+    """One text for each number, from any JSON spelling of it."""
+    def part(pattern: str, i: int) -> Column:
+        return F.regexp_extract(text, pattern, i)
+    whole, fraction = part(r"^-?([0-9]+)", 1), part(r"\.([0-9]+)", 1)
+    written = part(r"[eE]\+?(-?[0-9]+)$", 1)
+    shift = F.when(written == "", F.lit(0).cast("long")).when(F.length(written) <= 15, written.cast("long"))
+    digits = F.regexp_replace(F.concat(whole, fraction), "^0+", "")
+    # places of the point right of the first digit
+    point = F.length(digits) - F.length(fraction) + shift
+    digits = F.regexp_replace(digits, "0+$", "")
+    n = F.length(digits)
+    zeros = lambda k: F.repeat(F.lit("0"), k.cast("int"))
+    rest = lambda k: F.substr(digits, k.cast("int") + 1)
+    power = point - 1
+    scientific = F.concat(F.left(digits, F.lit(1)), F.when(n > 1, F.concat(F.lit("."), rest(F.lit(1)))).otherwise(""),
+                          F.when(power < 0, "e").otherwise("e+"), power.cast("string"))
+    size = (F.when(n == 0, "0").when((point >= n) & (point <= 21), F.concat(digits, zeros(point - n)))
+            .when((point > 0) & (point <= 21), F.concat(F.left(digits, point.cast("int")), F.lit("."), rest(point)))
+            .when((point > -6) & (point <= 0), F.concat(F.lit("0."), zeros(-point), digits)).otherwise(scientific))
+    return F.when(shift.isNull(), text).otherwise(F.concat(F.when(text.startswith("-") & (n > 0), "-").otherwise(""), size))
+
+
+def marked(json: Column) -> Column:
+    """JSON text with its numbers written as marked strings of their canonical text."""
+    def piece(p: Column) -> Column:
+        return (F.when(p.rlike("^-?[0-9]"), F.concat(F.lit(f'"{NUMBER}'), canonical_number(p), F.lit('"')))
+                .when(p.startswith('"\\u0001'), F.concat(F.lit(f'"{STRING}'), F.substr(p, F.lit(8)))).otherwise(p))
+    return F.array_join(F.transform(F.regexp_extract_all(json, F.lit(PIECES), F.lit(0)), piece), "")
+
+
+def unmarked(json: Column) -> Column:
+    """The inverse of ``marked`` on canonical text."""
+    def piece(p: Column) -> Column:
+        return (F.when(p.startswith(f'"{NUMBER}'), F.regexp_replace(F.substr(p, F.lit(9)), '"$', ""))
+                .when(p.startswith(f'"{STRING}'), F.concat(F.lit('"\\u0001'), F.substr(p, F.lit(9)))).otherwise(p))
+    return F.array_join(F.transform(F.regexp_extract_all(json, F.lit(PIECES), F.lit(0)), piece), "")
 
 
 def first_of(rows: DataFrame, rest: list[str]) -> DataFrame:
@@ -75,16 +124,20 @@ def tool_table(schemas: DataFrame) -> DataFrame:
 
 
 def argument_errors(arguments: Column, params: Column) -> Column:
-    """Errors of a map of variants against a tool's parameters, in order of parameters,
-    then unknown ones in order of name."""
+    """Errors of a map of variants, numbers marked, against a tool's parameters, in order of
+    parameters, then unknown ones in order of name."""
     def check(p: Column) -> Column:
         value = F.element_at(arguments, p["param"])
+        text = F.try_variant_get(value, "$", "string")
+        number = F.when(text.startswith("\x01n"), F.substr(text, F.lit(3)))
         kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+        power = F.regexp_extract(number, r"e\+([0-9]+)$", 1).try_cast("long")
+        whole = number.rlike("^-?[0-9]+$") | (F.length(F.regexp_extract(number, r"\.([0-9]+)e", 1)) <= power)
+        kind = F.when(whole, "INTEGER").when(number.isNotNull(), "NUMBER").otherwise(kind)
         fits = F.lit(False)
         for name, pattern in TYPES.items():
             fits = fits | ((p["type"] == name) & kind.rlike(pattern))
-        text = F.try_variant_get(value, "$", "string")
-        size = F.when(kind.rlike("^STRING"), F.length(text)).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), text.cast("double"))
+        size = F.when(kind.rlike("^STRING"), F.length(text) - text.startswith("\x01s").cast("int")).when(number.isNotNull(), number.cast("double"))
         return (F.when(~F.map_contains_key(arguments, p["param"]), F.when(p["required"], F.concat(p["param"], F.lit(": missing"))))
                 .when(~fits, F.concat(p["param"], F.lit(": not of type "), p["type"]))
                 .when(size < p["min_size"], F.concat(p["param"], F.lit(": too small")))
@@ -106,11 +159,20 @@ def canonical_object(fields: dict[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def format_chat(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+def message_rows(messages: DataFrame) -> DataFrame:
+    """Turns that are neither call nor result, in the columns of ``format_chat``."""
+    one = messages.select("conv_id", "turn", "role", F.coalesce("content", F.lit("")).alias("content")).groupBy(*MESSAGES).agg(F.count("*").alias("copies"))
+    none = F.lit(None).cast("string")
+    return one.select("conv_id", F.lit(0).alias("level"), "turn", F.lit(2).alias("part"), none.alias("call_id"), F.lit("message").alias("status"),
+                      F.array().cast("array<string>").alias("errors"), "copies",
+                      canonical_object({"content": quoted(F.col("content")), "role": quoted(F.col("role"))}).alias("json"))
+
+
+def format_chat(calls: DataFrame, results: DataFrame, schemas: DataFrame, messages: DataFrame | None = None) -> DataFrame:
     """``calls(conv_id, turn, call_id, name, arguments, uses)``, ``results(conv_id, turn,
     call_id, content)`` and tool ``schemas`` -> one row per distinct call or result:
-    ``conv_id, level, turn, part`` (0 call, 1 result; a linked result has its call's turn
-    and level), ``call_id, status, errors`` (array) and ``json``."""
+    ``conv_id, level, turn, part`` (0 call, 1 result, 2 a turn of ``messages(conv_id, turn,
+    role, content)``; a linked result has its call's turn and level), ``call_id, status, errors`` (array) and ``json``."""
     calls = stored(first_of(calls.select(*CALLS), ["name", "arguments", "uses"]), "chat-calls")
     results = stored(first_of(results.select(*RESULTS), ["content"]), "chat-results")
     live = calls.where("status is null")
@@ -125,7 +187,9 @@ def format_chat(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Dat
 
     tools = stored(tool_table(schemas), "chat-tools")
     both = both.join(broadcast_if_small(tools, 4096), "name", "left")
-    parsed = F.try_parse_json(F.coalesce("arguments", F.lit("{}")))
+    text = F.coalesce("arguments", F.lit("{}"))
+    # the text itself must be JSON: marking could mend numbers that are not
+    parsed = F.when(F.try_parse_json(text).isNotNull(), F.try_parse_json(marked(text)))
     both = both.withColumn("parsed", parsed).withColumn("by_name", F.try_variant_get("parsed", "$", "map<string,variant>"))
     unknown = F.coalesce(F.size(F.array_except(F.array_distinct(F.coalesce("uses", F.array().cast("array<string>"))), F.coalesce("found_uses", F.array().cast("array<string>")))), F.lit(0))
     uses = calls.where("status is null").select("conv_id", "call_id", F.explode(F.array_distinct("uses")).alias("used")).where("used is not null")
@@ -140,7 +204,7 @@ def format_chat(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Dat
         F.when(live_row & (unknown > 0), F.array(F.lit("uses: unknown call"))).otherwise(F.array().cast("array<string>")),
         F.when(live_row & F.col("level").isNull() & F.col("conv_id").isNotNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")))
     both = both.withColumn("errors", errors)
-    json = canonical_object({"arguments": F.to_json("parsed"), "call_id": quoted(F.col("call_id")), "name": quoted(F.col("name")), "role": F.lit('"assistant"'),
+    json = canonical_object({"arguments": unmarked(F.to_json("parsed")), "call_id": quoted(F.col("call_id")), "name": quoted(F.col("name")), "role": F.lit('"assistant"'),
                              "valid": F.when(F.size("errors") == 0, F.lit("true")).otherwise(F.lit("false"))})
     made = both.select("conv_id", "level", "turn", F.lit(0).alias("part"), "call_id", "status", "errors", "copies", json.alias("json"))
 
@@ -151,4 +215,5 @@ def format_chat(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Dat
     linked = F.col("pi").isNotNull()
     answers = answers.select("conv_id", F.col("call_level").alias("level"), F.when(linked, F.col("call_turn")).otherwise(F.col("turn")).alias("turn"), F.lit(1).alias("part"),
                              "call_id", status.alias("status"), F.array().cast("array<string>").alias("errors"), "copies", json.alias("json"))
-    return made.unionByName(answers)
+    done = made.unionByName(answers)
+    return done if messages is None else done.unionByName(message_rows(messages))

@@ -211,13 +211,18 @@ SELECT a.conv_id, c.level::INTEGER, CASE WHEN c.turn IS NULL THEN a.turn ELSE c.
        CASE WHEN c.turn IS NULL THEN 'orphan' ELSE 'linked' END, '',
        '{"call_id":"c' || (a.turn - 1) || '","content":' || to_json(a.text)::VARCHAR || ',"role":"tool"}'
 FROM a LEFT JOIN c ON c.conv_id = a.conv_id AND c.turn = a.turn - 1
+UNION ALL
+SELECT DISTINCT conv_id, 0, turn, 2, NULL, 'message', '',
+       '{"content":' || to_json(coalesce(text, ''))::VARCHAR || CASE WHEN role IS NULL THEN '' ELSE ',"role":' || to_json(role)::VARCHAR END || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
 
 
 @register("op1_chat_formatting", CHAT_SQL)
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table has no tool columns, so each user turn is read as a call of the tool
-    ``ask`` and the assistant turn after it as its result. A call uses an earlier one:
+    ``ask`` and the assistant turn after it as its result; turns of other roles are
+    messages. A call uses an earlier one:
     that of the exchange whose number lacks the lowest set bit."""
     turns = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
     text = F.coalesce("text", F.lit(""))
@@ -228,7 +233,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 F.lit("ask").alias("name"), asked.alias("arguments"), F.filter(F.array(used), lambda x: x.isNotNull()).alias("uses"))
     results = turns.where("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("call_id"), text.alias("content"))
     schemas = spark.createDataFrame(TOOL_SCHEMA, "name string, param string, type string, required boolean, min_size double, max_size double")
-    done = chat_format.format_chat(calls, results, schemas)
+    others = turns.where("role is null or role not in ('user', 'assistant')").withColumnRenamed("text", "content")
+    done = chat_format.format_chat(calls, results, schemas, others)
     return done.select("conv_id", "level", "turn", "part", "call_id", "status", F.concat_ws("; ", "errors").alias("errors"), "json")
 
 

@@ -3,6 +3,7 @@ repeated rows, empty tables, clashing extra columns; brute-force twins where SQL
 cannot express the operator."""
 
 import collections
+import decimal
 import hashlib
 import json
 import random
@@ -427,6 +428,55 @@ def test_chat_empty(spark):
     assert none.count() == 0
 
 
+NUMBERS = ["0", "-0", "-0.0", "0e5", "1e2", "100.0", "100", "1.50", "-1.5E0", "0.000001", "1e-7", "0.00000123", "1e20", "1e21", "12e20", "123456789012345678901",
+           "12345678901234567890123456789012345678901", "-12345678901234567890123456789012345678901.5", "1E+400", "1e-400", "9007199254740993", "0.1234567890123456789"]
+
+
+def plain_number(text):
+    """The documented form, from Python's decimals."""
+    sign, digits, power = decimal.Decimal(text).as_tuple()
+    digits = "".join(map(str, digits)).lstrip("0")
+    point = len(digits) + power
+    digits = digits.rstrip("0")
+    if not digits:
+        return "0"
+    if len(digits) <= point <= 21:
+        size = digits + "0" * (point - len(digits))
+    elif 0 < point <= 21:
+        size = digits[:point] + "." + digits[point:]
+    elif -6 < point <= 0:
+        size = "0." + "0" * -point + digits
+    else:
+        size = digits[0] + ("." + digits[1:] if digits[1:] else "") + f"e{point - 1:+d}"
+    return "-" * sign + size
+
+
+def test_chat_numbers_keep_their_digits_and_have_one_text(spark):
+    odd = json.dumps({"a": "\x01n5", "b": '"\x01n7', "\x01k": "-1e2 \\"})
+    calls = [(1, i, str(i), "f", f'{{"z":[{t}],"b":{t}}}', None) for i, t in enumerate(NUMBERS)] + [(2, 0, "odd", "f", odd, None), (2, 1, "bad", "f", '{"b":01}', None)]
+    schemas = [("f", "b", "integer", True, None, None), ("f", "z", "array", False, None, None)]
+    got = {r.call_id: r for r in chat_format.format_chat(spark.createDataFrame(calls, CALL), spark.createDataFrame([], RESULT), spark.createDataFrame(schemas, SCHEMA)).collect()}
+    for i, t in enumerate(NUMBERS):
+        r = got[str(i)]
+        assert r.json.startswith(f'{{"arguments":{{"b":{plain_number(t)},"z":[{plain_number(t)}]}},'), (t, r.json)
+        whole = decimal.Decimal(t) == 0 or decimal.Decimal(t).normalize(decimal.Context(prec=99)).as_tuple().exponent >= 0
+        assert (r.errors == []) == whole, (t, r.errors)
+    assert json.loads(got["odd"].json)["arguments"] == json.loads(odd) and got["odd"].errors[0] == "b: not of type integer"
+    assert got["bad"].errors == ["arguments: not an object"]
+
+
+def test_chat_long_texts_and_other_turns(spark):
+    long = 'a\\"é-1e2 ' * 200_000
+    calls = [(1, 1, "c", "f", json.dumps({"t": long}), None)]
+    others = [(1, 0, "system", "Be kind"), (1, 0, "system", "Be kind"), (1, 4, None, None), (None, None, "tool", "x"), (1, 5, "critic", long)]
+    done = chat_format.format_chat(spark.createDataFrame(calls, CALL), spark.createDataFrame([], RESULT), spark.createDataFrame([("f", "t", "string", True, None, float(len(long)))], SCHEMA),
+                                   spark.createDataFrame(others, "conv_id long, turn long, role string, content string")).collect()
+    made = {(r.conv_id, r.turn): r for r in done}
+    assert len(done) == 5 and json.loads(made[1, 1].json)["arguments"] == {"t": long} and made[1, 1].errors == []
+    assert made[1, 0].copies == 2 and made[1, 0].json == '{"content":"Be kind","role":"system"}' and made[1, 4].json == '{"content":""}'
+    assert {(r.level, r.part, r.call_id, r.status) for r in done if r.part == 2} == {(0, 2, None, "message")} and json.loads(made[1, 5].json)["content"] == long
+
+
 # ---- 4: nearest neighbours --------------------------------------------------
 def test_nearest_exact_on_one_block_with_odd_vectors(spark):
     rng = np.random.default_rng(1)
