@@ -7,6 +7,7 @@ from motorlytics.operators import evaluation as EV
 from motorlytics.operators import features as FE
 from motorlytics.operators import training as TR
 from motorlytics.sources.fixtures import requisitions
+from motorlytics.sources.manifest import Manifest
 from tests.conftest import SF_SMALL
 
 
@@ -170,6 +171,8 @@ def test_end_to_end_lifecycle(spark):
     paths = run_batch_lifecycle(spark, requisitions(spark, SF_SMALL), out, rf_params={"numTrees": 5, "maxDepth": 4},
                          gbt_params={"maxIter": 2, "maxDepth": 2}, cv_folds=2)
     assert paths["selected_model"] in ("boosted_trees", "random_forest")
+    in_force = Manifest(paths["serving"]).current(spark)
+    assert in_force.version == 1 and in_force.paths.items() <= paths.items() and {"gbt_model", "rf_model", "latest"} <= set(in_force.paths)
     for k in ("engineered", "encoders", "rf_model", "gbt_model", "metadata", "evaluation", "cv",
               "batch_predictions", "department_summary"):
         assert os.path.exists(paths[k].replace("file:", "")), k
