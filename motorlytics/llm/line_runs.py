@@ -1,11 +1,14 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run is a table ``(h1, h2, n_docs, last_doc)`` hash-bucketed on the line hash and
-sorted by it inside each bucket, so runs merge bucket by bucket without moving
-rows again. A new batch merge-anti-joins the runs (lines no run holds are new) and
-adds its own run to level 0; a level that holds ``fanout`` runs is compacted into
-one run of the next level, so the number of runs grows with the logarithm of the
-number of batches.
+sorted by it inside each bucket, so runs are joined bucket by bucket without moving
+rows again. A new batch merge-anti-joins the runs: the lines that no run holds are new
+and become a run of level 0, so runs never share a line; the others only add to counts
+and become a run of lines seen again. A level that holds ``fanout`` runs is compacted
+into one run of the next level (runs of new lines end to end, those seen again by a
+merge join that adds the counts), so the number of runs grows with the logarithm of the
+number of batches. A line's count is that of the one run that holds it and what the runs
+of lines seen again add.
 
 A line's key is the line without white space at both ends, A-Z lower-cased; keys
 shorter than ``min_chars`` code points never count. The 128-bit hash stands for the
@@ -20,6 +23,7 @@ one document for counting and are each returned; an empty table gives no rows.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,12 +63,14 @@ def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """The store: ``levels[i]`` lists the runs of level i (a few paths each)."""
+    """The store: ``levels[i]`` lists the runs of level i (a few paths each), ``again[i]``
+    those of the lines seen again."""
 
     def __init__(self, spark: SparkSession, n_buckets: int | None = None, fanout: int = FANOUT):
         self.spark, self.fanout = spark, max(2, fanout)
         self.n_buckets = n_buckets or shuffle_partitions(spark)
         self.levels: list[list[str]] = []
+        self.again: list[list[str]] = []
 
     def _write(self, run: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -86,6 +92,13 @@ class LineRuns:
                 "h1", "h2", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "last").alias("last_doc"))
         return out
 
+    def _end_to_end(self, names: list[str]) -> DataFrame:
+        """Runs that share no line."""
+        out = self.spark.table(names[0])
+        for name in names[1:]:
+            out = out.unionByName(self.spark.table(name))
+        return out
+
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
@@ -96,30 +109,38 @@ class LineRuns:
         return batch
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Add the batch ``lines(doc_id, h1, h2)`` as a run. The documents of a batch
-        must not come back in a later one. Returns the lines the store had not seen."""
+        """Add the batch ``lines(doc_id, h1, h2)``: its unseen lines as a run, the others as
+        a run of lines seen again. The documents of a batch must not come back in a later
+        one. Returns the lines the store had not seen."""
         per_doc = lines.select("h1", "h2", "doc_id").distinct()
-        run = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        before = self.runs()
-        name = self._write(run)
+        batch = self._write(per_doc.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        name = batch
+        if self.runs():
+            name = self._write(self.unseen(self.spark.table(batch)))
+            seen = self.spark.table(batch).join(self.spark.table(name).select("h1", "h2"), ["h1", "h2"], "left_anti")
+            self._place(self.again, self._write(seen), 0, self._merged)
         new = self.spark.table(name)
-        for old in before:
-            new = new.join(self.spark.table(old).select("h1", "h2"), ["h1", "h2"], "left_anti")
-        self._place(name, 0)
+        self._place(self.levels, name, 0, self._end_to_end)
         return new
 
-    def _place(self, name: str, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(name)
-        if len(self.levels[level]) >= self.fanout:
-            merged = self._write(self._merged(self.levels[level]))
-            self.levels[level] = []
-            self._place(merged, level + 1)
+    def _place(self, levels: list[list[str]], name: str, level: int, merge: Callable[[list[str]], DataFrame]) -> None:
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append(name)
+        if len(levels[level]) >= self.fanout:
+            merged = self._write(merge(levels[level]))
+            levels[level] = []
+            self._place(levels, merged, level + 1, merge)
 
     def repeated(self, min_docs: int) -> DataFrame:
-        """``(h1, h2, last_doc)`` of lines found in at least ``min_docs`` documents."""
-        return self._merged(self.runs()).where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
+        """``(h1, h2, last_doc)`` of lines found in at least ``min_docs`` documents: each run
+        joined with what the lines seen again add to it."""
+        again = self._merged([name for level in self.again for name in level]).select("h1", "h2", F.col("n_docs").alias("n"), F.col("last_doc").alias("last"))
+        found = self.spark.createDataFrame([], "h1 long, h2 long, last_doc long")
+        for name in self.runs():
+            counted = self.spark.table(name).join(again, ["h1", "h2"], "left").where(F.col("n_docs") + F.coalesce("n", F.lit(0)) >= min_docs)
+            found = found.unionByName(counted.select("h1", "h2", F.greatest("last_doc", "last").alias("last_doc")))
+        return found
 
 
 def build_runs(docs: DataFrame, min_chars: int = MIN_CHARS, n_batches: int = N_BATCHES, fanout: int = FANOUT) -> tuple[LineRuns, DataFrame]:

@@ -69,6 +69,22 @@ def test_line_runs_levels_and_unseen(spark):
     assert sorted(r.last_doc for r in store.repeated(2).collect()) == [3, 4]
 
 
+def test_line_runs_hold_each_line_once(spark):
+    """What the anti-join finds unseen is what the next run holds; the rest only counts."""
+    store = line_runs.LineRuns(spark, n_buckets=2, fanout=3)
+    batch = lambda ids, texts: line_runs.hashed_lines(spark.createDataFrame(list(zip(ids, texts)), DOCS), 1)
+    for ids, texts in (([1, 2], ["a\nb", "a"]), ([9, 4], ["a\nc", "c"])):
+        store.add(batch(ids, texts))
+    first, second = (spark.table(name) for name in store.runs())
+    assert sorted(r.last_doc for r in first.collect()) == [1, 2] and [(r.n_docs, r.last_doc) for r in second.collect()] == [(2, 9)]
+    assert [(r.n_docs, r.last_doc) for name in store.again[0] for r in spark.table(name).collect()] == [(1, 9)]
+    for i in range(5):  # both kinds are compacted
+        store.add(batch([20 + i], [f"b\na\nd{i}\nd{i - 1}"]))
+    assert sum(spark.table(name).count() for name in store.runs()) == 3 + 6
+    assert sorted(r.last_doc for r in store.repeated(5).collect()) == [24, 24]
+    assert sorted(r.last_doc for r in store.repeated(2).collect()) == [9, 21, 22, 23, 24, 24, 24]
+
+
 # ---- 5: n-gram join ---------------------------------------------------------
 def word_set(text, size=5):
     words = (text or "").encode().lower().split()
