@@ -64,3 +64,11 @@ def test_predictions_of_one_model_fit_only_that_model(spark, monkeypatch):
     assert RT.m04(spark, "/only-forest").count() == 4 and fitted == ["rf"]
     assert RT.m03(spark, "/only-boosted").count() == 4 and fitted == ["rf", "gbt"]
     assert RT.test_predictions(spark, "/both").count() == 8 and sorted(fitted) == ["gbt", "gbt", "rf", "rf"]
+
+
+def test_checklist_response_is_flattened_from_the_written_answers(spark):
+    from motorlytics.registry.serving import d03_response
+    from tests.conftest import SF_SMALL
+    out = d03_response(spark, SF_SMALL)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
