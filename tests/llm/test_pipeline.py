@@ -56,7 +56,7 @@ def test_run_drops_leaks_and_copies(spark):
 
 def test_registered_queries(spark):
     found = __spark_entry__.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     assert "pipeline" in found and set(queries.ORACLE) <= set(found)
 
 
