@@ -5,10 +5,13 @@ piece, or before a word or pair of words too rare to be part of a phrase. Counts
 phrases are the counts of the nodes of the tree of these suffixes, which is built in
 independent parts:
 
-1. Rare words and pairs. Words are counted, then pairs of frequent words by a 40-bit hash,
-   each combined in the task before the shuffle. Tasks learn which are frequent from
-   bitmaps of a fixed size, by hash; a collision or false hit keeps suffixes that could
-   have gone, it never changes a count.
+1. Rare words and pairs. Words are counted, then pairs of frequent words by the hashes of
+   the two, each combined in the task before the shuffle. Tasks learn which are frequent
+   from bitmaps of a fixed size, by hash; a collision or false hit keeps suffixes that
+   could have gone, it never changes a count. Hashes that several words have, one of them
+   frequent, are found from the word counts and marked in a bitmap too. The counts of all
+   other pairs are exact: they are phrases of two words as they stand, so a suffix of two
+   words is kept only if one of its words is marked.
 2. Prefixes. The suffixes left, combined in the task and stored, are counted by first word;
    those of a word with more than ``budget`` of them by their first two words, of these
    again the too large ones by three, and so on; a bitmap marks the too large. A prefix
@@ -45,7 +48,6 @@ MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: Suffixes that may start with one prefix of a group; about 300 bytes each in a task.
 BUDGET = 1 << 17
 BITS = 1 << 24
-PAIR_KEYS = 1 << 40
 #: Bytes of text that are cut into words at once; a task holds some 40 times that.
 SLICE = 4 << 20
 NO_LANG = "und"
@@ -113,9 +115,10 @@ def _slice(mapped: np.ndarray, starts: np.ndarray, lo: int, of_text: np.ndarray,
 
 
 # -- bitmaps ---------------------------------------------------------------
-def hashed(phrase: str) -> Column:
+def hashed(phrase: str | Column) -> Column:
     """Hash of a phrase and its language; tasks compute the same."""
-    return F.crc32(F.concat(F.col("lang"), F.lit("\0"), F.col(phrase)).cast("binary"))
+    phrase = F.col(phrase) if isinstance(phrase, str) else phrase
+    return F.crc32(F.concat(F.col("lang"), F.lit("\0"), phrase).cast("binary"))
 
 
 def bitmap(keys: DataFrame) -> bytes:
@@ -161,14 +164,16 @@ def _texts(words: Words, place: np.ndarray, length: np.ndarray) -> tuple[pa.Arra
 
 def _pairs(words: Words, crc: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each word: whether it and the next are frequent words of one piece, and the
-    key of the two."""
+    hash of the next."""
     known = _marked(crc, frequent)
     joined = np.zeros(len(crc), bool)
     joined[:-1] = (words.piece[1:] == words.piece[:-1]) & known[1:] & known[:-1]
-    key = np.zeros(len(crc), np.int64)
-    mixed = crc[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
-    key[:-1] = (mixed.astype(np.int64) + crc[1:] * 251) % PAIR_KEYS
-    return joined, key
+    return joined, np.append(crc[1:], 0)
+
+
+def _pair_key(first, second):
+    """Place of a pair in its bitmap, from the words' hashes (arrays or columns)."""
+    return first * 251 + second
 
 
 def _each_slice(slice_bytes: int, work: Callable[[Words], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -194,29 +199,36 @@ def _count_pairs(frequent: bytes) -> Callable[[Words], pa.RecordBatch | None]:
     bits = np.frombuffer(frequent, np.uint8)
 
     def run(words: Words) -> pa.RecordBatch | None:
-        joined, key = _pairs(words, _word_hashes(words)[0], bits)
-        code, keys = pd.factorize(key[joined])
+        crc = _word_hashes(words)[0]
+        joined, after = _pairs(words, crc, bits)
+        both = crc[joined].astype(np.uint64) << np.uint64(32) | after[joined].astype(np.uint64)
+        code, keys = pd.factorize(both.view(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.bincount(code), pa.int64())], names=["key", "f"]) if len(keys) else None
     return run
 
 
-def _suffixes(frequent: bytes, pairs: bytes, max_words: int) -> Callable[[Words], pa.RecordBatch | None]:
-    """Suffixes of two words or more, equal ones of a slice combined."""
-    word_bits, pair_bits = np.frombuffer(frequent, np.uint8), np.frombuffer(pairs, np.uint8)
+def _suffixes(frequent: bytes, pairs: bytes, shared: bytes, max_words: int) -> Callable[[Words], pa.RecordBatch | None]:
+    """Suffixes of three words or more, and those of two of which one has a shared hash;
+    equal ones of a slice combined."""
+    word_bits, pair_bits, shared_bits = (np.frombuffer(b, np.uint8) for b in (frequent, pairs, shared))
 
     def run(words: Words) -> pa.RecordBatch | None:
         crc, small = _word_hashes(words)
-        joined, key = _pairs(words, crc, word_bits)
-        joined &= _marked(key, pair_bits)
+        joined, after = _pairs(words, crc, word_bits)
+        joined &= _marked(_pair_key(crc, after), pair_bits)
         place = np.flatnonzero(joined)
-        if not len(place):
-            return None
         goes_on, n_small = np.append(joined, np.zeros(max_words, bool)), int(small.max()) + 2
-        length, same, going = np.ones(len(place), np.int64), small[place], np.ones(len(place), bool)
+        length, going = np.ones(len(place), np.int64), np.ones(len(place), bool)
         for k in range(1, max_words):
             going &= goes_on[place + k - 1]
             length += going
-            same = pd.factorize(same * n_small + np.where(going, small[np.minimum(place + k, len(small) - 1)] + 1, 0))[0]
+        kept = (length > 2) | _marked(crc[place], shared_bits) | _marked(after[place], shared_bits)
+        place, length = place[kept], length[kept]
+        if not len(place):
+            return None
+        same = small[place]
+        for k in range(1, max_words):
+            same = pd.factorize(same * n_small + np.where(k < length, small[np.minimum(place + k, len(small) - 1)] + 1, 0))[0]
         one = np.zeros(int(same.max()) + 1, np.int64)
         one[same] = np.arange(len(same))
         lang, text = _texts(words, place[one], length[one])
@@ -269,10 +281,34 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_w
     if max_words < 2:
         return words, sizes
     frequent = bitmap(words.select(hashed("phrase").alias("key")))
+    shared = bitmap(shared_hashes(counted, frequent, min_count))
     pairs = rows.mapInArrow(_each_slice(slice_bytes, _count_pairs(frequent)), "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
-    pairs = bitmap(pairs.where(F.col("f") >= min_count))
-    suffixes = rows.mapInArrow(_each_slice(slice_bytes, _suffixes(frequent, pairs, max_words)), "lang string, suffix string, words int, c long")
-    return words.unionByName(tree_nodes(stored(suffixes, "phrase-suffixes"), max_words, min_count, budget)), sizes
+    pairs = stored(pairs.where(F.col("f") >= min_count).select(
+        F.shiftrightunsigned("key", 32).alias("first"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("second"), "f"), "phrase-pairs")
+    marks = bitmap(pairs.select(_pair_key(F.col("first"), F.col("second")).alias("key")))
+    suffixes = rows.mapInArrow(_each_slice(slice_bytes, _suffixes(frequent, marks, shared, max_words)), "lang string, suffix string, words int, c long")
+    nodes = tree_nodes(stored(suffixes, "phrase-suffixes"), max_words, min_count, budget)
+    marked = _marker(shared)
+    word = lambda k: hashed(F.substring_index("phrase", " ", k))
+    nodes = nodes.where((F.size(F.split("phrase", " ")) > 2) | marked(word(1)) | marked(word(-1)))
+    return words.unionByName(pair_phrases(pairs, words, shared)).unionByName(nodes), sizes
+
+
+def shared_hashes(counted: DataFrame, frequent: bytes, min_count: int) -> DataFrame:
+    """``key``: hashes of more than one word, one of them frequent."""
+    keys = counted.select(hashed("phrase").alias("key"), "f").where(_marker(frequent)("key"))
+    found = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("f").alias("f"))
+    return found.where((F.col("n") > 1) & (F.col("f") >= min_count)).select("key")
+
+
+def pair_phrases(pairs: DataFrame, words: DataFrame, shared: bytes) -> DataFrame:
+    """``lang, phrase, f`` of the counted pairs of two frequent words without a shared hash;
+    a hash then names its word. Hashes of rare words, which name none, fall out."""
+    named = words.select("lang", "phrase", hashed("phrase").alias("key")).where(~_marker(shared)("key"))
+    named = broadcast_if_small(stored(named, "phrase-named"), 100)
+    first = named.select("lang", F.col("phrase").alias("head"), F.col("key").alias("first"))
+    second = named.select(F.col("phrase").alias("tail"), F.col("key").alias("second"))
+    return pairs.join(first, "first").join(second, "second").select("lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "f")
 
 
 def tree_nodes(suffixes: DataFrame, max_words: int, min_count: int, budget: int) -> DataFrame:

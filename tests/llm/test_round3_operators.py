@@ -168,6 +168,29 @@ def test_phrases_empty_tables_and_rare_words(spark):
     assert phrase_mining.mine(spark.createDataFrame([("a b c", "en"), (None, None)], "text string, lang string")).count() == 0
 
 
+def test_phrases_of_two_words_come_from_the_pair_counts(spark, monkeypatch):
+    """Pairs that nothing frequent follows are stored once each, not once for each slice as suffixes."""
+    rows = [(f"w{i % 40} x{i % 40}, rare{i}", "en") for i in range(400)]
+    stored, sizes = phrase_mining.stored, {}
+
+    def counting(df, name):
+        out = stored(df, name)
+        sizes[name] = out.count()
+        return out
+    monkeypatch.setattr(phrase_mining, "stored", counting)
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    assert {tuple(r) for r in phrase_mining.mine(docs, min_count=10, top=50, slice_bytes=200).collect()} == brute_phrases(rows, 10, 50)
+    assert sizes["phrase-suffixes"] == 0 and sizes["phrase-pairs"] == 40
+
+
+@pytest.mark.parametrize("times", [30, 2])
+def test_phrases_of_words_with_one_hash(spark, times):
+    """plumless and buckeroo have one CRC-32; pairs of either are counted apart."""
+    rows = [("plumless cat sat; a plumless", "en")] * 30 + [("buckeroo cat ran; a buckeroo", "en")] * times + [("a plumless cat", "de")] * 30
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    assert {tuple(r) for r in phrase_mining.mine(docs, min_count=9, top=50).collect()} == brute_phrases(rows, 9, 50)
+
+
 def test_phrase_scores_pass_64_bits(spark):
     big = [("en", "a", 6 * 10 ** 9), ("en", "b", 7 * 10 ** 9), ("en", "a b", 5 * 10 ** 9)]
     got = phrase_mining.collocations(spark.createDataFrame(big, "lang string, phrase string, f long"), spark.createDataFrame([("en", 10 ** 14)], "lang string, n long")).collect()
