@@ -32,6 +32,23 @@ def test_forest_beats_majority_and_probabilities_sum_to_one(spark):
     assert sorted(r["rank"] for r in imp) == list(range(1, 19))
 
 
+def _trees(model):
+    return [t.toDebugString.split("\n", 1)[1] for t in model.trees]
+
+
+def test_forest_keeps_node_ids_where_they_fit_and_grows_the_same_trees(spark, monkeypatch):
+    rows = spark.range(1200).select("id", *[F.pmod(F.xxhash64("id", F.lit(c)), F.lit(97)).cast("double").alias(c) for c in "abc"])
+    train = TR.materialize(rows.withColumn("label", (F.pmod(F.col("a") + F.col("b") * F.col("c"), F.lit(4))).cast("int")).coalesce(1))
+    params = {"numTrees": 20, "maxDepth": 7, "maxMemoryInMB": 1}  # some levels in several groups
+    kept = TR.fit_random_forest(train, params, list("abc"))
+    walked = TR.fit_random_forest(train, {**params, "cacheNodeIds": False}, list("abc"))
+    assert kept.getCacheNodeIds() and not walked.getCacheNodeIds()
+    assert _trees(kept) == _trees(walked)
+    assert TR.keeps_node_ids(spark, 1200, 20) and not TR.keeps_node_ids(spark, 10**9, 300)
+    monkeypatch.setattr(TR, "storage_bytes", lambda s: 2 * 12 * 1200 * 20 - 1)
+    assert not TR.fit_random_forest(train, params, list("abc")).getCacheNodeIds()
+
+
 def test_boosted_one_vs_rest_probabilities(spark):
     train, test = _split(spark)
     model = TR.fit_boosted_trees(train, {"maxIter": 3, "maxDepth": 3})
