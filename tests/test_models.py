@@ -49,6 +49,28 @@ def test_forest_keeps_node_ids_where_they_fit_and_grows_the_same_trees(spark, mo
     assert not TR.fit_random_forest(train, params, list("abc")).getCacheNodeIds()
 
 
+def test_a_model_named_alone_is_fitted_one_fold_at_a_time(spark):
+    import threading
+    train, _ = _split(spark)
+    running, most, lock = {"a": 0, "b": 0}, {"a": 0, "b": 0}, threading.Lock()
+
+    def fit(name, meet):
+        def run(rows):
+            with lock:
+                running[name] += 1
+                most[name] = max(most[name], running[name])
+            if meet:
+                together.wait(60)
+            model = TR.fit_random_forest(rows, {"numTrees": 1, "maxDepth": 2})
+            with lock:
+                running[name] -= 1
+            return model
+        return run
+    together = threading.Barrier(3)
+    rows = TR.cross_validate(train, {"a": fit("a", False), "b": fit("b", True)}, k=3, alone=("a",)).collect()
+    assert most == {"a": 1, "b": 3} and len(rows) == 6
+
+
 def test_boosted_one_vs_rest_probabilities(spark):
     train, test = _split(spark)
     model = TR.fit_boosted_trees(train, {"maxIter": 3, "maxDepth": 3})
