@@ -71,6 +71,22 @@ def test_a_model_named_alone_is_fitted_one_fold_at_a_time(spark):
     assert most == {"a": 1, "b": 3} and len(rows) == 6
 
 
+def test_both_models_are_fitted_side_by_side(spark, monkeypatch):
+    import threading
+    from motorlytics.registry import training as RT
+    together = threading.Barrier(2)
+
+    def fit(name):
+        def run(rows):
+            together.wait(60)
+            return name
+        return run
+    monkeypatch.setattr(RT, "_MODELS", {(spark.sparkContext.applicationId, "x", "split"): (None, None)})
+    monkeypatch.setattr(TR, "fit_boosted_trees", fit("boosted"))
+    monkeypatch.setattr(TR, "fit_random_forest", fit("forest"))
+    assert RT.trained_both(spark, "x") == {"gbt": "boosted", "rf": "forest"}
+
+
 def test_boosted_one_vs_rest_probabilities(spark):
     train, test = _split(spark)
     model = TR.fit_boosted_trees(train, {"maxIter": 3, "maxDepth": 3})
