@@ -87,6 +87,23 @@ def test_both_models_are_fitted_side_by_side(spark, monkeypatch):
     assert RT.trained_both(spark, "x") == {"gbt": "boosted", "rf": "forest"}
 
 
+def test_boosting_gets_its_rows_in_equal_parts(spark, monkeypatch):
+    seen, fit = [], TR.OneVsRest.fit
+    monkeypatch.setattr(TR.OneVsRest, "fit", lambda self, data: seen.append(data) or fit(self, data))
+    monkeypatch.setattr(TR, "BOOST_ROWS", (100, 250))
+    # nine tenths of the rows lie in one of four parts
+    ids = spark.range(900, numPartitions=1).union(spark.range(900, 1000, numPartitions=3))
+    rows = ids.select("id", F.pmod(F.xxhash64("id"), F.lit(97)).cast("double").alias("a")).withColumn("label", (F.col("a") % 2).cast("int"))
+    train = TR.materialize(rows)
+    TR.fit_boosted_trees(train, {"maxIter": 1, "maxDepth": 2}, ["a"], parallelism=2)
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == max(spark.sparkContext.defaultParallelism // 2, 4) and max(sizes) <= 1.1 * 1000 / len(sizes) + 10
+    assert sorted(r["id"] for r in seen[0].select("id").collect()) == list(range(1000))
+    # a table too small for two parts is not dealt again
+    few = train.where("id < 150")
+    assert TR.spread_boosting(few, 150, 2) is few
+
+
 def test_boosted_one_vs_rest_probabilities(spark):
     train, test = _split(spark)
     model = TR.fit_boosted_trees(train, {"maxIter": 3, "maxDepth": 3})
