@@ -1,5 +1,14 @@
-"""Whole fits: cross-validation at the models' own sizes."""
+"""Whole fits: cross-validation at the models' own sizes; boosting in one task a class grows Spark ML's trees."""
 
+import re
+
+import numpy as np
+import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from motorlytics.operators import boosting as BO
 from motorlytics.operators import training as TR
 from motorlytics.registry import training as RT
 
@@ -23,3 +32,65 @@ def test_cross_validation_fits_whole_models(spark, monkeypatch):
     assert [kind for kind, _ in got] == ["gbt", "rf"] * 5
     assert all(p == (TR.GBT_PARAMS if kind == "gbt" else TR.RF_PARAMS) for kind, p in got)
     assert TR.GBT_PARAMS["maxIter"] == TR.RF_PARAMS["numTrees"] == 300
+
+
+def _rows(spark, n, parts):
+    rows = spark.range(n, numPartitions=parts).select("id", *[F.pmod(F.xxhash64("id", F.lit(c)), F.lit(97 if c < "e" else 3)).cast("double").alias(c) for c in "abcdef"])
+    rows = rows.withColumn("g", F.lit(1.0)).withColumn(
+        "label", ((F.col("a") * F.col("e") > F.col("b") + F.col("c")) != (F.pmod(F.xxhash64("id"), F.lit(7)) == 0)).cast("double"))
+    return TR.materialize(VectorAssembler(inputCols=list("abcdefg"), outputCol="features").transform(rows))
+
+
+def _splits_and_outputs(model):
+    text = "".join(t.toDebugString.split("\n", 1)[1] for t in model.trees)
+    return re.sub(r"Predict: \S+", "Predict", text), np.array([float(v) for v in re.findall(r"Predict: (\S+)", text)])
+
+
+PARAMS = {"maxIter": 8, "maxDepth": 6, "seed": 42, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "minInstancesPerNode": 3, "minInfoGain": 1e-5}
+
+
+@pytest.mark.parametrize("parts, change, joint", [(1, {}, False), (3, {}, False), (2, {"minInstancesPerNode": 60}, True), (1, {"subsamplingRate": 1.0, "featureSubsetStrategy": "all", "maxDepth": 3}, False)])
+def test_boosting_in_one_task_grows_spark_mls_trees(spark, monkeypatch, parts, change, joint):
+    if joint:  # several chunks, features counted together; large mixed nodes, as rounding decides whether a node is pure
+        monkeypatch.setattr(BO, "CHUNK_ROWS", 1500)
+        monkeypatch.setattr(BO, "BLOCK_ROWS", 700)
+        monkeypatch.setattr(BO, "LANES", 16)
+    rows = _rows(spark, 4000, parts)
+    before = len(_jobs(spark))
+    own = BO.BoostedTrees(**{**PARAMS, **change}).fit(rows)
+    assert len(_jobs(spark)) - before <= 20  # not by rounds and levels
+    theirs = GBTClassifier(**{**PARAMS, **change}).fit(rows)
+    (a, x), (b, y) = _splits_and_outputs(own), _splits_and_outputs(theirs)
+    assert a == b and np.allclose(x, y, rtol=1e-9, atol=1e-12)
+    assert own.treeWeights == theirs.treeWeights and own.numFeatures == 7 and own.getMaxIter() == 8
+    assert np.allclose(own.featureImportances.toArray(), theirs.featureImportances.toArray(), rtol=1e-9)
+
+
+def _jobs(spark):
+    return spark.sparkContext._jsc.sc().statusTracker().getJobIdsForGroup(None)
+
+
+def test_boosting_leaves_large_tables_to_spark_ml(spark, monkeypatch):
+    rows, seen = _rows(spark, 500, 2), []
+    monkeypatch.setattr(BO, "WHOLE_BYTES", 500 * 7 - 1)
+    monkeypatch.setattr(BO, "binned", lambda *a: seen.append(a))
+    model = BO.BoostedTrees(**{**PARAMS, "maxIter": 2}).fit(rows)
+    assert not seen and model.getNumTrees == 2
+
+
+def test_boosting_refuses_values_that_are_not_finite(spark):
+    rows = _rows(spark, 50, 1).select("label", F.col("features"))
+    bad = VectorAssembler(inputCols=["x"], outputCol="features", handleInvalid="keep").transform(rows.select("label", F.lit(float("nan")).alias("x")))
+    with pytest.raises(Exception):
+        BO.BoostedTrees(**PARAMS).fit(bad)
+
+
+def test_draws_are_one_generator_taken_in_order():
+    """The side by side generators of a part draw what one would row by row."""
+    s, want = BO.hashed_seed(7), []
+    for _ in range(1000):
+        high = BO._next(s)
+        s = BO._next(high)
+        want.append(((high & 0x3FFFFFF) << 27 | s & 0x7FFFFFF) * 2.0**-53 < 0.8)
+    assert BO.Bag(1000, 0.8)(7).tolist() == want and 700 < sum(want) < 900
+    assert BO.Bag(0, 0.8)(7).tolist() == [] and len(BO.Bag(1, 0.8)(7)) == 1
