@@ -4,11 +4,12 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from motorlytics.operators import boosting as BO
+from motorlytics.operators import forest as FO
 from motorlytics.operators import training as TR
 from motorlytics.registry import training as RT
 
@@ -73,7 +74,7 @@ def _jobs(spark):
 def test_boosting_leaves_large_tables_to_spark_ml(spark, monkeypatch):
     rows, seen = _rows(spark, 500, 2), []
     monkeypatch.setattr(BO, "WHOLE_BYTES", 500 * 7 - 1)
-    monkeypatch.setattr(BO, "binned", lambda *a: seen.append(a))
+    monkeypatch.setattr(BO, "describe", lambda *a, **b: seen.append(a))
     model = BO.BoostedTrees(**{**PARAMS, "maxIter": 2}).fit(rows)
     assert not seen and model.getNumTrees == 2
 
@@ -94,3 +95,57 @@ def test_draws_are_one_generator_taken_in_order():
         want.append(((high & 0x3FFFFFF) << 27 | s & 0x7FFFFFF) * 2.0**-53 < 0.8)
     assert BO.Bag(1000, 0.8)(7).tolist() == want and 700 < sum(want) < 900
     assert BO.Bag(0, 0.8)(7).tolist() == [] and len(BO.Bag(1, 0.8)(7)) == 1
+
+
+def _classes(spark, n=4000, parts=2):
+    rows = _rows(spark, n, parts).withColumn("label", (F.col("label") * 2 + (F.col("a") > 60).cast("int") * (F.col("e") > 0).cast("int")).cast("int"))
+    return TR.materialize(TR.class_weights(rows))
+
+
+FOREST = {"weightCol": "weight", "numTrees": 1, "maxDepth": 8, "featureSubsetStrategy": "sqrt", "minInstancesPerNode": 2, "seed": 42}
+
+
+@pytest.mark.parametrize("change", [{}, {"maxDepth": 4}, {"featureSubsetStrategy": "all", "minInstancesPerNode": 20, "minInfoGain": 0.01}])
+def test_a_tree_grown_whole_is_spark_mls(spark, change):
+    rows = _classes(spark).withColumn("weight", F.ceil(F.col("weight") * 8) / 8)  # sums without rounding, which decides whether a node is pure
+    assert rows.select("label").distinct().count() == 4
+    own, theirs = (kind(**{**FOREST, "bootstrap": False, **change}).fit(rows) for kind in (FO.Forest, RandomForestClassifier))
+    a, b = _splits_and_outputs(own), _splits_and_outputs(theirs)
+    assert a[0] == b[0] and a[1].tolist() == b[1].tolist()
+    x, y = ([r["probability"].toArray() for r in m.transform(rows).select("id", "probability").orderBy("id").collect()] for m in (own, theirs))
+    assert np.allclose(x, y, atol=1e-9) and own.numClasses == 4
+    assert np.allclose(own.featureImportances.toArray(), theirs.featureImportances.toArray(), atol=1e-9)
+
+
+def test_a_forest_grown_whole_is_as_good_as_spark_mls(spark, monkeypatch):
+    """The default bootstrap: other draws, the same kind of forest."""
+    rows, test = _classes(spark, 6000).randomSplit([0.7, 0.3], seed=3)
+    monkeypatch.setattr(FO, "DRAW_ROWS", 1000)
+    models = [kind(**{**FOREST, "numTrees": 40}).fit(rows) for kind in (FO.Forest, RandomForestClassifier)]
+    scores = [m.transform(test).where("prediction = label").count() / test.count() for m in models]
+    assert models[0].getNumTrees == 40 and len({t.toDebugString.split("\n", 1)[1] for t in models[0].trees}) == 40
+    assert abs(scores[0] - scores[1]) < 0.03
+    shares = [m.featureImportances.toArray() for m in models]
+    assert np.abs(shares[0] - shares[1]).max() < 0.05
+    again = FO.Forest(**{**FOREST, "numTrees": 40}).fit(rows)
+    assert _splits_and_outputs(again)[0] == _splits_and_outputs(models[0])[0]
+
+
+def test_bootstrap_counts_are_poisson():
+    counts = FO.bootstrap(200_000, {"seed": 42, "bootstrap": True, "subsamplingRate": 1.0}, 3)
+    for k, share in enumerate((0.3679, 0.3679, 0.1839, 0.0613)):
+        assert abs((counts == k).mean() - share) < 0.005
+    assert (FO.bootstrap(50, {"seed": 42, "bootstrap": False, "subsamplingRate": 1.0}, 3) == 1).all()
+
+
+def test_large_forests_are_grown_by_tasks(spark, monkeypatch):
+    """From ``FOREST_ROWS`` on, no jobs by level; beyond ``WHOLE_BYTES`` Spark ML's."""
+    rows, seen, grown = _classes(spark, 600).drop("features", "weight"), [], FO.Forest._grown
+    monkeypatch.setattr(FO.Forest, "_grown", lambda self, rows: seen.append(grown(self, rows)) or seen[-1])
+    params = {"numTrees": 5, "maxDepth": 4}
+    TR.fit_random_forest(rows, params, list("abcdefg"))
+    assert not seen
+    monkeypatch.setattr(TR, "FOREST_ROWS", 600)
+    assert TR.fit_random_forest(rows, params, list("abcdefg")).getNumTrees == 5 and len(seen) == 1 and seen[0] is not None
+    monkeypatch.setattr(BO, "WHOLE_BYTES", 600 * 7 - 1)
+    assert TR.fit_random_forest(rows, params, list("abcdefg")).getNumTrees == 5 and seen[1:] == [None]
