@@ -149,3 +149,27 @@ def test_large_forests_are_grown_by_tasks(spark, monkeypatch):
     assert TR.fit_random_forest(rows, params, list("abcdefg")).getNumTrees == 5 and len(seen) == 1 and seen[0] is not None
     monkeypatch.setattr(BO, "WHOLE_BYTES", 600 * 7 - 1)
     assert TR.fit_random_forest(rows, params, list("abcdefg")).getNumTrees == 5 and seen[1:] == [None]
+
+
+def test_rows_walked_in_batches_get_the_models_own_scores(spark):
+    """Missing and extreme values go the way Spark ML sends them; no leaf is worked out in the JVM."""
+    rows = _classes(spark, 1500).drop("features", "weight")
+    model = TR.fit_boosted_trees(rows, {"maxIter": 5, "maxDepth": 4}, list("abcdefg"))
+    odd = rows.withColumn("a", F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 5 == 1, float("inf")).otherwise(F.col("a")))
+    got = TR.predict_rows(model, odd, list("abcdefg"), ["id", "label"])
+    assert got.columns == ["id", "label", "prediction", "prob"]
+    want = {r["id"]: r for r in TR.predict(model, odd, list("abcdefg")).select("id", "label", "prediction", "prob").collect()}
+    found = got.collect()
+    assert len(found) == len(want) == 1500
+    assert all(r["prediction"] == want[r["id"]]["prediction"] and np.allclose(r["prob"], want[r["id"]]["prob"], atol=1e-12) for r in found)
+
+
+@pytest.mark.parametrize("call", ["losses", "attribution"])
+def test_losses_and_attribution_do_not_walk_trees_in_the_jvm(spark, call):
+    """Walking 1,200 trees for many rows there took most of the time of these two."""
+    rows = _classes(spark, 300).drop("features", "weight")
+    model = TR.fit_boosted_trees(rows, {"maxIter": 2, "maxDepth": 2}, list("abcdefg"))
+    out = (TR.staged_losses(model, rows.withColumn("split", F.lit("x")), "split", list("abcdefg")) if call == "losses"
+           else TR.permutation_attribution(model, rows, list("abcdefg"), key="id"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "UDF" not in plan and out.count() == (2 if call == "losses" else 7)
