@@ -173,3 +173,22 @@ def test_losses_and_attribution_do_not_walk_trees_in_the_jvm(spark, call):
            else TR.permutation_attribution(model, rows, list("abcdefg"), key="id"))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "UDF" not in plan and out.count() == (2 if call == "losses" else 7)
+
+
+def test_a_fold_is_counted_before_the_next_is_fitted(spark):
+    """Ten whole models at once (7,500 trees) did not fit the driver's memory."""
+    import gc
+    import weakref
+    from motorlytics.operators import features as FE
+    from motorlytics.sources.fixtures import requisitions
+    from tests.conftest import SF_SMALL
+    alive, most = [], []
+
+    def fit(rows):
+        gc.collect()
+        most.append(sum(r() is not None for r in alive))
+        model = TR.RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=2, maxDepth=2).fit(TR.assembler().transform(rows))
+        alive.append(weakref.ref(model))
+        return model
+    got = TR.cross_validate(TR.prepare(FE.engineer(requisitions(spark, SF_SMALL))[0]), {"a": fit}, k=3, parallelism=1).collect()
+    assert len(got) == 3 and max(most) == 0
