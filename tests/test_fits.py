@@ -192,3 +192,15 @@ def test_a_fold_is_counted_before_the_next_is_fitted(spark):
         return model
     got = TR.cross_validate(TR.prepare(FE.engineer(requisitions(spark, SF_SMALL))[0]), {"a": fit}, k=3, parallelism=1).collect()
     assert len(got) == 3 and max(most) == 0
+
+
+def test_boosting_is_left_to_spark_ml_below_the_rows_told(spark, monkeypatch):
+    rows, seen, fit = _classes(spark, 300).drop("features", "weight"), [], BO.BoostedTrees._fit_java
+    monkeypatch.setattr(BO.BoostedTrees, "_fit_java", lambda self, rows: seen.append(1) or fit(self, rows))
+    params = {"maxIter": 1, "maxDepth": 2}
+    TR.fit_boosted_trees(rows, params, ["a", "b"])
+    assert not seen
+    models = [TR.fit_boosted_trees(rows, params, ["a", "b"], whole_rows=0)]
+    monkeypatch.setattr(TR, "WHOLE_ROWS", 300)
+    models.append(TR.fit_boosted_trees(rows, params, ["a", "b"]))
+    assert len(seen) == 8 and all(len(m.models) == 4 for m in models)
